@@ -1,28 +1,27 @@
-"""Byte-level BPE by pre-tokens: split a text as the tokenizers library does and
-encode each distinct pre-token once per worker.
-
-A pre-token never depends on its neighbours, so the ids of a text are the ids
-of its pre-tokens in a row. Words repeat far more often than they are new, so
-a bounded cache turns most of the encoding into dictionary lookups.
+"""Byte-level BPE by pre-tokens: the ids of a text, most of them by lookup.
+
+The library's pre-token pattern starts a new pre-token at every space that
+something other than white space follows, and looks at nothing before it. The
+pieces of a text between such spaces are therefore encoded independently of
+one another. Words repeat far more often than they are new, so a bounded cache
+turns most of the encoding into dictionary lookups; what a batch of texts
+misses goes to the library in one call.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
 
-import numpy as np
-import regex
-
-# Fixed value: the published pre-token pattern of byte-level BPE vocabularies.
-PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: A worker forgets its cache beyond so many entries; longer pieces are never kept.
+CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
 
-# Characters that the regex module and the tokenizers library class
-# differently, since their Unicode versions differ. Texts with one are split by the library.
-DOUBTFUL = r"[\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7f1\uab6c\uab6d\U00010000-\U0001efff\U0002b73a-\U0003ffff]"
+# A worker has one core; threads of the library would take those of other tasks.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: A worker forgets its cache beyond so many entries; longer pre-tokens are never kept.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
+_wide = re.compile(r" \s").search
+_starts = re.compile(r" (?=\S)").split
 
 
 def is_byte_level(path: str) -> bool:
@@ -40,70 +39,50 @@ def is_byte_level(path: str) -> bool:
     )
 
 
-class PreTokens:
-    """The special strings and pre-tokens of a text, and the library's ids of each."""
+def split(text: str) -> list[str]:
+    """A text's first piece, then those after its spaces, without these spaces."""
+    if text[-1:] == " " or _wide(text):
+        return _starts(text)
+    return text.split(" ")
+
+
+class PieceTable:
+    """What the library makes of pieces: ``value(ids)`` of each, remembered within bounds."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, value, given: dict | None = None) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         with open(path, encoding="utf-8") as file:
-            self.special = {t["content"]: t["id"] for t in json.load(file).get("added_tokens") or []}
-        self.around = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.plain, self.doubtful = regex.compile(PRE_TOKEN).findall, re.compile(DOUBTFUL).search
-
-    def split(self, text: str) -> list[str]:
-        if text.isascii() or not self.doubtful(text):
-            return self.plain(text)
-        return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
-
-    def tokens(self, text: str) -> list[str]:
-        """Pre-tokens, special strings among them; joined they are the text."""
-        if self.around is None or not self.around.search(text):
-            return self.split(text)
-        found, at = [], 0
-        for match in self.around.finditer(text):
-            found += self.split(text[at : match.start()])
-            found.append(match.group())
-            at = match.end()
-        return found + self.split(text[at:])
-
-    def ids(self, token: str) -> list[int]:
-        if token in self.special:
-            return [self.special[token]]
-        return self.library.encode(token, add_special_tokens=False).ids
-
-
-class Lengths(dict):
-    """Pre-token -> number of tokens: a given table, then a bounded cache."""
-
-    def __init__(self, tokens: PreTokens, frequent: dict[str, int] | None = None) -> None:
-        super().__init__(frequent or {})
-        self.of, self.frequent = tokens, frequent or {}
-
-    def __missing__(self, token: str) -> int:
-        n = len(self.of.ids(token))
-        if len(token) <= CACHE_CHARS:
-            if len(self) >= len(self.frequent) + CACHE_ENTRIES:
-                self.clear()
-                self.update(self.frequent)
-            self[token] = n
-        return n
-
-
-class Codes(dict):
-    """Pre-token -> its ids as little-endian bytes of ``dtype``, in a bounded cache."""
-
-    def __init__(self, tokens: PreTokens, dtype: str) -> None:
-        super().__init__()
-        self.of, self.dtype = tokens, dtype
-
-    def __missing__(self, token: str) -> bytes:
-        code = np.array(self.of.ids(token), self.dtype).tobytes()
-        if len(token) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[token] = code
-        return code
+            special = [t["content"] for t in json.load(file).get("added_tokens") or []]
+        self.special = re.compile("|".join(map(re.escape, special))).search if special else lambda text: None
+        self.value, self.given = value, given or {}
+        #: By piece: after a space, and without one.
+        self.after, self.alone = dict(self.given), {}
+
+    def encode(self, pieces: list[str]) -> list:
+        return [self.value(e.ids) for e in self.library.encode_batch(pieces, add_special_tokens=False)]
+
+    def texts(self, texts: list[str]) -> list[list]:
+        """The values of each text's pieces in order. Texts with a special string are one piece."""
+        parts = [[t] if self.special(t) else split(t) for t in texts]
+        after, alone = self.after, self.alone
+        firsts = list({p[0] for p in parts} - alone.keys())
+        new = set().union(*(p[1:] for p in parts)).difference(after) if parts else set()
+        if len(after) + len(new) > len(self.given) + CACHE_ENTRIES:
+            after = self.after = dict(self.given)
+            new = set().union(*(p[1:] for p in parts)).difference(after)
+        if len(alone) + len(firsts) > CACHE_ENTRIES // 4:
+            alone = self.alone = {}
+            firsts = list({p[0] for p in parts})
+        new = list(new)
+        alone.update(zip(firsts, self.encode(firsts)))
+        after.update(zip(new, self.encode([f" {p}" for p in new])))
+        out = [[alone[p[0]], *map(after.__getitem__, p[1:])] for p in parts]
+        for table, own in ((alone, firsts), (after, new)):
+            for p in own:
+                if len(p) > CACHE_CHARS:
+                    del table[p]
+        return out

@@ -135,6 +135,8 @@ class PieceEncoder(dict):
         """All ids of a text, decimal, joined by commas."""
         if not text:
             return ""
+        if self.prefix and text[0] != " " and "  " not in text and MARK not in text:
+            return ",".join(map(self.__getitem__, (MARK + text.replace(" ", f" {MARK}")).split(" ")))  # each word has its mark
         return ",".join(map(self.__getitem__, self.words(self.prefix + text.replace(" ", MARK))))
 
     def encode(self, text: str) -> list[int]:

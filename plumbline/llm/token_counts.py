@@ -17,22 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import map_rows, prepare
-from .bytelevel import Lengths, PreTokens, is_byte_level
-from .sentencepiece_codec import PieceEncoder
+from ._shared import prepare
+from .bytelevel import CACHE_CHARS, PieceTable, is_byte_level, split
+from .sentencepiece_codec import encoder
 
 #: Entries of the broadcast table, and of what one task reports.
 FREQUENT, REPORT = 32_768, 8_192
 
-_loaded: dict[str, PreTokens] = {}
-_lengths: dict[tuple[str, int], Lengths] = {}
-_pieces: dict[str, PieceEncoder] = {}
-
-
-def _tokens(path: str) -> PreTokens:
-    if path not in _loaded:
-        _loaded[path] = PreTokens(path)
-    return _loaded[path]
+_tables: dict[tuple[str, int], PieceTable] = {}
 
 
 def frequent_pretokens(docs: DataFrame, path: str, text: str = "text", frequent: int = FREQUENT) -> list[tuple[str, int]]:
@@ -45,14 +37,14 @@ def frequent_pretokens(docs: DataFrame, path: str, text: str = "text", frequent:
     report = min(REPORT, frequent)
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, counts = _tokens(path), Counter()
+        counts: Counter = Counter()
         for batch in batches:
             for value in batch.column(0):
-                if (s := value.as_py()) is not None:
-                    counts.update(tokens.tokens(s))
-                if len(counts) > 16 * report:
-                    counts = Counter(dict(counts.most_common(4 * report)))
-        top = [(t, n) for t, n in counts.most_common(report) if n > 1]
+                if s := value.as_py():
+                    counts.update(split(s)[1:])
+            if len(counts) > 16 * report:
+                counts = Counter(dict(counts.most_common(4 * report)))
+        top = [(t, n) for t, n in counts.most_common(report) if n > 1 and len(t) <= CACHE_CHARS]
         yield pa.RecordBatch.from_pydict({"token": pa.array([t for t, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
 
     prepare(docs.sparkSession)
@@ -65,8 +57,8 @@ def frequent_pretokens(docs: DataFrame, path: str, text: str = "text", frequent:
         .limit(frequent)
         .collect()
     )
-    tokens = _tokens(path)
-    return [(r.token, len(tokens.ids(r.token))) for r in rows]
+    found = [r.token for r in rows]
+    return list(zip(found, PieceTable(path, len).encode([f" {t}" for t in found])))
 
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text", out: str = "n_tokens", frequent: int = FREQUENT) -> DataFrame:
@@ -90,28 +82,23 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", out: str = "n_t
 
     def counter():
         if kind == "pieces":
-            if path not in _pieces:
-                _pieces[path] = PieceEncoder(path)
-            return _pieces[path].count
-        tokens = _tokens(path)
+            bpe = encoder(path)
+            return lambda texts: [bpe.count(s) for s in texts]
+        if (path, number) not in _tables:
+            _tables.clear()
+            _tables[path, number] = PieceTable(path, len, {t: n for t, n in zip(*shared.value) if n < 255} if shared else None)
+        table = _tables[path, number]
         if kind == "library":
-            return lambda s: len(tokens.library.encode(s, add_special_tokens=False).ids)
-        if (path, number) not in _lengths:
-            _lengths.clear()
-            _lengths[path, number] = Lengths(tokens, {t: n for t, n in zip(*shared.value) if n < 255})
-        of = _lengths[path, number].__getitem__
-        return lambda s: sum(map(of, tokens.tokens(s)))
+            return table.encode
+        return lambda texts: list(map(sum, table.texts(texts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter()
         for batch in batches:
-            n = pa.array((count(s) if (s := v.as_py()) else 0 for v in batch.column("__text")), pa.int64())
+            n = pa.array(count([s or "" for s in batch.column(batch.num_columns - 1).to_pylist()]), pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n], names=[*batch.schema.names[:-1], out])
 
     # The text travels once: where it is not among the kept columns it ends in the worker.
     given = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(text).alias("__text"))
     schema = docs.select(*[F.col(f"`{f.name}`") for f in kept]).schema.add(out, "long")
     return given.mapInArrow(run, schema)
-
-
-__all__ = ["count_tokens", "frequent_pretokens", "map_rows"]

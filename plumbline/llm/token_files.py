@@ -28,22 +28,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import keep, prepare, shared_dir
-from .bytelevel import Codes, PreTokens, is_byte_level
+from .bytelevel import PieceTable, is_byte_level
 
 #: Ids in a sequence, sequences in a record batch, bytes of text in a shard (about).
 LENGTH, BATCH, SHARD_BYTES = 2048, 256, 64 << 20
 
-_codes: dict[tuple[str, str], Codes] = {}
+_tables: dict[tuple[str, str], PieceTable] = {}
 
 
 def _coder(path: str, dtype: str):
-    """Text -> bytes of its ids."""
-    if (path, dtype) not in _codes:
-        _codes[path, dtype] = Codes(PreTokens(path), dtype)
-    codes = _codes[path, dtype]
+    """Texts -> the bytes of each one's ids."""
+    if (path, dtype) not in _tables:
+        _tables[path, dtype] = PieceTable(path, lambda ids: np.array(ids, dtype).tobytes())
+    table = _tables[path, dtype]
     if is_byte_level(path):
-        return lambda s: b"".join(map(codes.__getitem__, codes.of.tokens(s)))
-    return lambda s: np.array(codes.of.library.encode(s, add_special_tokens=False).ids, dtype).tobytes()
+        return lambda texts: list(map(b"".join, table.texts(texts)))
+    return table.encode
 
 
 def _filesystem(uri: str):
@@ -124,8 +124,8 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int, doc_
                 files.create_dir(base, recursive=True)
                 sink = files.open_output_stream(f"{attempt}-seq")
                 sequence = _SequenceFile(sink, dtype, length)
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = (code(s) if (s := t.as_py()) else b"") + end
+            for d, ids in zip(batch.column(0).to_pylist(), code([s or "" for s in batch.column(1).to_pylist()])):
+                ids += end
                 sequence.add(ids)
                 doc_ids.append(d)
                 starts.append(start)
