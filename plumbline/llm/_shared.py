@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes that one Arrow batch holds at most, so that a Python worker's
@@ -96,3 +96,14 @@ def lower_ascii(column):
     return F.when(F.octet_length(column) == F.length(column), F.lower(column)).otherwise(
         F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     )
+
+
+def once(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """``df`` with ``column``, computed once per row.
+
+    Later filters and projections can't pull the expression into themselves,
+    where it would run again for every use or every element of a lambda: a
+    generator stands between. (Plain ``explode`` would make the optimizer add
+    a filter that computes it a second time; ``explode_outer`` does not.)
+    """
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c != name), F.explode_outer(F.array(column)).alias(name))

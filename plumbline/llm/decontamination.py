@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import lower_ascii
+from ._shared import lower_ascii, once
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a window and of a gram; grams in a window.
@@ -44,7 +44,7 @@ def fingerprints(rows: DataFrame, text: str, *keys: Column) -> DataFrame:
     ``near`` holds the grams from five before to five after, null beyond the
     text, which is what extending needs.
     """
-    hashed = _grams(rows.select(*keys, words_of(F.col(text)).alias("__w")))
+    hashed = _grams(once(rows.select(*keys, F.col(text).alias("__t")), "__w", words_of(F.col("__t"))).drop("__t"))
     h = F.col("__h")
     least = F.when(F.size(h) > 0, F.transform(F.sequence(F.lit(0), F.size(h) - GRAMS), lambda j: F.least(*(F.get(h, j + k) for k in range(GRAMS)))))
     hashed = hashed.drop("__w").withColumn("__m", least)
@@ -55,8 +55,8 @@ def fingerprints(rows: DataFrame, text: str, *keys: Column) -> DataFrame:
     chosen = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: F.greatest(*(F.get(m, i - k) for k in range(GRAMS))) == F.get(h, i))
     found = F.transform(chosen, lambda i: F.struct(F.get(h, i).alias("fp"), i.alias("at"), F.slice(F.col("__p"), i + 1, 2 * GRAM + 1).alias("near")))
     names = [c for c in hashed.columns if not c.startswith("__")]
-    listed = hashed.where(F.size(h) > 0).select(*names, found.alias("__f"))
-    return listed.select(*names, F.explode("__f").alias("__f")).select(*names, "__f.*")
+    listed = hashed.select(*names, F.explode_outer(F.when(F.size(h) > 0, found)).alias("__f"))
+    return listed.select(*names, "__f.*").where(F.col("fp").isNotNull())
 
 
 def _windows(d: Column, i: Column, at: Column) -> Column:
@@ -77,16 +77,16 @@ def window_hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_
         of_items = F.broadcast(of_items)
     of_docs = fingerprints(docs, text, F.col(doc_id).alias("d"), F.xxhash64(text).alias("key"))
     met = of_docs.join(of_items, of_docs["fp"] == of_items["ifp"])
-    hits = met.select("d", "key", "item", _windows(F.col("near"), F.col("inear"), F.col("at")).alias("starts"), F.lit(WINDOW).alias("len"))
-    hits = hits.where(F.size("starts") > 0)
+    hits = once(met, "starts", _windows(F.col("near"), F.col("inear"), F.col("at"))).where(F.size("starts") > 0)
+    hits = hits.select("d", "key", "item", "starts", F.lit(WINDOW).alias("len"))
 
-    short = items.select(F.col(item_id).alias("item"), words_of(F.col(item_text)).alias("w")).where((F.size("w") > 0) & (F.size("w") < WINDOW))
+    short = once(items, "w", words_of(F.col(item_text))).where((F.size("w") > 0) & (F.size("w") < WINDOW)).select(F.col(item_id).alias("item"), "w")
     lengths = sorted(r.n for r in short.select(F.size("w").alias("n")).distinct().collect())  # nine at most
     short = short.select("item", F.size("w").alias("sn"), F.array_join("w", " ").alias("s"))
     for n in lengths:
-        rows = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("key"), words_of(F.col(text)).alias("w")).where(F.size("w") >= n)
+        rows = once(docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("key"), F.col(text).alias("t")), "w", words_of(F.col("t"))).where(F.size("w") >= n)
         grams = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i, n=n: F.concat_ws(" ", *(F.get(F.col("w"), i + k) for k in range(n))))
-        rows = rows.select("d", "key", F.posexplode(grams).alias("at", "g"))
+        rows = rows.select("d", "key", F.posexplode_outer(grams).alias("at", "g"))
         own = short.where(F.col("sn") == n).select("item", "s")
         if own.count() <= BROADCAST_ROWS:
             own = F.broadcast(own)

@@ -24,6 +24,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import once
+
 # Notices of licence families, as their publishers word them.
 NOTICES = {
     "apache-2.0": [
@@ -136,7 +138,7 @@ def words_of(text: str) -> list[str]:
 
 def grams_of(words: list[str]) -> set[str]:
     found = {" ".join(words[i : i + n]) for n in range(1, GRAMS + 1) for i in range(len(words) - n + 1)}
-    return found - COMMON
+    return {g for g in found if not COMMON.issuperset(g.split())}
 
 
 def _variants(rng: random.Random, text: str, filler: list[str], n: int) -> list[list[str]]:
@@ -202,7 +204,7 @@ class Model:
             vw = 0.9 * vw - 2.0 * (x.T @ (p - target) / len(x) + 1e-4 * w)
             vb = 0.9 * vb - 2.0 * (p - target).mean(0)
             w, b = w + vw, b + vb
-        w[np.abs(w) < 0.01] = 0
+        w[np.abs(w) < 0.05] = 0
         return w.astype(float), b.astype(float)
 
     def _calibrate(self, rows: list[tuple[int, list[str]]]) -> None:
@@ -251,9 +253,11 @@ def paragraph_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """(d, key, at, family, probability, held, confirmed) of each paragraph that is predicted to be a family's notice."""
     spark, own = docs.sparkSession, model()
     grams, notices = _tables(spark, own)
-    lines = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("key"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
-    words = lines.select("d", "key", "at", F.regexp_extract_all(F.lower("line"), F.lit("[a-z0-9]+"), F.lit(0)).alias("w"))
-    words = words.where(F.size("w") > 0)
+    # Every gram of the model has a word of its own; texts without such a word hold no gram, and need no more.
+    own_word = sorted({w for g in own.index for w in g.split()} - COMMON)
+    docs = docs.where(F.exists(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w.isin(own_word)))
+    lines = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("key"), F.posexplode_outer(F.split(text, "\n")).alias("at", "line"))
+    words = once(lines, "w", F.regexp_extract_all(F.lower("line"), F.lit("[a-z0-9]+"), F.lit(0))).drop("line")
     n = F.size("w")
 
     def runs(k: int):
@@ -261,15 +265,15 @@ def paragraph_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         return F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), joined)).otherwise(F.array().cast("array<string>"))
 
     all_grams = F.array_distinct(F.concat(F.col("w"), *(runs(k) for k in range(2, GRAMS + 1))))
-    met = words.select("d", "key", "at", F.explode(all_grams).alias("gram")).join(grams, "gram")
+    met = words.select("d", "key", "at", F.explode_outer(all_grams).alias("gram")).join(grams, "gram")
     sums = [F.sum(F.get("w", F.lit(c))).alias(f"s{c}") for c in range(len(own.classes))]
     scored = met.groupBy("d", "key", "at").agg(*sums)
-    logits = F.array(*((F.col(f"s{c}") + float(own.bias[c])) / own.temperature for c in range(len(own.classes))))
-    scored = scored.select("d", "key", "at", logits.alias("z"))
-    scored = scored.withColumn("top", F.array_max("z")).withColumn("e", F.transform("z", lambda v: F.exp(v - F.col("top"))))
-    scored = scored.withColumn("p", F.transform("e", lambda v: v / F.aggregate("e", F.lit(0.0), lambda a, x: a + x)))
-    families = F.array(*(F.struct(F.get("p", F.lit(c)).alias("probability"), F.lit(own.classes[c]).alias("family")) for c in range(1, len(own.classes))))
-    best = scored.select("d", "key", "at", F.array_max(families).alias("b")).select("d", "key", "at", "b.family", "b.probability").where(F.col("probability") >= own.least)
+    logits = [(F.col(f"s{c}") + float(own.bias[c])) / own.temperature for c in range(len(own.classes))]
+    families = F.array(*(F.struct(z.alias("z"), F.lit(name).alias("family")) for z, name in zip(logits[1:], own.classes[1:])))
+    scored = once(scored.select("d", "key", "at", F.array(*logits).alias("z"), F.array_max(families).alias("best")), "top", F.array_max("z"))
+    total = F.aggregate("z", F.lit(0.0), lambda a, z: a + F.exp(z - F.col("top")))
+    best = scored.select("d", "key", "at", F.col("best.family").alias("family"), (F.exp(F.col("best.z") - F.col("top")) / total).alias("probability"))
+    best = best.where(F.col("probability") >= own.least)
 
     # The few paragraphs that are left meet the notices of their family, on their own words again.
     own_words = words.join(best, ["d", "key", "at"])

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import lower_ascii
+from ._shared import lower_ascii, once
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
@@ -47,8 +47,8 @@ def _repeated(words: Column, grams: Column) -> Column:
         return F.aggregate(at, start, step, lambda a: a["n"])
 
     # An array of one, so that the sorted windows are made once and not for each position.
-    once = F.transform(F.array(ordered), lambda x: covered(twins(x)))
-    return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0)).otherwise(F.get(once, F.lit(0)))
+    single = F.transform(F.array(ordered), lambda x: covered(twins(x)))
+    return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0)).otherwise(F.get(single, F.lit(0)))
 
 
 def document_rules(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -58,7 +58,7 @@ def document_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     has_word = lambda line: line.rlike(WORD)
     given = docs.withColumn("__t", F.coalesce(F.col(text), F.lit("")))
-    given = given.withColumn("__w", words_of(F.col("__t"))).withColumn("__l", F.filter(F.split("__t", "\n"), has_word))
+    given = once(given, "__w", words_of(F.col("__t"))).withColumn("__l", F.filter(F.split("__t", "\n"), has_word))
     n = F.size("__w")
     gram = lambda i: F.xxhash64(*(F.get(F.col("__w"), i + k) for k in range(REPEAT)))
     given = given.withColumn("__n", n).withColumn("__g", F.when(n >= REPEAT, F.transform(F.sequence(F.lit(0), n - REPEAT), gram)).otherwise(F.array().cast("array<bigint>")))
@@ -68,8 +68,8 @@ def document_rules(docs: DataFrame, text: str = "text") -> DataFrame:
         .withColumn("word_chars", F.length(F.regexp_replace("__t", r"[\x20\x09-\x0D]+", "")).cast("long"))
         .withColumn("n_symbols", (F.length("__t") - F.length(F.translate("__t", "#*$%&|<>", ""))).cast("long"))
         .withColumn("n_dup_lines", (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"))
-        .withColumn("n_repeat_words", repeated.cast("long"))
     )
+    given = once(given, "n_repeat_words", repeated.cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     return given.withColumn("base_failed", failed).drop("__t", "__w", "__l", "__n", "__g")
 
@@ -81,15 +81,15 @@ def _normalised(line: Column) -> Column:
 def document_lines(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
     """(doc_id, key, host, line hash, words) for each normalised line of a document, with how many words all its occurrences have."""
     lines = F.filter(F.transform(F.split(text, "\n"), _normalised), lambda s: s != "")
-    rows = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("key"), F.col(host).alias("host"), F.explode(lines).alias("s"))
+    rows = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("key"), F.col(host).alias("host"), F.explode_outer(lines).alias("s")).where(F.col("s").isNotNull())
     n = F.length("s") - F.length(F.translate("s", " ", "")) + 1
     return rows.select("d", "key", "host", F.xxhash64("s").alias("line"), n.alias("n")).groupBy("d", "key", "host", "line").agg(F.sum("n").alias("n"))
 
 
 def frequent_lines(lines: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """(host, line, first): lines of more than ``max_docs`` documents of a host, and the smallest id that has each."""
+    """(of, often, first): host and hash of lines of more than ``max_docs`` documents of a host, with the smallest id that has each."""
     counted = lines.groupBy("host", "line").agg(F.count("*").alias("docs"), F.min("d").alias("first"))
-    return counted.where(F.col("docs") > max_docs).select("host", "line", "first")
+    return counted.where(F.col("docs") > max_docs).select(F.col("host").alias("of"), F.col("line").alias("often"), "first")
 
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
@@ -106,12 +106,12 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     lines = document_lines(docs, doc_id, text, host)
     often = frequent_lines(lines, max_docs)
     gone = (
-        lines.join(often, lines["host"].eqNullSafe(often["host"]) & (lines["line"] == often["line"]) & ~lines["d"].eqNullSafe(often["first"]))
-        .groupBy(lines["d"].alias("__d"), lines["key"].alias("__k"), lines["host"].alias("__h"))
+        lines.join(often, F.col("host").eqNullSafe(F.col("of")) & (F.col("line") == F.col("often")) & ~F.col("d").eqNullSafe(F.col("first")))
+        .groupBy(F.col("d").alias("__d"), F.col("key").alias("__k"), F.col("host").alias("__h"))
         .agg(F.sum("n").alias("__gone"))
     )
     ruled = document_rules(docs, text).withColumn("__key", F.xxhash64(text))
-    joined = ruled.join(gone, ruled[doc_id].eqNullSafe(gone["__d"]) & (ruled["__key"] == gone["__k"]) & ruled[host].eqNullSafe(gone["__h"]), "left")
+    joined = ruled.join(gone, F.col(doc_id).eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")) & F.col(host).eqNullSafe(F.col("__h")), "left")
     n_gone = F.coalesce("__gone", F.lit(0)).cast("long")
     depleted = F.col("n_words") - n_gone < min_left * F.col("n_words")
     return joined.withColumn("n_line_words", n_gone).withColumn("kept", ~F.col("base_failed") & ~depleted).drop("__d", "__k", "__h", "__key", "__gone")
@@ -122,12 +122,12 @@ def remove_frequent_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     lines = document_lines(docs, doc_id, text, host)
     often = frequent_lines(lines, max_docs)
     gone = (
-        lines.join(often, lines["host"].eqNullSafe(often["host"]) & (lines["line"] == often["line"]) & ~lines["d"].eqNullSafe(often["first"]))
-        .groupBy(lines["d"].alias("__d"), lines["key"].alias("__k"), lines["host"].alias("__h"))
-        .agg(F.collect_set(lines["line"]).alias("__gone"))  # of one document, so bounded by its text
+        lines.join(often, F.col("host").eqNullSafe(F.col("of")) & (F.col("line") == F.col("often")) & ~F.col("d").eqNullSafe(F.col("first")))
+        .groupBy(F.col("d").alias("__d"), F.col("key").alias("__k"), F.col("host").alias("__h"))
+        .agg(F.collect_set("line").alias("__gone"))  # of one document, so bounded by its text
     )
     keyed = docs.withColumn("__key", F.xxhash64(text))
-    joined = keyed.join(gone, keyed[doc_id].eqNullSafe(gone["__d"]) & (keyed["__key"] == gone["__k"]) & keyed[host].eqNullSafe(gone["__h"]), "left")
+    joined = keyed.join(gone, F.col(doc_id).eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")) & F.col(host).eqNullSafe(F.col("__h")), "left")
     stays = lambda line: ~F.array_contains(F.col("__gone"), F.xxhash64(_normalised(line)))
     cut = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(F.filter(F.split(text, "\n"), stays), "\n"))
     return joined.withColumn(text, cut).drop("__d", "__k", "__h", "__key", "__gone")
