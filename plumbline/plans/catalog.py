@@ -1,9 +1,570 @@
-"""Every query of the validation operators, and the SQL that states its result."""
+"""Every query of the validation operators over the driver's tables, and the SQL that states its result.
 
+Queries without SQL train a model, or return what SQL cannot express; tests
+hold those against brute force.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.strings import PUNCTUATION, STOPWORDS
+from ..operators import evaluation, integrity, kernels, models, text, train_test, vision
+from ..sources.tables import read
+from ..streaming import checks as streams
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+#: The time that splits rows into train and test, about half each.
+SPLIT = "1998-05-01"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(function: Query) -> Query:
+        _queries[function.__name__] = function
+        if sql:
+            _sql[function.__name__] = sql
+        return function
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
+
+
+def _split(df: DataFrame, time: str) -> tuple[DataFrame, DataFrame]:
+    at = F.lit(SPLIT).cast("timestamp")
+    return df.where(F.col(time) < at), df.where(F.col(time) >= at)
+
+
+def _orders(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Overlapping train and test by key, so that leakage is there to find."""
+    o = read(spark, d, "orders")
+    return o.where(F.col("o_orderkey") % 10 < 7), o.where(F.col("o_orderkey") % 10 >= 5)
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    """lineitem with a rule as the model: a prediction and probabilities."""
+    li = read(spark, d, "lineitem", "l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax", "l_extendedprice", "l_shipdate")
+    said = F.when(F.col("l_discount") >= 0.07, "A").when(F.col("l_discount") >= 0.03, "N").otherwise("R")
+    p = F.round(F.col("l_discount") * 100).cast("int")
+    return li.withColumn("pred", said).withColumn("p_a", (p % 11) / 10.0).withColumn("p_n", (p % 7) / 6.0)
+
+
+JUDGED = """(SELECT *, CASE WHEN l_discount >= 0.07 THEN 'A' WHEN l_discount >= 0.03 THEN 'N' ELSE 'R' END AS pred,
+  (round(l_discount * 100)::INT % 11) / 10.0::DOUBLE AS p_a, (round(l_discount * 100)::INT % 7) / 6.0::DOUBLE AS p_n FROM lineitem)"""
+TRAIN, TEST = f"l_shipdate < TIMESTAMP '{SPLIT}'", f"l_shipdate >= TIMESTAMP '{SPLIT}'"
+NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+VARIANTS = "CASE WHEN p_partkey % 5 = 0 THEN upper(p_name) WHEN p_partkey % 7 = 0 THEN concat(p_name, '!') ELSE p_name END"
+MIXED = "CASE WHEN p_partkey % 4 = 0 THEN CAST(p_size AS STRING) WHEN p_partkey % 9 = 0 THEN 'N/A' WHEN p_partkey % 11 = 0 THEN 'null' WHEN p_partkey % 13 = 0 THEN '?!' WHEN p_partkey % 17 = 0 THEN NULL ELSE p_brand END"
+MIXED_SQL = MIXED.replace("STRING", "VARCHAR")
+BASE = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]', '', 'g')"
+
+
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "part").withColumn("v_name", F.expr(VARIANTS)).withColumn("mixed", F.expr(MIXED))
+
+
+# --- integrity ---------------------------------------------------------------
+
+
+@query("SELECT l_returnflag AS label, round_even(count(*) / sum(count(*)) OVER (), 2) AS ratio FROM lineitem GROUP BY 1")
+def class_imbalance(spark, d):
+    return integrity.class_imbalance(read(spark, d, "lineitem", "l_returnflag"), "l_returnflag")
+
+
+@query("SELECT quality AS label, round_even(count(*) / sum(count(*)) OVER (), 2) AS ratio FROM labels GROUP BY 1")
+def class_imbalance_labels(spark, d):
+    return integrity.class_imbalance(read(spark, d, "labels", "quality"), "quality")
+
+
+@query()
+def columns_info(spark, d):
+    return integrity.columns_info(read(spark, d, "orders"), label="o_orderstatus", index="o_orderkey", datetime="o_orderdate")
+
+
+@query("""SELECT sum(CASE WHEN k > 1 THEN n ELSE 0 END) / sum(n) AS percent, sum(CASE WHEN k > 1 THEN n ELSE 0 END)::BIGINT AS n_conflicting
+FROM (SELECT l_quantity, l_discount, count(*) AS n, count(DISTINCT l_returnflag) AS k FROM lineitem GROUP BY 1, 2)""")
+def conflicting_labels(spark, d):
+    return integrity.conflicting_labels(read(spark, d, "lineitem", "l_quantity", "l_discount", "l_returnflag"), ["l_quantity", "l_discount"], "l_returnflag")
+
+
+@query("SELECT 1 - count(*) / sum(n) AS percent, sum(n)::BIGINT AS n_rows, count(*) AS n_unique FROM (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2)")
+def data_duplicates(spark, d):
+    return integrity.data_duplicates(read(spark, d, "lineitem", "l_orderkey", "l_linenumber"))
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY n DESC, 1, 2 LIMIT 5")
+def duplicate_groups(spark, d):
+    return integrity.duplicate_groups(read(spark, d, "lineitem", "l_orderkey", "l_linenumber"))
+
+
+def _rank(column: str) -> str:
+    return f"(rank() OVER (ORDER BY {column}) + (count(*) OVER (PARTITION BY {column}) - 1) / 2)"
+
+
+ENTROPY = """(SELECT sum(-n / t * ln(n / t)) FROM (SELECT {x} AS v, count(*) AS n, sum(count(*)) OVER () AS t FROM lineitem GROUP BY 1))"""
+GIVEN = """(SELECT sum(n / t * ln(ny / n)) FROM (SELECT {x}, {y}, count(*) AS n, sum(count(*)) OVER (PARTITION BY {y}) AS ny, sum(count(*)) OVER () AS t FROM lineitem GROUP BY 1, 2))"""
+
+
+@query(f"""SELECT 'l_quantity' AS feature_1, 'l_extendedprice' AS feature_2, (SELECT corr(a, b) FROM (SELECT {_rank('l_quantity')} AS a, {_rank('l_extendedprice')} AS b FROM lineitem)) AS score
+UNION ALL SELECT 'l_returnflag', 'l_linestatus', ({ENTROPY.format(x='l_returnflag')} - {GIVEN.format(x='l_returnflag', y='l_linestatus')} + {ENTROPY.format(x='l_linestatus')} - {GIVEN.format(x='l_linestatus', y='l_returnflag')}) / ({ENTROPY.format(x='l_returnflag')} + {ENTROPY.format(x='l_linestatus')})
+UNION ALL SELECT x, y, sqrt(b / (b + w)) FROM (SELECT 'l_' || q AS x, y, sum(n * pow(m - g, 2)) AS b, sum(n * s) AS w FROM (
+  SELECT q, y, v, count(*) AS n, avg(p) AS m, var_pop(p) AS s, any_value(g) AS g FROM (
+    SELECT q, y, v, p, avg(p) OVER (PARTITION BY q, y) AS g FROM (
+      SELECT 'quantity' AS q, 'l_returnflag' AS y, l_returnflag AS v, l_quantity AS p FROM lineitem UNION ALL SELECT 'quantity', 'l_linestatus', l_linestatus, l_quantity FROM lineitem
+      UNION ALL SELECT 'extendedprice', 'l_returnflag', l_returnflag, l_extendedprice FROM lineitem UNION ALL SELECT 'extendedprice', 'l_linestatus', l_linestatus, l_extendedprice FROM lineitem)) GROUP BY q, y, v) GROUP BY q, y)""")
+def feature_correlation(spark, d):
+    return integrity.feature_correlation(read(spark, d, "lineitem", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus"), ["l_quantity", "l_extendedprice"], ["l_returnflag", "l_linestatus"])
+
+
+@query("""SELECT 'o_orderstatus' AS "column", count(DISTINCT o_orderstatus) AS n_distinct, count(DISTINCT o_orderstatus) = 1 AS single FROM orders
+UNION ALL SELECT 'one', 1, true UNION ALL SELECT 'o_custkey', count(DISTINCT o_custkey), count(DISTINCT o_custkey) = 1 FROM orders""")
+def is_single_value(spark, d):
+    return integrity.is_single_value(read(spark, d, "orders", "o_orderstatus", "o_custkey").withColumn("one", F.lit("x")))
+
+
+@query(f"""SELECT 'mixed' AS "column", avg(m::DOUBLE) AS numbers, 1 - avg(m::DOUBLE) AS strings FROM (
+SELECT regexp_full_match(v, '\\s*[+-]?(?:\\d+\\.?\\d*|\\.\\d+)(?:[eE][+-]?\\d+)?\\s*')::INT AS m FROM (SELECT {MIXED_SQL} AS v FROM part) WHERE v IS NOT NULL)""")
+def mixed_data_types(spark, d):
+    return integrity.mixed_data_types(_parts(spark, d), ["mixed", "p_type"])
+
+
+@query(f"""SELECT 'mixed' AS "column", coalesce(v, '<null>') AS kind, count(*) AS n FROM (SELECT {MIXED_SQL} AS v FROM part)
+WHERE v IS NULL OR {BASE.format('v')} IN ('none', 'null', 'nan', 'na', '') GROUP BY v""")
+def mixed_nulls(spark, d):
+    return integrity.mixed_nulls(_parts(spark, d), ["mixed"])
+
+
+@query("""SELECT c AS "column", avg(u) AS percent FROM (SELECT 'l_tax' AS c, (l_linenumber = 3)::INT AS u FROM lineitem UNION ALL SELECT 'l_quantity', 0 FROM lineitem UNION ALL SELECT 'l_discount', (l_discount = 0.05)::INT FROM lineitem) GROUP BY c""")
+def percent_of_nulls(spark, d):
+    li = read(spark, d, "lineitem", "l_linenumber", "l_tax", "l_quantity", "l_discount")
+    tax = F.when(F.col("l_linenumber") != 3, F.col("l_tax"))
+    discount = F.when(F.col("l_discount") == 0.05, F.lit(float("nan"))).otherwise(F.col("l_discount"))
+    return integrity.percent_of_nulls(li.withColumn("l_tax", tax).withColumn("l_discount", discount), ["l_tax", "l_quantity", "l_discount"])
+
+
+@query(f"""SELECT 'mixed' AS "column", avg(coalesce(length(v) > 0 AND {BASE.format('v')} = '', false)::INT) AS percent FROM (SELECT {MIXED_SQL} AS v FROM part)
+UNION ALL SELECT 'p_brand', 0 FROM (SELECT 1)""")
+def special_characters(spark, d):
+    return integrity.special_characters(_parts(spark, d), ["mixed", "p_brand"])
+
+
+MISMATCH = f"""WITH c AS (SELECT v, count(*) AS n FROM (SELECT {VARIANTS} AS v FROM part) GROUP BY v),
+b AS (SELECT v, n, CASE WHEN {BASE.format('v')} = '' THEN v ELSE {BASE.format('v')} END AS base, count(*) OVER (PARTITION BY {BASE.format('v')}) AS k, sum(n) OVER () AS t FROM c)
+"""
+
+
+@query(MISMATCH + """SELECT 'v_name' AS "column", base, v AS variant, n, n / t AS percent FROM b WHERE k > 1""")
+def string_mismatch(spark, d):
+    return integrity.string_mismatch(_parts(spark, d), ["v_name"])
+
+
+@query("""WITH l AS (SELECT length(text) AS len FROM documents), q AS (SELECT quantile_cont(len, 0.03) AS a, quantile_cont(len, 0.5) AS m, quantile_cont(len, 0.97) AS z FROM l)
+SELECT 'text' AS "column", any_value(m - 2 * (z - a)) AS low, any_value(m + 2 * (z - a)) AS high,
+sum((((len < m - 2 * (z - a)) OR (len > m + 2 * (z - a))) AND abs(len - m) >= 5 AND abs(len - m) >= 0.5 * m)::INT)::BIGINT AS n_outliers FROM l, q""")
+def string_length_out_of_bounds(spark, d):
+    return integrity.string_length_out_of_bounds(read(spark, d, "documents", "text"), ["text"])
+
+
+FENCES = """SELECT f AS feature, any_value(a - {s} * (z - a)) AS low, any_value(z + {s} * (z - a)) AS high, sum((v < a - {s} * (z - a) OR v > z + {s} * (z - a))::INT)::BIGINT AS n_outliers, avg((v < a - {s} * (z - a) OR v > z + {s} * (z - a))::INT) AS ratio
+FROM (SELECT f, v, quantile_cont(v, 0.25) OVER (PARTITION BY f) AS a, quantile_cont(v, 0.75) OVER (PARTITION BY f) AS z FROM ({rows})) GROUP BY f"""
+
+
+@query(FENCES.format(s=1.5, rows="SELECT 'o_totalprice' AS f, o_totalprice AS v FROM orders UNION ALL SELECT 'o_custkey', o_custkey FROM orders"))
+def iqr_outliers(spark, d):
+    return integrity.iqr_outliers(read(spark, d, "orders", "o_totalprice", "o_custkey"), ["o_totalprice", "o_custkey"])
+
+
+def _query_customers(spark, d):
+    return read(spark, d, "customer", "c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment")
+
+
+@query("""WITH r AS (SELECT max(c_acctbal) - min(c_acctbal) AS w, max(c_nationkey) - min(c_nationkey) AS x FROM customer),
+p AS (SELECT q.c_custkey AS id, c.c_custkey AS neighbour, (abs(q.c_acctbal - c.c_acctbal) / w + abs(q.c_nationkey - c.c_nationkey)::DOUBLE / x + (q.c_mktsegment <> c.c_mktsegment)::INT) / 3 AS distance
+  FROM customer q, customer c, r WHERE q.c_custkey % 100 = 0 AND q.c_custkey <> c.c_custkey)
+SELECT id, neighbour, distance, place FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, neighbour)::INT AS place FROM p) WHERE place <= 5""")
+def nearest_neighbours(spark, d):
+    """The stated query set is every customer whose key is divisible by 100, against all customers."""
+    c = _query_customers(spark, d)
+    return integrity.nearest_neighbours(c, c.where("c_custkey % 100 = 0"), "c_custkey", ["c_acctbal", "c_nationkey"], ["c_mktsegment"], 5)
+
+
+@query()
+def outlier_samples(spark, d):
+    """Outlier scores of a bounded hash sample (a sampling operator), as the check defines it."""
+    rows = models.hash_sample(_query_customers(spark, d), 500, ["c_custkey"])
+    return integrity.outlier_samples(rows, rows, "c_custkey", ["c_acctbal", "c_nationkey"], ["c_mktsegment"])
+
+
+# --- train against test ------------------------------------------------------
+
+O_TRAIN, O_TEST = "(SELECT * FROM orders WHERE o_orderkey % 10 < 7)", "(SELECT * FROM orders WHERE o_orderkey % 10 >= 5)"
+
+
+@query(f"SELECT (SELECT count(*) FROM {O_TRAIN}) AS n_train, (SELECT count(*) FROM {O_TEST}) AS n_test")
+def datasets_size(spark, d):
+    return train_test.datasets_size(*_orders(spark, d))
+
+
+@query("""SELECT f AS feature, v AS category, count(*) AS n, count(*) / (SELECT count(*) FROM part WHERE p_partkey % 2 = 1) AS ratio FROM (
+SELECT 'p_type' AS f, p_type AS v FROM part WHERE p_partkey % 2 = 1 UNION ALL SELECT 'p_brand', CASE WHEN p_partkey % 3 = 0 THEN p_brand || '-new' ELSE p_brand END FROM part WHERE p_partkey % 2 = 1)
+WHERE v NOT IN (SELECT p_type FROM part WHERE p_partkey % 2 = 0 UNION SELECT p_brand FROM part WHERE p_partkey % 2 = 0) GROUP BY 1, 2""")
+def new_categories(spark, d):
+    p = read(spark, d, "part", "p_partkey", "p_type", "p_brand")
+    test = p.where("p_partkey % 2 = 1").withColumn("p_brand", F.when(F.col("p_partkey") % 3 == 0, F.concat("p_brand", F.lit("-new"))).otherwise(F.col("p_brand")))
+    return train_test.new_categories(p.where("p_partkey % 2 = 0"), test, ["p_type", "p_brand"])
+
+
+@query("""SELECT event_type AS label, count(*) AS n, count(*) / (SELECT count(*) FROM events WHERE event_id % 2 = 1) AS ratio FROM events WHERE event_id % 2 = 1 AND event_type IN ('error', 'signup') GROUP BY 1""")
+def new_labels(spark, d):
+    e = read(spark, d, "events", "event_id", "event_type")
+    return train_test.new_labels(e.where("event_id % 2 = 0 AND event_type NOT IN ('error', 'signup')"), e.where("event_id % 2 = 1"), "event_type")
+
+
+@query(f"""WITH c AS (SELECT v, sum((p_partkey % 2 = 0)::INT)::BIGINT AS a, sum((p_partkey % 2 = 1)::INT)::BIGINT AS b FROM (SELECT p_partkey, {VARIANTS} AS v FROM part) GROUP BY v),
+x AS (SELECT *, CASE WHEN {BASE.format('v')} = '' THEN v ELSE {BASE.format('v')} END AS base FROM c),
+g AS (SELECT base FROM x GROUP BY base HAVING sum(a) > 0 AND sum(b) > 0 AND max((a = 0 OR b = 0)::INT) = 1)
+SELECT 'v_name' AS "column", base, v AS variant, CASE WHEN b = 0 THEN 'train' WHEN a = 0 THEN 'test' ELSE 'both' END AS place, a AS n_train, b AS n_test FROM x JOIN g USING (base)""")
+def string_mismatch_comparison(spark, d):
+    p = _parts(spark, d)
+    return train_test.string_mismatch_comparison(p.where("p_partkey % 2 = 0"), p.where("p_partkey % 2 = 1"), ["v_name"])
+
+
+@query(f"SELECT avg((o_orderdate IN (SELECT o_orderdate FROM {O_TRAIN}))::INT) AS ratio FROM {O_TEST}")
+def date_leakage_duplicates(spark, d):
+    return train_test.date_leakage_duplicates(*_orders(spark, d), "o_orderdate")
+
+
+@query(f"SELECT avg((o_orderdate < (SELECT max(o_orderdate) FROM {O_TRAIN}))::INT) AS ratio FROM {O_TEST}")
+def date_leakage_overlap(spark, d):
+    return train_test.date_leakage_overlap(*_orders(spark, d), "o_orderdate")
+
+
+@query(f"SELECT n / (SELECT count(*) FROM {O_TEST}) AS ratio, n AS n_common FROM (SELECT count(DISTINCT o_orderkey) AS n FROM {O_TEST} WHERE o_orderkey IN (SELECT o_orderkey FROM {O_TRAIN}))")
+def index_leakage(spark, d):
+    return train_test.index_leakage(*_orders(spark, d), "o_orderkey")
+
+
+@query(f"""SELECT avg(m) AS ratio, sum(m)::BIGINT AS n_common FROM (SELECT ((l_quantity, l_discount, l_tax, l_returnflag) IN (SELECT (l_quantity, l_discount, l_tax, l_returnflag) FROM lineitem WHERE {TRAIN}))::INT AS m FROM lineitem WHERE {TEST})""")
+def samples_mix(spark, d):
+    columns = ["l_quantity", "l_discount", "l_tax", "l_returnflag"]
+    return train_test.samples_mix(*_split(read(spark, d, "lineitem", *columns, "l_shipdate"), "l_shipdate"), columns)
+
+
+LONG = f"(SELECT f, side, v FROM (SELECT ({TEST})::INT AS side, {{cells}} FROM lineitem))"
+KS = """SELECT f AS feature, max(abs(ca / na - cb / nb)) AS score FROM (SELECT f, v, sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER (PARTITION BY f) AS na, sum(b) OVER (PARTITION BY f) AS nb
+  FROM (SELECT f, v, sum((side = 0)::INT) AS a, sum(side) AS b FROM ({rows}) GROUP BY f, v) WINDOW w AS (PARTITION BY f ORDER BY v)) GROUP BY f"""
+ROWS = " UNION ALL ".join(f"SELECT '{c}' AS f, ({TEST})::INT AS side, {c}::DOUBLE * CASE WHEN {TEST} AND '{c}' = 'l_extendedprice' THEN 1.1 ELSE 1 END AS v FROM lineitem" for c in NUMERIC)
+
+
+def _cramers(rows: str) -> str:
+    """Cramér's V of ``rows`` (f, side, v) as the kernel has it."""
+    return f"""(WITH c AS (SELECT f, v, sum((side = 0)::INT)::DOUBLE AS a, sum(side)::DOUBLE AS b FROM ({rows}) GROUP BY f, v),
+s AS (SELECT *, sum(a) OVER (PARTITION BY f) AS na, sum(b) OVER (PARTITION BY f) AS nb FROM c),
+g AS (SELECT f, CASE WHEN a < 0.01 * na THEN 'Other rare categories' ELSE v END AS v, sum(a) AS a, sum(b) AS b, any_value(na) AS na, any_value(nb) AS nb FROM s GROUP BY 1, 2),
+k AS (SELECT f, v, a, b FROM g WHERE v <> 'Other rare categories' OR a > 0.01 * na OR b > 0.01 * nb),
+z AS (SELECT f, a, b, sum(a) OVER (PARTITION BY f) AS na, sum(b) OVER (PARTITION BY f) AS nb FROM k),
+r AS (SELECT f, round_even(a * least(na, nb) / na, 0) AS a, round_even(b * least(na, nb) / nb, 0) AS b FROM z),
+t AS (SELECT *, sum(a) OVER (PARTITION BY f) AS ta, sum(b) OVER (PARTITION BY f) AS tb, count(*) OVER (PARTITION BY f) AS k FROM r WHERE a + b > 0),
+e AS (SELECT f, k, ta + tb AS n, abs(a - (a + b) * ta / (ta + tb)) AS oa, (a + b) * ta / (ta + tb) AS ea, abs(b - (a + b) * tb / (ta + tb)) AS ob, (a + b) * tb / (ta + tb) AS eb FROM t),
+y AS (SELECT f, k, n, CASE WHEN k = 2 THEN oa - least(0.5, oa) ELSE oa END AS oa, ea, CASE WHEN k = 2 THEN ob - least(0.5, ob) ELSE ob END AS ob, eb FROM e),
+x AS (SELECT f, sum(oa * oa / ea + ob * ob / eb) AS chi, any_value(n) AS n, any_value(k) AS k FROM y GROUP BY f)
+SELECT f AS feature, CASE WHEN k < 2 THEN 0 ELSE sqrt(greatest(0, chi / n - (k - 1) / (n - 1)) / least(k - (k - 1) * (k - 1) / (n - 1) - 1, 2 - 1 / (n - 1) - 1)) END AS score FROM x)"""
+
+
+CATEGORIES = f"SELECT 'l_returnflag' AS f, ({TEST})::INT AS side, CASE WHEN {TEST} AND l_quantity < 10 THEN 'R' ELSE l_returnflag END AS v FROM lineitem UNION ALL SELECT 'l_linestatus', ({TEST})::INT, l_linestatus FROM lineitem"
+
+
+def _drifted(spark, d):
+    train, test = _split(read(spark, d, "lineitem", *NUMERIC, "l_returnflag", "l_linestatus", "l_shipdate"), "l_shipdate")
+    flag = F.when(F.col("l_quantity") < 10, "R").otherwise(F.col("l_returnflag"))
+    return train, test.withColumn("l_returnflag", flag).withColumn("l_extendedprice", F.col("l_extendedprice") * 1.1)
+
+
+@query(f"SELECT feature, 'KS' AS method, score FROM ({KS.format(rows=ROWS)}) UNION ALL SELECT feature, 'cramers_v', score FROM {_cramers(CATEGORIES)}")
+def feature_drift_lineitem(spark, d):
+    return train_test.feature_drift(*_drifted(spark, d), NUMERIC, ["l_returnflag", "l_linestatus"])
+
+
+@query(f"""WITH q AS (SELECT f, side, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM ({ROWS}) GROUP BY 1, 2),
+t AS (SELECT r.f, r.side, v FROM ({ROWS}) r JOIN q ON r.f = q.f AND r.side = q.side AND v BETWEEN lo AND hi),
+c AS (SELECT f, v, sum((side = 0)::INT) AS a, sum(side) AS b FROM t GROUP BY f, v),
+w AS (SELECT f, v, abs(sum(a) OVER o / sum(a) OVER p - sum(b) OVER o / sum(b) OVER p) AS gap, lead(v) OVER o - v AS width FROM c WINDOW o AS (PARTITION BY f ORDER BY v), p AS (PARTITION BY f))
+SELECT f AS feature, 'EMD' AS method, sum(gap * width) / (max(v) - min(v)) AS score FROM w GROUP BY f""")
+def feature_drift_emd(spark, d):
+    return train_test.feature_drift(*_drifted(spark, d), NUMERIC, [], numeric_method="EMD")
+
+
+@query(f"""WITH c AS (SELECT f, v, sum((side = 0)::INT) AS a, sum(side) AS b FROM ({CATEGORIES}) GROUP BY f, v),
+s AS (SELECT f, greatest(a / sum(a) OVER (PARTITION BY f), 0.01) AS p, greatest(b / sum(b) OVER (PARTITION BY f), 0.01) AS q FROM c)
+SELECT f AS feature, 'PSI' AS method, sum((p - q) * ln(p / q)) AS score FROM s GROUP BY f""")
+def feature_drift_psi(spark, d):
+    return train_test.feature_drift(*_drifted(spark, d), [], ["l_returnflag", "l_linestatus"], categorical_method="PSI")
+
+
+@query(f"SELECT feature, 'cramers_v' AS method, score FROM {_cramers(CATEGORIES)} WHERE feature = 'l_returnflag'")
+def label_drift(spark, d):
+    return train_test.label_drift(*_drifted(spark, d), "l_returnflag")
+
+
+PREDICTED = f"SELECT 'pred' AS f, ({TEST})::INT AS side, pred AS v FROM {JUDGED}"
+
+
+@query(f"SELECT feature, 'cramers_v' AS method, score FROM {_cramers(PREDICTED)}")
+def prediction_drift(spark, d):
+    return train_test.prediction_drift(*_split(_judged(spark, d), "l_shipdate"), "pred")
+
+
+# --- evaluation --------------------------------------------------------------
+
+
+@query(f"SELECT l_returnflag AS label, pred AS prediction, count(*) AS n FROM {JUDGED} GROUP BY 1, 2")
+def confusion_matrix(spark, d):
+    return evaluation.confusion_matrix(_judged(spark, d), "l_returnflag", "pred")
+
+
+PER_CLASS = f"""(SELECT {{by}} c AS class, sum((l_returnflag = c AND pred = c)::INT)::BIGINT AS tp, sum((l_returnflag <> c AND pred = c)::INT)::BIGINT AS fp, sum((l_returnflag = c AND pred <> c)::INT)::BIGINT AS fn,
+  sum((l_returnflag = c)::INT)::BIGINT AS support, count(*) AS total FROM {JUDGED}, (SELECT unnest(['A', 'N', 'R']) AS c) GROUP BY ALL)"""
+
+
+@query(f"""SELECT class, tp, fp, fn, support, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1, tp / (tp + fp + fn) AS jaccard,
+fp / (total - tp - fn) AS fpr, fn / (fn + tp) AS fnr, (total - tp - fp - fn) / (total - tp - fn) AS tnr FROM {PER_CLASS.format(by='')}""")
+def class_metrics(spark, d):
+    return evaluation.class_metrics(_judged(spark, d), "l_returnflag", "pred")
+
+
+@query(f"""SELECT dataset, sum(tp) / sum(support) AS accuracy, avg(r) AS balanced_accuracy, sum(support)::BIGINT AS n, avg(p) AS precision_macro, sum(p * support) / sum(support) AS precision_weighted,
+avg(r) AS recall_macro, sum(r * support) / sum(support) AS recall_weighted, avg(f) AS f1_macro, sum(f * support) / sum(support) AS f1_weighted, avg(j) AS jaccard_macro, sum(j * support) / sum(support) AS jaccard_weighted,
+sum(tp) / sum(tp + fp) AS precision_micro, sum(tp) / sum(tp + fn) AS recall_micro
+FROM (SELECT *, tp / (tp + fp) AS p, tp / (tp + fn) AS r, 2 * tp / (2 * tp + fp + fn) AS f, tp / (tp + fp + fn) AS j FROM {PER_CLASS.format(by=f"CASE WHEN {TRAIN} THEN 'train' ELSE 'test' END AS dataset,")}) GROUP BY dataset""")
+def train_test_performance(spark, d):
+    return evaluation.train_test_performance(*_split(_judged(spark, d), "l_shipdate"), "l_returnflag", "pred")
+
+
+@query("""SELECT avg(e * e) AS mse, sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae, 1 - avg(e * e) / var_pop(y) AS r2, max(abs(e)) AS max_error, 1 - var_pop(e) / var_pop(y) AS explained_variance,
+quantile_cont(abs(e), 0.5) AS median_absolute_error, count(*) AS n FROM (SELECT l_extendedprice AS y, l_extendedprice - l_quantity * 1500 AS e FROM lineitem)""")
+def regression_metrics(spark, d):
+    li = read(spark, d, "lineitem", "l_extendedprice", "l_quantity")
+    return evaluation.regression_metrics(li.withColumn("said", F.col("l_quantity") * 1500), "l_extendedprice", "said")
+
+
+@query("""SELECT avg(e) AS mean_error, quantile_cont(e, 0.5) AS median_error, kurtosis_pop(e) AS kurtosis, sqrt(avg(e * e)) AS rmse, abs(avg(e)) / sqrt(avg(e * e)) AS systematic_ratio
+FROM (SELECT l_extendedprice - l_quantity * 1500 AS e FROM lineitem)""")
+def regression_errors(spark, d):
+    li = read(spark, d, "lineitem", "l_extendedprice", "l_quantity")
+    return evaluation.regression_errors(li.withColumn("said", F.col("l_quantity") * 1500), "l_extendedprice", "said")
+
+
+@query(f"""SELECT class, (sum(y * k) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) AS auc FROM (
+SELECT class, y, rank() OVER (PARTITION BY class ORDER BY s) + (count(*) OVER (PARTITION BY class, s) - 1) / 2 AS k FROM (
+SELECT 'A' AS class, p_a AS s, (l_returnflag = 'A')::INT AS y FROM {JUDGED} UNION ALL SELECT 'N', p_n, (l_returnflag = 'N')::INT FROM {JUDGED})) GROUP BY class""")
+def roc_auc(spark, d):
+    return evaluation.roc_auc(_judged(spark, d), "l_returnflag", {"A": "p_a", "N": "p_n"})
+
+
+@query(f"""SELECT class, avg(pow(s - y, 2)) AS brier, avg(-(y * ln(greatest(least(s, 1 - 1e-15), 1e-15)) + (1 - y) * ln(1 - greatest(least(s, 1 - 1e-15), 1e-15)))) AS log_loss FROM (
+SELECT 'A' AS class, p_a AS s, (l_returnflag = 'A')::INT AS y FROM {JUDGED} UNION ALL SELECT 'N', p_n, (l_returnflag = 'N')::INT FROM {JUDGED}) GROUP BY class""")
+def calibration_score(spark, d):
+    return evaluation.calibration_score(_judged(spark, d), "l_returnflag", {"A": "p_a", "N": "p_n"})
+
+
+@query(f"""SELECT sum(p * hit / seen) / sum(p) AS average_precision FROM (SELECT s, p, sum(p) OVER o AS hit, sum(n) OVER o AS seen FROM (
+SELECT p_a AS s, count(*) AS n, sum((l_returnflag = 'A')::INT) AS p FROM {JUDGED} GROUP BY 1) WINDOW o AS (ORDER BY s DESC))""")
+def average_precision(spark, d):
+    return kernels.average_precision(_judged(spark, d).select((F.col("l_returnflag") == "A").cast("int").alias("y"), "p_a"), "y", "p_a")
+
+
+@query(f"""WITH m AS (SELECT class, 2 * tp / (2 * tp + fp + fn) AS score, support AS n, sum(support) OVER () AS t FROM {PER_CLASS.format(by='')}),
+top AS (SELECT class FROM m ORDER BY n DESC, class LIMIT 1)
+SELECT class, score, simple, CASE WHEN simple = 1 THEN CASE WHEN score = 1 THEN 0 ELSE -50 END ELSE greatest(-50, least(50, (score - simple) / (1 - simple))) END AS gain
+FROM (SELECT class, score, CASE WHEN class = (SELECT class FROM top) THEN 2 * n / (n + t) ELSE 0 END AS simple FROM m)""")
+def simple_model_comparison(spark, d):
+    return evaluation.simple_model_comparison(_judged(spark, d), "l_returnflag", "pred")
+
+
+@query(f"""WITH g AS (SELECT l_returnflag AS p, l_linestatus AS c, avg((l_returnflag = pred)::INT) AS s, count(*) AS n FROM {JUDGED} GROUP BY 1, 2)
+SELECT p AS protected, c AS control, CASE WHEN n >= 5 THEN s END AS score, b AS baseline, n, CASE WHEN n >= 5 THEN s END - b AS diff FROM (SELECT *, sum(s * n) OVER (PARTITION BY c) / sum(n) OVER (PARTITION BY c) AS b FROM g)""")
+def performance_bias(spark, d):
+    return evaluation.performance_bias(_judged(spark, d), "l_returnflag", "pred", "l_returnflag", "l_linestatus")
+
+
+@query()
+def segment_performance(spark, d):
+    return evaluation.segment_performance(_judged(spark, d), "l_quantity", "l_extendedprice", "l_returnflag", "pred", 5)
+
+
+@query(f"""SELECT model, sum(tp) / sum(support) AS accuracy, avg(r) AS balanced_accuracy, sum(support)::BIGINT AS n, avg(p) AS precision_macro, sum(p * support) / sum(support) AS precision_weighted,
+avg(r) AS recall_macro, sum(r * support) / sum(support) AS recall_weighted, avg(f) AS f1_macro, sum(f * support) / sum(support) AS f1_weighted, avg(j) AS jaccard_macro, sum(j * support) / sum(support) AS jaccard_weighted,
+sum(tp) / sum(tp + fp) AS precision_micro, sum(tp) / sum(tp + fn) AS recall_micro
+FROM (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, tp / (tp + fn) AS r, 2 * tp / (2 * tp + fp + fn) AS f, tp / (tp + fp + fn) AS j FROM (
+SELECT model, c AS class, sum((y = c AND said = c)::INT) AS tp, sum((y <> c AND said = c)::INT) AS fp, sum((y = c AND said <> c)::INT) AS fn, sum((y = c)::INT) AS support FROM (
+SELECT 'rule' AS model, l_returnflag AS y, pred AS said FROM {JUDGED} UNION ALL SELECT 'constant', l_returnflag, 'N' FROM {JUDGED}), (SELECT unnest(['A', 'N', 'R']) AS c) GROUP BY 1, 2)) GROUP BY model""")
+def models_performance(spark, d):
+    return evaluation.models_performance(_judged(spark, d).withColumn("n", F.lit("N")), "l_returnflag", {"rule": "pred", "constant": "n"})
+
+
+# --- models ------------------------------------------------------------------
+
+
+@query()
+def multivariate_drift(spark, d):
+    return models.domain_classifier(*_drifted(spark, d), NUMERIC, ["l_returnflag"])
+
+
+@query()
+def embeddings_drift(spark, d):
+    e = read(spark, d, "embeddings", "vec_id", "embedding")
+    return models.embeddings_drift(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"), "embedding")
+
+
+@query()
+def feature_label_correlation(spark, d):
+    return models.predictive_power(_judged(spark, d).select("l_discount", "l_quantity", "pred"), ["l_discount", "l_quantity"], "pred")
+
+
+@query()
+def identifier_label_correlation(spark, d):
+    o = read(spark, d, "orders", "o_orderkey", "o_orderdate", "o_orderstatus").withColumn("o_orderdate", F.unix_timestamp(F.col("o_orderdate").cast("timestamp")))
+    return models.predictive_power(o, ["o_orderkey", "o_orderdate"], "o_orderstatus")
+
+
+@query()
+def feature_label_correlation_change(spark, d):
+    train, test = _split(_judged(spark, d), "l_shipdate")
+    return models.predictive_power_change(train, test, ["l_discount", "l_quantity"], "pred")
+
+
+@query()
+def weak_segments(spark, d):
+    rows = _judged(spark, d).withColumn("hit", (F.col("l_returnflag") == F.col("pred")).cast("double"))
+    return models.weak_segments(rows, ["l_quantity", "l_extendedprice", "l_tax"], "hit")
+
+
+@query()
+def unused_features(spark, d):
+    return models.unused_features(read(spark, d, "lineitem", *NUMERIC), NUMERIC, {"l_quantity": 0.7, "l_discount": 0.3})
+
+
+@query()
+def boosting_overfit(spark, d):
+    train, test = (x.withColumn("y", (F.col("l_quantity") > 25).cast("double")) for x in _split(_judged(spark, d), "l_shipdate"))
+    return models.boosting_overfit(train, test, ["l_extendedprice", "l_discount"], "y", 5)
+
+
+# --- texts -------------------------------------------------------------------
+
+PUNCT = PUNCTUATION.replace("'", "''")
+NORMAL = f"array_to_string(list_filter(string_split(translate(lower(text), '{PUNCT}', ''), ' '), lambda w: lower(w) NOT IN ({', '.join(repr(w) for w in STOPWORDS)})), ' ')"
+
+
+@query(f"SELECT 1 - count(*) / sum(n) AS percent, sum(n)::BIGINT AS n_rows, count(*) AS n_unique FROM (SELECT {NORMAL} AS t, count(*) AS n FROM documents GROUP BY 1)")
+def text_duplicates(spark, d):
+    return text.text_duplicates(read(spark, d, "documents", "text"), "text")
+
+
+@query(f"""SELECT sum(CASE WHEN k > 1 THEN n ELSE 0 END) / sum(n) AS percent, sum(CASE WHEN k > 1 THEN n ELSE 0 END)::BIGINT AS n_conflicting FROM (
+SELECT {NORMAL} AS t, count(*) AS n, count(DISTINCT quality) AS k FROM documents JOIN labels USING (doc_id) GROUP BY 1)""")
+def text_conflicting_labels(spark, d):
+    rows = read(spark, d, "documents", "doc_id", "text").join(read(spark, d, "labels", "doc_id", "quality"), "doc_id")
+    return text.text_conflicting_labels(rows, "text", "quality")
+
+
+@query(f"""SELECT avg(m) AS ratio, sum(m)::BIGINT AS n_common FROM (SELECT ({NORMAL} IN (SELECT {NORMAL} FROM documents WHERE doc_id % 2 = 0))::INT AS m FROM documents WHERE doc_id % 2 = 1)""")
+def text_samples_mix(spark, d):
+    docs = read(spark, d, "documents", "doc_id", "text")
+    return text.text_samples_mix(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"), "text")
+
+
+@query(r"""SELECT c AS char, count(*) AS n_texts, count(*) / (SELECT count(*) FROM documents) AS ratio FROM (
+SELECT unnest(list_distinct(string_split(regexp_replace(text, '[\p{L}\p{N}\s.,;:!?''"()-]', '', 'g'), ''))) AS c FROM documents) WHERE c <> '' GROUP BY c""")
+def text_special_characters(spark, d):
+    return text.text_special_characters(read(spark, d, "documents", "text"), "text")
+
+
+WORDS = r"list_filter(regexp_split_to_array({}, '[^\p{{L}}\p{{N}}_]+'), lambda w: w <> '')"
+
+
+@query(rf"""SELECT doc_id, length(text)::INT AS text_length, coalesce(list_max(list_transform(w, lambda x: length(x))), 0)::INT AS max_word_length,
+CASE WHEN len(w) > 0 THEN list_sum(list_transform(w, lambda x: length(x))) / len(w) ELSE 0 END AS average_word_length,
+(length(text) - length(translate(text, '{PUNCT}', ''))) / length(text) AS percentage_punctuation,
+(length(text) - length(regexp_replace(text, '[^\p{{L}}\p{{N}}\s.,;:!?''"()-]', '', 'g'))) / length(text) AS percentage_special_characters,
+len(regexp_extract_all(text, 'https?://(?:[-\w.]|(?:%[\da-fA-F]{{2}}))+'))::INT AS urls_count,
+len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}'))::INT AS email_addresses_count
+FROM (SELECT *, {WORDS.format('text')} AS w FROM documents)""")
+def text_properties(spark, d):
+    names = ["text_length", "max_word_length", "average_word_length", "percentage_punctuation", "percentage_special_characters", "urls_count", "email_addresses_count"]
+    return text.text_properties(read(spark, d, "documents", "doc_id", "text"), "text", names).drop("text")
+
+
+@query(FENCES.format(s=2, rows="SELECT 'text_length' AS f, length(text) AS v FROM documents"))
+def text_property_outliers(spark, d):
+    return text.property_outliers(read(spark, d, "documents", "text"), "text", ["text_length"])
+
+
+@query("SELECT feature, 'KS' AS method, score FROM (" + KS.format(rows="SELECT 'text_length' AS f, (doc_id % 2)::INT AS side, length(text)::DOUBLE AS v FROM documents") + ")")
+def text_property_drift(spark, d):
+    docs = read(spark, d, "documents", "doc_id", "text")
+    return text.property_drift(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"), "text", ["text_length"])
+
+
+@query(r"""SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS w FROM conversations)
+WHERE w <> '' AND w NOT IN (SELECT unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) FROM benchmark) GROUP BY w""")
+def unknown_tokens(spark, d):
+    known = read(spark, d, "benchmark", "text").select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("word"))
+    return text.unknown_tokens(read(spark, d, "conversations", "text"), "text", known)
+
+
+@query()
+def frequent_substrings(spark, d):
+    return text.frequent_substrings(read(spark, d, "documents", "text"), "text", min_ratio=0.01)
+
+
+@query("""WITH c AS (SELECT lang AS value, count(*) / (SELECT count(*) FROM documents) AS share FROM documents GROUP BY 1),
+r AS (SELECT *, sum(share) OVER o AS upto, lag(share) OVER o AS before FROM c WINDOW o AS (ORDER BY share DESC, value)),
+x AS (SELECT *, lag(upto) OVER (ORDER BY share DESC, value) AS had FROM r)
+SELECT value, share FROM (SELECT value, share, max((had >= 0.95 AND share <= 0.1 * before)::INT) OVER (ORDER BY share DESC, value) AS out FROM x) WHERE out = 1""")
+def category_outliers(spark, d):
+    return text.category_outliers(read(spark, d, "documents", "lang"), "lang")
+
+
+# --- images and streams ------------------------------------------------------
+
+
+@query("""SELECT vec_id, 1.0::DOUBLE AS aspect_ratio, 64::BIGINT AS area, list_avg(p) AS brightness, list_stddev_pop(p) AS rms_contrast FROM (SELECT vec_id, list_transform(embedding, lambda x: abs(x)::DOUBLE) AS p FROM embeddings)""")
+def image_properties(spark, d):
+    """Embeddings as gray images of 8 by 8 pixels."""
+    e = read(spark, d, "embeddings", "vec_id", "embedding").select("vec_id", F.transform("embedding", lambda x: F.abs(x).cast("double")).alias("pixels"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"))
+    return vision.image_properties(e).select("vec_id", "aspect_ratio", "area", "brightness", "rms_contrast")
+
+
+@query()
+def mean_average_precision(spark, d):
+    """Boxes made of line items: labels as they are, predictions moved by their discount."""
+    li = read(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
+    box = lambda dx: [(F.col("l_linenumber") * 10.0 + dx).alias("x"), F.lit(0.0).alias("y"), (F.col("l_quantity") * 1.0 + 1).alias("w"), F.lit(10.0).alias("h")]
+    cls = (F.col("l_linenumber") % 3).cast("long").alias("cls")
+    images = li.groupBy("l_orderkey").agg(F.collect_list(F.struct(cls, *box(F.lit(0.0)))).alias("real"), F.collect_list(F.struct(cls, *box(F.col("l_discount") * 20), (1 - F.col("l_tax")).alias("conf"))).alias("said"))
+    return vision.mean_average_precision(images, "l_orderkey", "real", "said", (0.5, 0.75))
+
+
+@query("""SELECT date_trunc('day', ts) AS window_start, count(*) AS n, sum((value IS NULL)::INT)::BIGINT AS n_null, avg(value) AS mean, count(DISTINCT event_type) AS n_categories FROM events GROUP BY 1""")
+def stream_windowed_values(spark, d):
+    """The batch form of the streaming check."""
+    return streams.windowed_values(read(spark, d, "events"), "ts", "value", "event_type")
+
+
+@query("""SELECT user_id AS "user", min(ts) AS session_start, count(*) AS n FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (
+SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events)) GROUP BY user_id, s""")
+def stream_session_values(spark, d):
+    return streams.session_values(read(spark, d, "events", "ts", "user_id"), "ts", "user_id")
