@@ -1,7 +1,76 @@
-"""Corpus pipeline."""
+"""The corpus pipeline: documents through five training-data operators, each stage's result written and read again.
 
+Every stage but the last returns the columns of ``documents``; a text that a
+stage changes has its new length in n_chars.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.llm._shared import keep, table
+from plumbline.llm.decontamination import decontaminate
+from plumbline.llm.jaccard_join import near_duplicates_removed
+from plumbline.llm.quality_rules import quality_rules
+from plumbline.llm.sentencepiece_codec import encode_pieces
+from plumbline.llm.substring_dedup import dedup_substrings
+
+#: A document of which benchmark windows cover more than this share is a copy of the benchmark, and goes.
+MAX_HIT = 0.0
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the quality rules reject."""
+    return quality_rules(docs.select(COLUMNS)).where("kept").select(COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates: that with the smallest id."""
+    return near_duplicates_removed(docs.select(COLUMNS)).select(COLUMNS)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the words of windows that a document with a smaller id has; documents that keep no word go."""
+    found = dedup_substrings(docs.select(COLUMNS))
+    kept = found.where((F.col("n_removed") < F.col("n_words")) | (F.col("n_words") == 0))
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold a window of a benchmark item."""
+    found = decontaminate(docs.select(COLUMNS), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return found.where(F.col("n_hit") <= MAX_HIT * F.col("n_words")).select(COLUMNS)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of the ids and of the decoded text."""
+    encoded = encode_pieces(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), ids=False, digests=True)
+    return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", substrings),
+    ("benchmark decontamination", decontamination),
+    ("SentencePiece encoding and decoding", encoding),
+]
+
+#: SQL cannot express the last stage's ids; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = keep(docs)
+    return docs

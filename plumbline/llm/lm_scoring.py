@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ._shared import keep, prepare
 from .substring_dedup import release
@@ -283,10 +284,7 @@ def score_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: st
 
     others = [c for c in docs.columns if c != text]
     extra = "__row string, n_tokens long, __known long, __base double, score double, __rare array<struct<word:binary,n:long>>"
-    schema = docs.select(*(F.col(f"`{c}`") for c in others)).schema
-    for field in extra.split(", "):
-        name, _, kind = field.partition(" ")
-        schema = schema.add(name, kind)
+    schema = StructType([*docs.select(*(F.col(f"`{c}`") for c in others)).schema.fields, *StructType.fromDDL(extra).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

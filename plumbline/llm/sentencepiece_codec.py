@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ._shared import prepare
 
@@ -177,9 +178,7 @@ def encode_pieces(docs: DataFrame, path: str, text: str = "text", ids: bool = Tr
     added += [("ids_sha256", "string"), ("decoded_sha256", "string")] * digests
     names = [n for n, _ in added]
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
-    schema = docs.select(*kept).schema
-    for n, t in added:
-        schema = schema.add(n, t)
+    schema = StructType([*docs.select(*kept).schema.fields, *StructType.fromDDL(", ".join(map(" ".join, added))).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
