@@ -65,6 +65,11 @@ def _windows(d: Column, i: Column, at: Column) -> Column:
     return F.transform(F.filter(F.sequence(F.lit(0), F.lit(GRAMS - 1)), lambda o: F.coalesce(equal(o), F.lit(False))), lambda o: at - o)
 
 
+def _runs(words: Column, n: int) -> Column:
+    """All runs of ``n`` words, joined."""
+    return F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.concat_ws(" ", *(F.get(words, i + k) for k in range(n))))
+
+
 def window_hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", item_text: str = "text") -> DataFrame:
     """(d, key, item, starts, len): the windows of items that documents have; len is a window's words.
 
@@ -85,8 +90,7 @@ def window_hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_
     short = short.select("item", F.size("w").alias("sn"), F.array_join("w", " ").alias("s"))
     for n in lengths:
         rows = once(docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("key"), F.col(text).alias("t")), "w", words_of(F.col("t"))).where(F.size("w") >= n)
-        grams = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i, n=n: F.concat_ws(" ", *(F.get(F.col("w"), i + k) for k in range(n))))
-        rows = rows.select("d", "key", F.posexplode_outer(grams).alias("at", "g"))
+        rows = rows.select("d", "key", F.posexplode_outer(_runs(F.col("w"), n)).alias("at", "g"))
         own = short.where(F.col("sn") == n).select("item", "s")
         if own.count() <= BROADCAST_ROWS:
             own = F.broadcast(own)

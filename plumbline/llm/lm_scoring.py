@@ -31,7 +31,7 @@ from .substring_dedup import release
 
 MARK = "▁"
 #: Words whose counts are broadcast; rounds of expectation maximisation; what each piece counts beforehand.
-FREQUENT, ROUNDS, PRIOR = 100_000, 3, 0.1
+FREQUENT, ROUNDS, PRIOR = 100_000, 2, 0.1
 #: Words longer than this (with the mark) are scored one at a time.
 LONG = 48
 CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
@@ -124,8 +124,8 @@ class Lattice:
         for i, w in enumerate(words):
             by.setdefault(len(w), []).append(i)
         for n, where in by.items():
-            for k in range(0, len(where), max(1, 200_000 // (n * self.longest))):
-                part = where[k : k + max(1, 200_000 // (n * self.longest))]
+            for k in range(0, len(where), max(1, 1_000_000 // (n * self.longest))):
+                part = where[k : k + max(1, 1_000_000 // (n * self.longest))]
                 chars = np.frombuffer("".join(words[i] for i in part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), n)
                 if n > LONG:
                     for row, i in zip(chars, part):
