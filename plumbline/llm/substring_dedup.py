@@ -8,9 +8,9 @@ document is factored against every block through one join.
 * Texts that are whole copies need no phrases: the copies of one text share a
   hash, and all but the earliest are one factor.
 * Of the others, only regions that some other text may share enter the index.
-  Each text reports its content-defined anchors (10-word runs whose hash is
-  the smallest of some 41 in a row: every phrase holds one, and equal phrases
-  hold the same). An anchor that occurs in one text only rules its phrases out.
+  Each text reports its content-defined anchors (25-word runs whose hash is
+  the smallest of some 26 in a row: every phrase holds one, and equal phrases
+  hold equal ones). An anchor that occurs in one text only rules its phrases out.
 * The parse is greedy: a factor starts at the first phrase that the index has
   and grows while the next phrase is of the same earlier document. Where it
   ends, the phrases across its boundary are looked up as well, so a duplicate
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from ._shared import keep, prepare
 from .wordhash import BASES, minima, run_hashes, word_hashes
 
-WINDOW, GRAM = 50, 10
+WINDOW, GRAM = 50, 25
 
 
 def release(spark: SparkSession) -> None:
@@ -54,6 +54,22 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
+def _thinned(grams: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Anchors less those that an equal one before and an equal one after make needless.
+
+    Text that repeats a few words has equal minima everywhere; each ``width``
+    grams in a row still hold one of those that stay.
+    """
+    same = grams[at[1:]] == grams[at[:-1]]
+    if not same.any():
+        return at
+    keep_it, last = np.ones(len(at), bool), 0
+    for k in np.flatnonzero(same[:-1] & same[1:]) + 1:
+        last = k - 1 if keep_it[k - 1] else last
+        keep_it[k] = at[k + 1] - at[last] > width
+    return at[keep_it]
+
+
 def text_anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, text_hash, n_words, anchors, places) per document with an id and ``window`` words or more."""
     gram = min(GRAM, window)
@@ -66,7 +82,7 @@ def text_anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 if d is None or len(words) < window:
                     continue
                 grams = run_hashes(word_hashes(words), gram)
-                at = minima(grams, window - gram + 1)
+                at = _thinned(grams, minima(grams, window - gram + 1), window - gram + 1)
                 ids.append(d)
                 hashes.append(_text_hash(words))
                 sizes.append(len(words))
@@ -138,6 +154,7 @@ def lz_factors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # An anchor of two different texts: the smallest and the largest hash of its texts differ.
     pairs = texts.select("text_hash", F.explode(F.array_distinct("anchors")).alias("anchor"))
     shared = pairs.groupBy("anchor").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("a != b").select("anchor")
+    shared = keep(shared)  # a table of its own, so that Spark can split an anchor that many texts have
     places = texts_own.select("doc_id", "text_hash", F.explode(F.arrays_zip("anchors", "places")).alias("x")).select("doc_id", "text_hash", F.col("x.anchors").alias("anchor"), F.col("x.places").alias("place"))
     places = keep(places.join(shared, "anchor").groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("places")))
     release(spark)
@@ -146,6 +163,7 @@ def lz_factors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     phrases = keep(_phrases(own, window))
     release(spark)
     index = phrases.groupBy("p1", "p2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").select("p1", "p2", "source")
+    index = keep(index)
     found = phrases.join(index, ["p1", "p2"]).where("source < doc_id").select("doc_id", "text_hash", F.struct("at", "source").alias("x"))
     found = found.groupBy("doc_id", "text_hash").agg(F.collect_set("x").alias("found"))
     out = keep(copies.unionByName(_greedy(found, window)))
