@@ -212,11 +212,12 @@ def outlier_samples(df: DataFrame, queries: DataFrame, id_column: str, numeric:
     near = nearest_neighbours(queries, queries, id_column, numeric, categorical, k)
     spread = near.groupBy("id").agg((extent * F.sqrt(F.avg(F.col("distance") * F.col("distance")))).alias("pd"), F.avg("distance").alias("mean_distance"))
     around = near.join(spread.select(F.col("id").alias("neighbour"), F.col("pd").alias("npd")), "neighbour").groupBy("id").agg(F.avg("npd").alias("epd"))
-    plof = spread.join(around, "id").withColumn("plof", F.when(F.col("epd") > 0, F.col("pd") / F.col("epd") - 1).otherwise(F.lit(0.0)))
+    plof = spread.join(around, "id").withColumn("plof", F.when(F.col("epd") > 0, F.col("pd") / F.col("epd") - 1).when(F.col("pd") == 0, F.lit(0.0)))
     scale = plof.agg((extent * F.sqrt(F.avg(F.col("plof") * F.col("plof")))).alias("nplof"))
     x = F.col("plof") / (F.col("nplof") * F.sqrt(F.lit(2.0)))
     # Abramowitz and Stegun's approximation 7.1.26 of the error function, good to 1.5e-7.
     t = 1 / (1 + 0.3275911 * F.abs(x))
     erf = 1 - ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * F.exp(-x * x)
-    score = F.when((F.col("nplof") > 0) & (x > 0), erf).otherwise(F.lit(0.0))
+    # Among neighbours that are all copies, a row that is none has no finite factor: it is an outlier.
+    score = F.when(F.col("plof").isNull(), F.lit(1.0)).when((F.col("nplof") > 0) & (x > 0), erf).otherwise(F.lit(0.0))
     return plof.crossJoin(F.broadcast(scale)).select("id", "mean_distance", score.alias("score"))

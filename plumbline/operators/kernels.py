@@ -86,20 +86,27 @@ def psi(counts: DataFrame) -> DataFrame:
     return sized.groupBy("feature").agg(F.sum((p - q) * F.log(p / q)).alias("score"))
 
 
+def _balanced(scaled: DataFrame) -> DataFrame:
+    """Train with equal counts, and test with the change that each category had (one added to both), at the same total."""
+    per = scaled.groupBy("feature").agg(F.count("*").alias("k"), F.floor(F.sum(F.col("b") + 1) / F.count("*")).cast("double").alias("even"))
+    moved = scaled.join(F.broadcast(per), "feature").select("feature", "k", "even", F.bround(F.col("even") * (F.col("b") + 1) / (F.col("a") + 1)).alias("b"))
+    total = moved.groupBy("feature").agg(F.sum("b").alias("t"))
+    return moved.join(F.broadcast(total), "feature").select("feature", F.col("even").alias("a"), F.bround(F.col("b") * F.col("k") * F.col("even") / F.col("t")).alias("b"))
+
+
 def cramers_v(counts: DataFrame, balance: bool = False) -> DataFrame:
     """(feature, score): bias-corrected Cramér's V of side against category.
 
     The larger side is scaled down to the smaller one and rounded (half to
     even); two categories get the correction for continuity. With
-    ``balance``, train's categories count alike and test's in proportion.
+    ``balance``, all categories weigh alike whatever their size in train.
     """
-    if balance:
-        weight = F.when(F.col("a") > 0, F.col("b") / F.col("a")).otherwise(F.col("b"))
-        counts = counts.withColumn("b", weight).withColumn("a", F.lit(1.0))
     sized = counts.join(F.broadcast(sizes(counts)), "feature")
     least = F.least("na", "nb")
-    fit = lambda c, n: F.bround(F.col(c) * least / F.col(n)) if not balance else F.col(c) * least / F.col(n)
-    scaled = sized.select("feature", fit("a", "na").alias("a"), fit("b", "nb").alias("b")).where("a + b > 0")
+    fit = lambda c, n: F.col(c) * least / F.col(n)
+    scaled = sized.select("feature", fit("a", "na").alias("a"), fit("b", "nb").alias("b"))
+    scaled = _balanced(scaled) if balance else scaled.select("feature", F.bround("a").alias("a"), F.bround("b").alias("b"))
+    scaled = scaled.where("a + b > 0")
     totals = scaled.groupBy("feature").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"), F.count("*").alias("k"))
     cells = scaled.join(F.broadcast(totals), "feature").withColumn("n", F.col("ta") + F.col("tb"))
 
