@@ -22,7 +22,9 @@ the nodes outside the pivot's class meet the region's nodes of other classes,
 within the triangle window: their distances to the inner pivot differ by 0.2
 at most, and their sizes by a factor of 5/4. New links join classes again.
 
-Only pairs of these two steps are compared in full, over whole sets.
+Before a pair of these two steps is compared in full, the signatures of its sets
+(how many shingles fall into each of 128 bins) bound what they can have in
+common; a pair whose bound is below the threshold is no link, for certain.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ from .substring_dedup import release
 from .wordhash import run_hashes, word_hashes
 
 SHINGLE = 5
+#: Stands for a null id where the smallest is looked for.
+LAST = (1 << 63) - 1
 #: Counters of the sketch, four bytes each, whatever the corpus.
 COUNTERS = 1 << 20
 #: A region whose shingle counts above this share of the mean count per counter (and this number) is dealt over SALTS tasks.
@@ -55,28 +59,40 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(run_hashes(word_hashes(words), min(shingle, len(words))))
 
 
+#: Bins of a signature, of a byte each.
+BINS = 128
+
+
+def _signature(shingles: np.ndarray) -> bytes | None:
+    """How many shingles fall into each bin; None if a count does not fit."""
+    counts = np.bincount((shingles >> np.uint64(57)).astype(np.int64), minlength=BINS)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
 def _node(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
 def _scan(docs: DataFrame, shingle: int) -> DataFrame:
-    """Per document (doc_id, n, node); per task one row with its packed sketch."""
+    """Per document (doc_id, n, node, sig); per task one row with its packed sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            sizes, nodes, pending = [], [], []
+            sizes, nodes, signatures, pending = [], [], [], []
             for t in batch.column(1):
                 s = shingle_set(t.as_py(), shingle)
                 sizes.append(len(s))
                 nodes.append(_node(s))
+                signatures.append(_signature(s))
                 pending.append(s)
             if pending:
                 counts += np.bincount((np.concatenate(pending) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(len(nodes), pa.binary())], names=["doc_id", "n", "node", "sketch"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([_pack(counts)], pa.binary())], names=["doc_id", "n", "node", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(signatures, pa.binary()), pa.nulls(len(nodes), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([_pack(counts)], pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, sketch binary")
+    names = ["doc_id", "n", "node", "sig", "sketch"]
+    return docs.mapInArrow(run, "doc_id long, n long, node long, sig binary, sketch binary")
 
 
 def _pack(counts: np.ndarray) -> bytes:
@@ -194,6 +210,14 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, set array<long>")
 
 
+def _sets_of(pairs: DataFrame, first: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """The sets of the nodes of ``pairs``, each from its first document's text."""
+    wanted = pairs.select("a").union(pairs.select("b")).toDF("want").distinct()
+    wanted = wanted.join(first.select("node", "doc_id"), F.col("want") == F.col("node")).select("doc_id", "want")
+    texts = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST))).join(wanted.select("doc_id").distinct(), "doc_id")
+    return keep(_sets(texts, shingle).dropDuplicates(["node"]))
+
+
 def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, common, union) of each pair, over whole sets."""
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
@@ -203,6 +227,25 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", common.alias("common"), (F.size("x") + F.size("y")).cast("long").alias("total")).select("a", "b", "common", (F.col("total") - F.col("common")).alias("union"))
 
 
+def _possible(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures allow a similarity of 0.8: common shingles of 4/9 of both sizes together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sized = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            x, y = batch.column(4), batch.column(5)
+            known = np.array([u.is_valid and v.is_valid for u, v in zip(x, y)], bool)
+            table = [np.frombuffer(b"".join(v.as_py() if k else bytes(BINS) for v, k in zip(c, known)), np.uint8).reshape(-1, BINS) for c in (x, y)]
+            bound = np.minimum(*table).sum(1, dtype=np.int64)
+            keeps = pa.array(~known | (9 * bound >= 4 * sized))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keeps) for k in (0, 1)], names=["a", "b"])
+
+    left = signatures.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("x"))
+    right = signatures.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("y"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "x", "y")
+    return both.mapInArrow(run, "a long, b long")
+
+
 def _close(n, m):
     """Whether sizes allow a similarity of 0.8."""
     return (5 * n >= 4 * m) & (5 * m >= 4 * n)
@@ -241,7 +284,7 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     prepare(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     scanned = keep(_scan(docs, shingle))
-    of_docs = scanned.where(F.col("node").isNotNull()).select("doc_id", "n", "node")
+    of_docs = scanned.where(F.col("node").isNotNull()).select("doc_id", "n", "node", "sig")
     rows = _regions(docs, _add_sketches(scanned), shingle)
     dealt = rows.repartition("cell", "salt").sortWithinPartitions("cell", "salt", "node")
     met = keep(_met(dealt))
@@ -254,13 +297,12 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     star = met.select("pivot", "pn", "node", "n").unionByName(to_heads.select("pivot", "pn", "node", "n"))
     star = star.where((F.col("pivot") != F.col("node")) & _close(F.col("n"), F.col("pn"))).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
 
-    first = of_docs.where("n > 0").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("doc_id"))
-    wanted = met.select("node").distinct().join(first, "node").select("doc_id", F.col("node").alias("want"))
-    sets = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1))).join(wanted, "doc_id")
-    sets = keep(_sets(sets, shingle).dropDuplicates(["node"]))
+    first = of_docs.where("n > 0").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("doc_id"), F.max("n").alias("n"), F.max("sig").alias("sig"))
+    first = keep(first)
+    star = keep(_possible(star, first))
+    release(spark)
+    compared = keep(_compare(star, _sets_of(star, first, docs, shingle)))
     release(spark)
-
-    compared = keep(_compare(star, sets))
     linked = lambda c: c.where("100 * common >= 80 * union").select("a", "b")
     labels = classes(linked(compared))
     release(spark)
@@ -279,7 +321,8 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     pairs = x.join(y, (F.col("x_cell") == F.col("y_cell")) & apart & _close(F.col("x_n"), F.col("y_n")) & window)
     pairs = pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
     done = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = keep(linked(_compare(pairs.join(done, ["a", "b"], "left_anti"), sets)))
+    pairs = keep(_possible(pairs.join(done, ["a", "b"], "left_anti"), first))
+    more = keep(linked(_compare(pairs, _sets_of(pairs, first, docs, shingle))))
     release(spark)
 
     labels = classes(linked(compared).unionByName(more))
