@@ -123,3 +123,66 @@ def performance_bias(df: DataFrame, label: str, prediction: str, protected: str,
     base = groups.groupBy("control").agg((F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("baseline"))
     joined = groups.join(F.broadcast(base), "control").withColumn("score", F.when(F.col("n") >= min_size, F.col("score")))
     return joined.select("protected", "control", "score", "baseline", "n", (F.col("score") - F.col("baseline")).alias("diff"))
+
+
+def neg_squared_error(label: str, prediction: str) -> Column:
+    """A sample's score of a regression: higher is better."""
+    return -F.pow(F.col(label).cast("double") - F.col(prediction).cast("double"), 2)
+
+
+def log_probability(label: str, probabilities: str, classes: list) -> Column:
+    """A sample's score of a classification: the log of the probability (array in the order of ``classes``) of its label."""
+    at = F.array_position(F.array(*(F.lit(str(c)) for c in classes)), F.col(label).cast("string"))
+    return F.when(at > 0, F.log(F.get(F.col(probabilities), (at - 1).cast("int")) + 1e-15))
+
+
+def log_loss(df: DataFrame, label: str, probabilities: str, classes: list) -> DataFrame:
+    """(log_loss) over all classes."""
+    return df.agg(F.avg(-log_probability(label, probabilities, classes)).alias("log_loss"))
+
+
+def multilabel_rows(df: DataFrame, label: str, prediction: str, classes: list[str]) -> DataFrame:
+    """(class, y, p): a row per sample and class of 0/1 arrays, for the class metrics of multilabel tasks."""
+    names = F.array(*(F.lit(c) for c in classes))
+    return df.select(F.inline(F.arrays_zip(names.alias("class"), F.col(label).alias("y"), F.col(prediction).alias("p")))).toDF("class", "y", "p")
+
+
+#: Metrics by name: where they are found, and whether more is better.
+METRICS = {
+    **{m: (averaged_metrics, True) for m in ("accuracy", "balanced_accuracy", "precision_macro", "precision_micro", "precision_weighted", "recall_macro", "recall_micro", "recall_weighted", "f1_macro", "f1_weighted", "jaccard_macro", "jaccard_weighted")},
+    **{m: (class_metrics, True) for m in ("precision", "recall", "f1", "jaccard", "tnr")},
+    **{m: (class_metrics, False) for m in ("fpr", "fnr")},
+    **{m: (regression_metrics, False) for m in ("mse", "rmse", "mae", "max_error", "median_absolute_error")},
+    **{m: (regression_metrics, True) for m in ("r2", "explained_variance")},
+}
+
+
+def score(df: DataFrame, label: str, prediction: str, metrics: list[str]) -> DataFrame:
+    """(metric, class, value): named metrics, each family computed once."""
+    out = None
+    for family in dict.fromkeys(METRICS[m][0] for m in metrics):
+        names = [m for m in metrics if METRICS[m][0] is family]
+        found = family(df, label, prediction)
+        owner = F.col("class") if family is class_metrics else F.lit(None).cast("string")
+        rows = found.select(owner.alias("class"), F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in names)))).select("metric", "class", "value")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def inference_time(model, df: DataFrame, n: int = 1000) -> float:
+    """Seconds per row that ``model.transform`` takes on at most ``n`` rows (a sampling operator)."""
+    import time
+
+    rows = df.limit(n).cache()
+    count = rows.count()
+    began = time.perf_counter()
+    model.transform(rows).write.format("noop").mode("overwrite").save()
+    seconds = time.perf_counter() - began
+    rows.unpersist()
+    return seconds / max(count, 1)
+
+
+def model_info(model) -> dict:
+    """The type of a model (the last stage of a pipeline) and its parameters."""
+    last = model.stages[-1] if getattr(model, "stages", None) else model
+    return {"type": type(last).__name__, "parameters": {p.name: v for p, v in last.extractParamMap().items()}}

@@ -119,3 +119,76 @@ def segmentation_metrics(df: DataFrame, label: str, prediction: str, smooth: flo
     per = sides.groupBy("i", "cls").agg(F.sum("real").alias("g"), F.sum("said").alias("p"), F.sum("both").alias("b"))
     dice, iou = (2 * F.col("b") + smooth) / (F.col("g") + F.col("p") + smooth), (F.col("b") + smooth) / (F.col("g") + F.col("p") - F.col("b") + smooth)
     return per.groupBy("cls").agg(F.avg(dice).alias("dice"), F.avg(iou).alias("iou"))
+
+
+def image_property_outliers(df: DataFrame, properties: list[str], scale: float = 1.5) -> DataFrame:
+    """(feature, low, high, n_outliers, ratio) of columns that :func:`image_properties` made."""
+    from .integrity import iqr_outliers
+
+    return iqr_outliers(df, properties, (25, 75), scale)
+
+
+def image_property_drift(train: DataFrame, test: DataFrame, properties: list[str]) -> DataFrame:
+    from .train_test import feature_drift
+
+    return feature_drift(train, test, properties, [])
+
+
+def box_classes(df: DataFrame, boxes: str) -> DataFrame:
+    """(cls, n): how many boxes of each class."""
+    return df.select(F.explode(F.transform(boxes, lambda b: b["cls"])).alias("cls")).groupBy("cls").agg(F.count("*").alias("n"))
+
+
+def box_properties(df: DataFrame, boxes: str) -> DataFrame:
+    """``df`` with n_boxes and, per box, classes and areas."""
+    return df.withColumn("n_boxes", F.size(boxes)).withColumn("classes", F.transform(boxes, lambda b: b["cls"])).withColumn("areas", F.transform(boxes, lambda b: b["w"] * b["h"]))
+
+
+def new_box_labels(train: DataFrame, test: DataFrame, boxes: str) -> DataFrame:
+    """(cls, n, ratio): classes of test boxes that train has none of."""
+    new = box_classes(test, boxes).join(box_classes(train, boxes).select("cls"), "cls", "left_anti")
+    total = test.agg(F.sum(F.size(boxes)).alias("t"))
+    return new.crossJoin(F.broadcast(total)).select("cls", "n", (F.col("n") / F.col("t")).alias("ratio"))
+
+
+def heatmap(df: DataFrame, pixels: str) -> DataFrame:
+    """(at, mean): the mean image of images of one size; partial sums per task, a row per pixel."""
+    return df.select(F.posexplode(pixels).alias("at", "v")).groupBy("at").agg(F.avg("v").alias("mean"))
+
+
+def heatmap_comparison(train: DataFrame, test: DataFrame, pixels: str) -> DataFrame:
+    """(at, difference): how far the mean images differ at each pixel."""
+    a, b = heatmap(train, pixels).withColumnRenamed("mean", "a"), heatmap(test, pixels).withColumnRenamed("mean", "b")
+    return a.join(b, "at").select("at", F.abs(F.col("a") - F.col("b")).alias("difference"))
+
+
+def detection_confusion(df: DataFrame, image: str, labels: str, predictions: str, iou: float = 0.5, confidence: float = 0.3) -> DataFrame:
+    """(label, prediction, n): matched boxes whatever their class; -1 stands for no box. Filtered boxes take no part."""
+
+    def any_class(boxes: str, conf: bool):
+        names = ["x", "y", "w", "h"] + (["conf"] if conf else [])
+        return F.transform(boxes, lambda b: F.struct(F.lit(0).cast("long").alias("cls"), *(b[n].alias(n) for n in names), b["cls"].cast("long").alias("own")))
+
+    def overlap(p: dict, g: dict) -> float:
+        w = max(0.0, min(p["x"] + p["w"], g["x"] + g["w"]) - max(p["x"], g["x"]))
+        h = max(0.0, min(p["y"] + p["h"], g["y"] + g["h"]) - max(p["y"], g["y"]))
+        union = p["w"] * p["h"] + g["w"] * g["h"] - w * h
+        return w * h / union if union else 0.0
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for real, said in zip(part["real"], part["said"]):
+                real, said = ([dict(x) if isinstance(x, dict) else x.asDict() for x in y] if y is not None else [] for y in (real, said))
+                pairs = sorted(((overlap(p, g), i, j) for i, g in enumerate(real) for j, p in enumerate(said)), key=lambda t: -t[0])
+                left, right = set(range(len(real))), set(range(len(said)))
+                for v, i, j in pairs:
+                    if v > iou and i in left and j in right:
+                        left.discard(i)
+                        right.discard(j)
+                        rows.append((real[i]["own"], said[j]["own"]))
+                rows += [(real[i]["own"], -1) for i in left] + [(-1, said[j]["own"]) for j in right]
+            yield pd.DataFrame(rows, columns=["label", "prediction"])
+
+    kept = df.select(any_class(labels, False).alias("real"), any_class(F.filter(predictions, lambda p: p["conf"] > confidence), True).alias("said"))
+    return kept.mapInPandas(run, "label long, prediction long").groupBy("label", "prediction").agg(F.count("*").alias("n"))

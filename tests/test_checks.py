@@ -136,3 +136,34 @@ def test_streams_match_batches(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert seen == [2]
+
+
+def test_formatting():
+    from datetime import datetime
+
+    from plumbline.functions.formatting import format_datetime, format_list, format_number, format_percent, split_camel_case, to_snake_case
+
+    assert split_camel_case("TextLength") == "Text Length" and to_snake_case("TextLength") == "text_length"
+    assert format_percent(0.5) == "50%" and format_percent(0.999999) == "99.99%" and format_percent(0.1234, sign=True) == "+12.34%"
+    assert format_number(1234.5) == "1,234.5" and format_list(list(range(12)), 2) == "0, 1, and 10 more"
+    assert format_datetime(datetime(2020, 1, 2)) == "2020/01/02"
+
+
+def test_boxes_and_heatmaps(spark):
+    box, said = "array<struct<cls:long,x:double,y:double,w:double,h:double>>", "array<struct<cls:long,x:double,y:double,w:double,h:double,conf:double>>"
+    df = spark.createDataFrame([(1, [(0, 0.0, 0.0, 10.0, 10.0), (1, 30.0, 0.0, 5.0, 5.0)], [(1, 0.0, 0.0, 10.0, 10.0, 0.9), (1, 30.0, 0.0, 5.0, 5.0, 0.1)])], f"i long, g {box}, p {said}")
+    assert {tuple(r) for r in vision.detection_confusion(df, "i", "g", "p").collect()} == {(0, 1, 1), (1, -1, 1)}
+    other = spark.createDataFrame([(1, [(7, 0.0, 0.0, 1.0, 1.0)], [])], df.schema)
+    assert [tuple(r) for r in vision.new_box_labels(df, other, "g").collect()] == [(7, 1, 1.0)]
+    image = lambda v: spark.createDataFrame([([float(v)] * 4,)], "p array<double>")
+    assert {r.difference for r in vision.heatmap_comparison(image(1), image(3), "p").collect()} == {2.0}
+
+
+def test_named_metrics_and_simple_models(spark):
+    df = spark.createDataFrame([(i, "a" if i % 4 else "b", "a") for i in range(40)], "i long, y string, p string")
+    rows = {(r.metric, r["class"]): r.value for r in evaluation.score(df, "y", "p", ["accuracy", "recall"]).collect()}
+    assert rows[("accuracy", None)] == 0.75 and rows[("recall", "a")] == 1
+    assert {r.simple for r in models.simple_predictions(df, "y", ["i"]).collect()} == {"a"}
+    drawn = models.simple_predictions(df, "y", ["i"], "stratified").groupBy("simple").count().collect()
+    assert {r.simple for r in drawn} == {"a", "b"} and max(drawn, key=lambda r: r["count"]).simple == "a"
+    assert evaluation.log_loss(spark.createDataFrame([("a", [0.5, 0.5])], "y string, p array<double>"), "y", "p", ["a", "b"]).first().log_loss == pytest.approx(math.log(2))
