@@ -157,7 +157,8 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int, doc_
 def _text_bytes(rows: DataFrame) -> int:
     """Size of the table's files, read from the plan's own estimate."""
     try:
-        return int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) % (1 << 62)
+        size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return size if size < 1 << 55 else 0  # beyond that it is a default for unknown sizes
     except Exception:  # noqa: BLE001  an estimate only, other plans may have none
         return 0
 
