@@ -13,7 +13,7 @@ from a count sketch of fixed size over all documents. It makes regions small,
 as passages that many documents share come last; any order gives the same
 result.
 
-Inside a region. The smallest node of a region is its inner pivot, and every
+Inside a region. The node of its first document is its inner pivot, and every
 node of the region is compared with it, which is linear in the region however
 many near copies it holds. Nodes that this links are one class.
 
@@ -119,7 +119,7 @@ def _add_sketches(rows: DataFrame) -> bytes:
 
 
 def _regions(docs: DataFrame, sketch: bytes, shingle: int) -> DataFrame:
-    """(cell, salt, node, n): each set in the regions of its window."""
+    """(cell, salt, doc_id, node, n): each set in the regions of its window."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(sketch)
 
@@ -128,7 +128,7 @@ def _regions(docs: DataFrame, sketch: bytes, shingle: int) -> DataFrame:
         hot = max(HOT_LEAST, HOT_TIMES * int(counts.mean()))
         for batch in batches:
             parts: list[tuple] = []
-            for t in batch.column(0):
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = shingle_set(t.as_py(), shingle)
                 n = len(s)
                 if not n:
@@ -137,18 +137,20 @@ def _regions(docs: DataFrame, sketch: bytes, shingle: int) -> DataFrame:
                 often = counts[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
                 first = np.argsort(often, kind="stable")[: n - (4 * n + 4) // 5 + 1]
                 salt = np.where(often[first] > hot, 1 + node % SALTS, 0).astype(np.int32)
-                parts.append((s[first].view(np.int64), salt, np.full(len(first), node, np.int64), np.full(len(first), n, np.int64)))
+                parts.append((s[first].view(np.int64), salt, np.full(len(first), LAST if d is None else d, np.int64), np.full(len(first), node, np.int64), np.full(len(first), n, np.int64)))
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["cell", "salt", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["cell", "salt", "doc_id", "node", "n"])
 
-    return docs.select("text").mapInArrow(run, "cell long, salt int, node long, n long")
+    return docs.select("doc_id", "text").mapInArrow(run, "cell long, salt int, doc_id long, node long, n long")
 
 
 def _met(rows: DataFrame) -> DataFrame:
-    """(cell, salt, node, n, pivot, pn): rows of regions with two nodes or more, with the smallest node as pivot.
+    """(cell, salt, node, n, pivot, pn): rows of regions with two nodes or more, with the first document's node as pivot.
 
-    ``rows`` come sorted by cell, salt and node. Hot regions, which are dealt
-    over several keys, stay also where one key has a single node.
+    ``rows`` come sorted by cell, salt and document: what later documents were
+    made of is often the earliest. A node can come up again for copies. Hot
+    regions, which are dealt over several keys, stay also where one key has a
+    single node.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,6 +192,10 @@ def _met(rows: DataFrame) -> DataFrame:
             held = tuple(x[start[-1]] for x in (cell, salt, node, n)) if len(start) else lead
             alone = bool(ends and salt[-1] == 0)
             last = node[-1]
+            # Copies of a node in one region: the first of the batch will do.
+            order = np.lexsort((np.arange(len(node)), node, group))
+            again = (node[order][1:] == node[order][:-1]) & (group[order][1:] == group[order][:-1])
+            out[order[1:][again]] = False
             if out.any():
                 yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (cell, salt, node, n, pivot, pn)], names=names)
 
@@ -286,8 +292,8 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     scanned = keep(_scan(docs, shingle))
     of_docs = scanned.where(F.col("node").isNotNull()).select("doc_id", "n", "node", "sig")
     rows = _regions(docs, _add_sketches(scanned), shingle)
-    dealt = rows.repartition("cell", "salt").sortWithinPartitions("cell", "salt", "node")
-    met = keep(_met(dealt))
+    dealt = rows.repartition("cell", "salt").sortWithinPartitions("cell", "salt", "doc_id", "node")
+    met = keep(_met(dealt.select("cell", "salt", "node", "n")))
     release(spark)
 
     # Hot regions are several keys; their pivots meet the smallest of them.
@@ -313,6 +319,7 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     open_cells = classed.groupBy("cell").agg(F.min("class").alias("main"), F.max("class").alias("other")).where("main != other").select("cell", "main")
     far = compared.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("common") / F.col("union")).alias("far"))
     left = classed.join(open_cells, "cell").join(far, ["pivot", "node"], "left")
+    left = left.distinct()
     left = keep(left.withColumn("far", F.when(F.col("node") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("far"))))
     x = left.select(*(F.col(c).alias(f"x_{c}") for c in left.columns))
     y = left.where("class != main").select(*(F.col(c).alias(f"y_{c}") for c in left.columns))
