@@ -55,8 +55,8 @@ class Lattice:
         self.longest = max(map(len, self.pieces))
         # Substrings are found by a hash of their characters in a table without clashes among the first of each slot.
         keys = np.array([self._key(p) for p in self.pieces], np.uint64)
-        self.bits = np.uint64(64 - 22)
-        self.slot = np.full(1 << 22, -1, np.int32)
+        self.bits = np.uint64(64 - 20)
+        self.slot = np.full(1 << 20, -1, np.int32)
         self.keys = keys
         self.clash: dict[int, int] = {}
         for i, k in enumerate(keys.tolist()):
@@ -88,35 +88,41 @@ class Lattice:
         self.weights = np.log(p)
         return self
 
-    def _find(self, keys: np.ndarray) -> np.ndarray:
-        """Piece ids of substring keys, -1 where there is none."""
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where substring keys are pieces, and which: the few that are."""
         at = self.slot[(keys >> self.bits).astype(np.int64)]
-        found = np.where((at >= 0) & (self.keys[at] == keys), at, -1).astype(np.int64)
-        if len(self.clash_keys):
-            k = np.searchsorted(self.clash_keys, keys)
-            k[k == len(self.clash_keys)] = 0
-            hit = self.clash_keys[k] == keys
-            found[hit] = self.clash_ids[k[hit]]
-        return found
-
-    def _edges(self, chars: np.ndarray) -> list[list[np.ndarray]]:
-        """For words of one length: edges[i][l - 1], the piece of l characters that ends after i + 1, or -1."""
+        where = np.flatnonzero(at >= 0)
+        piece = at[where].astype(np.int64)
+        found = self.keys[piece] == keys[where]
+        if not found.all():  # the slot is another's: look among the clashes
+            other = keys[where[~found]]
+            k = np.minimum(np.searchsorted(self.clash_keys, other), len(self.clash_keys) - 1)
+            hit = self.clash_keys[k] == other
+            piece[np.flatnonzero(~found)[hit]] = self.clash_ids[k[hit]]
+            found[np.flatnonzero(~found)[hit]] = True
+        return where[found], piece[found]
+
+    def _edges(self, chars: np.ndarray) -> list[list[tuple]]:
+        """For words of one length: by end, (start, rows, pieces, weights) of the substrings that are pieces.
+
+        A character of no piece is an edge of its bytes; its piece is -1.
+        """
         n = chars.shape[1]
         codes = chars.astype(np.uint64) + np.uint64(1)
-        edges: list[list[np.ndarray]] = [[] for _ in range(n)]
+        edges: list[list[tuple]] = [[] for _ in range(n + 1)]
         for start in range(n):
             h = np.zeros(len(chars), np.uint64)
-            for end in range(start, min(n, start + self.longest)):
-                h = h * np.uint64(self.MULTIPLY) + codes[:, end]
-                edges[end].append((start, self._find(h * np.uint64(self.FINISH))))
+            for end in range(start + 1, min(n, start + self.longest) + 1):
+                h = h * np.uint64(self.MULTIPLY) + codes[:, end - 1]
+                rows, pieces = self._find(h * np.uint64(self.FINISH))
+                if len(rows):
+                    edges[end].append((start, rows, pieces, self.weights[pieces]))
+                if end == start + 1 and len(rows) < len(chars):
+                    bare = np.setdiff1d(np.arange(len(chars)), rows)
+                    weights = [sum(self.weights[self.bytes + b] for b in chr(c).encode("utf-8", "surrogatepass")) for c in chars[bare, start]]
+                    edges[end].append((start, bare, np.full(len(bare), -1), np.array(weights)))
         return edges
 
-    def _weight(self, piece: np.ndarray, chars: np.ndarray, single: bool) -> np.ndarray:
-        w = np.where(piece >= 0, self.weights[piece], -math.inf)
-        if single and (bare := piece < 0).any():  # a character of no piece is its bytes
-            w[bare] = [sum(self.weights[self.bytes + b] for b in chr(c).encode("utf-8", "surrogatepass")) for c in chars[bare]]
-        return w
-
     def forward(self, words: list[str], expect: np.ndarray | None = None, counts: np.ndarray | None = None) -> np.ndarray:
         """log P of each word (with its mark); ``expect`` gains the expected uses of pieces, ``counts`` times."""
         out = np.zeros(len(words))
@@ -137,26 +143,29 @@ class Lattice:
     def _short(self, chars: np.ndarray, expect: np.ndarray | None, counts: np.ndarray | None) -> np.ndarray:
         n = chars.shape[1]
         edges = self._edges(chars)
-        weights = [[self._weight(p, chars[:, i], s == i) for s, p in edges[i]] for i in range(n)]
         alpha = np.full((n + 1, len(chars)), -math.inf)
         alpha[0] = 0
-        for i in range(n):
-            alpha[i + 1] = _log_sum([alpha[s] + w for (s, _), w in zip(edges[i], weights[i])])
+        for end in range(1, n + 1):
+            for start, rows, _, w in edges[end]:
+                alpha[end, rows] = np.logaddexp(alpha[end, rows], alpha[start, rows] + w)
         if expect is not None:
             beta = np.full((n + 1, len(chars)), -math.inf)
             beta[n] = 0
-            for i in reversed(range(n)):
-                for (s, p), w in zip(edges[i], weights[i]):
-                    beta[s] = np.logaddexp(beta[s], beta[i + 1] + w)
-            for i in range(n):
-                for (s, p), w in zip(edges[i], weights[i]):
-                    uses = np.exp(alpha[s] + w + beta[i + 1] - alpha[n]) * (1.0 if counts is None else counts)
-                    has = p >= 0
-                    expect += np.bincount(p[has], uses[has], minlength=self.size)
-                    if s == i and not has.all():
-                        for c, u in zip(chars[~has, i], uses[~has]):
+            used, uses = [], []
+            for end in range(n, 0, -1):
+                for start, rows, pieces, w in edges[end]:
+                    after = beta[end, rows] + w
+                    beta[start, rows] = np.logaddexp(beta[start, rows], after)
+                    share = np.exp(alpha[start, rows] + after - alpha[n, rows]) * (1.0 if counts is None else counts[rows])
+                    if pieces[0] < 0:
+                        for c, u in zip(chars[rows, start], share):
                             for b in chr(c).encode("utf-8", "surrogatepass"):
                                 expect[self.bytes + b] += u
+                    else:
+                        used.append(pieces)
+                        uses.append(share)
+            if used:
+                expect += np.bincount(np.concatenate(used), np.concatenate(uses), minlength=self.size)
         return alpha[n]
 
     def _long(self, row: np.ndarray, expect: np.ndarray | None, count: float) -> float:
@@ -191,12 +200,6 @@ class Lattice:
         return float(alpha[n])
 
 
-def _log_sum(terms: list[np.ndarray]) -> np.ndarray:
-    top = np.maximum.reduce(terms)
-    safe = np.where(np.isfinite(top), top, 0)
-    return safe + np.log(sum(np.exp(t - safe) for t in terms))
-
-
 _lattices: dict[str, Lattice] = {}
 _caches: dict[int, tuple] = {}
 
