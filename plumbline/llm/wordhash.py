@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-CACHE_ENTRIES, CACHE_BYTES = 500_000, 48
+CACHE_ENTRIES, CACHE_BYTES = 200_000, 48
 MASK = (1 << 64) - 1
 #: Two odd bases, from the digits of pi and e.
 BASES = (0x243F6A8885A308D3, 0xB7E151628AED2A6B)
