@@ -35,6 +35,8 @@ FREQUENT, ROUNDS, PRIOR = 100_000, 2, 0.1
 #: Words longer than this (with the mark) are scored one at a time.
 LONG = 48
 CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
+#: Words that training gathers before it goes through them.
+AT_ONCE = 50_000
 
 
 class Lattice:
@@ -243,10 +245,15 @@ def train(counts: DataFrame, ends: int, path: str, rounds: int = ROUNDS) -> np.n
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             model = lattice(path).set(shared.value)
             expect = np.zeros(model.size)
+            words, times = [], []
             for batch in batches:
-                words = [MARK + w.decode("utf-8", "surrogatepass") for w in batch.column(0).to_pylist()]
-                if words:
-                    model.forward(words, expect, batch.column(1).to_numpy().astype(float))
+                words += [MARK + w.decode("utf-8", "surrogatepass") for w in batch.column(0).to_pylist()]
+                times += batch.column(1).to_pylist()
+                if len(words) >= AT_ONCE:  # the vectors are as long as the words of one length
+                    model.forward(words, expect, np.array(times, float))
+                    words, times = [], []
+            if words:
+                model.forward(words, expect, np.array(times, float))
             at = np.flatnonzero(expect)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(expect[at])], names=["piece", "uses"])
 
