@@ -261,7 +261,8 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
         texts = [done[s] for s in sources]
         return pa.table({"page_id": given.column("page_id"), "url": given.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
-    return dealt.groupBy("host", "part").applyInArrow(extract, schema)
+    # One key of both, since pages that lie by host already would not be dealt anew for the part.
+    return dealt.withColumn("block", F.concat_ws("#", "part", "host")).groupBy("block").applyInArrow(extract, schema)
 
 
 __all__ = ["Iterator", "extract_pages", "main_text", "parse", "Template"]
