@@ -1,27 +1,30 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Pages of one host come from few templates. Every token (a tag, or a text
-outside an article) is told apart by its path of open elements. Tokens with
-the same occurrence vector over a group of same-host pages form an equivalence
-class; a class is valid if its tokens come in the same order on every page.
-The class that occurs once on every page is the template; classes that repeat
-inside one of its gaps are nested in it, and so on inside those. What stands
-in the gaps are the slots. The main text is what the slots of the article hold:
-slots inside an article or main element if the page has one, otherwise those
-that vary between pages and are not navigation, by their elements, their names
-and their share of links. Text that is a token of the template itself is
-boilerplate.
-
-A class needs ``MIN_PAGES`` distinct pages; a host with fewer is read by the
-element rules alone. Large hosts are dealt over groups of about ``GROUP``
-pages by the hash of the page, so that no task holds a host; every page is in
-one group and is extracted whole.
+Pages of one host come from few templates. Every token (a tag or a text, in
+articles too) is told apart by its path of open elements and by the slot it
+stands in. Tokens of a slot with the same occurrence vector over a group of
+same-host pages form an equivalence class; a class is valid if its tokens come
+in the same order on every page, round by round where they repeat. A valid
+class cuts its slot into the gaps between its tokens, and the classes of those
+are looked for in turn, so classes nest until no slot holds another. Texts of a
+class are boilerplate; what stands in the slots is not. Element rules only
+label slots: the main text is what the slots of the article hold, or if there
+is none, the slots' texts that are not navigation by their elements, their
+names and their share of links.
+
+Pages that share more than half of the words of their articles are copies and
+count once, so that a text that is copied is no template. A class needs
+``MIN_PAGES`` such pages; a host with fewer is read by the element rules alone.
+Large hosts are dealt over groups of about ``GROUP`` pages by the hash of the
+page, so that no task holds a host; every page is in one group and is
+extracted whole.
 """
 
 from __future__ import annotations
 
 import html as references
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -59,12 +62,12 @@ SPACE = re.compile(r"\s+")
 
 
 class Text:
-    """A run of text: where it stands and whether an element rule excludes it."""
+    """A run of text: where it stands, also among the tokens (-1 without a word), and whether an element rule excludes it."""
 
-    __slots__ = ("breaks", "excluded", "inside", "link", "path", "text")
+    __slots__ = ("at", "breaks", "excluded", "inside", "link", "path", "text")
 
-    def __init__(self, text: str, path: str, excluded: bool, inside: bool, link: bool, breaks: int) -> None:
-        self.text, self.path, self.excluded, self.inside, self.link, self.breaks = text, path, excluded, inside, link, breaks
+    def __init__(self, text: str, path: str, excluded: bool, inside: bool, link: bool, breaks: int, at: int = -1) -> None:
+        self.text, self.path, self.excluded, self.inside, self.link, self.breaks, self.at = text, path, excluded, inside, link, breaks, at
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -83,7 +86,7 @@ def _excluded(tag: str, given: dict[str, str], inside: bool) -> bool:
 
 
 def parse(page: str) -> tuple[list[Text], list[str]]:
-    """The texts of a page in order, and its tag tokens (path of open elements and names).
+    """The texts of a page in order, and its tokens: tags (path of open elements and names) and texts (path and text).
 
     Elements that HTML lets stay open are closed as browsers do; an end tag
     without its start is nothing; a cut page ends where it ends.
@@ -100,7 +103,11 @@ def parse(page: str) -> tuple[list[Text], list[str]]:
     def add(source: str) -> None:
         if source:
             path, excluded, inside, link = state()
-            texts.append(Text(references.unescape(source), path, excluded, inside, link, breaks))
+            text = references.unescape(source)
+            plain = SPACE.sub(" ", text).strip()
+            texts.append(Text(text, path, excluded, inside, link, breaks, len(tokens) if plain else -1))
+            if plain:
+                tokens.append(f"{path}\0{plain}")
 
     def close(k: int) -> None:
         nonlocal breaks
@@ -171,57 +178,154 @@ class Template:
     """What a group of same-host pages has in common: classes of tokens by occurrence vector, nested into one another."""
 
     def __init__(self, pages: list[tuple[list[Text], list[str]]]) -> None:
-        n = len(pages)
-        vectors: dict[str, list[int]] = defaultdict(lambda: [0] * n)
-        for k, (texts, tokens) in enumerate(pages):
-            for token in tokens:
-                vectors[token][k] += 1
-            for text in texts:
-                if not text.inside and (plain := SPACE.sub(" ", text.text).strip()):
-                    vectors[f"{text.path}\0{plain}"][k] += 1
-        alike: dict[tuple, list[str]] = defaultdict(list)
-        for token, vector in vectors.items():
-            if sum(map(bool, vector)) >= max(MIN_PAGES, n // 2):
-                alike[tuple(vector)].append(token)
-        #: Valid classes, each with its tokens in order: the template first, then those that repeat.
-        self.classes = sorted((own for own in alike.items() if self._valid(own[1], pages)), key=lambda own: sum(own[0]))
-        self.fixed = {t for vector, own in self.classes for t in own if "\0" in t and max(vector) == 1}
-        # How much the texts of a path differ between the pages, which tells slots from what only looks like one.
-        seen: dict[str, set[str]] = defaultdict(set)
-        at: Counter = Counter()
-        for texts, _ in pages:
-            for path, plain in {(t.path, SPACE.sub(" ", t.text).strip()) for t in texts}:
-                seen[path].add(plain)
-                at[path] += 1
-        self.constant = {p for p, k in at.items() if k >= MIN_PAGES and len(seen[p]) == 1}
+        own = self._originals(pages)
+        #: Per page: its tokens, the places of those that may be of a class, the slot of each place, and the places in classes.
+        self.tokens = [stream for _, stream in pages]
+        on: Counter = Counter(t for k in own for t in set(self.tokens[k]))
+        self.places = [[i for i, t in enumerate(stream) if on[t] >= MIN_PAGES] for stream in self.tokens]
+        self.slots = [[0] * len(stream) for stream in self.tokens]
+        self.fixed: list[set[int]] = [set() for _ in pages]
+        #: Valid classes in the order found: the slot each stands in, and its tokens in order.
+        self.classes: list[tuple[int, list[str]]] = []
+        self.made = 1
+        todo = {0} if len(own) >= MIN_PAGES else set()
+        while todo:
+            todo = self._deduce(own, todo)
+        self.article = self._label([pages[k][0] for k in own], own)
 
     @staticmethod
-    def _valid(tokens: list[str], pages) -> bool:
-        """Whether a class's tokens come in one order, round by round, on all pages that have them."""
-        own, order = set(tokens), None
-        if len(own) == 1:
-            return True
-        for texts, stream in pages:
-            if any("\0" in t for t in own):
-                return True  # texts outside articles stand at their paths, which the tags order
-            found = [t for t in stream if t in own]
-            if not found:
+    def _originals(pages) -> list[int]:
+        """The pages without those that share more than half of the words of their articles with an earlier one."""
+        holders: dict[str, list[int]] = defaultdict(list)
+        size: dict[int, int] = {}
+        own = []
+        for k, (texts, _) in enumerate(pages):
+            words = {t.text.strip(): len(t.text.split()) for t in texts if t.inside and not t.excluded and t.at >= 0}
+            total, shared = sum(words.values()), Counter()
+            for text, n in words.items():
+                for other in holders[text]:
+                    shared[other] += n
+            if any(2 * n > max(total, size[other]) for other, n in shared.items()):
                 continue
-            if order is None:
+            own.append(k)
+            size[k] = total
+            for text in words:
+                holders[text].append(k)
+        return own
+
+    def _deduce(self, own: list[int], todo: set[int]) -> set[int]:
+        """One valid class in each slot of ``todo`` that has one, the most common first; the slots to look at next."""
+        vectors: dict[tuple[int, str], dict[int, int]] = defaultdict(dict)
+        for k in own:
+            slots, tokens, fixed = self.slots[k], self.tokens[k], self.fixed[k]
+            for i in self.places[k]:
+                if slots[i] in todo and i not in fixed:
+                    v = vectors[slots[i], tokens[i]]
+                    v[k] = v.get(k, 0) + 1
+        alike: dict[int, dict[tuple, list[str]]] = defaultdict(lambda: defaultdict(list))
+        for (slot, token), v in vectors.items():
+            if len(v) >= MIN_PAGES:
+                alike[slot][tuple(v.items())].append(token)
+        next_slots: set[int] = set()
+        chosen: dict[int, tuple[int, list[str]]] = {}  # slot -> number of its first gap and the class
+        for slot, classes in alike.items():
+            for v, tokens in sorted(classes.items(), key=lambda c: (max(n for _, n in c[0]) > 1, -len(c[0]), -len(c[1]))):
+                texts = sum("\0" in t for t in tokens)
+                once = max(n for _, n in v) == 1
+                # Texts alone are of a template if they are on half of the pages; with tags of their own, on fewer too.
+                if texts == len(tokens) and (not once or 2 * len(v) < len(own)):
+                    continue
+                if not once and len(tokens) == 1:
+                    continue  # a tag by itself has no gap of its own
+                if order := self._order(slot, tokens, [k for k, _ in v], once):
+                    chosen[slot] = (self.made, order)
+                    self.classes.append((slot, order))
+                    next_slots |= {slot, *range(self.made, self.made + len(order))}
+                    self.made += len(order)
+                    break
+        for k in range(len(self.tokens)):
+            self._cut(k, chosen)
+        return next_slots
+
+    def _order(self, slot: int, tokens: list[str], on: list[int], once: bool) -> list[str]:
+        """The tokens in the order that all pages have; of tokens that come once, those that keep it. Empty if there is none."""
+        own, order = set(tokens), []
+        for k in on:
+            slots, stream = self.slots[k], self.tokens[k]
+            found = [stream[i] for i in self.places[k] if stream[i] in own and slots[i] == slot]
+            if not order:
                 order = found[: len(own)]
-            if found != order * (len(found) // len(order)):
-                return False
-        return True
-
-    def boilerplate(self, text: Text) -> bool:
-        return not text.inside and (text.path in self.constant or f"{text.path}\0{SPACE.sub(' ', text.text).strip()}" in self.fixed)
-
-
-def main_text(texts: list[Text], template: Template | None = None) -> str:
-    """The slots of the article in page order: blocks by one space, white space inside as one space."""
-    main = [t for t in texts if t.inside and not t.excluded]
-    if not any(t.text.strip() for t in main):
-        main = [t for t in texts if not t.excluded and not (template and template.boilerplate(t))]
+                if len(set(order)) < len(own):
+                    return []
+            if found == order * (len(found) // len(order)):
+                continue
+            if not once:
+                return []
+            rank = {t: r for r, t in enumerate(order)}
+            order = [order[r] for r in _rising([rank[t] for t in found])]
+            own = set(order)
+        return order
+
+    def _cut(self, k: int, chosen: dict[int, tuple[int, list[str]]]) -> None:
+        """Put the classes' places of a page into ``fixed``, and what stands between them into slots of their own."""
+        slots, stream = self.slots[k], self.tokens[k]
+        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        rank = {slot: {t: r for r, t in enumerate(order)} for slot, (_, order) in chosen.items()}
+        for i in self.places[k]:
+            if slots[i] in rank and i not in self.fixed[k] and (r := rank[slots[i]].get(stream[i])) is not None:
+                found[slots[i]].append((i, r))
+        for slot, at in found.items():
+            first, order = chosen[slot]
+            # A copy may lack tokens, but has no others: out of order, it has no gaps of this class.
+            if any(b != a + 1 and not (b == 0 and a == len(order) - 1) for (_, a), (_, b) in zip(at, at[1:])) or (at[0][1], at[-1][1]) != (0, len(order) - 1):
+                continue
+            self.fixed[k].update(i for i, _ in at)
+            for (i, r), (j, _) in zip(at, at[1:]):
+                for x in range(i + 1, j):
+                    if slots[x] == slot:
+                        slots[x] = first + r
+
+    def _label(self, pages: list[list[Text]], own: list[int]) -> set[int]:
+        """The slots most words of which are inside an article by the element rules."""
+        words: Counter = Counter()
+        for k, texts in zip(own, pages):
+            for t in texts:
+                if t.at >= 0 and t.at not in self.fixed[k] and not t.excluded:
+                    words[self.slots[k][t.at]] += len(t.text.split()) * (1 if t.inside else -1)
+        return {slot for slot, n in words.items() if n > 0}
+
+    def boilerplate(self, page: int, text: Text) -> bool:
+        return text.at in self.fixed[page]
+
+    def in_article(self, page: int, text: Text) -> bool:
+        return text.at >= 0 and self.slots[page][text.at] in self.article
+
+
+def _rising(ranks: list[int]) -> list[int]:
+    """The longest rising part of distinct numbers."""
+    ends: list[int] = []  # the least end of a rising part of each length
+    before: dict[int, int | None] = {}
+    for r in ranks:
+        k = bisect_left(ends, r)
+        before[r] = ends[k - 1] if k else None
+        ends[k : k + 1] = [r]
+    out, r = [], ends[-1] if ends else None
+    while r is not None:
+        out.append(r)
+        r = before[r]
+    return out[::-1]
+
+
+def main_text(texts: list[Text], template: Template | None = None, page: int = 0) -> str:
+    """The slots of the article in page order: blocks by one space, white space inside as one space.
+
+    ``page`` is the number of the page among the template's.
+    """
+    given = [t for t in texts if not t.excluded and not (template and template.boilerplate(page, t))]
+    if any(t.inside and not t.excluded and t.at >= 0 for t in texts):
+        main = [t for t in given if t.inside]
+    elif not (main := [t for t in given if template and template.in_article(page, t)]):
+        main = given
         words, linked = Counter(), Counter()
         for t in main:
             words[t.breaks] += (k := len(t.text.split()))
@@ -255,9 +359,11 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     def extract(given: pa.Table) -> pa.Table:
         sources = [s or "" for s in given.column("html").to_pylist()]
         parsed = {s: parse(s) for s in set(sources)}
-        distinct = [p for p in parsed.values() if p[1]]
-        template = Template(distinct) if len(distinct) >= MIN_PAGES else None
-        done = {s: main_text(p[0], template) for s, p in parsed.items()}
+        # In the order of the sources, so that a page counts as the same one's copy in every run.
+        distinct = sorted(s for s, p in parsed.items() if p[1])
+        template = Template([parsed[s] for s in distinct]) if len(distinct) >= MIN_PAGES else None
+        number = {s: k for k, s in enumerate(distinct)}
+        done = {s: main_text(p[0], template if s in number else None, number.get(s, 0)) for s, p in parsed.items()}
         texts = [done[s] for s in sources]
         return pa.table({"page_id": given.column("page_id"), "url": given.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 

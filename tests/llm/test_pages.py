@@ -34,3 +34,20 @@ def test_copies_on_a_host_keep_their_text(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {r.text for r in extract_pages(df).select("text").distinct().collect()} == {"Same article everywhere."}
     assert extract_pages(df.where("page_id < 0")).count() == 0
+
+
+def test_classes_cut_template_text_inside_articles_and_nest(spark):
+    words = "red blue green amber white black brown pink".split()
+    comment = lambda i, k: f"<li><b>Reply</b><i>{words[(i + k) % 8]} said {i * 10 + k}</i></li>"
+    page = lambda i: _page(f"<nav>go</nav><article><h1>On {words[i]}</h1><p>Read all of our stories.</p><p>The {words[i]} story is number {i} of all.</p><ul>{''.join(comment(i, k) for k in range(i + 1))}</ul></article>")
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(6)] + [(7, "http://one.example/", page(0))]
+    got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "On blue The blue story is number 1 of all. blue said 10 green said 11"
+    assert got[7] == "On red Read all of our stories. The red story is number 0 of all. Replyred said 0"
+
+
+def test_copies_of_an_article_count_once(spark):
+    page = lambda i: _page(f"<p class='top'>visit {i}</p><article><h1>One title</h1><p>The same long article under many addresses.</p></article>")
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(8)]
+    got = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r.text for r in got.select("text").collect()} == {"One title The same long article under many addresses."}
