@@ -91,6 +91,16 @@ def test_outlier_scores_single_out_the_far_row(spark):
     assert top.id == 99 and top.score > 0.7
 
 
+def test_outlier_scores_read_all_rows(spark):
+    rows = spark.createDataFrame([(i, float(i * 7 % 90) if i % 11 else None, "ab"[i % 2] if i % 13 else None) for i in range(90)] + [(99, 500.0, "z")], "id long, x double, c string")
+    want = {(r.id, r.neighbour): r.distance for r in integrity.nearest_neighbours(rows, rows, "id", ["x"], ["c"], 4).collect()}
+    got = {(r.id, r.neighbour): r.distance for r in integrity.all_neighbours(rows, "id", ["x"], ["c"], 4, block=20).collect()}
+    assert set(got) == set(want) and all(got[p] == pytest.approx(want[p]) for p in want)
+    every = {r.id: r.score for r in integrity.outlier_samples(rows, rows, "id", ["x"], ["c"], 5).collect()}
+    some = {r.id: r.score for r in integrity.outlier_samples(rows, rows.where("id > 85"), "id", ["x"], ["c"], 5).collect()}
+    assert len(every) == 91 and some == {i: pytest.approx(every[i]) for i in (86, 87, 88, 89, 99)}
+
+
 def test_predictive_power(spark):
     rows = spark.range(400).select((F.col("id") % 4).cast("double").alias("x"), (F.xxhash64("id") % 100).cast("double").alias("noise"), (F.col("id") % 2).cast("string").alias("y"))
     score = {r.feature: r.score for r in models.predictive_power(rows, ["x", "noise"], "y").collect()}
