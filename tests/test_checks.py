@@ -107,6 +107,20 @@ def test_predictive_power(spark):
     assert score["x"] > 0.95 and score["noise"] < 0.3
 
 
+def test_models_report_all_rows(spark, monkeypatch):
+    rows = spark.range(600).select((F.col("id") / 600).alias("a"), (F.col("id") * 7 % 600 / 600).alias("b"), (F.col("id") >= 180).cast("double").alias("s"))
+    found = models.weak_segments(rows, ["a", "b"], "s", n_samples=200).first()
+    assert found.average == pytest.approx(0.7) and found.score < 0.1 and found.n > 100  # of the 200 that are fitted, some 50
+    seen = []
+    metrics, evaluate = evaluation.averaged_metrics, models.BinaryClassificationEvaluator.evaluate
+    monkeypatch.setattr(evaluation, "averaged_metrics", lambda df, *a: seen.append(df.count()) or metrics(df, *a))
+    score = models.predictive_power(rows.withColumn("s", F.col("s").cast("string")), ["a"], "s", n_samples=200).first().score
+    assert score > 0.9 and set(seen) == {600}
+    monkeypatch.setattr(models.BinaryClassificationEvaluator, "evaluate", lambda self, df: seen.append(df.count()) or evaluate(self, df))
+    far = models.domain_classifier(rows.where("s = 0"), rows.where("s = 1"), ["a", "b"], [], n_samples=100).first()
+    assert far.auc > 0.95 and 400 < seen[-1] < 500
+
+
 def test_conditions_and_writers(spark):
     df = spark.createDataFrame([(None, "a"), (1, "b")], "x int, y string")
     nulls = Check("nulls", lambda d: integrity.percent_of_nulls(d.df), (at_most("percent", 0.05),))
