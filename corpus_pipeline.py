@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from plumbline.llm._shared import keep, table
 from plumbline.llm.decontamination import decontaminate
 from plumbline.llm.jaccard_join import near_duplicates_removed
-from plumbline.llm.quality_rules import quality_rules
+from plumbline.llm.quality_rules import clean_documents
 from plumbline.llm.sentencepiece_codec import encode_pieces
 from plumbline.llm.substring_dedup import dedup_substrings
 
@@ -26,8 +26,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the quality rules reject."""
-    return quality_rules(docs.select(COLUMNS)).where("kept").select(COLUMNS)
+    """Without the documents that the quality rules reject, and without the lines of the others that many documents of their source have."""
+    cleaned = clean_documents(docs.select(COLUMNS))
+    return cleaned.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -101,6 +101,11 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     without an id have lines like others but are never the first. Null hosts
     are one host. Columns of ``docs`` named like an added one are replaced.
     """
+    return _ruled(docs, doc_id, text, host, max_docs, min_left).drop("__lines")
+
+
+def _ruled(docs: DataFrame, doc_id: str, text: str, host: str, max_docs: int, min_left: float) -> DataFrame:
+    """The result of :func:`quality_rules` with __lines, the hashes of the lines that go (null if none)."""
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_line_words", "kept"]
     docs = docs.drop(*added)
     lines = document_lines(docs, doc_id, text, host)
@@ -108,7 +113,7 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     gone = (
         lines.join(often, F.col("host").eqNullSafe(F.col("of")) & (F.col("line") == F.col("often")) & ~F.col("d").eqNullSafe(F.col("first")))
         .groupBy(F.col("d").alias("__d"), F.col("key").alias("__k"), F.col("host").alias("__h"))
-        .agg(F.sum("n").alias("__gone"))
+        .agg(F.sum("n").alias("__gone"), F.collect_set("line").alias("__lines"))  # of one document, so bounded by its text
     )
     ruled = document_rules(docs, text).withColumn("__key", F.xxhash64(text))
     joined = ruled.join(gone, F.col(doc_id).eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")) & F.col(host).eqNullSafe(F.col("__h")), "left")
@@ -128,6 +133,16 @@ def remove_frequent_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     )
     keyed = docs.withColumn("__key", F.xxhash64(text))
     joined = keyed.join(gone, F.col(doc_id).eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")) & F.col(host).eqNullSafe(F.col("__h")), "left")
-    stays = lambda line: ~F.array_contains(F.col("__gone"), F.xxhash64(_normalised(line)))
-    cut = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(F.filter(F.split(text, "\n"), stays), "\n"))
-    return joined.withColumn(text, cut).drop("__d", "__k", "__h", "__key", "__gone")
+    return joined.withColumn(text, _without(text, "__gone")).drop("__d", "__k", "__h", "__key", "__gone")
+
+
+def _without(text: str, gone: str) -> Column:
+    """The text without the lines whose hashes ``gone`` has."""
+    stays = lambda line: ~F.array_contains(F.col(gone), F.xxhash64(_normalised(line)))
+    return F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(F.filter(F.split(text, "\n"), stays), "\n"))
+
+
+def clean_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
+    """The documents that :func:`quality_rules` keeps, their texts without the lines that it counts as gone; frequencies are those of all of ``docs``."""
+    kept = _ruled(docs, doc_id, text, host, max_docs, min_left).where("kept")
+    return kept.withColumn(text, _without(text, "__lines")).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -20,6 +20,15 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, duck_rows):
     assert {d: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for d, r in got.items()} == want
 
 
+def test_quality_stage_removes_frequent_lines(spark):
+    words = lambda i: " ".join(f"w{i}x{k}" for k in range(12))
+    rows = [(i, f"{words(i)}\nAll rights  belong to us.", "en", "src", 1) for i in range(30)] + [(40, f"{words(40)}\nall rights belong to us.", "en", "other", 1), (41, "short\nAll rights belong to us.", "en", "src", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.quality(spark, docs, SF).collect()}
+    assert got[0].text == rows[0][1] and got[40].text == rows[30][1] and 41 not in got
+    assert all(got[i].text == words(i) for i in range(1, 30)) and all(r.n_chars == len(r.text) for r in got.values())
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in llm.queries()) == list(range(1, 11))
     assert set(llm.oracle_sql()) <= set(llm.queries())
