@@ -6,7 +6,10 @@ against ordinary sentences. One class is ``unknown``, everything that is no
 notice of a family; the temperature of the probabilities and the least
 probability of a family are calibrated on variants held out of training. A
 predicted family counts as confirmed only if the paragraph holds enough of one
-of that family's notices, word run by word run.
+of that family's notices, word run by word run, or is itself a part of one: a
+cut notice or a line of a wrapped one. Such lines are also compared together
+with the lines around them, up to an empty line, and adjacent ones of a family
+are one licence.
 
 Training is a few hundred short texts on the driver. Scanning is DataFrame
 functions alone: the grams of a paragraph meet the model's, a table bounded by
@@ -128,6 +131,8 @@ UNKNOWN = "unknown"
 COMMON = set("a an and any as at be by for from in is it its no not of on or that the this to was were with you i we he she they are has have had can may one all s".split())
 #: Words of the longest gram; share of a notice's word runs that confirms it; variants per notice; seed.
 GRAMS, CONFIRM, VARIANTS, SEED = 3, 0.6, 24, 7
+#: Words that a part of a notice has at least, as in training; lines before and after that may belong to the same notice.
+PART, AROUND = 8, 7
 #: Share of held-out ordinary texts that may be taken for a family.
 FALSE_ALARMS = 0.005
 
@@ -250,7 +255,11 @@ def _runs(words: list[str]) -> list[str]:
 
 
 def paragraph_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(d, key, at, family, probability, held, confirmed) of each paragraph that is predicted to be a family's notice."""
+    """(d, key, at, family, probability, held, whole, confirmed) of each line that is predicted to be a family's notice.
+
+    whole: the line has enough of a notice by itself; otherwise it is confirmed
+    as a part of one, by its own words or with the lines around it.
+    """
     spark, own = docs.sparkSession, model()
     grams, notices = _tables(spark, own)
     # Every gram of the model has a word of its own; texts without such a word hold no gram, and need no more.
@@ -258,10 +267,10 @@ def paragraph_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     docs = docs.where(F.exists(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w.isin(own_word)))
     lines = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("key"), F.posexplode_outer(F.split(text, "\n")).alias("at", "line"))
     words = once(lines, "w", F.regexp_extract_all(F.lower("line"), F.lit("[a-z0-9]+"), F.lit(0))).drop("line")
-    n = F.size("w")
 
-    def runs(k: int):
-        joined = lambda i: F.concat_ws(" ", *(F.get(F.col("w"), i + j) for j in range(k)))
+    def runs(k: int, w: str = "w"):
+        n = F.size(w)
+        joined = lambda i: F.concat_ws(" ", *(F.get(F.col(w), i + j) for j in range(k)))
         return F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), joined)).otherwise(F.array().cast("array<string>"))
 
     all_grams = F.array_distinct(F.concat(F.col("w"), *(runs(k) for k in range(2, GRAMS + 1))))
@@ -275,21 +284,32 @@ def paragraph_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     best = scored.select("d", "key", "at", F.col("best.family").alias("family"), (F.exp(F.col("best.z") - F.col("top")) / total).alias("probability"))
     best = best.where(F.col("probability") >= own.least)
 
-    # The few paragraphs that are left meet the notices of their family, on their own words again.
-    own_words = words.join(best, ["d", "key", "at"])
+    # The few lines that are left meet the notices of their family, on their own words again and on those around them.
+    sources = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("key"), F.split(text, "\n").alias("ls"))
+    at = F.col("at")
+    blank = lambda line: ~F.lower(line).rlike("[a-z0-9]")
+    before = F.aggregate(F.slice("ls", F.greatest(at - AROUND, F.lit(0)) + 1, F.least(at, F.lit(AROUND))), F.lit(""), lambda a, x: F.when(blank(x), F.lit("")).otherwise(F.concat(a, F.lit(" "), x)))
+    after = F.aggregate(F.reverse(F.slice("ls", at + 2, F.lit(AROUND))), F.lit(""), lambda a, x: F.when(blank(x), F.lit("")).otherwise(F.concat(x, F.lit(" "), a)))
+    line = F.get("ls", at)
+    found = lambda x: F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9]+"), F.lit(0))
+    own_words = sources.join(best, ["d", "key"]).select("d", "key", "at", "family", "probability", found(line).alias("w"), found(F.concat_ws(" ", before, line, after)).alias("near"))
+    grams_in = lambda w: F.concat(F.col(w), *(runs(k, w) for k in range(2, GRAMS + 1)))
+    own_words = own_words.withColumn("own", F.array_distinct(runs(GRAMS))).withColumn("g", grams_in("w")).withColumn("gn", grams_in("near"))
     compared = own_words.join(notices, "family")
-    n = F.size("w")
-    kept = F.size(F.array_intersect("runs", F.concat(F.col("w"), *(runs(k) for k in range(2, GRAMS + 1)))))
-    compared = compared.withColumn("held", kept / F.size("runs"))
-    return compared.groupBy("d", "key", "at", "family", "probability").agg(F.max("held").alias("held")).withColumn("confirmed", F.col("held") >= CONFIRM)
+    share = lambda g: F.size(F.array_intersect("runs", g)) / F.size("runs")
+    part = F.when(F.size("w") >= PART, F.try_divide(F.size(F.array_intersect("runs", "own")), F.size("own"))).otherwise(F.lit(0.0))
+    compared = compared.withColumn("held", share("g")).withColumn("part", F.greatest(share("gn"), part))
+    scored = compared.groupBy("d", "key", "at", "family", "probability").agg(F.max("held").alias("held"), F.max("part").alias("part"))
+    return scored.withColumn("whole", F.col("held") >= CONFIRM).withColumn("confirmed", F.col("whole") | (F.col("part") >= CONFIRM)).drop("part")
 
 
 def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with n_paragraphs, n_licenses, families, family, probability and n_unconfirmed.
 
     n_paragraphs counts lines with a word of ASCII letters or digits;
-    n_licenses those whose predicted family the notices confirm, n_unconfirmed
-    the other predicted ones; ``families`` is the confirmed families, sorted,
+    n_licenses those whose predicted family the notices confirm, where adjacent
+    lines that are parts of a family's notice are one, n_unconfirmed the other
+    predicted ones; ``families`` is the confirmed families, sorted,
     joined by commas (empty if none), ``family`` that of the largest
     probability (``unknown`` if none). Null and empty texts have no
     paragraphs. Rows of one id and text get the same result. Columns of
@@ -299,7 +319,8 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     found = paragraph_licenses(docs, doc_id, text)
     yes = F.col("confirmed")
     per = found.groupBy(F.col("d").alias("__d"), F.col("key").alias("__k")).agg(
-        F.sum(yes.cast("long")).alias("__n"),
+        F.sum(F.col("whole").cast("long")).alias("__n"),
+        F.collect_set(F.when(yes & ~F.col("whole"), F.struct("family", "at"))).alias("__p"),  # of one document, so bounded by its text
         F.sum((~yes).cast("long")).alias("__u"),
         F.array_sort(F.collect_set(F.when(yes, F.col("family")))).alias("__f"),
         F.max(F.when(yes, F.struct("probability", "family"))).alias("__b"),
@@ -307,13 +328,14 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     lines = F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda s: F.lower(s).rlike("[a-z0-9]")))
     base = docs.withColumn("__key", F.xxhash64(text)).withColumn("n_paragraphs", lines.cast("long"))
     joined = base.join(per, base[doc_id].eqNullSafe(per["__d"]) & (base["__key"] == per["__k"]), "left")
+    starts = F.size(F.filter("__p", lambda p: ~F.array_contains("__p", F.struct(p["family"].alias("family"), (p["at"] - 1).alias("at")))))
     return (
-        joined.withColumn("n_licenses", F.coalesce("__n", F.lit(0)).cast("long"))
+        joined.withColumn("n_licenses", F.coalesce(F.col("__n") + starts, F.lit(0)).cast("long"))
         .withColumn("n_unconfirmed", F.coalesce("__u", F.lit(0)).cast("long"))
         .withColumn("families", F.coalesce(F.array_join("__f", ","), F.lit("")))
         .withColumn("family", F.coalesce("__b.family", F.lit(UNKNOWN)))
         .withColumn("probability", F.round("__b.probability", 6))
-        .drop("__d", "__k", "__key", "__n", "__u", "__f", "__b")
+        .drop("__d", "__k", "__key", "__n", "__p", "__u", "__f", "__b")
     )
 
 

@@ -144,6 +144,17 @@ def test_license_scan(spark, docs, nothing):
     assert license_scan(nothing).count() == 0 and license_scan(docs).where("n_licenses > 0").count() == 0
 
 
+def test_license_scan_of_wrapped_and_cut_notices(spark):
+    import textwrap
+
+    from plumbline.llm.license_scan import NOTICES
+
+    mit, gpl = NOTICES["mit"][2], NOTICES["gpl"][1]
+    rows = [(1, "prose of a town\n\n" + textwrap.fill(mit, 72) + "\n\nmore prose"), (2, textwrap.fill(gpl, 75)), (3, " ".join(mit.split()[:14])), (4, "Permission to enter the building was granted\nby the guard at the gate free of charge to any person\nwho had a copy of the list")]
+    got = {r.doc_id: r for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].families for i in (1, 2, 3, 4)] == ["mit", "gpl", "mit", ""] and [got[i].n_licenses for i in (1, 2, 3, 4)] == [1, 1, 1, 0]
+
+
 def test_language_model(docs, nothing):
     got = {r.doc_id: r for r in score_documents(docs, PIECES, frequent=20).collect()}
     rows = docs.collect()
