@@ -53,7 +53,7 @@ def _filesystem(uri: str):
 
 
 class _SequenceFile:
-    """Packs a stream of ids into equal sequences, a record batch at a time."""
+    """Packs a stream of ids into equal sequences, a record batch at a time: all but a shard's last hold ``BATCH`` sequences."""
 
     def __init__(self, sink, dtype: str, length: int) -> None:
         kind = pa.from_numpy_dtype(np.dtype(dtype))
@@ -69,14 +69,15 @@ class _SequenceFile:
 
     def _write(self, last: bool) -> None:
         ids = np.frombuffer(b"".join(self.parts), self.dtype)
-        whole = len(ids) // self.length * self.length
+        step = BATCH * self.length
+        whole = len(ids) // step * step
+        for k in range(0, whole, step):
+            self._batch(ids[k : k + step], None)
         rest = ids[whole:]
-        for k in range(0, whole, BATCH * self.length):
-            self._batch(ids[k : min(whole, k + BATCH * self.length)], None)
         if last and len(rest):
-            padded = np.zeros(self.length, self.dtype)
+            padded = np.zeros(-(-len(rest) // self.length) * self.length, self.dtype)
             padded[: len(rest)] = rest
-            self._batch(padded, np.arange(self.length) < len(rest))
+            self._batch(padded, np.arange(len(padded)) < len(rest))
             rest = rest[:0]
         self.parts, self.waiting = [rest.tobytes()], rest.nbytes
 

@@ -73,6 +73,22 @@ def test_round_trip_of_pieces(docs, nothing):
     assert encode_pieces(nothing, PIECES).count() == 0
 
 
+def test_every_sequence_of_a_shard_with_long_documents(tmp_path):
+    rng, length = np.random.default_rng(3), 8
+    docs = [rng.integers(1, 999, n).astype("<u2") for n in (700, 2000, 9, 1500, 4096, 3, 5000, 77)]
+    path = str(tmp_path / "seq.arrow")
+    with open(path, "wb") as sink:
+        out = token_files._SequenceFile(sink, "<u2", length)
+        for ids in docs:
+            out.add(ids.tobytes())
+        out.close()
+    reader, flat = token_files.open_sequences(path), np.concatenate(docs)
+    for k in range(-(-len(flat) // length)):
+        ids, mask = token_files.sequence(reader, k)
+        assert len(ids) == len(mask) == length and ids[mask].tolist() == flat[k * length : (k + 1) * length].tolist()
+    assert not mask.all() or len(flat) % length == 0
+
+
 def test_token_files(spark, docs, nothing, tmp_path):
     twice = docs.unionByName(docs.where("doc_id = 9"))
     folder = shared_dir(spark)
