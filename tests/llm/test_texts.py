@@ -171,6 +171,21 @@ def test_language_model(docs, nothing):
     assert score_documents(nothing, PIECES).count() == 0
 
 
+def test_training_runs_three_rounds_and_gains_from_each(spark):
+    import numpy as np
+
+    from plumbline.llm.lm_scoring import MARK, lattice, train
+
+    counts = {b"the": 50, b"there": 9, b"then": 7, b"theory": 3, b"nation": 5, b"national": 2}
+    df = spark.createDataFrame(list(counts.items()), "word binary, c long")
+
+    def likelihood(p):
+        return float(np.dot(lattice(PIECES).set(p).forward([MARK + w.decode() for w in counts]), list(counts.values())))
+
+    by_rounds = [likelihood(train(df, 5, PIECES, rounds=r)) for r in (1, 2, 3)]
+    assert by_rounds == sorted(by_rounds) and likelihood(train(df, 5, PIECES)) == pytest.approx(by_rounds[2]) and by_rounds[2] > by_rounds[1] + 1e-6
+
+
 def test_lattice_equals_the_sum_over_all_segmentations():
     import numpy as np
 
