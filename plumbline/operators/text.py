@@ -79,15 +79,71 @@ def unknown_tokens(df: DataFrame, text: str, vocabulary: DataFrame, word: str =
     return counts.join(known, counts["word"] == known["known"], "left_anti")
 
 
-def frequent_substrings(df: DataFrame, text: str, min_words: int = 4, min_ratio: float = 0.05, n_sentences: int = 5) -> DataFrame:
-    """(substring, n_texts, ratio): word runs of ``min_words`` in the first and last sentences of at least ``min_ratio`` of the texts."""
+#: Lengths of word runs that are counted in one round.
+LENGTHS = 16
+
+
+def frequent_substrings(df: DataFrame, text: str, min_words: int = 4, min_ratio: float = 0.05, n_sentences: int = 5, significant_ratio: float = 0.3, margin: float = 0.02, min_change: float = 0.05) -> DataFrame:
+    """(substring, n_texts, ratio): the longest word runs in the first and last sentences that many texts share.
+
+    Runs of ``min_words`` and more in at least ``min_ratio`` of the texts, ``LENGTHS``
+    lengths a round, over the texts that still hold a run of the longest. Of runs inside
+    one another the longest stays, unless a shorter one is more frequent by
+    more than ``margin``. By frequency, those before the steepest drop of over
+    ``min_change`` stay, and those of ``significant_ratio``. What is frequent
+    is collected: its number is bounded by the words of a text's sentences
+    over ``min_ratio``, whatever the number of texts.
+    """
     s = F.filter(F.split(F.lower(text), r"(?<=[.!?])\s+"), lambda x: F.trim(x) != "")
     ends = F.when(F.size(s) <= 2 * n_sentences, s).otherwise(F.concat(F.slice(s, 1, n_sentences), F.slice(s, -n_sentences, n_sentences)))
-    rows = df.where(F.col(text).isNotNull()).select(F.explode_outer(F.array(ends)).alias("ends")).withColumn("w", F.explode_outer(F.array(F.transform("ends", lambda x: F.filter(F.split(x, r"\s+"), lambda w: w != "")))))
-    grams = F.flatten(F.transform("w", lambda w: F.when(F.size(w) >= min_words, F.transform(F.sequence(F.lit(0), F.size(w) - min_words), lambda i: F.array_join(F.slice(w, i + 1, min_words), " "))).otherwise(F.array().cast("array<string>"))))
-    found = rows.select(F.explode_outer(F.array_distinct(grams)).alias("substring")).where("substring is not null").groupBy("substring").agg(F.count("*").alias("n_texts"))
-    total = df.where(F.col(text).isNotNull()).agg(F.count("*").alias("t"))
-    return found.crossJoin(F.broadcast(total)).where(F.col("n_texts") >= min_ratio * F.col("t")).select("substring", "n_texts", (F.col("n_texts") / F.col("t")).alias("ratio"))
+    given = df.where(F.col(text).isNotNull())
+    total = given.count()
+    rows = given.select(F.filter(F.split(F.array_join(ends, " "), r"\s+"), lambda w: w != "").alias("w")).withColumn("id", F.monotonically_increasing_id())
+    rows = rows.where(F.size("w") >= min_words).localCheckpoint()
+    found: dict[str, int] = {}
+    n = min_words
+    while True:
+        # Several lengths in one pass, as many texts share long passages; shorter runs of one frequent run are all frequent.
+        last = n + LENGTHS - 1
+        runs = F.flatten(F.transform(F.sequence(F.lit(n), F.least(F.size("w"), F.lit(last))), lambda k: F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.array_join(F.slice("w", i + 1, k), " "))))
+        grams = rows.where(F.size("w") >= n).select("id", F.explode(F.array_distinct(runs)).alias("g"))
+        often = grams.groupBy("g").agg(F.count("*").alias("k")).where(F.col("k") >= min_ratio * total).collect()
+        found.update((r.g, r.k) for r in often)
+        longest = [(r.g,) for r in often if r.g.count(" ") == last - 1]
+        if not longest:
+            break
+        some = rows.where(F.size("w") >= last).select("id", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - last), lambda i: F.array_join(F.slice("w", i + 1, last), " "))).alias("g"))
+        held = some.join(F.broadcast(df.sparkSession.createDataFrame(longest, "g string")), "g").select("id").distinct()
+        rows, n = rows.join(held, "id", "left_semi").localCheckpoint(), last + 1
+    kept = _frequency_cut(_longest_runs({g: k / total for g, k in found.items()}, margin), significant_ratio, min_change)
+    return df.sparkSession.createDataFrame([(g, found[g], ratio) for g, ratio in kept], "substring string, n_texts long, ratio double")
+
+
+def _longest_runs(ratio: dict[str, float], margin: float) -> dict[str, float]:
+    """Without runs inside longer ones; a shorter one that is more frequent by over ``margin`` takes the longer one's place."""
+    left = dict(sorted(ratio.items(), key=lambda x: (-len(x[0]), x[0])))
+    for run in list(left):
+        if run not in left:
+            continue
+        for other in list(left):
+            if other != run and other in left and other in run:
+                if left[other] - left[run] <= margin:
+                    del left[other]
+                else:
+                    del left[run]
+                    run = other
+    return left
+
+
+def _frequency_cut(ratio: dict[str, float], significant: float, min_change: float) -> list[tuple[str, float]]:
+    """The runs before the steepest relative drop of frequency, or all significant ones if those are more."""
+    ranked = sorted(ratio.items(), key=lambda x: (x[1], x[0]), reverse=True)
+    if len(ranked) <= 1:
+        return ranked
+    drops = [(a - b) / a for (_, a), (_, b) in zip(ranked, ranked[1:])]
+    steepest = max(drops)
+    peak = drops.index(steepest) + 1 if steepest > min_change else len(ranked)
+    return ranked[: max(sum(r >= significant for _, r in ranked), peak)]
 
 
 def entity_spans(df: DataFrame, tokens_id: str, tags: str) -> DataFrame:

@@ -121,6 +121,17 @@ def test_models_report_all_rows(spark, monkeypatch):
     assert far.auc > 0.95 and 400 < seen[-1] < 500
 
 
+def test_frequent_substrings_grow_to_the_shared_sentence(spark):
+    shared = " ".join(f"s{k}" for k in range(20)) + "."
+    rows = [(f"a{i} b{i} c{i} d{i} e{i}. " + (shared if i % 2 else "") + f" f{i} g{i} h{i} i{i}.",) for i in range(40)] + [(None,)]
+    found = text.frequent_substrings(spark.createDataFrame(rows, "t string"), "t").collect()
+    assert [tuple(r) for r in found] == [(shared, 20, 0.5)]
+    # A part that is more frequent by the margin stays in place of the whole; so does what comes before a steep drop.
+    assert text._longest_runs({"a b c d e": 0.1, "a b c d": 0.3, "b c d e": 0.1}, 0.02) == {"a b c d": 0.3, "b c d e": 0.1}
+    assert [g for g, _ in text._frequency_cut({"a": 0.2, "b": 0.19, "c": 0.06}, 0.3, 0.05)] == ["a", "b"]
+    assert [g for g, _ in text._frequency_cut({"a": 0.9, "b": 0.31, "c": 0.3}, 0.3, 0.05)] == ["a", "b", "c"]
+
+
 def test_conditions_and_writers(spark):
     df = spark.createDataFrame([(None, "a"), (1, "b")], "x int, y string")
     nulls = Check("nulls", lambda d: integrity.percent_of_nulls(d.df), (at_most("percent", 0.05),))
