@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -45,18 +46,19 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share.
+    """A new path in the folder that driver and executors share; it goes when the program ends.
 
-    That is ``spark.checkpoint.dir``; only where it is unset, as in tests, a
-    temporary folder takes its place. The path goes when the program ends.
+    That is ``spark.checkpoint.dir``. Where it is unset, a local session (one
+    machine, as in tests) gets a temporary folder; any other is refused, as
+    its executors would write to disks that the others don't see.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="plumbline-")
-        spark.sparkContext.setCheckpointDir(base)
-        base = spark.sparkContext.getCheckpointDir() or base
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
+        base = context.getCheckpointDir()
     if "://" not in base and not base.startswith("file:"):
         base = "file://" + os.path.abspath(base)
     path = f"{base.rstrip('/')}/plumbline-{uuid.uuid4().hex}"
@@ -73,11 +75,65 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Spark removes a query's shuffle files as it ends; else they stay until the driver's memory happens to be cleaned.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _write(df: DataFrame) -> tuple[str, DataFrame]:
+    spark = df.sparkSession
+    path = shared_dir(spark)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    return path, spark.read.schema(df.schema).parquet(path)
+
+
 def keep(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors. It stays until the program ends."""
+    return _write(df)[1]
+
+
+class Tables:
+    """The intermediate tables of one call, in the shared folder: ``drop`` deletes one, the end of the ``with`` block the others.
+
+    A plan that is run after the block reads none of them.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *error) -> None:
+        for path, _ in self.paths.values():
+            _remove(self.spark, path)
+        self.paths.clear()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path, read = _write(df)
+        self.paths[id(read)] = path, read
+        return read
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            path, _ = self.paths.pop(id(table))
+            _remove(self.spark, path)
+
+
+#: Keys of rows to find or leave out that are still broadcast (some 40 bytes each); more of them meet by a shuffle.
+BROADCAST_KEYS = 400_000
+
+
+def by_keys(df: DataFrame, keys: DataFrame, on: list[str] | Column, how: str) -> DataFrame:
+    """``df`` joined with ``keys`` (a table that is written already), which is broadcast as long as it has few rows."""
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, how)
 
 
 def map_rows(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -13,11 +13,12 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import prepare
+from ._shared import Tables, prepare
 from .bytelevel import CACHE_CHARS, PieceTable, is_byte_level, split
 from .sentencepiece_codec import encoder
 
@@ -27,6 +28,11 @@ FREQUENT, REPORT = 32_768, 8_192
 _tables: dict[tuple[str, int], PieceTable] = {}
 
 
+def _lengths(ids: np.ndarray, at: np.ndarray) -> list[int]:
+    """How many ids each run that starts at ``at`` has."""
+    return np.diff(np.append(at, len(ids))).tolist()
+
+
 def frequent_pretokens(docs: DataFrame, path: str, text: str = "text", frequent: int = FREQUENT) -> list[tuple[str, int]]:
     """The pre-tokens that occur most often, with their lengths: at most ``frequent``.
 
@@ -48,17 +54,18 @@ def frequent_pretokens(docs: DataFrame, path: str, text: str = "text", frequent:
         yield pa.RecordBatch.from_pydict({"token": pa.array([t for t, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
 
     prepare(docs.sparkSession)
-    rows = (
-        docs.select(F.col(text).alias("text"))
-        .mapInArrow(summarise, "token string, n long")
-        .groupBy("token")
-        .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "token")
-        .limit(frequent)
-        .collect()
-    )
-    found = [r.token for r in rows]
-    return list(zip(found, PieceTable(path, len).encode([f" {t}" for t in found])))
+    reports = docs.select(F.col(text).alias("text")).mapInArrow(summarise, "token string, n long")
+    with Tables(docs.sparkSession) as tables:
+        added = tables.keep(reports.groupBy("token").agg(F.sum("n").alias("n")))
+        # The lowest count that at most ``frequent`` of them reach: the driver gets no more than these.
+        step = F.floor(F.log2("n") * 8).cast("int")
+        seen = lowest = 0
+        for r in sorted(added.groupBy(step.alias("step")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r.step):  # eight rows for each doubling
+            if seen + r.k > frequent:
+                break
+            seen, lowest = seen + r.k, r.step
+        found = sorted(r.token for r in added.where(step >= lowest).collect()) if seen else []
+    return list(zip(found, PieceTable(path, _lengths).encode([f" {t}" for t in found])))
 
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text", out: str = "n_tokens", frequent: int = FREQUENT) -> DataFrame:
@@ -86,7 +93,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", out: str = "n_t
             return lambda texts: [bpe.count(s) for s in texts]
         if (path, number) not in _tables:
             _tables.clear()
-            _tables[path, number] = PieceTable(path, len, {t: n for t, n in zip(*shared.value) if n < 255} if shared else None)
+            _tables[path, number] = PieceTable(path, _lengths, {t: n for t, n in zip(*shared.value) if n < 255} if shared else None)
         table = _tables[path, number]
         if kind == "library":
             return table.encode

@@ -21,6 +21,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +37,17 @@ LENGTH, BATCH, SHARD_BYTES = 2048, 256, 64 << 20
 _tables: dict[tuple[str, str], PieceTable] = {}
 
 
+def _bytes_of(dtype: str, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """The bytes of the runs of ids that start at ``at``."""
+    size, packed = np.dtype(dtype).itemsize, ids.astype(dtype).tobytes()
+    ends = [*(at[1:] * size).tolist(), len(packed)]
+    return [packed[a:b] for a, b in zip((at * size).tolist(), ends)]
+
+
 def _coder(path: str, dtype: str):
     """Texts -> the bytes of each one's ids."""
     if (path, dtype) not in _tables:
-        _tables[path, dtype] = PieceTable(path, lambda ids: np.array(ids, dtype).tobytes())
+        _tables[path, dtype] = PieceTable(path, partial(_bytes_of, dtype))
     table = _tables[path, dtype]
     if is_byte_level(path):
         return lambda texts: list(map(b"".join, table.texts(texts)))

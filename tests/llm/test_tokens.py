@@ -1,5 +1,6 @@
 import hashlib
 import zlib
+from functools import partial
 
 import numpy as np
 import public_tokenizers as P
@@ -9,14 +10,14 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from plumbline.llm import token_files
+from plumbline.llm import bytelevel, token_counts, token_files
 from plumbline.llm._shared import shared_dir
 from plumbline.llm.bytelevel import PieceTable
 from plumbline.llm.sentencepiece_codec import PieceEncoder, decode_pieces, encode_pieces
 from plumbline.llm.token_counts import count_tokens
 
 BYTES, PIECES = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
-odd = st.text(st.sampled_from(list("abcdefe \n\t▁éñ中😀<|endoftext|>.,!-0՘\x00\x1c ") + ["<|endoftext|>", "  ", " the", "ing"]), max_size=60)
+odd = st.lists(st.sampled_from([*"abcdefe \n\t▁éñ中😀<|endoftext|>.,!-0՘\x00\x1c\u00a0\u2003", "<|endoftext|>", "  ", " the", "ing", "'s", " \n", "\n "]), max_size=60).map("".join)
 
 
 @settings(max_examples=300, deadline=None)
@@ -28,10 +29,18 @@ def test_pieces_equal_the_library(text):
 
 
 @settings(max_examples=300, deadline=None)
-@given(odd)
-def test_byte_level_equals_the_library(text):
+@given(st.lists(odd, max_size=5))
+def test_byte_level_equals_the_library(texts):
     table, library = _tables()
-    assert sum(table.texts([text])[0]) == len(library.encode(text, add_special_tokens=False).ids)
+    assert [b"".join(x) for x in table.texts(texts)] == [np.array(library.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+
+
+def test_a_full_cache_forgets_and_still_encodes(monkeypatch):
+    monkeypatch.setattr(bytelevel, "CACHE_ENTRIES", 20)
+    table, library = PieceTable(BYTES, token_counts._lengths, {"given": 1}), Tokenizer.from_file(BYTES)
+    for k in range(40):
+        texts = [f"word{k} given a b c again{k // 3} \n end", "x" * 100 + f" {k} x y"]
+        assert list(map(sum, table.texts(texts))) == [len(library.encode(t).ids) for t in texts]
 
 
 _made: dict = {}
@@ -45,7 +54,7 @@ def _encoders():
 
 def _tables():
     if "b" not in _made:
-        _made["b"] = PieceTable(BYTES, len), Tokenizer.from_file(BYTES)
+        _made["b"] = PieceTable(BYTES, partial(token_files._bytes_of, "<u2")), Tokenizer.from_file(BYTES)
     return _made["b"]
 
 
