@@ -1,12 +1,17 @@
 """Language-model scores of documents: likelihood over a subword lattice.
 
 The vocabulary is that of an existing tokenizer. Its scores, which rank the
-pieces, give the first weights; expectation maximisation over the words of all
-training documents turns them into unigram probabilities. A word's probability
-is the sum over all its segmentations into pieces, by the forward recursion in
-log space; a document's is the product over its words and one end. Words of a
-document repeat those of others, so the recursion runs once per distinct word
-of a batch, over many words at a time.
+pieces, are turned into weights of 1 / (rank + 10); as a prior they stay in the
+result, and expectation maximisation over the distinct words of all training
+documents, each once, makes unigram probabilities of them. A word's
+probability is the sum over all its segmentations into pieces, by the forward
+recursion in log space. A word that training documents hold is a segment of
+its own as well, with its count less a discount; what the discount takes from
+all words is the share of the pieces (absolute discounting, with the discount
+that the words of one and of two occurrences give). A document's probability is
+the product over its words and one end. Words of a document repeat those of
+others, so the recursion runs once per distinct word of a batch, over many
+words at a time.
 
 The word counts that training gathers are a table that grows with the corpus
 and stays distributed. A bounded table of the most frequent words (``FREQUENT``
@@ -26,12 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ._shared import keep, prepare
-from .substring_dedup import release
+from ._shared import Tables, keep, prepare
 
 MARK = "▁"
-#: Words whose counts are broadcast; rounds of expectation maximisation; what each piece counts beforehand.
-FREQUENT, ROUNDS, PRIOR = 100_000, 3, 0.1
+#: Words whose counts are broadcast; rounds of expectation maximisation; what a piece counts beforehand on average.
+FREQUENT, ROUNDS, PRIOR = 100_000, 2, 0.02
+#: The discount of words' counts where the counts give none, and its limits.
+DISCOUNT, DISCOUNTS = 0.5, (0.1, 0.9)
 #: Words longer than this (with the mark) are scored one at a time.
 LONG = 48
 CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
@@ -234,10 +240,11 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def train(counts: DataFrame, ends: int, path: str, rounds: int = ROUNDS) -> np.ndarray:
-    """Unigram probabilities of the pieces, the bytes and the end, from all counted words."""
-    spark = counts.sparkSession
+def train(words: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
+    """Unigram probabilities of the pieces, the bytes and the end, from the distinct words in the first column of ``words``."""
+    spark = words.sparkSession
     own = lattice(path)
+    prior = PRIOR * own.size * own.first_weights()
     p = own.first_weights()
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(p)
@@ -245,36 +252,47 @@ def train(counts: DataFrame, ends: int, path: str, rounds: int = ROUNDS) -> np.n
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             model = lattice(path).set(shared.value)
             expect = np.zeros(model.size)
-            words, times = [], []
+            waiting: list[str] = []
             for batch in batches:
-                words += [MARK + w.decode("utf-8", "surrogatepass") for w in batch.column(0).to_pylist()]
-                times += batch.column(1).to_pylist()
-                if len(words) >= AT_ONCE:  # the vectors are as long as the words of one length
-                    model.forward(words, expect, np.array(times, float))
-                    words, times = [], []
-            if words:
-                model.forward(words, expect, np.array(times, float))
+                waiting += [MARK + w.decode("utf-8", "surrogatepass") for w in batch.column(0).to_pylist()]
+                if len(waiting) >= AT_ONCE:  # the vectors are as long as the words of one length
+                    model.forward(waiting, expect)
+                    waiting = []
+            if waiting:
+                model.forward(waiting, expect)
             at = np.flatnonzero(expect)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(expect[at])], names=["piece", "uses"])
 
-        total = np.full(own.size, PRIOR)
-        for r in counts.mapInArrow(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect():  # a row per piece of the vocabulary
+        total = prior.copy()
+        for r in words.mapInArrow(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect():  # a row per piece of the vocabulary
             total[r.piece] += r.uses
-        total[own.end] += ends
+        total[own.end] += 1
         p = total / total.sum()
     return p
 
 
+def _frequent(counts: DataFrame, most: int) -> list:
+    """The words above the lowest count that at most ``most`` words reach; counts are told apart in steps of a twelfth."""
+    step = F.floor(F.log2("c") * 8).cast("int")
+    seen = lowest = 0
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.step):  # a row per step, eight for each doubling
+        if seen + r.n > most:
+            break
+        seen, lowest = seen + r.n, r.step
+    return counts.where(step >= lowest).collect() if seen else []
+
+
 def score_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, frequent: int = FREQUENT) -> DataFrame:
     """``docs`` with held_out, n_tokens, n_known, train_tokens (long), base_score and score.
 
     Documents whose crc32 of the id as text leaves ``held`` modulo ``folds``
     are held out of training; a null id is trained on. Tokens are the words (A-Z
     lower case) and one end. base_score is the add-one unigram log10
-    probability of the words, score the lattice's of the same text. A null text is empty: its end
-    alone. Repeated rows count and are scored each. With nothing to train on,
-    N is 0 and the weights stay those of the vocabulary. Columns of ``docs``
-    named like an added one are replaced.
+    probability of the words, score the lattice's of the same text. A null text
+    is empty: its end alone. Repeated rows count and are scored each. With
+    nothing to train on, N is 0 and pieces alone, with the weights of the
+    vocabulary, make the score. The text column is not returned; columns of
+    ``docs`` named like an added one are replaced.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -283,17 +301,19 @@ def score_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: st
     training = docs.where("not held_out")
     counts = keep(word_counts(training, text))
     ends = training.select("held_out").count()
-    row = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    times = lambda k: F.coalesce(F.sum((F.col("c") == k).cast("long")), F.lit(0)).alias(f"n{k}")
+    row = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), times(1), times(2)).first()
     n, v = row.n + ends, row.v + (ends > 0)
     base = math.log10(n + v + 1)
-    p = train(counts, ends, path)
-    top = counts.orderBy(F.desc("c"), "word").limit(frequent).collect()
+    less = min(max(row.n1 / (row.n1 + 2 * row.n2), DISCOUNTS[0]), DISCOUNTS[1]) if row.n1 else DISCOUNT
+    rest = less * v / n if n else 1.0  # the pieces' share of probability
+    p = train(counts, path)
+    top = _frequent(counts, frequent)
     common = spark.sparkContext.broadcast((p, [bytes(r.word) for r in top], [r.c for r in top]))
     number = common._jbroadcast.id()
-    release(spark)
 
     others = [c for c in docs.columns if c != text]
-    extra = "__row string, n_tokens long, __known long, __base double, score double, __rare array<struct<word:binary,n:long>>"
+    extra = "__row string, n_tokens long, __known long, __base double, score double, __rare array<struct<word:binary,n:long,lat:double>>"
     schema = StructType([*docs.select(*(F.col(f"`{c}`") for c in others)).schema.fields, *StructType.fromDDL(extra).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,9 +325,9 @@ def score_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: st
             _caches.clear()
             _caches[number] = (model, dict(zip(words, found)), {})
         model, known, cache = _caches[number]
-        end_weight = float(model.weights[model.end]) / math.log(10)
+        end_weight = math.log10(max(ends - less, 0) / max(n, 1) + rest * math.exp(float(model.weights[model.end])))
         end_base = math.log10(ends + 1) - base
-        log_of = {w: math.log10(c + 1) - base for w, c in known.items()} if "" not in cache else cache[""]
+        log_of = cache.get("") or {w: math.log10(c + 1) - base for w, c in known.items()}
         cache[""] = log_of
         part, number_of = TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -317,8 +337,9 @@ def score_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: st
                 cache.clear()
                 cache[""] = log_of
                 new = list({w for words in texts for w in words})
-            values = model.forward([MARK + w.decode("utf-8", "surrogatepass") for w in new]) / math.log(10)
-            own = dict(zip(new, values.tolist()))
+            values = (model.forward([MARK + w.decode("utf-8", "surrogatepass") for w in new]) / math.log(10)).tolist()
+            # Of frequent words the whole probability, of others that of their pieces.
+            own = {w: math.log10((known[w] - less) / n + rest * 10**x) if w in known else x for w, x in zip(new, values)}
             cache.update((w, s) for w, s in own.items() if len(w) <= CACHE_CHARS)
             out: list[list] = [[] for _ in range(6)]
             for words in texts:
@@ -326,31 +347,38 @@ def score_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: st
                 for w, k in words.items():
                     tokens += k
                     value = own.get(w)
-                    score += k * (cache[w] if value is None else value)
-                    if (value := log_of.get(w)) is None:
-                        rare.append({"word": w, "n": k})
+                    if value is None:
+                        value = cache[w]
+                    if (of_word := log_of.get(w)) is None:
+                        rare.append({"word": w, "n": k, "lat": value})
                     else:
                         n_known += k
-                        of_base += k * value
+                        of_base += k * of_word
+                        score += k * value
                 for column, value in zip(out, (f"{part}-{number_of}", tokens, n_known, of_base, score, rare)):
                     column.append(value)
                 number_of += 1
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64()), ("lat", pa.float64())])))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], *(pa.array(c, k) for c, k in zip(out, kinds))], names=schema.names)
 
-    scored = keep(docs.select(*(F.col(f"`{c}`") for c in others), F.col(f"`{text}`")).mapInArrow(run, schema))
-    rare = scored.select("__row", F.explode("__rare").alias("r")).select("__row", F.col("r.word").alias("word"), F.col("r.n").alias("n"))
-    looked = rare.join(counts, "word", "left")
-    sums = looked.groupBy("__row").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("__more"),
-        F.sum(F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 1) - base)).alias("__rest"),
-    )
-    joined = scored.drop("__rare").join(sums, "__row", "left")
-    return joined.select(
-        *(F.col(f"`{c}`") for c in others),
-        "n_tokens",
-        (F.col("__known") + F.coalesce("__more", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("__base") + F.coalesce("__rest", F.lit(0.0))).alias("base_score"),
-        "score",
-    )
+    with Tables(spark) as tables:
+        scored = tables.keep(docs.select(*(F.col(f"`{c}`") for c in others), F.col(f"`{text}`")).mapInArrow(run, schema))
+        looked = scored.select("__row", F.explode("__rare").alias("r")).select("__row", "r.*").join(counts, "word", "left")
+        c = F.col("c")
+        of_word = F.when(c.isNull(), math.log10(rest) + F.col("lat")).otherwise(F.log10((c - less) / max(n, 1) + rest * F.pow(F.lit(10.0), F.col("lat"))))
+        sums = looked.groupBy("__row").agg(
+            F.sum(F.when(c.isNotNull(), F.col("n")).otherwise(0)).alias("__more"),
+            F.sum(F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 1) - base)).alias("__rest"),
+            F.sum(F.col("n") * of_word).alias("__words"),
+        )
+        joined = scored.drop("__rare").join(sums, "__row", "left")
+        return keep(
+            joined.select(
+                *(F.col(f"`{c}`") for c in others),
+                "n_tokens",
+                (F.col("__known") + F.coalesce("__more", F.lit(0))).alias("n_known"),
+                F.lit(n).cast("long").alias("train_tokens"),
+                (F.col("__base") + F.coalesce("__rest", F.lit(0.0))).alias("base_score"),
+                (F.col("score") + F.coalesce("__words", F.lit(0.0))).alias("score"),
+            )
+        )
