@@ -1,30 +1,56 @@
-"""Running sums over an order without bringing a whole column into one task."""
+"""Running sums and quantiles over an order without bringing a whole column into one task."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 32
+#: Pieces that an order is cut into: at least so many, as many as the session's shuffles have partitions, at most so many.
+BUCKETS, MOST_BUCKETS = 32, 4096
 
 
-def running_sums(df: DataFrame, part: list[str], order: str, sums: dict[str, str], buckets: int = BUCKETS) -> DataFrame:
+def running_sums(df: DataFrame, part: list[str], order: str, sums: dict[str, str], ahead: str | None = None, buckets: int | None = None) -> DataFrame:
     """``df`` with running sums (including the own row) of ``sums`` (new name -> column), by ``order`` within ``part``.
 
     ``order`` is distinct within ``part``. The rows of a part are cut into
     buckets at approximate quantiles, summed inside buckets in parallel, and
     the totals of the buckets before are added: a table of parts times buckets.
+    ``ahead`` names a column for the next row's ``order``, null for the last.
     """
+    buckets = buckets or min(MOST_BUCKETS, max(BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     quantiles = [k / buckets for k in range(1, buckets)]
     keys = part or ["__all"]
     df = df if part else df.withColumn("__all", F.lit(0))
-    bounds = df.groupBy(*keys).agg(F.percentile_approx(order, quantiles, 1000).alias("__bounds"))
+    bounds = df.groupBy(*keys).agg(F.percentile_approx(order, quantiles, max(1000, 10 * buckets)).alias("__bounds"))
     cut = df.join(F.broadcast(bounds), keys).withColumn("__bucket", F.size(F.filter("__bounds", lambda b: b < F.col(order)))).drop("__bounds")
-    totals = cut.groupBy(*keys, "__bucket").agg(*(F.sum(c).alias(f"__t_{n}") for n, c in sums.items()))
-    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "__bucket", *(F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums))
-    inside = Window.partitionBy(*keys, "__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    totals = cut.groupBy(*keys, "__bucket").agg(*(F.sum(c).alias(f"__t_{n}") for n, c in sums.items()), F.min(order).alias("__first"))
+    along = Window.partitionBy(*keys).orderBy("__bucket")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "__bucket", *(F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums), F.lead("__first").over(along).alias("__next"))
+    inside = Window.partitionBy(*keys, "__bucket").orderBy(order)
     out = cut.join(F.broadcast(offsets), [*keys, "__bucket"])
     for n, c in sums.items():
-        out = out.withColumn(n, F.sum(c).over(inside) + F.col(f"__o_{n}"))
-    return out.drop("__bucket", *(f"__o_{n}" for n in sums), *([] if part else ["__all"]))
+        out = out.withColumn(n, F.sum(c).over(inside.rowsBetween(Window.unboundedPreceding, 0)) + F.col(f"__o_{n}"))
+    if ahead:
+        out = out.withColumn(ahead, F.coalesce(F.lead(order).over(inside), F.col("__next")))
+    return out.drop("__bucket", "__next", *(f"__o_{n}" for n in sums), *([] if part else ["__all"]))
+
+
+def exact_quantiles(df: DataFrame, part: list[str], value: str, at: list[float]) -> DataFrame:
+    """(part, q, n): the exact quantiles of a numeric column, between two values in proportion; nulls and NaN left out.
+
+    What ``percentile`` gives, which keeps all distinct values in one task.
+    """
+    v = F.col(f"`{value}`").cast("double")
+    counts = df.select(*part, v.alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v")).groupBy(*part, "__v").agg(F.count("*").alias("__n"))
+    total = counts.groupBy(*part).agg(F.sum("__n").alias("n"))
+    ran = running_sums(counts, part, "__v", {"__upto": "__n"})
+    ran = ran.join(F.broadcast(total), part) if part else ran.crossJoin(F.broadcast(total))
+    place = [F.lit(float(q)) * (F.col("n") - 1) for q in at]
+    found = ran.groupBy(*part).agg(
+        F.first("n").alias("n"),
+        *(F.min(F.when(F.col("__upto") > F.floor(p), F.col("__v"))).alias(f"__a{k}") for k, p in enumerate(place)),
+        *(F.min(F.when(F.col("__upto") > F.ceil(p), F.col("__v"))).alias(f"__b{k}") for k, p in enumerate(place)),
+    )
+    one = lambda k, p: F.when(F.col(f"__a{k}") == F.col(f"__b{k}"), F.col(f"__a{k}")).otherwise((F.ceil(p) - p) * F.col(f"__a{k}") + (p - F.floor(p)) * F.col(f"__b{k}"))
+    return found.select(*part, F.array(*(one(k, p) for k, p in enumerate(place))).alias("q"), "n")

@@ -1,9 +1,11 @@
 """String expressions: base forms, text normalisation and text properties, all inside the JVM."""
 
-from __future__ import annotations
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Base forms of strings that stand for a missing value.
 NULL_FORMS = ["none", "null", "nan", "na", "", "\x00", "\x00\x00"]
@@ -43,14 +45,14 @@ def remove_stopwords(text: Column, stopwords: list[str] | None = None) -> Column
     return F.array_join(F.filter(F.split(text, " "), lambda w: ~F.lower(w).isin(words)), " ")
 
 
-def normalize_text(text: Column, ignore_case: bool = True, punctuation: bool = True, stopwords: bool = True, whitespace: bool = False) -> Column:
-    """Lower case, then without punctuation, then without stopwords, then (if asked) without white space.
+def normalize_text(text: Column, ignore_case: bool = True, punctuation: bool = True, stopwords: bool = True, whitespace: bool = False, unicode: bool = False) -> Column:
+    """Lower case, then without punctuation, then composed (if asked), then without stopwords, then (if asked) without white space.
 
-    Unicode forms are not composed here: Spark has no such function, and a
-    Python pass over every text would cost more than the check.
+    Composing takes a Python pass over every text, as Spark has no function for it.
     """
     out = F.lower(text) if ignore_case else text
     out = remove_punctuation(out) if punctuation else out
+    out = normalize_unicode(out) if unicode else out
     out = remove_stopwords(out) if stopwords else out
     return F.regexp_replace(out, r"\s", "") if whitespace else out
 
@@ -130,8 +132,118 @@ def reading_time(text: Column) -> Column:
     return F.bround(F.length(F.regexp_replace(text, r"\s", "")) * 14.69 / 1000, 2)
 
 
+# --- syllables, by rule ------------------------------------------------------
+
+
+def _syllables(word: Column) -> Column:
+    """Groups of vowels, less a silent e at the end, at least one: an approximation without a lexicon, for English."""
+    groups = F.regexp_count(F.lower(word), F.lit("[aeiouy]+"))
+    silent = F.lower(word).rlike("[^aeiouyl]e$").cast("int")
+    return F.greatest(groups - silent, F.lit(1))
+
+
+def syllables_count(text: Column) -> Column:
+    return F.aggregate(words(text), F.lit(0), lambda a, w: a + _syllables(w))
+
+
+def readability_score(text: Column) -> Column:
+    """Flesch's reading ease, with syllables by rule: higher is easier."""
+    n, s = F.size(words(text)), F.size(sentences(text))
+    return F.when((n > 0) & (s > 0), F.bround(206.835 - 1.015 * n / s - 84.6 * syllables_count(text) / n, 3))
+
+
+def unique_syllables_count(text: Column) -> Column:
+    """How many distinct words the syllables are counted over."""
+    return F.size(F.array_distinct(words(F.lower(text))))
+
+
+def average_syllable_length(text: Column) -> Column:
+    """Syllables of a sentence on average."""
+    s = F.size(sentences(text))
+    return F.when(s > 0, F.bround(syllables_count(text) / s, 2))
+
+
+def english_text(language: Column) -> Column:
+    """Whether a language column says English."""
+    return F.lower(language).isin("en", "eng", "english")
+
+
+# --- more on strings ---------------------------------------------------------
+
+
+@F.pandas_udf(StringType())
+def normalize_unicode(text: pd.Series) -> pd.Series:
+    """Compatibility composition (NFKC), which Spark has no function for."""
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def cut_string(text: Column, length: int = 200) -> Column:
+    """The text up to the first space at or after ``length`` characters."""
+    return F.regexp_extract(text, rf"(?s)^.{{0,{length}}}$|^.{{{length}}}[^ ]*", 0)
+
+
+def first_of(text: Column, parts: list[str]) -> Column:
+    """struct(at, part) of the earliest of several substrings (the first in the list of equal ones); at is 0-based, -1 if there is none."""
+    found = F.array(*(F.struct((F.instr(text, p) - 1).alias("at"), F.lit(k).alias("k"), F.lit(p).alias("part")) for k, p in enumerate(parts)))
+    best = F.array_min(F.filter(found, lambda x: x["at"] >= 0))
+    return F.struct(F.coalesce(best["at"], F.lit(-1)).alias("at"), best["part"].alias("part"))
+
+
+def split_and_keep(text: Column, separators: list[str]) -> Column:
+    """The parts of a text and its separators between them, in order; nothing is lost but empty parts."""
+    ordered = sorted(separators, key=len, reverse=True)
+    one = "|".join(f"\\Q{s}\\E" for s in ordered)
+    return F.filter(F.regexp_extract_all(text, F.lit(rf"(?s)(?:{one})|(?:(?!{one}).)+"), F.lit(0)), lambda p: p != "")
+
+
+def split_by_order(text: str, separators: list[str], keep: bool = True) -> list[str]:
+    """A text cut at each separator in turn, one after the other; a separator that does not follow is passed over."""
+    out, rest = [], text
+    for s in separators:
+        before, found, after = rest.partition(s)
+        if found:
+            out += [p for p in (before, found if keep else "") if p]
+            rest = after
+    return [*out, *([rest] if rest else [])]
+
+
+def break_to_lines(text: str, max_lines: int = 10, least: int = 50, most: int = 60) -> str:
+    """A text in lines of ``least`` to ``most`` characters, broken at spaces where it can be, joined by <br>; "..." where lines are left out."""
+    lines, rest = [], text.strip()
+    while rest and len(lines) < max_lines:
+        if len(rest) <= most:
+            lines.append(rest)
+            rest = ""
+            break
+        at = rest.rfind(" ", least, most + 1)
+        line, rest = (rest[:at], rest[at + 1 :]) if at >= 0 else (f"{rest[: most - 1]}-", rest[most - 1 :])
+        lines.append(line)
+    if rest:
+        lines[-1] += "..."
+    return "<br>".join(lines)
+
+
+def clean_iob(tags: Column) -> Column:
+    """Tags without their B-, I- and O- marks."""
+    return F.transform(tags, lambda t: F.regexp_replace(t, "^[BIO]-", ""))
+
+
+def row_sum(values: Column) -> Column:
+    """The sum of an array of numbers."""
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + F.coalesce(x.cast("double"), F.lit(0.0)))
+
+
+def null_name(value: Column, kind: str = "string") -> Column:
+    """The name of a missing value: NULL, NaN, or of a string its base form if that stands for one."""
+    if kind in ("double", "float"):
+        return F.when(value.isNull(), "NULL").when(F.isnan(value), "NaN")
+    if kind == "string":
+        return F.when(value.isNull(), "NULL").when(base_form(value).isin(*NULL_FORMS), value)
+    return F.when(value.isNull(), "NULL")
+
+
 #: Built-in properties by name. Those that need a downloaded model (sentiment, toxicity, fluency, formality,
-#: language, nouns, syllables) are columns that a caller adds, see ``text_properties(extra=...)``.
+#: language, nouns) are columns that a caller adds, see ``text_properties(extra=...)``.
 TEXT_PROPERTIES = {
     "text_length": text_length,
     "average_word_length": average_word_length,
@@ -146,4 +258,7 @@ TEXT_PROPERTIES = {
     "email_addresses_count": email_addresses_count,
     "unique_email_addresses_count": unique_email_addresses_count,
     "reading_time": reading_time,
+    "readability_score": readability_score,
+    "unique_syllables_count": unique_syllables_count,
+    "average_syllable_length": average_syllable_length,
 }

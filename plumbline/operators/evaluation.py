@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.running import exact_quantiles
 from . import kernels
 
 
@@ -22,7 +23,7 @@ def class_metrics(df: DataFrame, label: str, prediction: str, *by: str) -> DataF
     )
     per = sides.groupBy(*by, "class").agg(F.sum("hit").alias("tp"), (F.sum("said") - F.sum("hit")).alias("fp"), (F.sum("real") - F.sum("hit")).alias("fn"), F.sum("real").alias("support"))
     total = cells.groupBy(*by).agg(F.sum("n").alias("total")) if by else cells.agg(F.sum("n").alias("total"))
-    per = per.join(F.broadcast(total), list(by)) if by else per.crossJoin(F.broadcast(total))
+    per = per.join(total, list(by)) if by else per.crossJoin(F.broadcast(total))
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     tn = F.col("total") - tp - fp - fn
@@ -50,16 +51,19 @@ def regression_metrics(df: DataFrame, label: str, prediction: str, *by: str) ->
     e = F.col("y") - F.col("p")
     aggs = [
         F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), (1 - F.try_divide(F.avg(e * e), F.var_pop("y"))).alias("r2"),
-        F.max(F.abs(e)).alias("max_error"), (1 - F.try_divide(F.var_pop(e), F.var_pop("y"))).alias("explained_variance"), F.percentile(F.abs(e), 0.5).alias("median_absolute_error"), F.count("*").alias("n"),
+        F.max(F.abs(e)).alias("max_error"), (1 - F.try_divide(F.var_pop(e), F.var_pop("y"))).alias("explained_variance"), F.count("*").alias("n"),
     ]
-    return rows.groupBy(*by).agg(*aggs) if by else rows.agg(*aggs)
+    found = rows.groupBy(*by).agg(*aggs) if by else rows.agg(*aggs)
+    median = exact_quantiles(rows.withColumn("e", F.abs(e)), list(by), "e", [0.5]).select(*by, F.col("q")[0].alias("median_absolute_error"))
+    return found.join(median, list(by), "left") if by else found.join(F.broadcast(median), F.lit(True), "left")
 
 
 def regression_errors(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """(mean_error, median_error, kurtosis, rmse, systematic_ratio): the distribution of label less prediction."""
     e = F.col(label).cast("double") - F.col(prediction).cast("double")
     rows = df.select(e.alias("e")).where(F.col("e").isNotNull())
-    found = rows.agg(F.avg("e").alias("mean_error"), F.percentile("e", 0.5).alias("median_error"), F.kurtosis("e").alias("kurtosis"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"))
+    found = rows.agg(F.avg("e").alias("mean_error"), F.kurtosis("e").alias("kurtosis"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"))
+    found = found.join(F.broadcast(exact_quantiles(rows, [], "e", [0.5]).select(F.col("q")[0].alias("median_error"))), F.lit(True), "left")
     return found.withColumn("systematic_ratio", F.try_divide(F.abs("mean_error"), F.col("rmse")))
 
 
@@ -121,7 +125,7 @@ def performance_bias(df: DataFrame, label: str, prediction: str, protected: str,
     keys = [F.col(protected).cast("string").alias("protected"), (F.col(control).cast("string") if control else F.lit("all")).alias("control")]
     groups = df.groupBy(*keys).agg(hit.alias("score"), F.count("*").alias("n"))
     base = groups.groupBy("control").agg((F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("baseline"))
-    joined = groups.join(F.broadcast(base), "control").withColumn("score", F.when(F.col("n") >= min_size, F.col("score")))
+    joined = groups.join(base, "control").withColumn("score", F.when(F.col("n") >= min_size, F.col("score")))
     return joined.select("protected", "control", "score", "baseline", "n", (F.col("score") - F.col("baseline")).alias("diff"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
@@ -178,8 +180,9 @@ def iqr_outliers(df: DataFrame, columns: list[str], percentiles: tuple[float, fl
 def nearest_neighbours(df: DataFrame, queries: DataFrame, id_column: str, numeric: list[str], categorical: list[str], k: int) -> DataFrame:
     """(id, neighbour, distance, place): the ``k`` nearest rows of ``df`` by Gower distance for each row of ``queries``.
 
-    ``queries`` is a stated set, broadcast in blocks: each partition of ``df``
-    keeps its own best k per query, then the best of all partitions are taken.
+    ``queries`` is a stated set, broadcast in blocks of about ``BLOCK`` rows:
+    each partition of ``df`` keeps its own best k per query, then the best of
+    all partitions are taken.
     Numbers differ by their share of the column's range and are left out where
     null; categories differ by 0 or 1, null like null.
     """
@@ -187,6 +190,16 @@ def nearest_neighbours(df: DataFrame, queries: DataFrame, id_column: str, numeri
     base = df.select(F.col(id_column).alias("neighbour"), *(F.col(c).cast("double").alias(f"n_{c}") for c in numeric), *(F.col(c).alias(f"c_{c}") for c in categorical))
     ask = queries.select(F.col(id_column).alias("id"), *(F.col(c).cast("double").alias(f"qn_{c}") for c in numeric), *(F.col(c).alias(f"qc_{c}") for c in categorical))
     ask = ask.crossJoin(span)  # one row of ranges
+    blocks = -(-queries.count() // BLOCK) or 1
+    found = [_nearest_of(base, ask if blocks == 1 else ask.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b), numeric, categorical, k) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, found)
+
+
+#: Query rows that are broadcast at once, about.
+BLOCK = 20_000
+
+
+def _nearest_of(base: DataFrame, ask: DataFrame, numeric: list[str], categorical: list[str], k: int) -> DataFrame:
     pairs = base.join(F.broadcast(ask), F.col("id") != F.col("neighbour"))
     terms, weights = [], []
     for c in numeric:

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.running import running_sums
+from ..functions.running import exact_quantiles, running_sums
 
 OTHER = "Other rare categories"
 #: Shares below this count as this in the population stability index.
@@ -40,8 +40,8 @@ def _number(tagged: DataFrame) -> DataFrame:
     return tagged.where(F.col("v").isNotNull() & ~F.isnan("v"))
 
 
-def _ecdf(counts: DataFrame) -> DataFrame:
-    ran = running_sums(counts, ["feature"], "v", {"ca": "a", "cb": "b"})
+def _ecdf(counts: DataFrame, ahead: str | None = None) -> DataFrame:
+    ran = running_sums(counts, ["feature"], "v", {"ca": "a", "cb": "b"}, ahead)
     return ran.join(F.broadcast(sizes(counts)), "feature").withColumn("gap", F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb")))
 
 
@@ -58,10 +58,9 @@ def emd(tagged: DataFrame, margin: float = 0.0) -> DataFrame:
     """
     rows = _number(tagged)
     if margin:
-        fence = rows.groupBy("feature", "side").agg(F.percentile("v", F.array(F.lit(margin), F.lit(1 - margin))).alias("q"))
+        fence = exact_quantiles(rows, ["feature", "side"], "v", [margin, 1 - margin]).drop("n")
         rows = rows.join(F.broadcast(fence), ["feature", "side"]).where((F.col("v") >= F.col("q")[0]) & (F.col("v") <= F.col("q")[1])).drop("q")
-    steps = _ecdf(value_counts(rows))
-    ahead = steps.withColumn("width", F.lead("v").over(Window.partitionBy("feature").orderBy("v")) - F.col("v"))
+    ahead = _ecdf(value_counts(rows), "next").withColumn("width", F.col("next") - F.col("v"))
     whole = ahead.groupBy("feature").agg(F.sum(F.col("gap") * F.col("width")).alias("area"), (F.max("v") - F.min("v")).alias("range"))
     return whole.select("feature", F.when(F.col("range") > 0, F.col("area") / F.col("range")).otherwise(F.lit(0.0)).alias("score"))
 
@@ -71,9 +70,11 @@ def fold_rare(counts: DataFrame, min_ratio: float = 0.01, max_categories: int |
     sized = counts.join(F.broadcast(sizes(counts)), "feature")
     rare = F.col("a") < min_ratio * F.col("na")
     if max_categories:
+        # Only the first of each task get to the window.
         place = F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("a"), "v"))
-        sized = sized.withColumn("place", place)
-        rare = rare | (F.col("place") > max_categories)
+        first = sized.withColumn("place", place).where(F.col("place") <= max_categories).select("feature", F.col("v").alias("__v"), F.lit(True).alias("__first"))
+        sized = sized.join(F.broadcast(first), (sized["feature"] == first["feature"]) & sized["v"].eqNullSafe(first["__v"]), "left").drop(first["feature"], first["__v"])
+        rare = rare | F.col("__first").isNull()
     folded = sized.withColumn("v", F.when(rare, F.lit(OTHER)).otherwise(F.col("v"))).groupBy("feature", "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     stays = (F.col("v") != OTHER) | (F.col("a") > min_ratio * F.col("na")) | (F.col("b") > min_ratio * F.col("nb"))
     return folded.where(F.coalesce(stays, F.lit(True))).select("feature", "v", "a", "b")
@@ -197,7 +198,7 @@ def iqr_fences(df: DataFrame, columns: list[str], percentiles: tuple[float, floa
     """
     cells = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns))
     rows = df.select(F.inline(cells)).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    q = rows.groupBy("feature").agg(F.percentile("v", F.array(F.lit(percentiles[0] / 100), F.lit(percentiles[1] / 100))).alias("q"), F.count("*").alias("n"))
+    q = exact_quantiles(rows, ["feature"], "v", [percentiles[0] / 100, percentiles[1] / 100])
     near = rows.join(F.broadcast(q), "feature").groupBy("feature").agg(
         F.first("q").alias("q"),
         (F.sum((F.col("v") == F.col("q")[0]).cast("long")) / F.first("n")).alias("share"),
@@ -222,7 +223,7 @@ def quantile_edges(df: DataFrame, column: str, segments: int) -> list[float]:
     """Distinct edges of about ``segments`` quantile bins of one column."""
     edges, k = [], segments
     while k <= 64 * segments:
-        edges = sorted(set(df.agg(F.percentile(column, [i / k for i in range(k + 1)]).alias("q")).first().q or []))
+        edges = sorted(set((exact_quantiles(df, [], column, [i / k for i in range(k + 1)]).first() or ([],))[0]))
         if len(edges) > segments or k >= 4 * segments:
             break
         k *= 2
