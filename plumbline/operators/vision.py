@@ -355,8 +355,8 @@ def per_image_dice(df: DataFrame, image: str, label: str, prediction: str, smoot
 
 def segmentation_metrics(df: DataFrame, label: str, prediction: str, smooth: float = 1e-3) -> DataFrame:
     """(cls, dice, iou): means over the images that have the class in label or prediction; both are flat arrays of class ids."""
-    rows = df.select(F.monotonically_increasing_id().alias("i"), F.inline(F.arrays_zip(F.col(label).alias("g"), F.col(prediction).alias("p"))))
-    rows = rows.toDF("i", "g", "p")
+    # Numbered before the arrays are taken apart, so that a number stands for an image.
+    rows = df.select(F.arrays_zip(F.col(label).alias("g"), F.col(prediction).alias("p")).alias("z")).withColumn("i", F.monotonically_increasing_id()).select("i", F.inline("z")).toDF("i", "g", "p")
     sides = rows.select("i", F.inline(F.array(F.struct(F.col("g").alias("cls"), F.lit(1).alias("real"), F.lit(0).alias("said"), (F.col("g") == F.col("p")).cast("int").alias("both")), F.struct(F.col("p").alias("cls"), F.lit(0).alias("real"), F.lit(1).alias("said"), F.lit(0).alias("both")))))
     per = sides.groupBy("i", "cls").agg(F.sum("real").alias("g"), F.sum("said").alias("p"), F.sum("both").alias("b"))
     dice, iou = (2 * F.col("b") + smooth) / (F.col("g") + F.col("p") + smooth), (F.col("b") + smooth) / (F.col("g") + F.col("p") - F.col("b") + smooth)

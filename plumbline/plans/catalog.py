@@ -399,7 +399,11 @@ def performance_bias(spark, d):
     return evaluation.performance_bias(_judged(spark, d), "l_returnflag", "pred", "l_returnflag", "l_linestatus")
 
 
-@query()
+EDGES = "(SELECT quantile_cont(l_quantity, [0, 0.2, 0.4, 0.6, 0.8, 1]) AS a, quantile_cont(l_extendedprice, [0, 0.2, 0.4, 0.6, 0.8, 1]) AS b FROM lineitem)"
+BIN = """(SELECT format('[{{:g}}, {{:g}}', e[k], e[k + 1]) || CASE WHEN k = 5 THEN ']' ELSE ')' END FROM (SELECT {e} AS e, list_sum(list_transform({e}[2:5], lambda x: ({c} >= x)::INT))::INT + 1 AS k))"""
+
+
+@query(f"""SELECT segment_1, segment_2, avg(hit) AS accuracy, count(*) AS n FROM (SELECT {BIN.format(e='a', c='l_quantity')} AS segment_1, {BIN.format(e='b', c='l_extendedprice')} AS segment_2, (l_returnflag = pred)::INT AS hit FROM {JUDGED}, {EDGES}) GROUP BY 1, 2""")
 def segment_performance(spark, d):
     return evaluation.segment_performance(_judged(spark, d), "l_quantity", "l_extendedprice", "l_returnflag", "pred", 5)
 
@@ -530,12 +534,14 @@ def frequent_substrings(spark, d):
     return text.frequent_substrings(read(spark, d, "documents", "text"), "text", min_ratio=0.01)
 
 
-@query("""WITH c AS (SELECT lang AS value, count(*) / (SELECT count(*) FROM documents) AS share FROM documents GROUP BY 1),
+@query("""WITH c AS (SELECT CASE WHEN doc_id % 97 = 0 THEN concat('rare', doc_id % 2) ELSE lang END AS value, count(*) / (SELECT count(*) FROM documents) AS share FROM documents GROUP BY 1),
 r AS (SELECT *, sum(share) OVER o AS upto, lag(share) OVER o AS before FROM c WINDOW o AS (ORDER BY share DESC, value)),
 x AS (SELECT *, lag(upto) OVER (ORDER BY share DESC, value) AS had FROM r)
 SELECT value, share FROM (SELECT value, share, max((had >= 0.95 AND share <= 0.1 * before)::INT) OVER (ORDER BY share DESC, value) AS out FROM x) WHERE out = 1""")
 def category_outliers(spark, d):
-    return text.category_outliers(read(spark, d, "documents", "lang"), "lang")
+    """Languages, with a few rows under names of their own, so that there is a sharp drop."""
+    rare = F.when(F.col("doc_id") % 97 == 0, F.concat(F.lit("rare"), F.col("doc_id") % 2)).otherwise(F.col("lang"))
+    return text.category_outliers(read(spark, d, "documents", "doc_id", "lang").withColumn("kind", rare), "kind")
 
 
 # --- images and streams ------------------------------------------------------
@@ -568,3 +574,6 @@ def stream_windowed_values(spark, d):
 SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events)) GROUP BY user_id, s""")
 def stream_session_values(spark, d):
     return streams.session_values(read(spark, d, "events", "ts", "user_id"), "ts", "user_id")
+
+
+from . import more  # noqa: E402, F401  registers further queries
