@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import lower_ascii, once
+from ._shared import by_keys, keep, lower_ascii, once
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a window and of a gram; grams in a window.
@@ -66,8 +66,9 @@ def _windows(d: Column, i: Column, at: Column) -> Column:
 
 
 def _runs(words: Column, n: int) -> Column:
-    """All runs of ``n`` words, joined."""
-    return F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.concat_ws(" ", *(F.get(words, i + k) for k in range(n))))
+    """All runs of ``n`` words, joined, with their starts and ``n``."""
+    at = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(n).alias("len"), F.concat_ws(" ", *(F.get(words, i + k) for k in range(n))).alias("g")))
 
 
 def window_hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", item_text: str = "text") -> DataFrame:
@@ -87,15 +88,35 @@ def window_hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_
 
     short = once(items, "w", words_of(F.col(item_text))).where((F.size("w") > 0) & (F.size("w") < WINDOW)).select(F.col(item_id).alias("item"), "w")
     lengths = sorted(r.n for r in short.select(F.size("w").alias("n")).distinct().collect())  # nine at most
+    if not lengths:
+        return hits
     short = short.select("item", F.size("w").alias("sn"), F.array_join("w", " ").alias("s"))
-    for n in lengths:
-        rows = once(docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("key"), F.col(text).alias("t")), "w", words_of(F.col("t"))).where(F.size("w") >= n)
-        rows = rows.select("d", "key", F.posexplode_outer(_runs(F.col("w"), n)).alias("at", "g"))
-        own = short.where(F.col("sn") == n).select("item", "s")
-        if own.count() <= BROADCAST_ROWS:
-            own = F.broadcast(own)
-        hits = hits.unionByName(rows.join(own, rows["g"] == own["s"]).select("d", "key", "item", F.array("at").alias("starts"), F.lit(n).alias("len")))
-    return hits
+    if short.count() <= BROADCAST_ROWS:
+        short = F.broadcast(short)
+    rows = once(docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("key"), F.col(text).alias("t")), "w", words_of(F.col("t"))).where(F.size("w") >= lengths[0])
+    runs = F.explode_outer(F.flatten(F.array(*(_runs(F.col("w"), n) for n in lengths))))
+    rows = rows.select("d", "key", runs.alias("r")).select("d", "key", "r.*")
+    met = rows.join(short, (rows["len"] == short["sn"]) & (rows["g"] == short["s"]))
+    return hits.unionByName(met.select("d", "key", "item", F.array("at").alias("starts"), "len"))
+
+
+def _spans_by_document(hits: DataFrame) -> DataFrame:
+    """(__d, __k, __items, __hit) per document with a hit: the items, and how many words their windows cover."""
+    spans = F.array_sort(F.flatten(F.collect_set(F.transform("starts", lambda s: F.struct(s.alias("s"), (s + F.col("len")).alias("e"))))))
+    grouped = hits.groupBy("d", "key").agg(spans.alias("spans"), F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("__items"))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
+    step = lambda a, x: F.struct((a["n"] + F.greatest(x["e"] - F.greatest(a["end"], x["s"]), F.lit(0))).alias("n"), F.greatest(a["end"], x["e"]).alias("end"))
+    return grouped.select(F.col("d").alias("__d"), F.col("key").alias("__k"), "__items", F.aggregate("spans", start, step, lambda a: a["n"]).alias("__hit"))
+
+
+def contaminated_removed(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", item_text: str = "text") -> DataFrame:
+    """``docs`` without the documents that hold a window of an item.
+
+    Only ids and hashes of the few that go are joined; texts stay where they
+    are. Null and empty texts stay; rows that share id and text go together.
+    """
+    gone = keep(window_hits(docs, items, doc_id, item_id, text, item_text).select(F.col("d").alias("__d"), F.col("key").alias("__k")).distinct())
+    return by_keys(docs, gone, docs[doc_id].eqNullSafe(gone["__d"]) & (F.xxhash64(docs[text]) == gone["__k"]), "left_anti")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", item_text: str = "text") -> DataFrame:
@@ -107,11 +128,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", ite
     """
     docs = docs.drop("n_words", "n_hit", "item_ids", "contaminated")
     hits = window_hits(docs, items, doc_id, item_id, text, item_text)
-    spans = F.array_sort(F.flatten(F.collect_set(F.transform("starts", lambda s: F.struct(s.alias("s"), (s + F.col("len")).alias("e"))))))
-    grouped = hits.groupBy("d", "key").agg(spans.alias("spans"), F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("__items"))
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
-    step = lambda a, x: F.struct((a["n"] + F.greatest(x["e"] - F.greatest(a["end"], x["s"]), F.lit(0))).alias("n"), F.greatest(a["end"], x["e"]).alias("end"))
-    grouped = grouped.select(F.col("d").alias("__d"), F.col("key").alias("__k"), "__items", F.aggregate("spans", start, step, lambda a: a["n"]).alias("__hit"))
+    grouped = _spans_by_document(hits)
     base = docs.withColumn("n_words", F.size(words_of(F.col(text))).cast("long")).withColumn("__key", F.xxhash64(text))
     joined = base.join(grouped, base[doc_id].eqNullSafe(grouped["__d"]) & (base["__key"] == grouped["__k"]), "left")
     return (
