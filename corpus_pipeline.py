@@ -12,16 +12,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm._shared import keep, table
-from plumbline.llm.decontamination import decontaminate
+from plumbline.llm._shared import Tables, keep, table
+from plumbline.llm.decontamination import contaminated_removed
 from plumbline.llm.jaccard_join import near_duplicates_removed
 from plumbline.llm.quality_rules import clean_documents
 from plumbline.llm.sentencepiece_codec import encode_pieces
 from plumbline.llm.substring_dedup import dedup_substrings
 
-#: A document of which benchmark windows cover more than this share is a copy of the benchmark, and goes.
-MAX_HIT = 0.0
-
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -45,8 +42,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a window of a benchmark item."""
-    found = decontaminate(docs.select(COLUMNS), table(spark, sf_dir, "benchmark", "item_id", "text"))
-    return found.where(F.col("n_hit") <= MAX_HIT * F.col("n_words")).select(COLUMNS)
+    return contaminated_removed(docs.select(COLUMNS), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,8 +66,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = keep(docs)
-    return docs
+    with Tables(spark) as tables:
+        for _, stage in STAGES[:-1]:
+            before, docs = docs, tables.keep(stage(spark, docs, sf_dir))
+            if id(before) in tables.paths:
+                tables.drop(before)
+        return keep(STAGES[-1][1](spark, docs, sf_dir))
