@@ -4,7 +4,8 @@ Paragraphs (lines with words) are classified by logistic regression over
 sparse word 1-, 2- and 3-grams, trained on variants of the notices below
 against ordinary sentences. One class is ``unknown``, everything that is no
 notice of a family; the temperature of the probabilities and the least
-probability of a family are calibrated on variants held out of training. A
+probability of a family are calibrated on variants of notices and sentences
+that a model has not seen, each part of them left out in turn. A
 predicted family counts as confirmed only if the paragraph holds enough of one
 of that family's notices, word run by word run, or is itself a part of one: a
 cut notice or a line of a wrapped one. Such lines are also compared together
@@ -131,6 +132,8 @@ UNKNOWN = "unknown"
 COMMON = set("a an and any as at be by for from in is it its no not of on or that the this to was were with you i we he she they are has have had can may one all s".split())
 #: Words of the longest gram; share of a notice's word runs that confirms it; variants per notice; seed.
 GRAMS, CONFIRM, VARIANTS, SEED = 3, 0.6, 24, 7
+#: Parts of the sources that are left out in turn to calibrate.
+FOLDS = 3
 #: Words that a part of a notice has at least, as in training; lines before and after that may belong to the same notice.
 PART, AROUND = 8, 7
 #: Share of held-out ordinary texts that may be taken for a family.
@@ -165,39 +168,55 @@ class Model:
         rng = random.Random(SEED)
         self.classes = [UNKNOWN, *sorted(NOTICES)]
         filler = [w for s in ORDINARY for w in words_of(s)]
-        rows: list[tuple[int, list[str]]] = []
+        #: (class, words, number of the source): variants of one source are never on both sides of a fold.
+        rows: list[tuple[int, list[str], int]] = []
+        sources = 0
         for family, notices in NOTICES.items():
             for notice in notices:
-                rows += [(self.classes.index(family), v) for v in _variants(rng, notice, filler, VARIANTS)]
+                rows += [(self.classes.index(family), v, sources) for v in _variants(rng, notice, filler, VARIANTS)]
+                sources += 1
         notice_words = [w for texts in NOTICES.values() for t in texts for w in words_of(t)]
         for sentence in ORDINARY:
-            rows += [(0, v) for v in _variants(rng, sentence, filler, VARIANTS)]
+            rows += [(0, v, sources) for v in _variants(rng, sentence, filler, VARIANTS)]
+            sources += 1
         for k in range(40 * VARIANTS):  # single words of notices in other surroundings
             words = [rng.choice(filler) for _ in range(rng.randrange(3, 40))]
             words[rng.randrange(len(words))] = rng.choice(notice_words)
-            rows.append((0, words))
+            rows.append((0, words, sources + k))
         rng.shuffle(rows)
-        held = len(rows) // 4
-        train, test = rows[held:], rows[:held]
+        unseen, truth = [], []
+        for k in range(FOLDS):
+            test = [r for r in rows if r[2] % FOLDS == k]
+            self._learn([r for r in rows if r[2] % FOLDS != k])
+            x, y = self._matrix(test)
+            unseen.append(x @ self.weights + self.bias)
+            truth.append(y)
+        self._calibrate(np.concatenate(unseen), np.concatenate(truth))
+        self._learn(rows)
+
+    def _learn(self, rows: list[tuple[int, list[str], int]]) -> None:
+        """The grams that notices among ``rows`` have, and their weights."""
         counts: dict[str, int] = {}
-        for _, words in train:
-            for g in grams_of(words):
+        known: set[str] = set()
+        for c, words, _ in rows:
+            found = grams_of(words)
+            known |= found if c else set()
+            for g in found:
                 counts[g] = counts.get(g, 0) + 1
-        known = {g for texts in NOTICES.values() for t in texts for g in grams_of(words_of(t))}
-        self.index = {g: i for i, g in enumerate(sorted(g for g, n in counts.items() if n >= 3 and g in known))}
-        self.weights, self.bias = self._fit(train)
-        self._calibrate(test)
+        of_notices = {g for texts in NOTICES.values() for t in texts for g in grams_of(words_of(t))} & known
+        self.index = {g: i for i, g in enumerate(sorted(g for g, n in counts.items() if n >= 3 and g in of_notices))}
+        self.weights, self.bias = self._fit(rows)
 
     def _features(self, words: list[str]) -> list[int]:
         return [self.index[g] for g in grams_of(words) if g in self.index]
 
-    def _matrix(self, rows: list[tuple[int, list[str]]]) -> tuple[np.ndarray, np.ndarray]:
+    def _matrix(self, rows: list[tuple[int, list[str], int]]) -> tuple[np.ndarray, np.ndarray]:
         x = np.zeros((len(rows), len(self.index)), np.float32)
-        for k, (_, words) in enumerate(rows):
+        for k, (_, words, _) in enumerate(rows):
             x[k, self._features(words)] = 1
-        return x, np.array([c for c, _ in rows])
+        return x, np.array([c for c, _, _ in rows])
 
-    def _fit(self, rows: list[tuple[int, list[str]]]) -> tuple[np.ndarray, np.ndarray]:
+    def _fit(self, rows: list[tuple[int, list[str], int]]) -> tuple[np.ndarray, np.ndarray]:
         """Multinomial logistic regression: gradient steps with momentum, then weights near nought are dropped."""
         x, y = self._matrix(rows)
         target = np.eye(len(self.classes), dtype=np.float32)[y]
@@ -212,16 +231,17 @@ class Model:
         w[np.abs(w) < 0.05] = 0
         return w.astype(float), b.astype(float)
 
-    def _calibrate(self, rows: list[tuple[int, list[str]]]) -> None:
-        x, y = self._matrix(rows)
-        logits = x @ self.weights + self.bias
+    def _calibrate(self, logits: np.ndarray, y: np.ndarray) -> None:
+        """The temperature and the least probability, from texts whose sources the fold's model has not seen."""
         loss = lambda t: -np.log(_softmax(logits / t)[np.arange(len(y)), y] + 1e-12).mean()
         self.temperature = min((0.25 * 1.15**k for k in range(24)), key=loss)
         p = _softmax(logits / self.temperature)
-        self.accuracy = float((p.argmax(1) == y).mean())
         wrong = np.sort(p[y == 0, 1:].max(1))
         allowed = int(FALSE_ALARMS * len(wrong))
         self.least = float(max(0.5, wrong[len(wrong) - 1 - allowed]))
+        said = np.where(p[:, 1:].max(1) >= self.least, p[:, 1:].argmax(1) + 1, 0)
+        #: Of texts of unseen sources: how many get their class, and how many of the families' do.
+        self.accuracy, self.recall_unseen = float((said == y).mean()), float((said == y)[y > 0].mean())
 
     def predict(self, text: str) -> tuple[str, float]:
         """The class of one paragraph and its probability, as the scan computes it."""
