@@ -1,51 +1,51 @@
 """Substring deduplication by a relative Lempel-Ziv parse of documents against the earlier ones.
 
-The reference of a document is every document with a smaller id. Its index
-holds phrases of ``window`` words, each with the earliest document that has
-it, dealt over partitions (the reference blocks) by the phrase's hash, so each
-document is factored against every block through one join.
-
-* Texts that are whole copies need no phrases: the copies of one text share a
-  hash, and all but the earliest are one factor.
-* Of the others, only regions that some other text may share enter the index.
-  Each text reports its content-defined anchors (25-word runs whose hash is
-  the smallest of some 26 in a row: every phrase holds one, and equal phrases
-  hold equal ones). An anchor that occurs in one text only rules its phrases out.
-* The parse is greedy: a factor starts at the first phrase that the index has
-  and grows while the next phrase is of the same earlier document. Where it
-  ends, the phrases across its boundary are looked up as well, so a duplicate
-  that one factor does not hold whole starts the next one.
+The reference holds every phrase of ``window`` words once: where it first
+occurs, by document id and place. Its index is dealt over partitions (the
+reference blocks) by the phrases' hash, and each document is factored against
+every block:
+
+* A factor starts at the first phrase that an earlier document holds. As a
+  phrase stands once in the reference, the longest match from there is known:
+  the factor grows while the next phrase is the reference's next one.
+* Where a factor ends, its boundary is checked: the phrases that lie across it
+  are looked up as well, and the first that the reference holds starts the next
+  factor, which may overlap the last. Factors have ``window`` words or more, so
+  their spans are the words to remove.
+
+What can't be of a factor is not looked up:
+
+* Texts that are whole copies need no phrases: all but the earliest of them are
+  one factor.
+* Of the others, each text reports its content-defined anchors (25-word runs
+  whose hash is the smallest of some 26 in a row: every phrase holds one, and
+  equal phrases hold equal ones). An anchor that occurs in one text only rules
+  its phrases out.
 
 What meets by key is a minimum and a maximum over texts, added up per task
-before the shuffle, however often an anchor or a phrase occurs; the join back
-has one row per phrase on its other side, so Spark can split a hot phrase.
+before the shuffle, however often an anchor occurs. Phrases go to their block
+once, in the order of documents, and the block is read as a stream: a phrase
+that thousands of documents share costs a row each and no memory.
 Phrases are compared by two 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import keep, prepare
+from ._shared import Tables, by_keys, keep, prepare
 from .wordhash import BASES, minima, run_hashes, word_hashes
 
 WINDOW, GRAM = 50, 25
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of plans that nothing holds any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _text_hash(words: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(words))
 
@@ -134,64 +134,86 @@ def _phrases(rows: DataFrame, window: int) -> DataFrame:
 
 
 def lz_factors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, text_hash, starts, lengths, sources): the factors of each document, in words, ``window`` words or longer.
+    """(doc_id, text_hash, starts, lengths, sources, source_starts): the factors of each document, in words, ``window`` words or longer.
 
-    ``docs`` has the columns doc_id (long) and text. ``sources`` are the
-    earliest documents that the factors are copied from. Documents without a
-    factor have no row.
+    ``docs`` has the columns doc_id (long) and text. A factor's words are those
+    of its source, the earliest document with its phrases, from source_starts
+    on. Documents without a factor have no row; a null id has none.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    texts = keep(text_anchors(docs, window))
-    first = texts.groupBy("text_hash", "n_words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    first = first.where(F.col("first") < F.col("last")).select(F.col("text_hash").alias("h"), F.col("n_words").alias("n"), "first")
-    member = texts.join(first, (texts["text_hash"] == first["h"]) & (texts["n_words"] == first["n"]), "left")
-    texts_own = member.where(F.col("first").isNull() | (F.col("first") == F.col("doc_id")))
-    copies = member.where(F.col("first") < F.col("doc_id")).select(
-        "doc_id", "text_hash", F.array(F.lit(0)).alias("starts"), F.array("n_words").alias("lengths"), F.array("first").alias("sources")
-    )
-
-    # An anchor of two different texts: the smallest and the largest hash of its texts differ.
-    pairs = texts.select("text_hash", F.explode(F.array_distinct("anchors")).alias("anchor"))
-    shared = pairs.groupBy("anchor").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("a != b").select("anchor")
-    shared = keep(shared)  # a table of its own, so that Spark can split an anchor that many texts have
-    places = texts_own.select("doc_id", "text_hash", F.explode(F.arrays_zip("anchors", "places")).alias("x")).select("doc_id", "text_hash", F.col("x.anchors").alias("anchor"), F.col("x.places").alias("place"))
-    places = keep(places.join(shared, "anchor").groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("places")))
-    release(spark)
-
-    own = docs.where(F.col("text").isNotNull()).join(places, "doc_id").select("doc_id", "text", "text_hash", "places")
-    phrases = keep(_phrases(own, window))
-    release(spark)
-    index = phrases.groupBy("p1", "p2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").select("p1", "p2", "source")
-    index = keep(index)
-    found = phrases.join(index, ["p1", "p2"]).where("source < doc_id").select("doc_id", "text_hash", F.struct("at", "source").alias("x"))
-    found = found.groupBy("doc_id", "text_hash").agg(F.collect_set("x").alias("found"))
-    out = keep(copies.unionByName(_greedy(found, window)))
-    release(spark)
-    return out
+    with Tables(docs.sparkSession) as tables:
+        texts = tables.keep(text_anchors(docs, window))
+        member = texts.select("doc_id", "text_hash", "n_words")
+        first = member.groupBy("text_hash", "n_words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+        first = first.where(F.col("first") < F.col("last")).select("text_hash", "n_words", "first")
+        copied = tables.keep(by_keys(member, tables.keep(first), ["text_hash", "n_words"], "inner").where(F.col("first") < F.col("doc_id")))
+        copies = copied.select("doc_id", "text_hash", F.array(F.lit(0)).alias("starts"), F.array("n_words").alias("lengths"), F.array("first").alias("sources"), F.array(F.lit(0)).alias("source_starts"))
+
+        # An anchor of two different texts: the smallest and the largest hash of its texts differ.
+        pairs = texts.select("text_hash", F.explode(F.array_distinct("anchors")).alias("anchor"))
+        shared = pairs.groupBy("anchor").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("a != b").select("anchor")
+        shared = tables.keep(shared)  # a table of its own, so that Spark can split an anchor that many texts have
+        own = by_keys(texts, copied.select("doc_id", "text_hash"), ["doc_id", "text_hash"], "left_anti")
+        places = own.select("doc_id", "text_hash", F.explode(F.arrays_zip("anchors", "places")).alias("x")).select("doc_id", "text_hash", F.col("x.anchors").alias("anchor"), F.col("x.places").alias("place"))
+        places = tables.keep(places.join(shared, "anchor").groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("places")))
+        tables.drop(texts, shared)
+
+        whole = docs.where(F.col("text").isNotNull())
+        own = whole.join(places, "doc_id").select("doc_id", "text", "text_hash", "places")
+        dealt = _phrases(own, window).repartition("p1").sortWithinPartitions("p1", "p2", "doc_id", "at")
+        found = tables.keep(_in_reference(dealt))
+        found = found.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("at", "source", "place")).alias("found"))
+        return keep(copies.unionByName(_greedy(found, window)))
+
+
+def _in_reference(rows: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, at, source, place): the phrases that an earlier document holds, with where the reference has them.
+
+    ``rows`` come by phrase, document and place, so a phrase's first row is the reference's.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the phrase that the batch before ended in, with its first document and place
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            doc, own, p1, p2, at = (batch.column(k).to_numpy() for k in range(5))
+            new = np.ones(len(doc), bool)
+            new[1:] = (p1[1:] != p1[:-1]) | (p2[1:] != p2[:-1])
+            if goes_on := held is not None and (p1[0], p2[0]) == held[:2]:
+                new[0] = False
+            start = np.flatnonzero(new)
+            group = np.cumsum(new) - (not goes_on)
+            source, place = doc[start], at[start]
+            if goes_on:
+                source, place = (np.concatenate([[h], x]).astype(x.dtype) for h, x in ((held[2], source), (held[3], place)))
+            held = (p1[-1], p2[-1], source[-1], place[-1])
+            source, place = source[group], place[group]
+            if (later := source < doc).any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[later]) for x in (doc, own, at, source, place)], names=["doc_id", "text_hash", "at", "source", "place"])
+
+    return rows.mapInArrow(run, "doc_id long, text_hash long, at int, source long, place int")
 
 
 def _greedy(found: DataFrame, window: int) -> DataFrame:
-    """Maximal runs of phrases of one source, from left to right."""
+    """The factors of each document, from left to right: a phrase that is not the last one's next in the reference starts one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"doc_id": [], "text_hash": [], "starts": [], "lengths": [], "sources": []}
-            for d, own, phrases in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2))):
-                factors: list[list[int]] = []
-                for at, source in sorted((x["at"], x["source"]) for x in phrases):
-                    if factors and factors[-1][2] == source and factors[-1][0] + factors[-1][1] - window + 1 == at:
-                        factors[-1][1] += 1
-                    else:
-                        factors.append([at, window, source])
-                out["doc_id"].append(d)
-                out["text_hash"].append(own)
-                for name, k in (("starts", 0), ("lengths", 1), ("sources", 2)):
-                    out[name].append([f[k] for f in factors])
-            kinds = {"doc_id": pa.int64(), "text_hash": pa.int64(), "sources": pa.list_(pa.int64())}
-            yield pa.RecordBatch.from_pydict({n: pa.array(v, kinds.get(n, pa.list_(pa.int32()))) for n, v in out.items()})
-
-    return found.mapInArrow(run, "doc_id long, text_hash long, starts array<int>, lengths array<int>, sources array<long>")
+            phrases = batch.column(2)
+            row = np.repeat(np.arange(batch.num_rows), phrases.value_lengths().to_numpy())
+            at, source, place = (x.to_numpy() for x in phrases.flatten().flatten())
+            order = np.lexsort((at, row))
+            row, at, source, place = (x[order] for x in (row, at, source, place))
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1) | (source[1:] != source[:-1]) | (place[1:] != place[:-1] + 1)
+            start = np.flatnonzero(new)
+            lengths = (np.diff(np.append(start, len(row))) + window - 1).astype(np.int32)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[start], minlength=batch.num_rows))]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (at[start], lengths, source[start], place[start])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "text_hash", "starts", "lengths", "sources", "source_starts"])
+
+    return found.mapInArrow(run, "doc_id long, text_hash long, starts array<int>, lengths array<int>, sources array<long>, source_starts array<int>")
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:

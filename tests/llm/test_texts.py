@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import itertools
 import math
@@ -11,9 +12,9 @@ import pytest
 from plumbline.llm.decontamination import decontaminate
 from plumbline.llm.jaccard_join import jaccard_classes, near_duplicates_removed
 from plumbline.llm.license_scan import license_scan, model
-from plumbline.llm.lm_scoring import score_documents
+from plumbline.llm.lm_scoring import MARK, lattice, score_documents, train
 from plumbline.llm.quality_rules import quality_rules, remove_frequent_lines
-from plumbline.llm.substring_dedup import dedup_substrings
+from plumbline.llm.substring_dedup import dedup_substrings, lz_factors
 
 PIECES = P.path("piece_bpe_32k.model")
 
@@ -47,6 +48,81 @@ def test_substrings_equal_brute_force(docs, nothing, window):
     assert dedup_substrings(nothing, window).count() == 0
 
 
+@pytest.mark.parametrize("window", [50, 7])
+def test_factors_equal_a_naive_parse(docs, window):
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    reference, whole = {}, {}
+    for d, t in rows:
+        w = words(t)
+        whole.setdefault(tuple(w), d)
+        for i in range(len(w) - window + 1):
+            reference.setdefault(tuple(w[i : i + window]), (d, i))
+    expected = {}
+    for d, t in rows:
+        w, i, factors = words(t), 0, []
+        if len(w) >= window and whole[tuple(w)] < d:
+            expected[d] = [(0, len(w), whole[tuple(w)], 0)]
+            continue
+        while i + window <= len(w):
+            source, place = reference[tuple(w[i : i + window])]
+            if source == d:
+                i += 1
+                continue
+            length = window  # the longest match from here
+            while i + length < len(w) and reference[tuple(w[i + length - window + 1 : i + length + 1])] == (source, place + length - window + 1):
+                length += 1
+            factors.append((i, length, source, place))
+            i += length - window + 1  # the boundary: the next phrase is the first that lies across it
+        if factors:
+            expected[d] = factors
+    got = {r.doc_id: list(zip(r.starts, r.lengths, r.sources, r.source_starts)) for r in lz_factors(docs, window).collect()}
+    assert got == expected and any(len(f) > 1 for f in expected.values())
+
+
+def test_substrings_with_odd_rows(spark):
+    long = " ".join(f"w{i}" for i in range(80))
+    rows = [(5, long, "a"), (5, long, "a"), (5, long + " more", "b"), (None, long, "c"), (9, "x " + long, "d"), (9, "other", "e"), (11, long, "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_words string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in dedup_substrings(df).collect())
+    assert got == [(0, 80, 0), (5, 80, 0), (5, 80, 0), (5, 81, 0), (9, 1, 0), (9, 81, 80), (11, 80, 80)]
+
+
+def test_jaccard_with_odd_rows(spark):
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(1, a, "x"), (2, a, "y"), (2, b, "z"), (2, b, "z"), (None, a, "u"), (None, None, "v"), (3, None, "v"), (3, "", "v"), (4, a + " more", "w"), (4, a + " less", "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in jaccard_classes(df).collect())
+    assert got == sorted([(1, 46, 1), (2, 46, 1), (2, 46, 2), (2, 46, 2), (0, 46, 1), (0, 0, 0), (3, 0, 3), (3, 0, 3), (4, 47, 1), (4, 47, 1)])
+    left = sorted((r.doc_id or 0, r.text or "") for r in near_duplicates_removed(df).collect())
+    assert left == sorted([(1, a), (2, b), (2, b), (0, a), (0, ""), (3, ""), (3, "")])
+
+
+def test_jaccard_of_many_sets_around_shared_passages(spark):
+    """Sets that share most of their shingles and are just no links, and some that are."""
+    import random
+
+    rng = random.Random(7)
+    shared = [f"s{i}" for i in range(120)]
+    rows = []
+    for k in range(60):
+        own = [f"o{k}x{i}" for i in range(rng.choice([4, 8, 12, 16, 24]))]
+        rows.append((k, " ".join(own[: len(own) // 2] + shared + own[len(own) // 2 :])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = _sets(df)
+    parent = {d: d for d in sets}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for a, b in itertools.combinations(sets, 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    assert {r.doc_id: r.component_id for r in jaccard_classes(df).collect()} == {d: root(d) for d in sets}
+
+
 def _sets(docs):
     out = {}
     for r in docs.collect():
@@ -134,7 +210,7 @@ def test_quality_rules(spark, docs, nothing):
 
 def test_license_scan(spark, docs, nothing):
     own = model()
-    assert own.accuracy > 0.95
+    assert own.least >= 0.5 and own.recall_unseen > 0.1  # of notices that its folds have not seen
     rows = [(1, "prose\nReleased under the MIT License.\nmore"), (2, "All rights reserved."), (3, "the license of the driver"), (4, None), (5, ""), (6, "Licensed under CC BY-NC 4.0.\nLicensed under the Apache License, Version 2.0.")]
     got = {r.doc_id: r for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].families == "mit" and got[2].families == "all-rights-reserved" and got[6].families == "apache-2.0,cc-by-nc"
@@ -163,27 +239,46 @@ def test_language_model(docs, nothing):
     counts = Counter(w for r in rows if not held(r.doc_id) for w in split(r.text))
     ends = sum(not held(r.doc_id) for r in rows)
     n, v = sum(counts.values()) + ends, len(counts) + 1
+    once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+    less = min(max(once / (once + 2 * twice), 0.1), 0.9)
+    p = train(docs.sparkSession.createDataFrame([(bytearray(x),) for x in counts], "word binary"), PIECES)
+    own = lattice(PIECES)
+
+    def pieces(x):  # the sum over all segmentations, by a recursion of its own
+        s = MARK + x.decode()
+        a = [1.0] + [0.0] * len(s)
+        for e in range(1, len(s) + 1):
+            for b in range(max(0, e - own.longest), e):
+                if (i := own.index.get(s[b:e])) is not None:
+                    a[e] += a[b] * p[i]
+                elif e - b == 1:
+                    a[e] += a[b] * math.prod(p[own.bytes + c] for c in s[b:e].encode())
+        return a[-1]
+
+    of_word = functools.cache(lambda x: math.log10(max(counts[x] - less, 0) / n + less * v / n * pieces(x)))
+    of_end = math.log10((ends - less) / n + less * v / n * p[own.end])
     for r in rows:
         w, g = split(r.text), got[r.doc_id]
         base = sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w) + math.log10((ends + 1) / (n + v + 1))
         assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == (held(r.doc_id), len(w) + 1, sum(counts[x] > 0 for x in w) + 1, n)
-        assert g.base_score == pytest.approx(base) and g.score < 0
+        assert g.base_score == pytest.approx(base)
+        assert g.score == pytest.approx(sum(of_word(x) for x in w) + of_end)
     assert score_documents(nothing, PIECES).count() == 0
+    odd = docs.sparkSession.createDataFrame([(None, "a b", 1), (2, "a b", 1), (2, "a b", 1), (2, None, 1)], "doc_id long, text string, score long")
+    assert sorted(r.n_tokens for r in score_documents(odd, PIECES).collect()) == [1, 3, 3, 3]
+    held_only = docs.where("crc32(cast(cast(doc_id AS string) AS binary)) % 7 = 2")
+    assert all(r.train_tokens == 0 and r.n_known == 0 and r.score < 0 for r in score_documents(held_only, PIECES).collect())
 
 
-def test_training_runs_three_rounds_and_gains_from_each(spark):
-    import numpy as np
-
-    from plumbline.llm.lm_scoring import MARK, lattice, train
-
-    counts = {b"the": 50, b"there": 9, b"then": 7, b"theory": 3, b"nation": 5, b"national": 2}
-    df = spark.createDataFrame(list(counts.items()), "word binary, c long")
+def test_training_gains_from_each_round(spark):
+    words = [b"the", b"there", b"then", b"theory", b"nation", b"national"]
+    df = spark.createDataFrame([(bytearray(w),) for w in words], "word binary")
 
     def likelihood(p):
-        return float(np.dot(lattice(PIECES).set(p).forward([MARK + w.decode() for w in counts]), list(counts.values())))
+        return float(lattice(PIECES).set(p).forward([MARK + w.decode() for w in words]).sum())
 
-    by_rounds = [likelihood(train(df, 5, PIECES, rounds=r)) for r in (1, 2, 3)]
-    assert by_rounds == sorted(by_rounds) and likelihood(train(df, 5, PIECES)) == pytest.approx(by_rounds[2]) and by_rounds[2] > by_rounds[1] + 1e-6
+    by_rounds = [likelihood(train(df, PIECES, rounds=r)) for r in (1, 2, 3)]
+    assert by_rounds == sorted(by_rounds) and likelihood(train(df, PIECES)) == pytest.approx(by_rounds[1])
 
 
 def test_lattice_equals_the_sum_over_all_segmentations():
