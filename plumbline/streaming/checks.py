@@ -38,3 +38,25 @@ def drift_of_batches(events: DataFrame, baseline: DataFrame, numeric: list[str],
             sink(train_test.feature_drift(baseline, batch, numeric, categorical).withColumn("batch", F.lit(number)), number)
 
     return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
+
+
+def running_values(stream: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, n, mean, low, high): of all values of a key so far, by a state of its own that every micro-batch updates."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    kind = dict(stream.dtypes)[key]
+
+    def update(own: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, total, low, high = state.get if state.exists else (0, 0.0, float("inf"), float("-inf"))
+        for part in parts:
+            v = part[value].dropna()
+            if len(v):
+                n, total, low, high = n + len(v), total + float(v.sum()), min(low, float(v.min())), max(high, float(v.max()))
+        state.update((n, total, low, high))
+        yield pd.DataFrame({key: [own[0]], "n": [n], "mean": [total / n if n else None], "low": [low if n else None], "high": [high if n else None]})
+
+    rows = stream.select(key, F.col(value).cast("double").alias(value))
+    return rows.groupBy(key).applyInPandasWithState(update, f"`{key}` {kind}, n long, mean double, low double, high double", "n long, total double, low double, high double", "update", GroupStateTimeout.NoTimeout)
