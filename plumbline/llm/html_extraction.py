@@ -1,40 +1,45 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Pages of one host come from few templates. Every token (a tag or a text, in
-articles too) is told apart by its path of open elements and by the slot it
-stands in. Tokens of a slot with the same occurrence vector over a group of
-same-host pages form an equivalence class; a class is valid if its tokens come
-in the same order on every page, round by round where they repeat. A valid
-class cuts its slot into the gaps between its tokens, and the classes of those
-are looked for in turn, so classes nest until no slot holds another. Texts of a
-class are boilerplate; what stands in the slots is not. Element rules only
-label slots: the main text is what the slots of the article hold, or if there
-is none, the slots' texts that are not navigation by their elements, their
-names and their share of links.
-
-Pages that share more than half of the words of their articles are copies and
-count once, so that a text that is copied is no template. A class needs
-``MIN_PAGES`` such pages; a host with fewer is read by the element rules alone.
-Large hosts are dealt over groups of about ``GROUP`` pages by the hash of the
-page, so that no task holds a host; every page is in one group and is
-extracted whole.
+Pages of one host come from few templates. Every token of a page (a tag or a
+text, in articles too) is told apart by its path of open elements. Tokens with
+the same occurrence vector over all pages of a host form an equivalence class.
+Vectors are compared by fingerprint: the exclusive or of a hash of (page,
+count) over the pages that hold a token, which every task adds up for itself,
+so that a host of any size costs one row per token and task. The template of a
+host is its classes in the order that their tokens come in, the most common
+first. On a page, a class is valid if its tokens come in that order, round by
+round where they repeat, in each slot that has some; it then cuts the slot into
+the gaps between its tokens, in which rarer classes nest. Texts of a class are
+boilerplate; what stands in the slots is not. Element rules only label slots:
+the main text is what the slots of the article hold, or if there is none, the
+slots' texts that are not navigation by their elements, their names and their
+share of links.
+
+Pages with the same content key (the longest paragraph of their articles) are
+copies, near ones too, and count as one, so that a text that is copied is no
+template. A class needs ``MIN_PAGES`` such pages; a host with fewer is read by
+the element rules alone. Html is parsed where it lies, once for the tokens and
+once for the text; only hosts whose templates are too many to be broadcast meet
+their pages by a shuffle.
 """
 
 from __future__ import annotations
 
 import html as references
 import re
-from bisect import bisect_left
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import prepare
+from ._shared import Tables, keep, prepare
 
-GROUP, MIN_PAGES = 128, 3
+MIN_PAGES = 3
+#: Templates' tokens (some 20 bytes each) that are still broadcast; and hosts whose templates a worker remembers.
+BROADCAST_TOKENS, REMEMBERED = 400_000, 1_000
 
 # Element names of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -174,163 +179,70 @@ def parse(page: str) -> tuple[list[Text], list[str]]:
     return texts, tokens
 
 
+def token_hashes(stream: list[str]) -> list[int]:
+    return [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in stream]
+
+
+def content_key(texts: list[Text]) -> int:
+    """The hash of the longest text of a page's article, or without one of all that no rule excludes; of equally long ones the least."""
+    own = [t.text.strip() for t in texts if t.inside and not t.excluded and t.at >= 0] or [t.text.strip() for t in texts if not t.excluded and t.at >= 0]
+    longest = max(map(len, own), default=0)
+    return min((xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in own if len(t) == longest), default=0)
+
+
 class Template:
-    """What a group of same-host pages has in common: classes of tokens by occurrence vector, nested into one another."""
-
-    def __init__(self, pages: list[tuple[list[Text], list[str]]]) -> None:
-        own = self._originals(pages)
-        #: Per page: its tokens, the places of those that may be of a class, the slot of each place, and the places in classes.
-        self.tokens = [stream for _, stream in pages]
-        on: Counter = Counter(t for k in own for t in set(self.tokens[k]))
-        self.places = [[i for i, t in enumerate(stream) if on[t] >= MIN_PAGES] for stream in self.tokens]
-        self.slots = [[0] * len(stream) for stream in self.tokens]
-        self.fixed: list[set[int]] = [set() for _ in pages]
-        #: Valid classes in the order found: the slot each stands in, and its tokens in order.
-        self.classes: list[tuple[int, list[str]]] = []
-        self.made = 1
-        todo = {0} if len(own) >= MIN_PAGES else set()
-        while todo:
-            todo = self._deduce(own, todo)
-        self.article = self._label([pages[k][0] for k in own], own)
-
-    @staticmethod
-    def _originals(pages) -> list[int]:
-        """The pages without those that share more than half of the words of their articles with an earlier one."""
-        holders: dict[str, list[int]] = defaultdict(list)
-        size: dict[int, int] = {}
-        own = []
-        for k, (texts, _) in enumerate(pages):
-            words = {t.text.strip(): len(t.text.split()) for t in texts if t.inside and not t.excluded and t.at >= 0}
-            total, shared = sum(words.values()), Counter()
-            for text, n in words.items():
-                for other in holders[text]:
-                    shared[other] += n
-            if any(2 * n > max(total, size[other]) for other, n in shared.items()):
+    """The classes of a host, as (hash, whether a text) of their tokens in order, the most common class first."""
+
+    def __init__(self, classes: list[list[tuple[int, bool]]]) -> None:
+        self.classes = classes
+        self.place = {t: (k, r) for k, own in enumerate(classes) for r, (t, _) in enumerate(own)}
+
+    def cut(self, hashes: list[int]) -> tuple[set[int], list[int]]:
+        """The places of a page's tokens that are of its valid classes, and the slot of each place (0: outside all)."""
+        found: dict[int, list[tuple[int, int]]] = {}
+        for i, t in enumerate(hashes):
+            if at := self.place.get(t):
+                found.setdefault(at[0], []).append((i, at[1]))
+        slots, fixed, made = [0] * len(hashes), set(), 1
+        for k in sorted(found):
+            if len({r for _, r in found[k]}) < len(self.classes[k]):
+                continue  # a page of another template
+            inside: dict[int, list[tuple[int, int]]] = {}
+            for i, r in found[k]:
+                inside.setdefault(slots[i], []).append((i, r))
+            # The tokens of a class that stand in one slot come round by round in the class's order.
+            rounds = {slot: sorted({r for _, r in at}) for slot, at in inside.items()}
+            if any([r for _, r in at] != rounds[slot] * (len(at) // len(rounds[slot])) for slot, at in inside.items()):
                 continue
-            own.append(k)
-            size[k] = total
-            for text in words:
-                holders[text].append(k)
-        return own
-
-    def _deduce(self, own: list[int], todo: set[int]) -> set[int]:
-        """One valid class in each slot of ``todo`` that has one, the most common first; the slots to look at next."""
-        vectors: dict[tuple[int, str], dict[int, int]] = defaultdict(dict)
-        for k in own:
-            slots, tokens, fixed = self.slots[k], self.tokens[k], self.fixed[k]
-            for i in self.places[k]:
-                if slots[i] in todo and i not in fixed:
-                    v = vectors[slots[i], tokens[i]]
-                    v[k] = v.get(k, 0) + 1
-        alike: dict[int, dict[tuple, list[str]]] = defaultdict(lambda: defaultdict(list))
-        for (slot, token), v in vectors.items():
-            if len(v) >= MIN_PAGES:
-                alike[slot][tuple(v.items())].append(token)
-        next_slots: set[int] = set()
-        chosen: dict[int, tuple[int, list[str]]] = {}  # slot -> number of its first gap and the class
-        for slot, classes in alike.items():
-            for v, tokens in sorted(classes.items(), key=lambda c: (max(n for _, n in c[0]) > 1, -len(c[0]), -len(c[1]))):
-                texts = sum("\0" in t for t in tokens)
-                once = max(n for _, n in v) == 1
-                # Texts alone are of a template if they are on half of the pages; with tags of their own, on fewer too.
-                if texts == len(tokens) and (not once or 2 * len(v) < len(own)):
-                    continue
-                if not once and len(tokens) == 1:
-                    continue  # a tag by itself has no gap of its own
-                if order := self._order(slot, tokens, [k for k, _ in v], once):
-                    chosen[slot] = (self.made, order)
-                    self.classes.append((slot, order))
-                    next_slots |= {slot, *range(self.made, self.made + len(order))}
-                    self.made += len(order)
-                    break
-        for k in range(len(self.tokens)):
-            self._cut(k, chosen)
-        return next_slots
-
-    def _order(self, slot: int, tokens: list[str], on: list[int], once: bool) -> list[str]:
-        """The tokens in the order that all pages have; of tokens that come once, those that keep it. Empty if there is none."""
-        own, order = set(tokens), []
-        for k in on:
-            slots, stream = self.slots[k], self.tokens[k]
-            found = [stream[i] for i in self.places[k] if stream[i] in own and slots[i] == slot]
-            if not order:
-                order = found[: len(own)]
-                if len(set(order)) < len(own):
-                    return []
-            if found == order * (len(found) // len(order)):
-                continue
-            if not once:
-                return []
-            rank = {t: r for r, t in enumerate(order)}
-            order = [order[r] for r in _rising([rank[t] for t in found])]
-            own = set(order)
-        return order
-
-    def _cut(self, k: int, chosen: dict[int, tuple[int, list[str]]]) -> None:
-        """Put the classes' places of a page into ``fixed``, and what stands between them into slots of their own."""
-        slots, stream = self.slots[k], self.tokens[k]
-        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        rank = {slot: {t: r for r, t in enumerate(order)} for slot, (_, order) in chosen.items()}
-        for i in self.places[k]:
-            if slots[i] in rank and i not in self.fixed[k] and (r := rank[slots[i]].get(stream[i])) is not None:
-                found[slots[i]].append((i, r))
-        for slot, at in found.items():
-            first, order = chosen[slot]
-            # A copy may lack tokens, but has no others: out of order, it has no gaps of this class.
-            if any(b != a + 1 and not (b == 0 and a == len(order) - 1) for (_, a), (_, b) in zip(at, at[1:])) or (at[0][1], at[-1][1]) != (0, len(order) - 1):
-                continue
-            self.fixed[k].update(i for i, _ in at)
-            for (i, r), (j, _) in zip(at, at[1:]):
-                for x in range(i + 1, j):
-                    if slots[x] == slot:
-                        slots[x] = first + r
-
-    def _label(self, pages: list[list[Text]], own: list[int]) -> set[int]:
-        """The slots most words of which are inside an article by the element rules."""
-        words: Counter = Counter()
-        for k, texts in zip(own, pages):
-            for t in texts:
-                if t.at >= 0 and t.at not in self.fixed[k] and not t.excluded:
-                    words[self.slots[k][t.at]] += len(t.text.split()) * (1 if t.inside else -1)
-        return {slot for slot, n in words.items() if n > 0}
-
-    def boilerplate(self, page: int, text: Text) -> bool:
-        return text.at in self.fixed[page]
-
-    def in_article(self, page: int, text: Text) -> bool:
-        return text.at >= 0 and self.slots[page][text.at] in self.article
-
-
-def _rising(ranks: list[int]) -> list[int]:
-    """The longest rising part of distinct numbers."""
-    ends: list[int] = []  # the least end of a rising part of each length
-    before: dict[int, int | None] = {}
-    for r in ranks:
-        k = bisect_left(ends, r)
-        before[r] = ends[k - 1] if k else None
-        ends[k : k + 1] = [r]
-    out, r = [], ends[-1] if ends else None
-    while r is not None:
-        out.append(r)
-        r = before[r]
-    return out[::-1]
-
-
-def main_text(texts: list[Text], template: Template | None = None, page: int = 0) -> str:
+            for slot, at in inside.items():
+                fixed.update(i for i, _ in at)
+                for (i, r), (j, _) in zip(at, at[1:]):
+                    for x in range(i + 1, j):
+                        if slots[x] == slot:
+                            slots[x] = made + r
+                made += len(self.classes[k])
+        return fixed, slots
+
+
+def main_text(texts: list[Text], fixed: set[int] = frozenset(), slots: list[int] | None = None) -> str:
     """The slots of the article in page order: blocks by one space, white space inside as one space.
 
-    ``page`` is the number of the page among the template's.
+    ``fixed`` and ``slots`` are what a template makes of the page's tokens.
     """
-    given = [t for t in texts if not t.excluded and not (template and template.boilerplate(page, t))]
+    given = [t for t in texts if not t.excluded and t.at not in fixed]
     if any(t.inside and not t.excluded and t.at >= 0 for t in texts):
         main = [t for t in given if t.inside]
-    elif not (main := [t for t in given if template and template.in_article(page, t)]):
-        main = given
-        words, linked = Counter(), Counter()
+    else:
+        # No element says where the article is: a slot that is mostly links, or a block that is, is none of it.
+        main, words, linked = given, Counter(), Counter()
+        place = lambda t: slots[t.at] if slots and t.at >= 0 else 0
         for t in main:
-            words[t.breaks] += (k := len(t.text.split()))
-            linked[t.breaks] += k * t.link
-        main = [t for t in main if 2 * linked[t.breaks] <= words[t.breaks]]
+            n = len(t.text.split())
+            for key in (("block", t.breaks), ("slot", place(t))):
+                words[key] += n
+                linked[key] += n * t.link
+        mostly = lambda key: 2 * linked[key] > words[key]
+        main = [t for t in main if not mostly(("block", t.breaks)) and not (place(t) and mostly(("slot", place(t))))]
     parts, before = [], None
     for t in main:
         if before is not None and t.breaks != before:
@@ -340,35 +252,90 @@ def main_text(texts: list[Text], template: Template | None = None, page: int = 0
     return SPACE.sub(" ", "".join(parts)).strip()
 
 
-def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", group: int = GROUP) -> DataFrame:
+def _host(url: str):
+    return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit(""))
+
+
+def page_tokens(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(host, key, page, tokens): of each page the content key, a hash, and (t, c, p, text) of its distinct tokens: hash, count, first place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, offsets, t, c, p, text = [], [0], [], [], [], []
+            for source in batch.column(2):
+                texts, stream = parse(source.as_py() or "")
+                keys.append(content_key(texts))
+                seen: dict[int, int] = {}
+                for i, h in enumerate(token_hashes(stream)):
+                    if (at := seen.get(h)) is None:
+                        seen[h] = len(t)
+                        t.append(h)
+                        c.append(1)
+                        p.append(i)
+                        text.append("\0" in stream[i])
+                    else:
+                        c[at] += 1
+                offsets.append(len(t))
+            cells = pa.StructArray.from_arrays([pa.array(t, pa.int64()), pa.array(c, pa.int32()), pa.array(p, pa.int32()), pa.array(text, pa.bool_())], names=["t", "c", "p", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), cells)], names=["host", "key", "page", "tokens"])
+
+    prepare(pages.sparkSession)
+    given = pages.where(F.length(html) > 0).select(_host(url).alias("host"), F.xxhash64(html).alias("page"), F.col(html).alias("html"))
+    return given.mapInArrow(run, "host string, key long, page long, tokens array<struct<t:long,c:int,p:int,text:boolean>>")
+
+
+def templates(tokens: DataFrame) -> DataFrame:
+    """(host, classes): the classes of each host that has any, as arrays of (t, text), those without repeats and the most common first.
+
+    A class of texts alone takes half of the host's pages and no repeats; a tag
+    by itself has no gap and is none.
+    """
+    with Tables(tokens.sparkSession) as tables:
+        # Of copies the one with the least hash.
+        own = tables.keep(tokens.groupBy("host", "key").agg(F.min_by("tokens", "page").alias("tokens")))
+        pages = own.groupBy("host").agg(F.count("*").alias("pages"))
+        rows = own.select("host", "key", F.inline("tokens"))
+        vectors = rows.groupBy("host", "t").agg(F.count("*").alias("n"), F.max("c").alias("c"), F.bit_xor(F.xxhash64("key", "c")).alias("print"), F.avg("p").alias("p"), F.max("text").alias("text")).where(F.col("n") >= MIN_PAGES)
+        alike = vectors.groupBy("host", "n", "print").agg(F.max("c").alias("c"), F.count_if(~F.col("text")).alias("tags"), F.array_sort(F.collect_list(F.struct("p", "t", "text"))).alias("own")).join(pages, "host")
+        sized = F.size("own")
+        of_texts = (F.col("tags") == 0) & (F.col("c") == 1) & (2 * F.col("n") >= F.col("pages"))
+        valid = alike.where(of_texts | ((F.col("tags") > 0) & (sized > 1)))
+        kept = valid.groupBy("host").agg(F.array_sort(F.collect_list(F.struct((F.col("c") > 1).alias("repeats"), (-F.col("n")).alias("n"), "print", F.transform("own", lambda x: F.struct(x["t"].alias("t"), x["text"].alias("text"))).alias("own")))).alias("c"))
+        return keep(kept.select("host", F.transform("c", lambda x: x["own"]).alias("classes")))
+
+
+def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``pages``: the main text of the whole html.
 
     Null html is an empty page: empty text. Null urls are one host. Pages
     without markup are their text. Repeated rows give repeated results, and
     count as one page for the template, so copies make nothing boilerplate.
+    Other columns are not returned.
     """
     spark = pages.sparkSession
     prepare(spark)
-    host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit(""))
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host.alias("host"))
-    sizes = rows.groupBy("host").agg(F.ceil(F.count("*") / group).cast("int").alias("groups"))
-    # A small host is one group; many small hosts share a task without sharing a group.
-    dealt = rows.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "html"), F.col("groups")))
-    schema = dealt.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")
-
-    def extract(given: pa.Table) -> pa.Table:
-        sources = [s or "" for s in given.column("html").to_pylist()]
-        parsed = {s: parse(s) for s in set(sources)}
-        # In the order of the sources, so that a page counts as the same one's copy in every run.
-        distinct = sorted(s for s, p in parsed.items() if p[1])
-        template = Template([parsed[s] for s in distinct]) if len(distinct) >= MIN_PAGES else None
-        number = {s: k for k, s in enumerate(distinct)}
-        done = {s: main_text(p[0], template if s in number else None, number.get(s, 0)) for s, p in parsed.items()}
-        texts = [done[s] for s in sources]
-        return pa.table({"page_id": given.column("page_id"), "url": given.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
-
-    # One key of both, since pages that lie by host already would not be dealt anew for the part.
-    return dealt.withColumn("block", F.concat_ws("#", "part", "host")).groupBy("block").applyInArrow(extract, schema)
-
-
-__all__ = ["Iterator", "extract_pages", "main_text", "parse", "Template"]
+    own = templates(page_tokens(pages, url, html))
+    tokens = own.agg(F.coalesce(F.sum(F.aggregate("classes", F.lit(0), lambda n, c: n + F.size(c))), F.lit(0)).alias("n")).first().n
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), _host(url).alias("__host"), F.col(html).alias("html"))
+    known = own.select(F.col("host").alias("__h"), "classes")
+    joined = rows.join(F.broadcast(known) if tokens <= BROADCAST_TOKENS else known, F.col("__host") == F.col("__h"), "left").drop("__h")
+    schema = rows.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Template | None] = {}
+        for batch in batches:
+            out = []
+            for host, source, classes in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
+                texts, stream = parse(source.as_py() or "")
+                if host not in held:
+                    if len(held) >= REMEMBERED:
+                        held.clear()
+                    held[host] = Template([[(t["t"], t["text"]) for t in c] for c in classes.as_py()]) if classes.is_valid else None
+                template = held[host]
+                out.append(main_text(texts, *(template.cut(token_hashes(stream)) if template and stream else ())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    return joined.select("page_id", "url", "__host", "html", "classes").mapInArrow(run, schema)
+
+
+__all__ = ["Template", "content_key", "extract_pages", "main_text", "page_tokens", "parse", "templates", "token_hashes"]

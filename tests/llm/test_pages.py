@@ -1,4 +1,4 @@
-from plumbline.llm.html_extraction import extract_pages, main_text, parse
+from plumbline.llm.html_extraction import MIN_PAGES, content_key, extract_pages, main_text, page_tokens, parse, templates, token_hashes
 
 
 def _page(body, head=""):
@@ -51,3 +51,62 @@ def test_copies_of_an_article_count_once(spark):
     rows = [(i, f"http://h.example/{i}", page(i)) for i in range(8)]
     got = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
     assert {r.text for r in got.select("text").collect()} == {"One title The same long article under many addresses."}
+
+
+def _layout(i, host_words):
+    """A page without article: only the template tells its parts."""
+    links = "".join(f"<li><a href='/{w}'>{w}</a></li>" for w in host_words[i % 3 :])
+    return _page(
+        f"<div class='x1'>Our fine paper</div><div class='x2'><ul>{links}</ul></div><div class='x3'><h2>Story {i}</h2><p>Text {i} of many words {i * 7}.</p><p>More of {i}.</p></div>"
+        f"<div class='x4'>Printed by us <b>each day</b></div>"
+    )
+
+
+def test_templates_equal_a_brute_force_builder(spark):
+    rows = [(i, f"http://h{i % 2}.example/{i}", _layout(i, ["red", "blue", "green", "pink"])) for i in range(14)] + [(50, "http://h0.example/1", _layout(0, ["red", "blue", "green", "pink"])), (51, "http://one.example", _layout(1, ["a"]))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {}
+    for host in ("h0.example", "h1.example", "one.example"):
+        pages = {}
+        for _, url, html in rows:
+            if f"//{host}" in url:
+                texts, stream = parse(html)
+                pages.setdefault(content_key(texts), stream)
+        vectors, first, counts = {}, {}, {}
+        for key, stream in pages.items():
+            for i, t in enumerate(stream):
+                vectors.setdefault(t, {})[key] = stream.count(t)
+                first.setdefault(t, {}).setdefault(key, i)
+                counts[t] = max(counts.get(t, 0), stream.count(t))
+        classes = {}
+        for t, v in vectors.items():
+            if len(v) >= MIN_PAGES:
+                classes.setdefault(tuple(sorted(v.items())), []).append(t)
+        kept = []
+        for v, own in classes.items():
+            tags = [t for t in own if "\0" not in t]
+            if (tags and len(own) > 1) or (not tags and max(counts[t] for t in own) == 1 and 2 * len(v) >= len(pages)):
+                kept.append(sorted(own, key=lambda t: sum(first[t].values()) / len(v)))
+        if kept:
+            want[host] = {tuple(token_hashes(c)) for c in kept}
+    got = {r.host: {tuple(t.t for t in c) for c in r.classes} for r in templates(page_tokens(df)).collect()}
+    assert got == want and len(got) == 2
+    texts = {r.page_id: r.text for r in extract_pages(df).collect()}
+    assert all(texts[i] == f"Story {i} Text {i} of many words {i * 7}. More of {i}." for i in range(14)) and texts[50] == texts[0]
+
+
+def test_a_page_reads_the_same_on_hosts_of_any_size(spark):
+    one = (0, "http://h.example/0", _layout(0, ["red", "blue", "green", "pink"]))
+    for n in (3, 40, 400):
+        rows = [one] + [(i, f"http://h.example/{i}", _layout(i, ["red", "blue", "green", "pink"])) for i in range(1, n)]
+        got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert got[0] == "Story 0 Text 0 of many words 0. More of 0." and len(got) == n
+
+
+def test_odd_pages(spark):
+    long = _page("<article>" + "<p>a long page of words</p>" * 30_000 + "</article>")
+    rows = [(1, None, "<p>x</p>", 1), (1, None, "<p>x</p>", 1), (2, "http://h", long, 2), (None, "http://h", "", 3), (3, "not a url", "<<<>>><p", 4)]
+    got = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text long"))
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    found = {r.page_id: r.text for r in got.collect()}
+    assert found[1] == "x" and len(found[2].split()) == 150_000 and found[None] == "" and got.count() == 5
