@@ -48,9 +48,9 @@ class PieceEncoder(dict):
         if proto.normalizer_spec.remove_extra_whitespaces or proto.trainer_spec.treat_whitespace_as_suffix:
             raise ValueError("only models that keep white space, with the mark before a word, are read here")
         self.prefix = MARK if proto.normalizer_spec.add_dummy_prefix else ""
-        if any(p.type == 4 for p in proto.pieces):
-            raise ValueError("models with user-defined symbols are not read here")
-        self.score = {p.piece: (p.score, i) for i, p in enumerate(proto.pieces) if p.type in (1, 5)}
+        if any(p.type in (4, 5) for p in proto.pieces):
+            raise ValueError("models with user-defined or unused pieces are not read here")
+        self.score = {p.piece: (p.score, i) for i, p in enumerate(proto.pieces) if p.type == 1}
         self.piece = {i: p for p, (_, i) in self.score.items()}
         self.bytes = {int(p.piece[1:-1], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == 2)
