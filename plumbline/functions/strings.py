@@ -1,6 +1,9 @@
 """String expressions: base forms, text normalisation and text properties, all inside the JVM."""
 
 import unicodedata
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pandas as pd
 from pyspark.sql import Column
@@ -62,11 +65,29 @@ def is_number(text: Column) -> Column:
     return F.coalesce(text.rlike(r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"), F.lit(False))
 
 
-def words(text: Column) -> Column:
+#: The columns that hold a text's words and sentences already, while properties of one text are put together.
+_at_hand: ContextVar[tuple[Column, Column] | None] = ContextVar("at_hand", default=None)
+
+
+@contextmanager
+def at_hand(own_words: Column, own_sentences: Column) -> Iterator[None]:
+    """Properties made inside take a text's words and sentences from columns instead of splitting it each for itself."""
+    token = _at_hand.set((own_words, own_sentences))
+    try:
+        yield
+    finally:
+        _at_hand.reset(token)
+
+
+def split_words(text: Column) -> Column:
     """Non-empty parts of the text between other characters than letters, digits and underscore."""
     return F.filter(F.split(text, r"[^\p{L}\p{N}_]+"), lambda w: w != "")
 
 
+def words(text: Column) -> Column:
+    return found[0] if (found := _at_hand.get()) else split_words(text)
+
+
 def _share(text: Column, kept: Column) -> Column:
     return F.when(F.length(text) > 0, (F.length(text) - F.length(kept)) / F.length(text)).otherwise(F.lit(0.0))
 
@@ -94,11 +115,15 @@ def percentage_punctuation(text: Column) -> Column:
 
 
 def lexical_density(text: Column) -> Column:
-    w = words(F.lower(text))
+    w = split_words(F.lower(text))
     return F.when(F.size(w) > 0, F.bround(F.size(F.array_distinct(w)) / F.size(w), 2))
 
 
 def sentences(text: Column) -> Column:
+    return found[1] if (found := _at_hand.get()) else split_sentences(text)
+
+
+def split_sentences(text: Column) -> Column:
     return F.filter(F.split(text, r"[.!?]+(?:\s+|$)"), lambda s: F.trim(s) != "")
 
 
@@ -154,7 +179,7 @@ def readability_score(text: Column) -> Column:
 
 def unique_syllables_count(text: Column) -> Column:
     """How many distinct words the syllables are counted over."""
-    return F.size(F.array_distinct(words(F.lower(text))))
+    return F.size(F.array_distinct(split_words(F.lower(text))))
 
 
 def average_syllable_length(text: Column) -> Column:

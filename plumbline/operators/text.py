@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.strings import TEXT_PROPERTIES, normalize_text
+from ..functions.strings import TEXT_PROPERTIES, at_hand, normalize_text, split_sentences, split_words
 from ..sources.scratch import checkpointed
 from . import kernels
 
@@ -49,10 +49,14 @@ def text_special_characters(df: DataFrame, text: str, allowed: str = r"\p{L}\p{N
 def text_properties(df: DataFrame, text: str, properties: list[str] | None = None, extra: dict[str, Column] | None = None) -> DataFrame:
     """``df`` with one column per property; null texts have null properties. Model-backed ones come in through ``extra``."""
     chosen: dict[str, Callable[[Column], Column]] = {p: TEXT_PROPERTIES[p] for p in properties or TEXT_PROPERTIES}
-    out = df
-    for name, column in {**{n: f(F.col(text)) for n, f in chosen.items()}, **(extra or {})}.items():
-        out = out.withColumn(name, F.when(F.col(text).isNotNull(), column))
-    return out
+    given = df.columns
+    # Split once per row: a generator stands between, so the split is not copied into every property.
+    split = F.explode_outer(F.array(F.struct(split_words(F.col(text)).alias("w"), split_sentences(F.col(text)).alias("s"))))
+    rows = df.select("*", split.alias("__split"))
+    with at_hand(F.col("__split.w"), F.col("__split.s")):
+        made = {n: f(F.col(text)) for n, f in chosen.items()}
+    new = {n: F.when(F.col(text).isNotNull(), c).alias(n) for n, c in {**made, **(extra or {})}.items()}
+    return rows.select(*(F.col(f"`{c}`") for c in given if c not in new), *new.values())
 
 
 def property_outliers(df: DataFrame, text: str, properties: list[str], scale: float = 2.0) -> DataFrame:
