@@ -238,7 +238,7 @@ class Model:
         p = _softmax(logits / self.temperature)
         wrong = np.sort(p[y == 0, 1:].max(1))
         allowed = int(FALSE_ALARMS * len(wrong))
-        self.least = float(max(0.5, wrong[len(wrong) - 1 - allowed]))
+        self.least = float(wrong[len(wrong) - 1 - allowed])  # what one in 1 / FALSE_ALARMS unseen ordinary texts exceeds
         said = np.where(p[:, 1:].max(1) >= self.least, p[:, 1:].argmax(1) + 1, 0)
         #: Of texts of unseen sources: how many get their class, and how many of the families' do.
         self.accuracy, self.recall_unseen = float((said == y).mean()), float((said == y)[y > 0].mean())

@@ -210,7 +210,7 @@ def test_quality_rules(spark, docs, nothing):
 
 def test_license_scan(spark, docs, nothing):
     own = model()
-    assert own.least >= 0.5 and own.recall_unseen > 0.1  # of notices that its folds have not seen
+    assert own.recall_unseen > 0.3  # of notices that its folds have not seen
     rows = [(1, "prose\nReleased under the MIT License.\nmore"), (2, "All rights reserved."), (3, "the license of the driver"), (4, None), (5, ""), (6, "Licensed under CC BY-NC 4.0.\nLicensed under the Apache License, Version 2.0.")]
     got = {r.doc_id: r for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].families == "mit" and got[2].families == "all-rights-reserved" and got[6].families == "apache-2.0,cc-by-nc"
