@@ -24,8 +24,9 @@ What can't be of a factor is not looked up:
 
 What meets by key is a minimum and a maximum over texts, added up per task
 before the shuffle, however often an anchor occurs. Phrases go to their block
-once, in the order of documents, and the block is read as a stream: a phrase
-that thousands of documents share costs a row each and no memory.
+once, in the order of documents, and the block is read as a stream. Phrases
+around an anchor that very many texts have are dealt over several tasks by
+document; the firsts of these shares meet afterwards.
 Phrases are compared by two 64-bit hashes.
 """
 
@@ -41,9 +42,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import Tables, by_keys, keep, prepare
-from .wordhash import BASES, minima, run_hashes, word_hashes
+from .wordhash import BASES, minima, run_hashes, sliding, word_hashes
 
 WINDOW, GRAM = 50, 25
+#: An anchor of more texts than this is hot: phrases with it are dealt over SALTS tasks by their document.
+HOT, SALTS = 1_000, 64
 
 
 def _text_hash(words: list[bytes]) -> int:
@@ -100,16 +103,18 @@ def text_anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def _phrases(rows: DataFrame, window: int) -> DataFrame:
-    """(doc_id, text_hash, p1, p2, at): the phrases of each text that hold one of its ``places``.
+    """(doc_id, text_hash, p1, p2, at, salt): the phrases of each text that hold one of its ``places``.
 
-    An id can have several texts; the hash tells which of them the places are of.
+    An id can have several texts; the hash tells which of them the places are
+    of. A phrase whose smallest anchor is among ``hot`` has a salt by its
+    document, any other 0.
     """
     gram = min(GRAM, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for d, t, own, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3)):
+            for d, t, own, places, hot in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
                 words = t.as_py().encode("utf-8", "surrogatepass").split()
                 if _text_hash(words) != own & (1 << 64) - 1:
                     continue
@@ -120,7 +125,11 @@ def _phrases(rows: DataFrame, window: int) -> DataFrame:
                 np.add.at(mark, np.maximum(at - (window - gram), 0), 1)
                 np.add.at(mark, np.minimum(at + 1, n), -1)
                 starts = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-                out.append((np.full(len(starts), d), np.full(len(starts), own), *(_signed(run_hashes(hashes, window, b)[starts]) for b in BASES), starts.astype(np.int32)))
+                salt = np.zeros(len(starts), np.int32)
+                if len(hot):
+                    least = sliding(run_hashes(hashes, gram), window - gram + 1, np.minimum)[starts]
+                    salt[np.isin(_signed(least), hot.values.to_numpy(zero_copy_only=False))] = 1 + d % SALTS
+                out.append((np.full(len(starts), d), np.full(len(starts), own), *(_signed(run_hashes(hashes, window, b)[starts]) for b in BASES), starts.astype(np.int32), salt))
                 if sum(len(x[0]) for x in out) > 100_000:
                     yield _columns(out)
                     out = []
@@ -128,9 +137,9 @@ def _phrases(rows: DataFrame, window: int) -> DataFrame:
                 yield _columns(out)
 
     def _columns(out):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["doc_id", "text_hash", "p1", "p2", "at"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["doc_id", "text_hash", "p1", "p2", "at", "salt"])
 
-    return rows.mapInArrow(run, "doc_id long, text_hash long, p1 long, p2 long, at int")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, p1 long, p2 long, at int, salt int")
 
 
 def lz_factors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -151,48 +160,59 @@ def lz_factors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
         # An anchor of two different texts: the smallest and the largest hash of its texts differ.
         pairs = texts.select("text_hash", F.explode(F.array_distinct("anchors")).alias("anchor"))
-        shared = pairs.groupBy("anchor").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("a != b").select("anchor")
-        shared = tables.keep(shared)  # a table of its own, so that Spark can split an anchor that many texts have
+        met = pairs.groupBy("anchor").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b"), (F.count("*") > HOT).alias("hot"))
+        shared = tables.keep(met.where("a != b").select("anchor", "hot"))  # a table of its own, so that Spark can split an anchor that many texts have
         own = by_keys(texts, copied.select("doc_id", "text_hash"), ["doc_id", "text_hash"], "left_anti")
         places = own.select("doc_id", "text_hash", F.explode(F.arrays_zip("anchors", "places")).alias("x")).select("doc_id", "text_hash", F.col("x.anchors").alias("anchor"), F.col("x.places").alias("place"))
-        places = tables.keep(places.join(shared, "anchor").groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("places")))
+        places = places.join(shared, "anchor").groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("places"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
+        places = tables.keep(places)
         tables.drop(texts, shared)
 
         whole = docs.where(F.col("text").isNotNull())
-        own = whole.join(places, "doc_id").select("doc_id", "text", "text_hash", "places")
-        dealt = _phrases(own, window).repartition("p1").sortWithinPartitions("p1", "p2", "doc_id", "at")
+        own = whole.join(places, "doc_id").select("doc_id", "text", "text_hash", "places", "hot")
+        dealt = _phrases(own, window).repartition("p1", "salt").sortWithinPartitions("p1", "p2", "salt", "doc_id", "at")
         found = tables.keep(_in_reference(dealt))
+        # Hot phrases have a first document in each of their shares; the reference's is the first of these.
+        hot = found.where(F.col("p1").isNotNull())
+        heads = tables.keep(hot.groupBy("p1", "p2").agg(F.min(F.struct("source", "place")).alias("h")).select("p1", "p2", "h.*"))
+        of_hot = by_keys(hot.drop("source", "place"), heads, ["p1", "p2"], "inner").where(F.col("source") < F.col("doc_id"))
+        names = ["doc_id", "text_hash", "at", "source", "place"]
+        found = found.where(F.col("p1").isNull()).select(names).unionByName(of_hot.select(names))
         found = found.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("at", "source", "place")).alias("found"))
         return keep(copies.unionByName(_greedy(found, window)))
 
 
 def _in_reference(rows: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, at, source, place): the phrases that an earlier document holds, with where the reference has them.
+    """(doc_id, text_hash, at, source, place, p1, p2): the phrases that an earlier document holds, with where the reference has them.
 
-    ``rows`` come by phrase, document and place, so a phrase's first row is the reference's.
+    ``rows`` come by phrase, salt, document and place, so a phrase's first row
+    is the reference's. Salted phrases are all returned, with their p1 and p2
+    and the first row of their share.
     """
+    names = ["doc_id", "text_hash", "at", "source", "place", "p1", "p2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the phrase that the batch before ended in, with its first document and place
         for batch in batches:
             if not batch.num_rows:
                 continue
-            doc, own, p1, p2, at = (batch.column(k).to_numpy() for k in range(5))
+            doc, own, p1, p2, at, salt = (batch.column(k).to_numpy() for k in range(6))
             new = np.ones(len(doc), bool)
-            new[1:] = (p1[1:] != p1[:-1]) | (p2[1:] != p2[:-1])
-            if goes_on := held is not None and (p1[0], p2[0]) == held[:2]:
+            new[1:] = (p1[1:] != p1[:-1]) | (p2[1:] != p2[:-1]) | (salt[1:] != salt[:-1])
+            if goes_on := held is not None and (p1[0], p2[0], salt[0]) == held[:3]:
                 new[0] = False
             start = np.flatnonzero(new)
             group = np.cumsum(new) - (not goes_on)
             source, place = doc[start], at[start]
             if goes_on:
-                source, place = (np.concatenate([[h], x]).astype(x.dtype) for h, x in ((held[2], source), (held[3], place)))
-            held = (p1[-1], p2[-1], source[-1], place[-1])
+                source, place = (np.concatenate([[h], x]).astype(x.dtype) for h, x in ((held[3], source), (held[4], place)))
+            held = (p1[-1], p2[-1], salt[-1], source[-1], place[-1])
             source, place = source[group], place[group]
-            if (later := source < doc).any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[later]) for x in (doc, own, at, source, place)], names=["doc_id", "text_hash", "at", "source", "place"])
+            if (out := (source < doc) | (salt > 0)).any():
+                cold = salt[out] == 0
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[out]) for x in (doc, own, at, source, place)), *(pa.array(x[out], mask=cold) for x in (p1, p2))], names=names)
 
-    return rows.mapInArrow(run, "doc_id long, text_hash long, at int, source long, place int")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, at int, source long, place int, p1 long, p2 long")
 
 
 def _greedy(found: DataFrame, window: int) -> DataFrame:

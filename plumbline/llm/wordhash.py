@@ -65,7 +65,7 @@ def run_hashes(words: np.ndarray, length: int, base: int = BASES[0]) -> np.ndarr
     return mix((total[length:] - total[:-length]) * down[: n - length + 1])
 
 
-def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
+def sliding(values: np.ndarray, width: int, best) -> np.ndarray:
     """min or max of each ``width`` values in a row, by doubling."""
     out, have = values, 1
     while have < width:
@@ -79,7 +79,7 @@ def minima(values: np.ndarray, width: int) -> np.ndarray:
     """Positions of the values that are the smallest of some ``width`` in a row; ties all count."""
     if len(values) < width:
         return np.zeros(0, np.int64)
-    least = _sliding(values, width, np.minimum)
+    least = sliding(values, width, np.minimum)
     pad = np.zeros(width - 1, np.uint64)
-    largest = _sliding(np.concatenate([pad, least, pad]), width, np.maximum)
+    largest = sliding(np.concatenate([pad, least, pad]), width, np.maximum)
     return np.flatnonzero(values == largest)

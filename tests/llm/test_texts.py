@@ -14,6 +14,7 @@ from plumbline.llm.jaccard_join import jaccard_classes, near_duplicates_removed
 from plumbline.llm.license_scan import license_scan, model
 from plumbline.llm.lm_scoring import MARK, lattice, score_documents, train
 from plumbline.llm.quality_rules import quality_rules, remove_frequent_lines
+from plumbline.llm import substring_dedup
 from plumbline.llm.substring_dedup import dedup_substrings, lz_factors
 
 PIECES = P.path("piece_bpe_32k.model")
@@ -48,8 +49,9 @@ def test_substrings_equal_brute_force(docs, nothing, window):
     assert dedup_substrings(nothing, window).count() == 0
 
 
-@pytest.mark.parametrize("window", [50, 7])
-def test_factors_equal_a_naive_parse(docs, window):
+@pytest.mark.parametrize("window, hot", [(50, 1_000), (7, 1_000), (50, 2), (7, 2)])
+def test_factors_equal_a_naive_parse(docs, window, hot, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
     reference, whole = {}, {}
     for d, t in rows:
