@@ -171,10 +171,17 @@ def syllables_count(text: Column) -> Column:
     return F.aggregate(words(text), F.lit(0), lambda a, w: a + _syllables(w))
 
 
+def _round_even(value: Column, digits: int) -> Column:
+    """Half to even on the scaled double, as SQL's round_even does; ``bround`` goes by the shortest decimal and differs near ties."""
+    return F.rint(value * 10.0**digits) / 10.0**digits
+
+
 def readability_score(text: Column) -> Column:
     """Flesch's reading ease, with syllables by rule: higher is easier."""
     n, s = F.size(words(text)), F.size(sentences(text))
-    return F.when((n > 0) & (s > 0), F.bround(206.835 - 1.015 * n / s - 84.6 * syllables_count(text) / n, 3))
+    # The factors are decimals: counts are scaled as whole numbers, so that each product is rounded once.
+    per_sentence, per_word = F.lit(1015).cast("long") * n / 1000 / s, F.lit(846).cast("long") * syllables_count(text) / 10 / n
+    return F.when((n > 0) & (s > 0), _round_even(206.835 - per_sentence - per_word, 3))
 
 
 def unique_syllables_count(text: Column) -> Column:
@@ -185,7 +192,7 @@ def unique_syllables_count(text: Column) -> Column:
 def average_syllable_length(text: Column) -> Column:
     """Syllables of a sentence on average."""
     s = F.size(sentences(text))
-    return F.when(s > 0, F.bround(syllables_count(text) / s, 2))
+    return F.when(s > 0, _round_even(syllables_count(text) / s, 2))
 
 
 def english_text(language: Column) -> Column:
