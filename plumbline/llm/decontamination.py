@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from ._shared import by_keys, keep, lower_ascii, once
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words: ASCII without letters and digits.
+APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Words of a window and of a gram; grams in a window.
 WINDOW, GRAM = 10, 5
 GRAMS = WINDOW - GRAM + 1
@@ -27,8 +28,13 @@ GRAMS = WINDOW - GRAM + 1
 BROADCAST_ROWS = 200_000
 
 
+def _split(text: Column) -> Column:
+    """Cut between words, which takes less than a tenth of the time of matching each of them."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), APART), "")
+
+
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return _split(lower_ascii(text))
 
 
 def _grams(rows: DataFrame) -> DataFrame:
@@ -129,7 +135,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", ite
     docs = docs.drop("n_words", "n_hit", "item_ids", "contaminated")
     hits = window_hits(docs, items, doc_id, item_id, text, item_text)
     grouped = _spans_by_document(hits)
-    base = docs.withColumn("n_words", F.size(words_of(F.col(text))).cast("long")).withColumn("__key", F.xxhash64(text))
+    base = docs.withColumn("n_words", F.size(_split(F.col(text))).cast("long")).withColumn("__key", F.xxhash64(text))
     joined = base.join(grouped, base[doc_id].eqNullSafe(grouped["__d"]) & (base["__key"] == grouped["__k"]), "left")
     return (
         joined.withColumn("n_hit", F.coalesce("__hit", F.lit(0)).cast("long"))

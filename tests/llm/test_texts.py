@@ -9,6 +9,7 @@ from collections import Counter
 import public_tokenizers as P
 import pytest
 
+from plumbline.llm import decontamination
 from plumbline.llm.decontamination import decontaminate
 from plumbline.llm.jaccard_join import jaccard_classes, near_duplicates_removed
 from plumbline.llm.license_scan import license_scan, model
@@ -187,6 +188,18 @@ def test_decontamination_equals_brute_force(spark, docs, nothing, texts):
     assert decontaminate(docs, bench.where("item_id < 0")).where("contaminated").count() == 0
 
 
+def test_decontamination_splits_between_words(spark):
+    """The same words as by matching them, at edges, in other scripts and between all ASCII characters, without matching."""
+    ascii_all = "".join(f"Q{chr(c)}z" for c in range(128))
+    odd = [None, "", " ", "a", " a", "a ", "..A-b..", "ÄÖ İx ß", "\x00a\x00", "\x7fa\x80b\x7f", "日本語 \U0001f600Z,\U0001f600", "a\r\n\tb\u2028c\u00a0d", ascii_all, "@[`{A Z"]
+    df = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    want = {i: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", _lower(t)) for i, t in enumerate(odd)}
+    assert {r.doc_id: r.w for r in df.select("doc_id", decontamination.words_of(df["text"]).alias("w")).collect()} == want
+    found = decontaminate(df, spark.createDataFrame([("i", "a")], "item_id string, text string"))
+    assert {r.doc_id: (r.n_words, r.n_hit) for r in found.collect()} == {i: (len(w), w.count("a")) for i, w in want.items()}
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def _base(text):
     w = words(text)
     grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
