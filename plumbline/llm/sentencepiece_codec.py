@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ._shared import prepare
+from ._shared import hold, prepare
 
 MARK = "▁"
 CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
@@ -156,7 +156,8 @@ _encoders: dict[str, PieceEncoder] = {}
 
 
 def encoder(path: str) -> PieceEncoder:
-    """The worker's own encoder for ``path``, made once."""
+    """The worker's own encoder for ``path``, made once while no other operator's caches take its place."""
+    hold("pieces", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = PieceEncoder(path)
     return _encoders[path]

@@ -10,6 +10,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from ._shared import hold
+
 CACHE_ENTRIES, CACHE_BYTES = 200_000, 48
 MASK = (1 << 64) - 1
 #: Two odd bases, from the digits of pi and e.
@@ -33,6 +35,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
+    hold("words", _words.clear)
     return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
 

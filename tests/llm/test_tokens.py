@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from plumbline.llm import bytelevel, token_counts, token_files
+from plumbline.llm import bytelevel, sentencepiece_codec, token_counts, token_files, wordhash
 from plumbline.llm._shared import shared_dir
 from plumbline.llm.bytelevel import PieceTable
 from plumbline.llm.sentencepiece_codec import PieceEncoder, decode_pieces, encode_pieces
@@ -115,3 +115,12 @@ def test_token_files(spark, docs, nothing, tmp_path):
     assert len(ids) == len(mask) == 64 and not ids.flags.owndata
     none = token_files.write_token_files(nothing, BYTES, shared_dir(spark), end_id=2)
     assert none.count() == 0
+
+
+def test_a_worker_holds_one_operators_caches():
+    want = sentencepiece_codec.encoder(PIECES).encode("some words")
+    assert sentencepiece_codec.encoder(PIECES) is sentencepiece_codec.encoder(PIECES)
+    hashes = wordhash.word_hashes([b"some", b"words"])
+    assert wordhash._words and not sentencepiece_codec._encoders
+    assert sentencepiece_codec.encoder(PIECES).encode("some words") == want and not wordhash._words
+    assert (wordhash.word_hashes([b"some", b"words"]) == hashes).all()
