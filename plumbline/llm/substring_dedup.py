@@ -26,7 +26,8 @@ What meets by key is a minimum and a maximum over texts, added up per task
 before the shuffle, however often an anchor occurs. Phrases go to their block
 once, in the order of documents, and the block is read as a stream. Phrases
 around an anchor that very many texts have are dealt over several tasks by
-document; the firsts of these shares meet afterwards.
+document; the firsts of these shares meet afterwards. Texts are shuffled only
+if they may have phrases to look up or factors, as a sieve of their ids tells.
 Phrases are compared by two 64-bit hashes.
 """
 
@@ -41,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Tables, by_keys, keep, prepare
+from ._shared import Tables, by_keys, keep, prepare, sifted
 from .wordhash import BASES, minima, run_hashes, sliding, word_hashes
 
 WINDOW, GRAM = 50, 25
@@ -168,8 +169,8 @@ def lz_factors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         places = tables.keep(places)
         tables.drop(texts, shared)
 
-        whole = docs.where(F.col("text").isNotNull())
-        own = whole.join(places, "doc_id").select("doc_id", "text", "text_hash", "places", "hot")
+        whole = sifted(docs.where(F.col("text").isNotNull()), F.col("doc_id"), places.select("doc_id")).where("__maybe")
+        own = whole.join(places.hint("merge"), "doc_id").select("doc_id", "text", "text_hash", "places", "hot")
         dealt = _phrases(own, window).repartition("p1", "salt").sortWithinPartitions("p1", "p2", "salt", "doc_id", "at")
         found = tables.keep(_in_reference(dealt))
         # Hot phrases have a first document in each of their shares; the reference's is the first of these.
@@ -251,10 +252,13 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_i
     added = ["n_words", "n_removed"] + ["kept_sha256"] * digest
     docs = docs.drop(*added)
     factors = lz_factors(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), window)
-    factors = factors.groupBy(F.col("doc_id").alias("__d")).agg(F.collect_set(F.struct("text_hash", "starts", "lengths")).alias("__factors"))
-    joined = docs.join(factors, docs[doc_id].cast("long") == factors["__d"], "left").drop("__d")
+    of_each = factors.groupBy(F.col("doc_id").alias("__d")).agg(F.collect_set(F.struct("text_hash", "starts", "lengths")).alias("__factors"))
     order = [c for c in docs.columns if c != text]
-    joined = joined.select(*(F.col(f"`{c}`") for c in order), F.col(f"`{text}`"), "__factors")
+    names = [*(f"`{c}`" for c in order), f"`{text}`", "__factors"]
+    # Only texts that may have factors are shuffled.
+    told = sifted(docs, F.col(f"`{doc_id}`").cast("long"), factors.select("doc_id"))
+    having = told.where("__maybe").join(of_each.hint("merge"), F.col(f"`{doc_id}`").cast("long") == F.col("__d"), "left").select(*names)
+    joined = having.unionByName(told.where("NOT __maybe").withColumn("__factors", F.lit(None).cast(of_each.schema["__factors"].dataType)).select(*names))
     schema = docs.select(*(F.col(f"`{c}`") for c in [*order, text])).schema
     for name in added:
         schema = schema.add(name, "string" if name == "kept_sha256" else "long")

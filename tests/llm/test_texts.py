@@ -9,7 +9,9 @@ from collections import Counter
 import public_tokenizers as P
 import pytest
 
-from plumbline.llm import decontamination
+from pyspark.sql import functions as F
+
+from plumbline.llm import _shared, decontamination
 from plumbline.llm.decontamination import decontaminate
 from plumbline.llm.jaccard_join import jaccard_classes, near_duplicates_removed
 from plumbline.llm.license_scan import license_scan, model
@@ -320,3 +322,49 @@ def test_lattice_equals_the_sum_over_all_segmentations():
     expect = np.zeros(own.size)
     assert own.forward(tried, expect) == pytest.approx([total(w) for w in tried])
     assert expect.sum() > len(tried)
+
+
+def _shuffled(spark, run):
+    """What ``run`` gives, and the records and bytes that it shuffles."""
+    context = spark.sparkContext
+    store, none = context._jsc.sc().statusStore(), context._gateway.new_array(context._jvm.double, 0)
+
+    def stages():
+        context._jsc.sc().listenerBus().waitUntilEmpty()
+        found = store.stageList(None, False, False, none, None)
+        return {s.stageId(): (s.shuffleWriteRecords(), s.shuffleWriteBytes()) for s in (found.apply(i) for i in range(found.size()))}
+
+    before = stages()
+    given = run()
+    new = [x for k, x in stages().items() if k not in before]
+    return given, sum(r for r, _ in new), sum(b for _, b in new)
+
+
+def test_substrings_leave_texts_without_factors_where_they_are(spark, monkeypatch):
+    """Few texts of many share a passage: the others are not shuffled, whatever Spark would broadcast."""
+    monkeypatch.setattr(substring_dedup, "HOT", 3)
+    words = lambda i, n: " ".join(hashlib.md5(f"{i} {k}".encode()).hexdigest() for k in range(n))
+    passage = words("shared", 60)
+    rows = [(i, words(i, 200) + (f" {passage}" if i % 40 == 0 else "")) for i in range(400)] + [(None, words(0, 200)), (400, None), (401, words(7, 200))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).localCheckpoint()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got, _, moved = _shuffled(spark, lambda: {r.doc_id: r for r in dedup_substrings(docs).collect()})
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert moved < 0.6 * sum(len(t or "") for _, t in rows)
+    assert {d: r.n_removed for d, r in got.items() if r.n_removed} == {i: 60 for i in range(40, 400, 40)} | {401: 200}
+    assert len(got) == len(rows) and all(got[d].text == t for d, t in rows if d is None or not got[d].n_removed)
+
+
+@pytest.mark.parametrize("sheets", [2048, 1])
+def test_sieve_keeps_every_key(spark, sheets, monkeypatch):
+    monkeypatch.setattr(_shared, "SHEETS", sheets)
+    keys = spark.range(-3000, 9000, 3).unionByName(spark.range(5)).select(F.when(F.col("id") != 6, F.col("id")).alias("k"))
+    rows = spark.range(-9000, 30000).select(F.when(F.col("id") != 0, F.col("id")).alias("id"))
+    told = {r.id: r["__maybe"] for r in _shared.sifted(rows, F.col("id"), keys).collect()}
+    among = {r.k for r in keys.collect()} - {None, 0}
+    assert len(told) == 39000 and all(told[k] for k in among) and not told[None]
+    assert sum(told.values()) - len(among) < (0.06 if sheets > 1 else 0.25) * 39000
+    assert not any(r["__maybe"] for r in _shared.sifted(rows, F.col("id"), keys.where("k > 90000")).collect())
