@@ -368,3 +368,13 @@ def test_sieve_keeps_every_key(spark, sheets, monkeypatch):
     assert len(told) == 39000 and all(told[k] for k in among) and not told[None]
     assert sum(told.values()) - len(among) < (0.06 if sheets > 1 else 0.25) * 39000
     assert not any(r["__maybe"] for r in _shared.sifted(rows, F.col("id"), keys.where("k > 90000")).collect())
+
+
+def test_quality_rules_shuffle_lines_once(spark):
+    """Lines that few rows have are counted and go no further."""
+    rows = [(i, "\n".join(f"line {i} {k} of a text" for k in range(40)) + "\nAll rights belong to us.", f"src{i % 2}") for i in range(100)]
+    rows += [(100 + i, "again and again the same line\n" * 30, "src0") for i in range(2)] + [(200, "once more " * 9, "src1")] * 25
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).localCheckpoint()
+    got, records, _ = _shuffled(spark, lambda: {r.doc_id: r for r in quality_rules(docs).collect()})
+    assert records < 1.5 * 100 * 40
+    assert {d for d, r in got.items() if r.n_line_words} == set(range(2, 100)) and all(got[d].n_line_words == 5 for d in range(2, 100))
