@@ -8,7 +8,6 @@ from collections import Counter
 
 import public_tokenizers as P
 import pytest
-
 from pyspark.sql import functions as F
 
 from plumbline.llm import _shared, decontamination
