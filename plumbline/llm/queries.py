@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import shared_dir, table
+from .centroid_clustering import cluster_report, delta_lloyd
 from .decontamination import decontaminate
+from .filter_audit import filter_audit
 from .html_extraction import extract_pages
 from .jaccard_join import jaccard_classes
 from .license_scan import license_scan
 from .lm_scoring import score_documents
 from .quality_rules import quality_rules
 from .sentencepiece_codec import encode_pieces
+from .source_mixing import mix_documents
 from .substring_dedup import dedup_substrings
 from .token_counts import count_tokens
 from .token_files import read_token_files, write_token_files
@@ -75,6 +78,20 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), ids=False, digests=True).drop("text")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_report(*delta_lloyd(table(spark, sf_dir, "embeddings", "vec_id", "embedding")))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed, _ = mix_documents(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text", "lang"), table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    return filter_audit(docs, labels)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -87,6 +104,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_scoring": op8_lm_scoring,
         "op9_quality_rules": op9_quality_rules,
         "op10_sentencepiece": op10_sentencepiece,
+        "op11_centroid_clustering": op11_centroid_clustering,
+        "op12_source_mixing": op12_source_mixing,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
@@ -153,6 +173,73 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM r
 """
 
+# Plain Lloyd: every round compares every vector with every centroid.
+_START = """
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS j, v AS c FROM (SELECT sha256('1:' || vec_id) AS h, v FROM e ORDER BY h NULLS LAST, v LIMIT 16))"""
+_ROUND = """,
+a{i} AS MATERIALIZED (SELECT r, vec_id, v, arg_min(j, (d, j)) AS j, min(d) AS d FROM (SELECT r, vec_id, v, j, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM e, c{i}) GROUP BY r, vec_id, v)"""
+_MEANS = """,
+m{i} AS (SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY p) AS c FROM (SELECT j, p, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT j, unnest(v) AS x, unnest(range(64)) AS p FROM a{i}) GROUP BY j, p) GROUP BY j),
+c{next} AS MATERIALIZED (SELECT c{i}.j, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (j))"""
+OP11 = (
+    _START
+    + "".join(_ROUND.format(i=i) + _MEANS.format(i=i, next=i + 1) for i in range(3))
+    + _ROUND.format(i=3)
+    + """
+SELECT vec_id, j::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY j))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a3 JOIN c3 USING (j)
+"""
+)
+
+# Whole words of each target, read from the shuffled documents over and over: whole epochs, then a start of one.
+OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
+  md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM d GROUP BY source),
+f AS (SELECT *, 3 * source_size AS cap, sum(source_size) OVER () AS total, coalesce(sum(3 * source_size) OVER o, 0) AS full_before,
+  sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS w_from FROM s WINDOW o AS (ORDER BY 3 * source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT *, (total - full_before) * w > cap * w_from AS capped FROM f),
+k AS (SELECT *, total - coalesce(sum(cap) FILTER (capped) OVER (), 0) AS rest, sum(w) FILTER (NOT capped) OVER () AS free FROM g),
+t AS (SELECT source, source_size, CASE WHEN capped THEN cap::DOUBLE ELSE (rest * w)::DOUBLE / free END AS target,
+  CASE WHEN capped THEN cap ELSE rest * w // free END AS quota FROM k),
+p AS (SELECT d.*, source_size, target, quota, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0
+  ELSE (quota // source_size * size + greatest(0, least(size, quota % source_size - start)))::BIGINT END AS taken
+FROM p
+"""
+
+# Every order and step counts the masks of its part anew.
+OP13 = rf"""
+WITH l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT
+  + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+  + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+f(f, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT v.f || w.f || x.f || y.f || z.f AS o FROM f v, f w, f x, f y, f z WHERE v.b + w.b + x.b + y.b + z.b = 31 AND (v.b | w.b | x.b | y.b | z.b) = 31),
+st AS (SELECT o AS filter_order, f AS filter, step, b, (SELECT coalesce(sum(g.b), 0) FROM f g WHERE position(g.f IN o) < step)::INT AS before
+  FROM o, f, LATERAL (SELECT position(f IN o)::INT AS step)),
+r AS (SELECT part, filter_order, filter, step, coalesce(sum(n) FILTER (mask & (before | b) = 0), 0)::BIGINT AS kept,
+  coalesce(sum(n) FILTER (mask & before = 0 AND mask & b <> 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (mask & before <> 0 AND mask & b <> 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = b), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (mask & before = 0 AND mask & b <> 0), 0)::BIGINT AS good_lost,
+  coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & b <> 0), 0)::BIGINT AS toxic_lost FROM c, st GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM r
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2, "op4_jaccard_join": OP4, "op6_decontamination": OP6, "op9_quality_rules": OP9}
+    return {
+        "op2_substring_dedup": OP2,
+        "op4_jaccard_join": OP4,
+        "op6_decontamination": OP6,
+        "op9_quality_rules": OP9,
+        "op11_centroid_clustering": OP11,
+        "op12_source_mixing": OP12,
+        "op13_filter_audit": OP13,
+    }
