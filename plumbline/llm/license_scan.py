@@ -312,7 +312,8 @@ def paragraph_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     after = F.aggregate(F.reverse(F.slice("ls", at + 2, F.lit(AROUND))), F.lit(""), lambda a, x: F.when(blank(x), F.lit("")).otherwise(F.concat(x, F.lit(" "), a)))
     line = F.get("ls", at)
     found = lambda x: F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9]+"), F.lit(0))
-    own_words = sources.join(best, ["d", "key"]).select("d", "key", "at", "family", "probability", found(line).alias("w"), found(F.concat_ws(" ", before, line, after)).alias("near"))
+    of = best.withColumnsRenamed({"d": "of_d", "key": "of_key"})
+    own_words = sources.join(of, F.col("d").eqNullSafe(F.col("of_d")) & (F.col("key") == F.col("of_key"))).select("d", "key", "at", "family", "probability", found(line).alias("w"), found(F.concat_ws(" ", before, line, after)).alias("near"))
     grams_in = lambda w: F.concat(F.col(w), *(runs(k, w) for k in range(2, GRAMS + 1)))
     own_words = own_words.withColumn("own", F.array_distinct(runs(GRAMS))).withColumn("g", grams_in("w")).withColumn("gn", grams_in("near"))
     compared = own_words.join(notices, "family")

@@ -165,7 +165,7 @@ b AS (SELECT d.doc_id, source, l, len(w) AS n_words, length(regexp_replace(t, '[
 x AS (SELECT doc_id, source, array_to_string(regexp_extract_all({LOWER.format("s")}, '{WORD}'), ' ') AS s FROM (SELECT doc_id, source, unnest(l) AS s FROM d)),
 lines AS (SELECT doc_id, source, s, sum(len(string_split(s, ' '))) AS n FROM x WHERE s <> '' GROUP BY ALL),
 often AS (SELECT source, s, min(doc_id) AS first FROM lines GROUP BY ALL HAVING count(*) > 20),
-gone AS (SELECT doc_id, sum(n) AS n FROM lines JOIN often USING (source, s) WHERE doc_id <> first GROUP BY doc_id),
+gone AS (SELECT doc_id, sum(n) AS n FROM lines JOIN often ON lines.s = often.s AND lines.source IS NOT DISTINCT FROM often.source WHERE doc_id <> first GROUP BY doc_id),
 r AS (SELECT b.*, coalesce(n, 0) AS n_line_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b LEFT JOIN gone USING (doc_id))
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, n_line_words::BIGINT AS n_line_words, base_failed,

@@ -19,44 +19,44 @@ BENCH = "ten words of a benchmark item that texts may hold whole"
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    rows = [(1, f"we saw {BENCH} today", None, "h"), (1, f"we saw {BENCH} today", None, "h"), (None, f"we saw {BENCH} today", "x", None), (None, None, None, None), (2, "", "y", "h"), (3, " \n\t", "y", "h"), (4, LONG, "z", None), (1, "another text of id one", "x", "h"), (5, "Released under the MIT License.", "x", None)]
+    rows = [(1, f"we saw {BENCH} today", None, "h"), (1, f"we saw {BENCH} today", None, "h"), (None, f"we saw {BENCH} today", "x", None), (None, None, None, None), (2, "", "y", "h"), (3, " \n\t", "y", "h"), (4, LONG, "z", None), (1, "another text of id one", "x", "h"), (5, "Released under the MIT License.", "x", None), (None, "Released under the MIT License.", "x", None)]
     # The names are those that operators add or use inside.
     return spark.createDataFrame(rows, "doc_id long, text string, n_words string, source string").selectExpr("*", "n_words AS n_tokens", "n_words AS kept", "n_words AS family", "n_words AS ids", "n_words AS contaminated", "n_words AS w", "n_words AS d", "n_words AS at")
 
 
 def test_licenses(odd):
     rows = license_scan(odd).collect()
-    assert len(rows) == 9 and {r.text for r in rows if r.n_licenses} == {"Released under the MIT License."} and all(r.family in ("unknown", "mit") for r in rows)
+    assert len(rows) == 10 and sorted(str(r.doc_id) for r in rows if r.n_licenses) == ["5", "None"] and {r.text for r in rows if r.n_licenses} == {"Released under the MIT License."} and all(r.family in ("unknown", "mit") for r in rows)
 
 
 def test_decontamination(spark, odd):
     bench = spark.createDataFrame([(1, BENCH), (1, BENCH), (None, None), (3, "")], "item_id long, text string")
     rows = decontaminate(odd, bench).collect()
-    assert len(rows) == 9 and sum(r.contaminated for r in rows) == 3 and {r.n_hit for r in rows} == {0, 11}
+    assert len(rows) == 10 and sum(r.contaminated for r in rows) == 3 and {r.n_hit for r in rows} == {0, 11}
     left = contaminated_removed(odd, bench)
-    assert left.columns == odd.columns and sorted((r.text or "")[:7] for r in left.collect()) == sorted(["", "", " \n\t", LONG[:7], "another", "Release"])
-    assert contaminated_removed(odd, bench.where("item_id > 9")).count() == 9
+    assert left.columns == odd.columns and sorted((r.text or "")[:7] for r in left.collect()) == sorted(["", "", " \n\t", LONG[:7], "another", "Release", "Release"])
+    assert contaminated_removed(odd, bench.where("item_id > 9")).count() == 10
 
 
 def test_token_counts_and_pieces(odd):
     counted = count_tokens(odd, BYTES).collect()
-    assert len(counted) == 9 and sorted(r.n_tokens for r in counted)[:2] == [0, 0]
+    assert len(counted) == 10 and sorted(r.n_tokens for r in counted)[:2] == [0, 0]
     assert len({(r.text, r.n_tokens) for r in counted}) == len({r.text for r in counted})
     encoded = encode_pieces(odd, PIECES, digests=True).collect()
-    assert len(encoded) == 9 and len({(r.text or "", r.ids_sha256) for r in encoded}) == len({r.text or "" for r in encoded})
+    assert len(encoded) == 10 and len({(r.text or "", r.ids_sha256) for r in encoded}) == len({r.text or "" for r in encoded})
 
 
 def test_token_files(spark, odd):
     folder = shared_dir(spark)
     manifest = write_token_files(odd, BYTES, folder, 2)
     got = [(r.doc_id, r.n_tokens) for r in read_token_files(spark, manifest, folder).orderBy("start").collect()]
-    assert [d for d, _ in got] == [None, None, 1, 1, 1, 2, 3, 4, 5] and dict(got)[2] == 1
+    assert [d for d, _ in got] == [None, None, None, 1, 1, 1, 2, 3, 4, 5] and dict(got)[2] == 1
 
 
 def test_quality(odd):
     rows = quality_rules(odd).collect()
-    assert len(rows) == 9 and sum(r.n_words == 0 for r in rows) == 3
-    assert remove_frequent_lines(odd).count() == 9
+    assert len(rows) == 10 and sum(r.n_words == 0 for r in rows) == 3
+    assert remove_frequent_lines(odd).count() == 10
 
 
 def test_pipeline(spark, tmp_path):
