@@ -147,11 +147,10 @@ def row_quantile(df: DataFrame, column: str, q: float, how: str = "nearest") ->
     from .running import running_sums
 
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    ran = running_sums(counts, [], "v", {"upto": "n"})
-    total = counts.agg(F.sum("n").alias("t"))
-    at = F.lit(q) * (F.col("t") - 1)
+    ran = running_sums(counts, [], "v", {"upto": "n"}, totals=True)
+    at = F.lit(q) * (F.col("upto_n") - 1)
     rank = F.ceil(at) if how == "higher" else F.bround(at)
-    return ran.crossJoin(F.broadcast(total)).where(F.col("upto") > rank).agg(F.min("v").alias("value"))
+    return ran.where(F.col("upto") > rank).agg(F.min("v").alias("value"))
 
 
 def first_per(df: DataFrame, label: str, order: list[str]) -> DataFrame:

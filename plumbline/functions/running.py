@@ -1,39 +1,70 @@
-"""Running sums and quantiles over an order without bringing a whole column into one task."""
+"""Running sums and quantiles over an order without bringing a whole column into one task.
+
+All of them rest on one rank index: the rows in pieces along the order, each
+with its running sums, written once. Quantiles, fences, distances of
+distributions, ranks and curves are aggregates over it, so what is below (as a
+rule the counts of a scan) is run once, however many of them are asked for.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import kept
+
 #: Pieces that an order is cut into: at least so many, as many as the session's shuffles have partitions, at most so many.
-BUCKETS, MOST_BUCKETS = 32, 4096
+BUCKETS, MOST_BUCKETS = 8, 4096
 
 
-def running_sums(df: DataFrame, part: list[str], order: str, sums: dict[str, str], ahead: str | None = None, buckets: int | None = None) -> DataFrame:
-    """``df`` with running sums (including the own row) of ``sums`` (new name -> column), by ``order`` within ``part``.
+def running_sums(df: DataFrame, part: list[str], order: str | list[str | Column], sums: dict[str, str], ahead: str | None = None, totals: bool = False, buckets: int | None = None) -> DataFrame:
+    """``df`` with running sums (including the own row) of ``sums`` (new name -> column), by ``order`` within ``part``; a table that is written.
 
-    ``order`` is distinct within ``part``. The rows of a part are cut into
-    buckets at approximate quantiles, summed inside buckets in parallel, and
-    the totals of the buckets before are added: a table of parts times buckets.
-    ``ahead`` names a column for the next row's ``order``, null for the last.
+    ``order``, a column or several, is distinct within ``part``. Rows are dealt
+    to pieces by ranges of part and order, and summed inside a piece; the
+    totals of the pieces before, a row for each piece and part that it holds,
+    are added as the table is read. ``ahead`` names a column for the next row's
+    ``order`` (one column then), null for the last. With ``totals`` each running
+    sum c has {c}_n beside it, the sum of the part.
     """
     buckets = buckets or min(MOST_BUCKETS, max(BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    quantiles = [k / buckets for k in range(1, buckets)]
-    keys = part or ["__all"]
-    df = df if part else df.withColumn("__all", F.lit(0))
-    bounds = df.groupBy(*keys).agg(F.percentile_approx(order, quantiles, max(1000, 10 * buckets)).alias("__bounds"))
-    cut = df.join(F.broadcast(bounds), keys).withColumn("__bucket", F.size(F.filter("__bounds", lambda b: b < F.col(order)))).drop("__bounds")
-    totals = cut.groupBy(*keys, "__bucket").agg(*(F.sum(c).alias(f"__t_{n}") for n, c in sums.items()), F.min(order).alias("__first"))
-    along = Window.partitionBy(*keys).orderBy("__bucket")
+    orders = order if isinstance(order, list) else [order]
+    cut = df.repartitionByRange(buckets, *part, *orders).withColumn("__piece", F.spark_partition_id())
+    inside = Window.partitionBy("__piece", *part).orderBy(*orders)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    local = cut.select(*(F.col(f"`{c}`") for c in cut.columns), *(F.sum(c).over(upto).alias(n) for n, c in sums.items()), *([F.lead(orders[0]).over(inside).alias(ahead)] if ahead else []))
+    held = kept(local)
+    ends = held.groupBy("__piece", *part).agg(*(F.sum(c).alias(f"__t_{n}") for n, c in sums.items()), *([F.min(orders[0]).alias("__first")] if ahead else []))
+    whole = Window.partitionBy(*(part or [F.lit(0)]))
+    along = whole.orderBy("__piece")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "__bucket", *(F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums), F.lead("__first").over(along).alias("__next"))
-    inside = Window.partitionBy(*keys, "__bucket").orderBy(order)
-    out = cut.join(F.broadcast(offsets), [*keys, "__bucket"])
-    for n, c in sums.items():
-        out = out.withColumn(n, F.sum(c).over(inside.rowsBetween(Window.unboundedPreceding, 0)) + F.col(f"__o_{n}"))
-    if ahead:
-        out = out.withColumn(ahead, F.coalesce(F.lead(order).over(inside), F.col("__next")))
-    return out.drop("__bucket", "__next", *(f"__o_{n}" for n in sums), *([] if part else ["__all"]))
+    offsets = kept(
+        ends.select(
+            F.col("__piece").alias("__of"),
+            *(F.col(f"`{p}`").alias(f"__p{k}") for k, p in enumerate(part)),
+            *(F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums),
+            *(F.sum(f"__t_{n}").over(whole).alias(f"{n}_n") for n in sums if totals),
+            *([F.lead("__first").over(along).alias("__next")] if ahead else []),
+        )
+    )
+    same = reduce(lambda a, b: a & b, (F.col(f"`{p}`").eqNullSafe(F.col(f"__p{k}")) for k, p in enumerate(part)), F.col("__piece") == F.col("__of"))
+    out = held.join(F.broadcast(offsets), same)
+    total = lambda n: (F.col(n) + F.col(f"__o_{n}")).alias(n)
+    return out.select(*(F.col(f"`{c}`") for c in df.columns), *map(total, sums), *(f"{n}_n" for n in sums if totals), *([F.coalesce(ahead, "__next").alias(ahead)] if ahead else []))
+
+
+def at_quantiles(value: str, upto: str, at: list[float]) -> list[Column]:
+    """Aggregates over a rank index with totals: the exact quantiles ``at``, each between two values in proportion."""
+
+    def one(q: float) -> Column:
+        place = F.lit(float(q)) * (F.max(f"{upto}_n") - 1)
+        row = F.lit(float(q)) * (F.col(f"{upto}_n") - 1)
+        low, high = (F.min(F.when(F.col(upto) > k, F.col(value))) for k in (F.floor(row), F.ceil(row)))
+        return F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+
+    return [one(q) for q in at]
 
 
 def exact_quantiles(df: DataFrame, part: list[str], value: str, at: list[float]) -> DataFrame:
@@ -43,14 +74,5 @@ def exact_quantiles(df: DataFrame, part: list[str], value: str, at: list[float])
     """
     v = F.col(f"`{value}`").cast("double")
     counts = df.select(*part, v.alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v")).groupBy(*part, "__v").agg(F.count("*").alias("__n"))
-    total = counts.groupBy(*part).agg(F.sum("__n").alias("n"))
-    ran = running_sums(counts, part, "__v", {"__upto": "__n"})
-    ran = ran.join(F.broadcast(total), part) if part else ran.crossJoin(F.broadcast(total))
-    place = [F.lit(float(q)) * (F.col("n") - 1) for q in at]
-    found = ran.groupBy(*part).agg(
-        F.first("n").alias("n"),
-        *(F.min(F.when(F.col("__upto") > F.floor(p), F.col("__v"))).alias(f"__a{k}") for k, p in enumerate(place)),
-        *(F.min(F.when(F.col("__upto") > F.ceil(p), F.col("__v"))).alias(f"__b{k}") for k, p in enumerate(place)),
-    )
-    one = lambda k, p: F.when(F.col(f"__a{k}") == F.col(f"__b{k}"), F.col(f"__a{k}")).otherwise((F.ceil(p) - p) * F.col(f"__a{k}") + (p - F.floor(p)) * F.col(f"__b{k}"))
-    return found.select(*part, F.array(*(one(k, p) for k, p in enumerate(place))).alias("q"), "n")
+    ran = running_sums(counts, part, "__v", {"__upto": "__n"}, totals=True)
+    return ran.groupBy(*part).agg(F.array(*at_quantiles("__v", "__upto", at)).alias("q"), F.max("__upto_n").alias("n"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
+from ..functions import running
 from ..functions.strings import NULL_FORMS, base_form, base_form_or_text, is_number, is_only_special
 from . import kernels
 
@@ -170,11 +171,13 @@ def string_length_out_of_bounds(df: DataFrame, columns: list[str] | None = None,
 
 def iqr_outliers(df: DataFrame, columns: list[str], percentiles: tuple[float, float] = (25, 75), scale: float = 1.5) -> DataFrame:
     """(feature, low, high, n_outliers, ratio) of numeric columns."""
-    fences = kernels.iqr_fences(df, columns, percentiles, scale)
     cells = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns))
-    rows = df.select(F.inline(cells)).where(F.col("v").isNotNull())
-    out = ((F.col("v") < F.col("low")) | (F.col("v") > F.col("high"))).cast("long")
-    return rows.join(F.broadcast(fences), "feature").groupBy("feature").agg(F.first("low").alias("low"), F.first("high").alias("high"), F.sum(out).alias("n_outliers"), F.avg(out).alias("ratio"))
+    counts = df.select(F.inline(cells)).where(F.col("v").isNotNull()).groupBy("feature", "v").agg(F.count("*").alias("n"))
+    # NaN, the largest value, is in the index but in no quantile: it counts as an outlier.
+    ran = running.running_sums(counts.withColumn("own", F.when(F.isnan("v"), F.lit(0)).otherwise(F.col("n"))), ["feature"], "v", {"upto": "own"}, totals=True)
+    fences = kernels.fences_of(ran.where(~F.isnan("v")), percentiles, scale)
+    out = F.sum(F.when((F.col("v") < F.col("low")) | (F.col("v") > F.col("high")), F.col("n")).otherwise(0))
+    return ran.join(F.broadcast(fences), "feature").groupBy("feature").agg(F.first("low").alias("low"), F.first("high").alias("high"), out.alias("n_outliers"), (out / F.sum("n")).alias("ratio"))
 
 
 def nearest_neighbours(df: DataFrame, queries: DataFrame, id_column: str, numeric: list[str], categorical: list[str], k: int) -> DataFrame:

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.running import exact_quantiles, running_sums
+from ..functions.running import at_quantiles, exact_quantiles, running_sums
 
 OTHER = "Other rare categories"
 #: Shares below this count as this in the population stability index.
@@ -40,28 +40,50 @@ def _number(tagged: DataFrame) -> DataFrame:
     return tagged.where(F.col("v").isNotNull() & ~F.isnan("v"))
 
 
-def _ecdf(counts: DataFrame, ahead: str | None = None) -> DataFrame:
-    ran = running_sums(counts, ["feature"], "v", {"ca": "a", "cb": "b"}, ahead)
-    return ran.join(F.broadcast(sizes(counts)), "feature").withColumn("gap", F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb")))
+def ranked_values(tagged: DataFrame) -> DataFrame:
+    """(feature, v, a, b, ca, cb, next, ca_n, cb_n): the rank index of both sides of all features, which :func:`ks` and :func:`emd` read; nulls and NaN left out."""
+    return running_sums(value_counts(_number(tagged)), ["feature"], "v", {"ca": "a", "cb": "b"}, "next", totals=True)
 
 
 def ks(tagged: DataFrame) -> DataFrame:
     """(feature, score): the Kolmogorov-Smirnov distance of train and test, nulls left out."""
-    return _ecdf(value_counts(_number(tagged))).groupBy("feature").agg(F.max("gap").alias("score"))
+    gap = F.abs(F.col("ca") / F.col("ca_n") - F.col("cb") / F.col("cb_n"))
+    return ranked_values(tagged).groupBy("feature").agg(F.max(gap).alias("score"))
+
+
+def _rows_at(side: str, q: float, with_own: bool) -> Column:
+    """An aggregate over :func:`ranked_values`: the rows of a side below its q-quantile, or up to it."""
+    upto, row = F.col(f"c{side}"), F.lit(float(q)) * (F.col(f"c{side}_n") - 1)
+    value = lambda k: F.min(F.when(upto > k, F.col("v")))
+    reached = F.ceil(row) if with_own else F.floor(row)
+    # Between two values the quantile is none of them.
+    at_value = F.min(F.when(upto > reached, upto if with_own else upto - F.col(side)))
+    return F.when(value(F.floor(row)) == value(F.ceil(row)), at_value).otherwise(F.max(F.floor(row)) + 1)
 
 
 def emd(tagged: DataFrame, margin: float = 0.0) -> DataFrame:
     """(feature, score): the earth mover's distance after scaling both sides to their joint range.
 
     With ``margin``, values outside the quantiles margin and 1 - margin of
-    their side are left out first. Equal values throughout give 0.
+    their side are left out first. Equal values throughout give 0. Fences,
+    what they leave out, and the distance are read from one rank index.
     """
-    rows = _number(tagged)
+    ran = ranked_values(tagged)
+    inside = {n: F.col(n) > 0 for n in ("a", "b")}
+    share = lambda n: F.col(f"c{n}") / F.col(f"c{n}_n")
     if margin:
-        fence = exact_quantiles(rows, ["feature", "side"], "v", [margin, 1 - margin]).drop("n")
-        rows = rows.join(F.broadcast(fence), ["feature", "side"]).where((F.col("v") >= F.col("q")[0]) & (F.col("v") <= F.col("q")[1])).drop("q")
-    ahead = _ecdf(value_counts(rows), "next").withColumn("width", F.col("next") - F.col("v"))
-    whole = ahead.groupBy("feature").agg(F.sum(F.col("gap") * F.col("width")).alias("area"), (F.max("v") - F.min("v")).alias("range"))
+        # Each side's fences, how many of its rows lie below the lower one, and how many up to the upper one, in one aggregate.
+        found = []
+        for n in ("a", "b"):
+            low, high = at_quantiles("v", f"c{n}", [margin, 1 - margin])
+            found += [low.alias(f"{n}0"), high.alias(f"{n}1"), _rows_at(n, margin, False).alias(f"{n}_low"), _rows_at(n, 1 - margin, True).alias(f"{n}_upto")]
+        ran = ran.join(F.broadcast(ran.groupBy("feature").agg(*found)), "feature")
+        inside = {n: (F.col(n) > 0) & (F.col("v") >= F.col(f"{n}0")) & (F.col("v") <= F.col(f"{n}1")) for n in ("a", "b")}
+        share = lambda n: (F.least(F.greatest(F.col(f"c{n}"), F.col(f"{n}_low")), F.col(f"{n}_upto")) - F.col(f"{n}_low")) / (F.col(f"{n}_upto") - F.col(f"{n}_low"))
+    gap = F.abs(share("a") - share("b"))
+    left = inside["a"] | inside["b"]
+    # Beyond the last value that is left, both shares are 1: no gap.
+    whole = ran.groupBy("feature").agg(F.sum(gap * (F.col("next") - F.col("v"))).alias("area"), (F.max(F.when(left, F.col("v"))) - F.min(F.when(left, F.col("v")))).alias("range"))
     return whole.select("feature", F.when(F.col("range") > 0, F.col("area") / F.col("range")).otherwise(F.lit(0.0)).alias("score"))
 
 
@@ -198,10 +220,16 @@ def iqr_fences(df: DataFrame, columns: list[str], percentiles: tuple[float, floa
     """
     cells = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns))
     rows = df.select(F.inline(cells)).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    q = exact_quantiles(rows, ["feature"], "v", [percentiles[0] / 100, percentiles[1] / 100])
-    near = rows.join(F.broadcast(q), "feature").groupBy("feature").agg(
+    counts = rows.groupBy("feature", "v").agg(F.count("*").alias("n"))
+    return fences_of(running_sums(counts, ["feature"], "v", {"upto": "n"}, totals=True), percentiles, scale, sharp_drop_ratio)
+
+
+def fences_of(ran: DataFrame, percentiles: tuple[float, float], scale: float, sharp_drop_ratio: float = 0.9) -> DataFrame:
+    """(feature, low, high): :func:`iqr_fences` of a rank index (feature, v, n, upto, upto_n)."""
+    q = ran.groupBy("feature").agg(F.array(*at_quantiles("v", "upto", [p / 100 for p in percentiles])).alias("q"))
+    near = ran.join(F.broadcast(q), "feature").groupBy("feature").agg(
         F.first("q").alias("q"),
-        (F.sum((F.col("v") == F.col("q")[0]).cast("long")) / F.first("n")).alias("share"),
+        (F.sum(F.when(F.col("v") == F.col("q")[0], F.col("n")).otherwise(0)) / F.first("upto_n")).alias("share"),
         F.min(F.when(F.col("v") != F.col("q")[0], F.abs(F.col("v") - F.col("q")[0]))).alias("near"),
     )
     q1, q3 = F.col("q")[0], F.col("q")[1]

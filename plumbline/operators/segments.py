@@ -3,38 +3,44 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.running import at_quantiles, running_sums
 from . import kernels
 
 
 @dataclass(frozen=True)
 class Filter:
-    """Rows inside intervals (low, high] of numbers and among values of categories, all at once."""
+    """Rows inside intervals (low, high] of numbers, among values of categories and not among others, all at once."""
 
     intervals: dict[str, tuple[float | None, float | None]] = field(default_factory=dict)
     values: dict[str, tuple] = field(default_factory=dict)
     name: str = ""
+    excluded: dict[str, tuple] = field(default_factory=dict)
 
     def above(self, column: str, threshold: float) -> Filter:
         """This and ``column > threshold``."""
         low, high = self.intervals.get(column, (None, None))
-        return Filter({**self.intervals, column: (threshold if low is None else max(low, threshold), high)}, self.values, self.name)
+        return replace(self, intervals={**self.intervals, column: (threshold if low is None else max(low, threshold), high)})
 
     def upto(self, column: str, threshold: float) -> Filter:
         """This and ``column <= threshold``."""
         low, high = self.intervals.get(column, (None, None))
-        return Filter({**self.intervals, column: (low, threshold if high is None else min(high, threshold))}, self.values, self.name)
+        return replace(self, intervals={**self.intervals, column: (low, threshold if high is None else min(high, threshold))})
 
     def among(self, column: str, values: Iterable) -> Filter:
         """This and ``column`` being one of ``values``."""
         values = tuple(values)
         known = self.values.get(column)
-        return Filter(self.intervals, {**self.values, column: values if known is None else tuple(v for v in known if v in values)}, self.name)
+        return replace(self, values={**self.values, column: values if known is None else tuple(v for v in known if v in values)})
+
+    def without(self, column: str, values: Iterable) -> Filter:
+        """This and ``column`` being none of ``values``: all other categories, however many there are."""
+        return replace(self, excluded={**self.excluded, column: tuple(dict.fromkeys((*self.excluded.get(column, ()), *values)))})
 
     def __and__(self, other: Filter) -> Filter:
         """Both."""
@@ -44,7 +50,9 @@ class Filter:
             out = out if high is None else out.upto(c, high)
         for c, values in other.values.items():
             out = out.among(c, values)
-        return Filter(out.intervals, out.values, " and ".join(filter(None, (self.name, other.name))))
+        for c, values in other.excluded.items():
+            out = out.without(c, values)
+        return replace(out, name=" and ".join(filter(None, (self.name, other.name))))
 
     def column(self) -> Column:
         """The condition on a row; nulls are not inside."""
@@ -52,6 +60,7 @@ class Filter:
         for c, (low, high) in self.intervals.items():
             parts += [F.col(f"`{c}`") > low] * (low is not None) + [F.col(f"`{c}`") <= high] * (high is not None)
         parts += [F.col(f"`{c}`").isin(*values) if values else F.lit(False) for c, values in self.values.items()]
+        parts += [~F.col(f"`{c}`").isin(*values) if values else F.col(f"`{c}`").isNotNull() for c, values in self.excluded.items()]
         return F.coalesce(reduce(lambda a, b: a & b, parts, F.lit(True)), F.lit(False))
 
     def apply(self, df: DataFrame) -> DataFrame:
@@ -62,6 +71,7 @@ class Filter:
         for c, (low, high) in self.intervals.items():
             parts.append(f"{low:g} < {c} <= {high:g}" if low is not None and high is not None else f"{c} > {low:g}" if low is not None else f"{c} <= {high:g}")
         parts += [f"{c} in {', '.join(map(str, v))}" for c, v in self.values.items()]
+        parts += [f"{c} not in {', '.join(map(str, v))}" for c, v in self.excluded.items()]
         return " and ".join(parts) or "all rows"
 
 
@@ -90,31 +100,46 @@ def tree_filters(model, features: list[str]) -> list[tuple[Filter, float]]:
 # --- partitions --------------------------------------------------------------
 
 
+def _counts(df: DataFrame, column: str) -> DataFrame:
+    """(value, kind, n): categories as text and as they are, with their rows; nulls left out."""
+    c = F.col(f"`{column}`")
+    return df.where(c.isNotNull()).groupBy(c.cast("string").alias("value")).agg(F.min(c).alias("kind"), F.count("*").alias("n"))
+
+
 def cumulative_shares(df: DataFrame, column: str) -> DataFrame:
-    """(value, n, share, upto): categories by falling frequency with the share of rows up to each. A row per category."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n"))
-    order = Window.orderBy(F.desc("n"), "value")  # over categories, whose number the caller bounds
-    ran = counts.withColumn("upto_n", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("t", F.sum("n").over(Window.partitionBy()))
-    return ran.select("value", "n", (F.col("n") / F.col("t")).alias("share"), (F.col("upto_n") / F.col("t")).alias("upto"))
+    """(value, n, share, upto): categories by falling frequency with the share of rows up to each, however many there are."""
+    ran = running_sums(_counts(df, column).drop("kind").withColumn("__down", -F.col("n")), [], ["__down", "value"], {"__upto": "n"}, totals=True)
+    return ran.select("value", "n", (F.col("n") / F.col("__upto_n")).alias("share"), (F.col("__upto") / F.col("__upto_n")).alias("upto"))
+
+
+def _largest(df: DataFrame, column: str, most: int, share: float) -> tuple[list, bool]:
+    """The most frequent categories (value, kind), and whether there are others."""
+    counts = _counts(df, column)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    rows = counts.orderBy(F.desc("n"), "value").limit(most).collect()
+    out, before = [], 0
+    for r in rows:
+        if before >= share * total:
+            break
+        out.append((r.value, r.kind))
+        before += r.n
+    return out, before < total
 
 
 def largest_categories(df: DataFrame, column: str, most: int = 10, share: float = 0.9) -> list[str]:
     """The most frequent categories: as many as cover ``share`` of the rows, ``most`` at most."""
-    rows = cumulative_shares(df, column).where(F.col("upto") - F.col("share") < share).orderBy(F.desc("n"), "value").limit(most)
-    return [r.value for r in rows.collect()]
+    return [value for value, _ in _largest(df, column, most, share)[0]]
 
 
 def partition_column(df: DataFrame, column: str, categorical: bool, most: int = 10, share: float = 0.9) -> list[Filter]:
-    """Filters that cut a column into segments: quantile bins of a number, the largest categories and the others."""
+    """Filters that cut a column into segments: quantile bins of a number, the largest categories and all others.
+
+    The filters cover every row whose value is not null, each once.
+    """
     if categorical:
-        large = largest_categories(df, column, most, share)
-        kinds = {r.v: r.k for r in df.where(F.col(column).cast("string").isin(*large)).select(F.col(column).cast("string").alias("v"), F.col(column).alias("k")).distinct().collect()} if large else {}
-        out = [Filter(values={column: (kinds[v],)}, name=v) for v in large]
-        rest = df.where(F.col(column).isNotNull() & ~F.col(column).isin(*kinds.values())) if kinds else df.limit(0)
-        others = [r[0] for r in rest.select(column).distinct().limit(most * 100 + 1).collect()]
-        if others and len(others) <= most * 100:
-            out.append(Filter(values={column: tuple(others)}, name="others"))
-        return out
+        large, more = _largest(df, column, most, share)
+        out = [Filter(values={column: (kind,)}, name=value) for value, kind in large]
+        return [*out, Filter(name="others").without(column, [kind for _, kind in large])] if more else out
     edges = kernels.quantile_edges(df, column, most)
     if not edges:
         return []
@@ -134,8 +159,12 @@ def edges_around(df: DataFrame, column: str, low: float, high: float, more: int
     n_left = round(more * row.left / sides) if sides else 0
     n_left = min(max(n_left, 1 if row.left else 0), more - (1 if row.right else 0))
     n_right = more - n_left if row.right else 0
-    cut = lambda part, n: df.where(part).agg(F.percentile(column, [i / n for i in range(n + 1)])).first()[0] if n else []
-    left, right = cut(c <= low, n_left), cut(c > high, n_right)
+    counts = df.where(c.isNotNull()).select(c.cast("double").alias("v"), F.when(c <= low, 0).when(c > high, 1).alias("side")).where("side IS NOT NULL").groupBy("side", "v").agg(F.count("*").alias("n"))
+    ran = running_sums(counts, ["side"], "v", {"upto": "n"}, totals=True)
+    sides = {side: [i / n for i in range(n + 1)] for side, n in ((0, n_left), (1, n_right)) if n}
+    of = {r.side: r for r in ran.groupBy("side").agg(*(q.alias(f"q{k}_{i}") for k, at in sides.items() for i, q in enumerate(at_quantiles("v", "upto", at)))).collect()} if sides else {}
+    cut = lambda side: [of[side][f"q{side}_{i}"] for i in range(len(sides[side]))] if side in of and side in sides else []
+    left, right = cut(0), cut(1)
     return sorted({*(left[:-1] if left else []), *([low] if low > float("-inf") else []), *([high] if high < float("inf") else []), *(right[1:] if right else [])})
 
 
@@ -154,31 +183,39 @@ def segment_error(df: DataFrame, inside: Filter, error: str) -> DataFrame:
 
 
 def error_by_category(df: DataFrame, column: str, error: str) -> DataFrame:
-    """(value, mean_error, n, upto): categories by falling mean error, with the share of rows up to each. A row per category."""
+    """(value, mean_error, n, upto): categories by falling mean error, with the share of rows up to each, however many there are."""
     per = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(F.avg(F.col(error).cast("double")).alias("mean_error"), F.count("*").alias("n"))
-    order = Window.orderBy(F.desc("mean_error"), "value")
-    upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(Window.partitionBy())
-    return per.select("value", "mean_error", "n", upto.alias("upto"))
+    # A category without an error has no mean and comes last.
+    ran = running_sums(per.withColumn("__down", F.coalesce(-F.col("mean_error"), F.lit(float("inf")))), [], ["__down", "value"], {"__upto": "n"}, totals=True)
+    return ran.select("value", "mean_error", "n", (F.col("__upto") / F.col("__upto_n")).alias("upto"))
 
 
-def error_segments(df: DataFrame, feature: str, error: str, categorical: bool, least: float = 0.05) -> list[Filter]:
-    """One feature cut in two by error: the worse side first. Empty if no cut leaves ``least`` of the rows on both sides."""
+def error_segments(df: DataFrame, feature: str, error: str, categorical: bool, least: float = 0.05, most: int = 1000, n_samples: int = 10_000) -> list[Filter]:
+    """One feature cut in two by error: the worse side first. Empty if no cut leaves ``least`` of the rows on both sides.
+
+    Numbers are cut by a tree over ``n_samples`` rows. Categories with the
+    largest mean errors, of half of the rows together, are the worse side, as
+    a list of ``most`` at most: if it takes more, no list of them is a segment.
+    """
     if categorical:
-        rows = error_by_category(df, feature, error).collect()  # a row per category
-        rows.sort(key=lambda r: (-r.mean_error, r.value))
-        worse = [r.value for r in rows if r.upto <= 0.5] or [r.value for r in rows[:1]]
-        share = max((r.upto for r in rows if r.value in worse), default=0.0)
+        ran = error_by_category(df, feature, error)
+        row = ran.agg(F.count_if(F.col("upto") <= 0.5).alias("k"), F.max(F.when(F.col("upto") <= 0.5, F.col("upto"))).alias("share")).first()
+        worse = ran.where(F.col("upto") <= 0.5) if row.k else ran
+        if row.k > most:
+            return []
+        found = worse.orderBy(F.col("mean_error").desc_nulls_last(), "value").limit(row.k or 1).collect()
+        share = max((r.upto for r in found), default=0.0)
         if not least <= share <= 1 - least:
             return []
-        kinds = [r[0] for r in df.where(F.col(feature).cast("string").isin(*worse)).select(feature).distinct().collect()]
-        others = [r[0] for r in df.where(F.col(feature).isNotNull() & ~F.col(feature).isin(*kinds)).select(feature).distinct().collect()]
-        return [Filter(name="worse").among(feature, kinds), Filter(name="better").among(feature, others)]
+        names = [r.value for r in found]
+        kinds = [r[0] for r in df.where(F.col(feature).cast("string").isin(*names)).groupBy(F.col(feature).cast("string").alias("v")).agg(F.min(feature).alias("k")).select("k").collect()]
+        return [Filter(name="worse").among(feature, kinds), Filter(name="better").without(feature, kinds)]
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import DecisionTreeRegressor
 
     from .models import hash_sample
 
-    rows = hash_sample(df.where(F.col(feature).isNotNull()).select(F.col(feature).cast("double").alias(feature), F.col(error).cast("double").alias("__e")), 10_000, [feature, "__e"])
+    rows = hash_sample(df.where(F.col(feature).isNotNull()).select(F.col(feature).cast("double").alias(feature), F.col(error).cast("double").alias("__e")), n_samples, [feature, "__e"])
     rows = VectorAssembler(inputCols=[feature], outputCol="__x").transform(rows)
     tree = DecisionTreeRegressor(featuresCol="__x", labelCol="__e", maxDepth=1, minInstancesPerNode=max(1, int(least * rows.count())), seed=42).fit(rows)
     leaves = sorted(tree_filters(tree, [feature]), key=lambda x: -x[1])

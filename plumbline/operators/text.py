@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import TEXT_PROPERTIES, at_hand, normalize_text, split_sentences, split_words
-from ..sources.scratch import checkpointed
+from ..sources.scratch import kept_at, remove
 from . import kernels
 
 
@@ -104,7 +104,7 @@ def frequent_substrings(df: DataFrame, text: str, min_words: int = 4, min_ratio:
     given = df.where(F.col(text).isNotNull())
     total = given.count()
     rows = given.select(F.filter(F.split(F.array_join(ends, " "), r"\s+"), lambda w: w != "").alias("w")).withColumn("id", F.monotonically_increasing_id())
-    rows = checkpointed(rows.where(F.size("w") >= min_words))
+    rows, place = kept_at(rows.where(F.size("w") >= min_words))
     found: dict[str, int] = {}
     n = min_words
     while True:
@@ -119,7 +119,10 @@ def frequent_substrings(df: DataFrame, text: str, min_words: int = 4, min_ratio:
             break
         some = rows.where(F.size("w") >= last).select("id", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - last), lambda i: F.array_join(F.slice("w", i + 1, last), " "))).alias("g"))
         held = some.join(F.broadcast(df.sparkSession.createDataFrame(longest, "g string")), "g").select("id").distinct()
-        rows, n = checkpointed(rows.join(held, "id", "left_semi")), last + 1
+        before = place
+        (rows, place), n = kept_at(rows.join(held, "id", "left_semi")), last + 1
+        remove(df.sparkSession, before)
+    remove(df.sparkSession, place)
     kept = _frequency_cut(_longest_runs({g: k / total for g, k in found.items()}, margin), significant_ratio, min_change)
     return df.sparkSession.createDataFrame([(g, found[g], ratio) for g, ratio in kept], "substring string, n_texts long, ratio double")
 

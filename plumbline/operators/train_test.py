@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import kept
 from . import kernels
 from .integrity import string_counts
 from ..functions.strings import base_form_or_text
@@ -77,7 +78,7 @@ def feature_drift(train: DataFrame, test: DataFrame, numeric: list[str], categor
         score = kernels.ks(rows) if numeric_method == "KS" else kernels.emd(rows, margin)
         out = score.select("feature", F.lit(numeric_method).alias("method"), "score")
     if categorical:
-        counts = kernels.fold_rare(kernels.value_counts(kernels.tag(train, test, categorical, "string").where(F.col("v").isNotNull())), min_ratio, max_categories)
+        counts = kernels.fold_rare(kept(kernels.value_counts(kernels.tag(train, test, categorical, "string").where(F.col("v").isNotNull()))), min_ratio, max_categories)
         score = kernels.psi(counts) if categorical_method == "PSI" else kernels.cramers_v(counts, balance)
         part = score.select("feature", F.lit(categorical_method).alias("method"), "score")
         out = part if out is None else out.unionByName(part)

@@ -1,7 +1,7 @@
 """Every query of the validation operators over the driver's tables, and the SQL that states its result.
 
-Queries without SQL train a model, or return what SQL cannot express; tests
-hold those against brute force.
+Queries without SQL train a model, or return what SQL cannot express; tests try
+those whose result has a brute-force version, and the properties of the others.
 """
 
 from __future__ import annotations

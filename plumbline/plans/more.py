@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import helpers, running
+from ..functions.language import train_language_model
 from ..operators import evaluation, models, scoring, segments, text, train_test, vision
 from ..sources.tables import read
 from .catalog import FENCES, JUDGED, KS, PER_CLASS, WORDS, _judged, query
@@ -250,3 +251,48 @@ def label_property_drift(spark, d):
     names = ["bounding_box_area", "boxes_per_image"]
     a, b = (_wide(v.label_properties().where(f"l_orderkey % 2 = {k}"), names) for k in (0, 1))
     return train_test.feature_drift(a, b, names, [])
+
+
+# --- segments ----------------------------------------------------------------
+
+
+@query("""WITH c AS (SELECT p_type AS v, count(*) AS n FROM part GROUP BY 1), r AS (SELECT v, n, row_number() OVER (ORDER BY n DESC, v) AS k,
+coalesce(sum(n) OVER (ORDER BY n DESC, v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS had, sum(n) OVER () AS t FROM c)
+SELECT CASE WHEN k <= 5 AND had < 0.9 * t THEN v ELSE 'others' END AS segment, sum(n)::BIGINT AS n FROM r GROUP BY 1""")
+def category_partition(spark, d):
+    """Every row of the table in one of six segments: the five largest categories and all others, by exclusion."""
+    p = read(spark, d, "part", "p_type")
+    cuts = segments.partition_column(p, "p_type", True, 5)
+    return p.agg(*(F.count_if(f.column()).alias(f.name) for f in cuts)).select(F.inline(F.array(*(F.struct(F.lit(f.name).alias("segment"), F.col(f"`{f.name}`").alias("n")) for f in cuts))))
+
+
+@query("""WITH r AS (SELECT count(*) FILTER (l_quantity <= 20) AS a, count(*) FILTER (l_quantity > 30) AS b FROM lineitem),
+n AS (SELECT least(greatest(round_even(4 * a / (a + b), 0)::INT, 1), 3) AS l FROM r),
+k AS (SELECT l, unnest(range(l)) AS i, 0 AS side FROM n UNION ALL SELECT 4 - l, unnest(range(1, 5 - l)), 1 FROM n),
+v AS (SELECT l_quantity AS v, CASE WHEN l_quantity <= 20 THEN 0 ELSE 1 END AS side, row_number() OVER (PARTITION BY l_quantity <= 20 ORDER BY l_quantity) - 1 AS pos, count(*) OVER (PARTITION BY l_quantity <= 20) - 1 AS last
+  FROM lineitem WHERE l_quantity <= 20 OR l_quantity > 30)
+SELECT DISTINCT edge::DOUBLE AS edge FROM (SELECT max(v) FILTER (pos = floor(i * last / l)) + (max(v) FILTER (pos = ceil(i * last / l)) - max(v) FILTER (pos = floor(i * last / l))) * (max(i * last / l) - floor(max(i * last / l))) AS edge
+  FROM k JOIN v USING (side) GROUP BY side, i, l UNION ALL SELECT 20.0 UNION ALL SELECT 30.0)""")
+def edges_around_segment(spark, d):
+    edges = segments.edges_around(read(spark, d, "lineitem", "l_quantity"), "l_quantity", 20.0, 30.0)
+    return spark.createDataFrame([(e,) for e in edges], "edge double")
+
+
+@query("""WITH e AS (SELECT l_linestatus || l_returnflag AS k, abs(l_extendedprice - l_quantity * 1500) AS e FROM lineitem),
+c AS (SELECT k, avg(e) AS m, count(*) AS n FROM e GROUP BY k), r AS (SELECT *, sum(n) OVER (ORDER BY m DESC, k) / sum(n) OVER () AS upto, row_number() OVER (ORDER BY m DESC, k) AS i FROM c),
+w AS (SELECT k FROM r WHERE upto <= 0.5 OR (i = 1 AND NOT EXISTS (SELECT 1 FROM r WHERE upto <= 0.5)))
+SELECT CASE WHEN k IN (SELECT k FROM w) THEN 'worse' ELSE 'better' END AS segment, avg(e) AS score, count(*) AS n FROM e GROUP BY 1""")
+def error_sides(spark, d):
+    """A table cut in two by the mean error of its categories."""
+    li = read(spark, d, "lineitem", "l_linestatus", "l_returnflag", "l_extendedprice", "l_quantity")
+    rows = li.select(F.concat("l_linestatus", "l_returnflag").alias("k"), F.abs(F.col("l_extendedprice") - F.col("l_quantity") * 1500).alias("e"))
+    worse, _ = segments.error_segments(rows, "k", "e", True)
+    return rows.groupBy(F.when(worse.column(), "worse").otherwise("better").alias("segment")).agg(F.avg("e").alias("score"), F.count("*").alias("n"))
+
+
+@query()
+def document_language(spark, d):
+    """(lang, n, n_right, n_unsure): what a model trained on the labelled rows says of all documents; tests/test_custom.py states its accuracy on rows it has not seen."""
+    docs = read(spark, d, "documents", "text", "lang")
+    said = docs.select("lang", train_language_model(docs, "text", "lang").language(F.col("text")).alias("said"))
+    return said.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == F.col("said")).alias("n_right"), F.count_if(F.col("said").isNull()).alias("n_unsure"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from plumbline.functions.language import train_language_model
+from plumbline.functions.language import WEIGHTS, train_language_model
 from plumbline.operators import custom, evaluation, models
 from plumbline.streaming import checks as streams
 
@@ -77,6 +77,14 @@ def test_language(spark):
     own = train_language_model(docs.where("doc_id % 4 != 0"), "text", "lang", 800)
     got = docs.where("doc_id % 4 = 0").select("lang", own.language(F.col("text")).alias("said")).where("said is not null").agg(F.avg((F.col("lang") == F.col("said")).cast("double")), F.count("*")).first()
     assert got[0] > 0.9 and got[1] > 10
+    # The whole text counts: what stands behind the first 600 characters too.
+    one = lambda lang: docs.where(F.col("lang") == lang).orderBy("doc_id").first().text
+    mixed = spark.createDataFrame([(one("en")[:600].ljust(600) + " " + one("de") * 30,)], "t string")
+    assert mixed.select(own.language(F.col("t"))).first()[0] == "de"
+    assert own.weight in WEIGHTS and 0 < len(own.table) <= 800
+    assert spark.createDataFrame([("123 ...",), (" ",)], "t string").select(own.language(F.col("t")).alias("l")).where("l is not null").count() == 0
+    empty = train_language_model(docs.limit(0), "text", "lang")
+    assert docs.limit(2).select(empty.language(F.col("text")).alias("l")).where("l is not null").count() == 0
     assert spark.createDataFrame([("",), (None,)], "t string").select(own.language(F.col("t")).alias("l")).where("l is not null").count() == 0
 
 

@@ -100,7 +100,7 @@ def test_partitions(table):
     assert edges[0] == 0 and edges[-1] == 99.5 and 20.0 in edges and 40.0 in edges and edges == sorted(edges)
     wrong = table.withColumn("e", F.when(F.col("cat") == "c1", 5.0).when(F.col("x") > 50, 1.0).otherwise(0.0))
     worse, better = segments.error_segments(wrong, "cat", "e", True)
-    assert worse.values["cat"] == ("c1",) and set(better.values["cat"]) == {"c0", "c2"}
+    assert worse.values["cat"] == ("c1",) and better.excluded["cat"] == ("c1",) and better.apply(wrong).count() == wrong.where("cat != 'c1'").count()
     worse, better = segments.error_segments(wrong.where("cat != 'c1'"), "x", "e", False)
     assert 49 <= worse.intervals["x"][0] <= 51
     assert [r.value for r in segments.error_by_category(wrong, "cat", "e").orderBy(F.desc("mean_error")).collect()][0] == "c1"
@@ -294,3 +294,25 @@ def test_tabular_suites(spark):
     assert [(r.name, r.error) for s in found for r in s.results if r.error] == []
     assert suites.ModelsSuite().run({"m": (a, b, "said"), "n": (a, b, "y")}).select("model").distinct().count() == 2
     assert len(suites.full("said").checks) > 15 and not math.isnan(found[0].results[0].seconds)
+
+
+def test_partitions_cover_every_category(spark):
+    rows = spark.range(10_000).select(F.when(F.col("id") < 600, F.concat(F.lit("big"), (F.col("id") % 3).cast("string"))).when(F.col("id") % 50 != 0, F.concat(F.lit("c"), (F.col("id") % 5000).cast("string"))).alias("k"), F.col("id"))
+    cuts = segments.partition_column(rows, "k", True, 4)
+    found = rows.select(*(f.column().cast("int").alias(f"f{i}") for i, f in enumerate(cuts)), "k").withColumn("n", sum(F.col(f"f{i}") for i in range(len(cuts))))
+    assert [f.name for f in cuts][:3] == ["big0", "big1", "big2"] and cuts[-1].name == "others" and len(cuts) == 5
+    assert found.where("k IS NOT NULL AND n != 1").count() == 0 and found.where("k IS NULL AND n != 0").count() == 0
+    assert cuts[-1].apply(rows).count() == rows.where("k IS NOT NULL").count() - sum(f.apply(rows).count() for f in cuts[:-1])
+    # Numbers as categories keep their type; filters of one column meet.
+    few = segments.partition_column(rows.select((F.col("id") % 3).alias("k")), "k", True)
+    assert [f.values["k"] for f in few] == [(0,), (1,), (2,)]
+    both = segments.Filter().without("k", ["big0"]) & segments.Filter().without("k", ["big1"])
+    assert both.apply(rows.where("id < 600")).select("k").distinct().count() == 1 and both.describe() == "k not in big0, big1"
+    assert segments.partition_column(rows.where("id < 0"), "k", True) == []
+
+
+def test_error_segments_of_many_categories(spark):
+    rows = spark.range(6000).select(F.concat(F.lit("c"), (F.col("id") % 3000).cast("string")).alias("k"), (F.col("id") % 3000).cast("double").alias("e"))
+    assert segments.error_segments(rows, "k", "e", True) == []  # half of the rows have more categories than a list of 1,000
+    worse, better = segments.error_segments(rows, "k", "e", True, most=2000)
+    assert worse.apply(rows).count() == better.apply(rows).count() == 3000 and worse.apply(rows).agg(F.min("e")).first()[0] == 1500

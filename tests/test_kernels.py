@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions import running
 from plumbline.operators import kernels
 
 
@@ -88,3 +90,47 @@ def test_empty_tables(spark):
     empty = _numbers(spark, [], [])
     assert kernels.ks(empty).collect() == []
     assert kernels.psi(_counts(spark, {}, {})).collect() == []
+
+
+def test_running_sums_over_any_order(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "b", None]), i, rng.randrange(9), f"k{rng.randrange(10**6)}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "p string, v int, n int, s string")
+    got = {(r.p, r.v): r for r in running.running_sums(df, ["p"], "v", {"upto": "n"}, "next", totals=True, buckets=7).collect()}
+    assert len(got) == len(rows)
+    for p in ("a", "b", None):
+        own, total = [r for r in rows if r[0] == p], 0
+        for i, r in enumerate(own):
+            total += r[2]
+            found = got[p, r[1]]
+            assert (found.upto, found.next, found.upto_n) == (total, own[i + 1][1] if i + 1 < len(own) else None, sum(x[2] for x in own))
+    by_two = running.running_sums(df.dropDuplicates(["n", "s"]), [], ["n", "s"], {"upto": "v"}, buckets=5).orderBy("n", "s").collect()
+    total = 0
+    for r in by_two:
+        total += r.v
+        assert r.upto == total
+    assert running.running_sums(df.limit(0), [], "v", {"upto": "n"}).count() == 0
+
+
+def test_drift_reads_its_table_once(spark, tmp_path):
+    """What a drift query returns reads the rank index, and no plan of it the table again."""
+    spark.range(2000).selectExpr("id % 97 AS x", "id / 7.0 AS y").write.parquet(str(tmp_path / "given"))
+    df = spark.read.parquet(str(tmp_path / "given"))
+    tagged = kernels.tag(df.where("x < 50"), df.where("x >= 50"), ["x", "y"], "double")
+    plan = kernels.emd(tagged, 0.025)._jdf.queryExecution().executedPlan().toString()
+    assert "given" not in plan and plan.count("FileScan") <= 5
+
+
+@pytest.mark.parametrize("margin", [0.0, 0.025, 0.2])
+def test_emd_equals_brute_force(spark, margin):
+    rng = random.Random(int(margin * 1000))
+    sides = [[rng.choice([rng.gauss(s, 2), rng.randrange(4)]) for _ in range(300)] for s in (0, 1)]
+    df = spark.createDataFrame([(s, float(v)) for s, own in enumerate(sides) for v in own] + [(0, None), (1, float("nan"))], "side int, v double")
+    got = kernels.emd(kernels.tag(df.where("side = 0"), df.where("side = 1"), ["v"], "double"), margin).first().score
+    kept = []
+    for own in sides:
+        low, high = np.quantile(own, [margin, 1 - margin])
+        kept.append(np.sort([v for v in own if low <= v <= high]))
+    every = np.sort(np.concatenate(kept))
+    gaps = np.abs(np.searchsorted(kept[0], every[:-1], "right") / len(kept[0]) - np.searchsorted(kept[1], every[:-1], "right") / len(kept[1]))
+    assert got == pytest.approx((gaps * np.diff(every)).sum() / (every[-1] - every[0]))
