@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from ..functions import running
 from ..functions.strings import NULL_FORMS, base_form, base_form_or_text, is_number, is_only_special
+from ..sources.scratch import kept
 from . import kernels
+from .neighbours import BLOCK, gower_neighbours
 
 
 def _is_null(df: DataFrame, c: str):
@@ -181,125 +181,13 @@ def iqr_outliers(df: DataFrame, columns: list[str], percentiles: tuple[float, fl
 
 
 def nearest_neighbours(df: DataFrame, queries: DataFrame, id_column: str, numeric: list[str], categorical: list[str], k: int) -> DataFrame:
-    """(id, neighbour, distance, place): the ``k`` nearest rows of ``df`` by Gower distance for each row of ``queries``.
+    """(id, neighbour, distance, place): the ``k`` nearest rows of ``df`` by Gower distance for each row of ``queries``, see :mod:`.neighbours`."""
+    return gower_neighbours(df, queries, id_column, numeric, categorical, k)
 
-    ``queries`` is a stated set, broadcast in blocks of about ``BLOCK`` rows:
-    each partition of ``df`` keeps its own best k per query, then the best of
-    all partitions are taken.
-    Numbers differ by their share of the column's range and are left out where
-    null; categories differ by 0 or 1, null like null.
-    """
-    span = df.agg(*(F.max(c).cast("double").alias(f"hi_{c}") for c in numeric), *(F.min(c).cast("double").alias(f"lo_{c}") for c in numeric))
-    base = df.select(F.col(id_column).alias("neighbour"), *(F.col(c).cast("double").alias(f"n_{c}") for c in numeric), *(F.col(c).alias(f"c_{c}") for c in categorical))
-    ask = queries.select(F.col(id_column).alias("id"), *(F.col(c).cast("double").alias(f"qn_{c}") for c in numeric), *(F.col(c).alias(f"qc_{c}") for c in categorical))
-    ask = ask.crossJoin(span)  # one row of ranges
-    blocks = -(-queries.count() // BLOCK) or 1
-    found = [_nearest_of(base, ask if blocks == 1 else ask.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b), numeric, categorical, k) for b in range(blocks)]
-    return reduce(DataFrame.unionByName, found)
-
-
-#: Query rows that are broadcast at once, about.
-BLOCK = 20_000
-
-
-def _nearest_of(base: DataFrame, ask: DataFrame, numeric: list[str], categorical: list[str], k: int) -> DataFrame:
-    pairs = base.join(F.broadcast(ask), F.col("id") != F.col("neighbour"))
-    terms, weights = [], []
-    for c in numeric:
-        width = F.col(f"hi_{c}") - F.col(f"lo_{c}")
-        both = F.col(f"n_{c}").isNotNull() & F.col(f"qn_{c}").isNotNull()
-        terms.append(F.when(both & (width > 0), F.abs(F.col(f"n_{c}") - F.col(f"qn_{c}")) / width).otherwise(F.lit(0.0)))
-        weights.append(both.cast("int"))
-    for c in categorical:
-        terms.append((~F.col(f"c_{c}").eqNullSafe(F.col(f"qc_{c}"))).cast("double"))
-        weights.append(F.lit(1))
-    total = lambda parts: sum(parts[1:], parts[0])
-    scored = pairs.select("id", "neighbour", F.try_divide(total(terms), total(weights)).alias("distance"))
-    best = scored.withColumn("p", F.spark_partition_id()).withColumn("place", F.row_number().over(Window.partitionBy("id", "p").orderBy("distance", "neighbour"))).where(F.col("place") <= k).drop("p", "place")
-    return best.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))).where(F.col("place") <= k)
-
-
-def all_neighbours(df: DataFrame, id_column: str, numeric: list[str], categorical: list[str], k: int, block: int = 2048) -> DataFrame:
-    """(id, neighbour, distance): what :func:`nearest_neighbours` gives for every row of ``df`` as query, rows without an id left out.
-
-    Rows are dealt into blocks by the hash of their id, and each block meets
-    every block, so the work grows with the square of the rows; a task holds
-    two blocks and the best ``k`` of one.
-    """
-    names = [*(f"n_{c}" for c in numeric), *(f"c_{c}" for c in categorical)]
-    number = lambda c: F.col(c).cast("double")
-    df = df.where(F.col(id_column).isNotNull())
-    row = df.agg(F.count("*").alias("n"), *(f(number(c)).alias(f"{h}_{c}") for c in numeric for h, f in (("hi", F.max), ("lo", F.min)))).first()  # one row of ranges
-    widths = [(row[f"hi_{c}"] or 0.0) - (row[f"lo_{c}"] or 0.0) for c in numeric]
-    blocks = max(1, -(-row.n // block))
-    cells = [number(c).alias(f"n_{c}") for c in numeric] + [F.coalesce(F.xxhash64(c), F.lit(0)).alias(f"c_{c}") for c in categorical]
-    rows = df.select(F.pmod(F.xxhash64(F.lit(1), id_column), F.lit(blocks)).alias("b"), F.struct(F.col(id_column).alias("id"), F.xxhash64(id_column).alias("h"), *cells).alias("r"))
-    sets = rows.groupBy("b").agg(F.sort_array(F.collect_list("r")).alias("r"))  # about ``block`` rows each
-    # The block that asks comes first, with itself as base.
-    pairs = sets.select(F.col("b").alias("q")).crossJoin(sets.select("b", F.col("r").alias("base")))
-    pairs = pairs.select("q", (F.col("b") != F.col("q")).alias("other"), "b", "base").repartition(blocks, "q").sortWithinPartitions("q", "other", "b")
-
-    def table(column):
-        held = column.values
-        return held.field("id"), held.field("h").to_numpy(), [held.field(n).to_numpy(zero_copy_only=False) for n in names]
-
-    def block_best(ask, base, low, high):
-        """(row of ask, neighbour, distance) of the ``k`` nearest rows of ``base``, and of others as near as the last, for some rows of ``ask``."""
-        import numpy as np
-        import pyarrow as pa
-
-        total = np.zeros((high - low, len(base[1])))
-        weight = np.zeros_like(total)
-        for c, (x, y) in enumerate(zip(ask[2], base[2])):
-            x = x[low:high, None]
-            if c < len(numeric):
-                gap = np.abs(x - y[None])
-                both = ~np.isnan(gap)
-                weight += both
-                if widths[c] > 0:
-                    total += np.where(both, gap, 0.0) / widths[c]
-            else:
-                total += x != y[None]
-                weight += 1
-        with np.errstate(invalid="ignore", divide="ignore"):
-            total = np.where((weight > 0) & (ask[1][low:high, None] != base[1][None]), total / weight, np.inf)
-        last = np.partition(total, k - 1, axis=1)[:, k - 1] if k < total.shape[1] else np.full(len(total), np.inf)
-        rows, columns = np.nonzero((total <= last[:, None]) & (total < np.inf))
-        return rows + low, base[0].take(pa.array(columns)), total[rows, columns]
-
-    def nearest(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        def emit():
-            return pa.RecordBatch.from_arrays([ask[0].take(pa.array(best[0])), best[1], pa.array(best[2])], names=["id", "neighbour", "distance"])
-
-        now, ask, best = None, None, None
-        for batch in batches:
-            for i in range(batch.num_rows):
-                q = batch.column(0)[i].as_py()
-                base = table(batch.column(1)[i])
-                if q != now:
-                    if now is not None:
-                        yield emit()
-                    now, ask, best = q, base, (np.zeros(0, np.int64), base[0].slice(0, 0), np.zeros(0))
-                found = [best]
-                for at in range(0, len(ask[1]), 512):
-                    found.append(block_best(ask, base, at, min(at + 512, len(ask[1]))))
-                who = np.concatenate([f[0] for f in found])
-                ids = pa.concat_arrays([f[1] for f in found])
-                far = np.concatenate([f[2] for f in found])
-                rank = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
-                order = np.lexsort((rank, far, who))
-                first = np.searchsorted(who[order], who[order])
-                order = order[np.arange(len(order)) - first < k]
-                best = (who[order], ids.take(pa.array(order)), far[order])
-        if now is not None:
-            yield emit()
-
-    # Nested functions travel with the plan, so workers need not import this module.
-    kind = dict(df.dtypes)[id_column]
-    return pairs.select("q", "base").mapInArrow(nearest, f"id {kind}, neighbour {kind}, distance double")
+
+def all_neighbours(df: DataFrame, id_column: str, numeric: list[str], categorical: list[str], k: int, block: int = BLOCK) -> DataFrame:
+    """(id, neighbour, distance): what :func:`nearest_neighbours` gives for every row of ``df`` as query, rows without an id left out."""
+    return gower_neighbours(df, None, id_column, numeric, categorical, k, block).drop("place")
 
 
 def outlier_samples(df: DataFrame, queries: DataFrame, id_column: str, numeric: list[str], categorical: list[str], k: int | None = None, extent: float = 3.0) -> DataFrame:
@@ -313,7 +201,7 @@ def outlier_samples(df: DataFrame, queries: DataFrame, id_column: str, numeric:
     """
     if k is None:
         k = max(df.where(F.col(id_column).isNotNull()).count() // 100, 5)
-    near = all_neighbours(df, id_column, numeric, categorical, k)
+    near = kept(all_neighbours(df, id_column, numeric, categorical, k))  # read three times below
     spread = near.groupBy("id").agg((extent * F.sqrt(F.avg(F.col("distance") * F.col("distance")))).alias("pd"), F.avg("distance").alias("mean_distance"))
     around = near.join(spread.select(F.col("id").alias("neighbour"), F.col("pd").alias("npd")), "neighbour").groupBy("id").agg(F.avg("npd").alias("epd"))
     plof = spread.join(around, "id").withColumn("plof", F.when(F.col("epd") > 0, F.col("pd") / F.col("epd") - 1).when(F.col("pd") == 0, F.lit(0.0)))

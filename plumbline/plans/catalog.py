@@ -200,7 +200,16 @@ def nearest_neighbours(spark, d):
     return integrity.nearest_neighbours(c, c.where("c_custkey % 100 = 0"), "c_custkey", ["c_acctbal", "c_nationkey"], ["c_mktsegment"], 5)
 
 
-@query()
+@query("""WITH r AS (SELECT max(c_acctbal) - min(c_acctbal) AS w, max(c_nationkey) - min(c_nationkey) AS x, greatest(count(*) // 100, 5) AS k FROM customer),
+p AS (SELECT q.c_custkey AS id, c.c_custkey AS neighbour, k, (abs(q.c_acctbal - c.c_acctbal) / w + abs(q.c_nationkey - c.c_nationkey)::DOUBLE / x + (q.c_mktsegment <> c.c_mktsegment)::INT) / 3 AS d
+  FROM customer q, customer c, r WHERE q.c_custkey <> c.c_custkey),
+near AS (SELECT id, neighbour, d FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, neighbour) <= k),
+spread AS (SELECT id, 3 * sqrt(avg(d * d)) AS pd, avg(d) AS mean_distance FROM near GROUP BY id),
+plof AS (SELECT s.id, any_value(s.mean_distance) AS mean_distance, CASE WHEN avg(o.pd) > 0 THEN any_value(s.pd) / avg(o.pd) - 1 WHEN any_value(s.pd) = 0 THEN 0 END AS plof
+  FROM spread s JOIN near USING (id) JOIN spread o ON o.id = near.neighbour GROUP BY s.id),
+z AS (SELECT *, 3 * sqrt(avg(plof * plof) OVER ()) AS nplof, plof / (3 * sqrt(avg(plof * plof) OVER ()) * sqrt(2)) AS x FROM plof), t AS (SELECT *, 1 / (1 + 0.3275911::DOUBLE * abs(x)) AS t FROM z)
+SELECT id, mean_distance, CASE WHEN plof IS NULL THEN 1.0::DOUBLE WHEN nplof > 0 AND x > 0 THEN
+  1 - ((((1.061405429::DOUBLE * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-x * x) ELSE 0.0 END AS score FROM t""")
 def outlier_samples(spark, d):
     """Outlier scores of all customers among all customers."""
     rows = _query_customers(spark, d)

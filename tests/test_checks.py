@@ -1,11 +1,12 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.core import Category, Check, CheckResult, Dataset, Suite, SuiteResult, at_most
 from plumbline.functions.strings import average_word_length, email_addresses_count, urls_count
-from plumbline.operators import evaluation, integrity, models, text, train_test, vision
+from plumbline.operators import evaluation, integrity, models, neighbours, text, train_test, vision
 from plumbline.plans import suites
 
 
@@ -202,3 +203,40 @@ def test_named_metrics_and_simple_models(spark):
     drawn = models.simple_predictions(df, "y", ["i"], "stratified").groupBy("simple").count().collect()
     assert {r.simple for r in drawn} == {"a", "b"} and max(drawn, key=lambda r: r["count"]).simple == "a"
     assert evaluation.log_loss(spark.createDataFrame([("a", [0.5, 0.5])], "y string, p array<double>"), "y", "p", ["a", "b"]).first().log_loss == pytest.approx(math.log(2))
+
+
+@pytest.mark.parametrize(("k", "block", "pivots"), [(1, 2048, None), (4, 16, 9), (7, 5, 40), (300, 64, 6)])
+def test_neighbours_equal_brute_force(spark, k, block, pivots):
+    """Nulls of several kinds, ties, copies, a column without spread, and rows that are asked but are none of the table."""
+    rng = random.Random(k)
+    row = lambda i: (i, rng.choice([None, rng.randrange(6) * 1.0, rng.random() * 6]), rng.choice([None, rng.gauss(0, 1)]), 3.0, rng.choice(["a", "b", None]))
+    rows = [row(i) for i in range(150)] + [(200 + i, 1.0, 0.5, 3.0, "a") for i in range(60)] + [(None, 1.0, 1.0, 3.0, "a")]
+    more = [row(i) for i in range(140, 160)] + [(500, None, None, None, "b"), (None, 1.0, 1.0, 3.0, "a")]
+    schema = "id long, x double, y double, z double, c string"
+    df, asked = (spark.createDataFrame(r, schema).repartition(3) for r in (rows, more))
+    width = [max(r[j] for r in rows if r[j] is not None) - min(r[j] for r in rows if r[j] is not None) for j in (1, 2, 3)]
+
+    def brute(a):
+        near = []
+        for b in rows:
+            if b[0] is not None and b[0] != a[0]:
+                both = [j for j in (1, 2, 3) if a[j] is not None and b[j] is not None]
+                near.append(((sum(abs(a[j] - b[j]) / width[j - 1] for j in both if width[j - 1]) + (a[4] != b[4])) / (len(both) + 1), b[0]))
+        return sorted((round(d, 9), i) for d, i in near)[:k]
+
+    for given, queries in ((rows, None), (more, asked)):
+        counted = spark.sparkContext.accumulator(0)
+        got = {}
+        for r in neighbours.gower_neighbours(df, queries, "id", ["x", "y", "z"], ["c"], k, block, pivots, counted).collect():
+            got.setdefault(r.id, []).append((round(r.distance, 9), r.neighbour, r.place))
+        assert {i: sorted(x[:2] for x in v) for i, v in got.items()} == {a[0]: brute(a) for a in given if a[0] is not None}
+        assert all([x[2] for x in sorted(v)] == list(range(1, len(v) + 1)) for v in got.values())
+        assert 0 < counted.value <= len(given) * len(rows)
+
+
+def test_neighbours_compare_few_pairs(spark):
+    df = spark.range(3000).select("id", (F.hash("id") % 1000).cast("double").alias("x"), (F.hash(F.lit(1), "id") % 1000).cast("double").alias("y"), (F.col("id") % 5).cast("string").alias("c"))
+    counted = spark.sparkContext.accumulator(0)
+    assert neighbours.gower_neighbours(df, None, "id", ["x", "y"], ["c"], 5, compared=counted).count() == 15_000
+    assert counted.value < 0.1 * 3000 * 3000
+    assert neighbours.gower_neighbours(df.limit(0), None, "id", ["x", "y"], ["c"], 5).count() == 0
