@@ -296,3 +296,20 @@ def document_language(spark, d):
     docs = read(spark, d, "documents", "text", "lang")
     said = docs.select("lang", train_language_model(docs, "text", "lang").language(F.col("text")).alias("said"))
     return said.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == F.col("said")).alias("n_right"), F.count_if(F.col("said").isNull()).alias("n_unsure"))
+
+
+@query(f"""WITH t AS (SELECT *, (l_returnflag = pred)::INT AS hit FROM {JUDGED}), c AS (SELECT l_linestatus AS a, l_tax > 0.04 AS b, avg(hit) AS score, count(*) AS n FROM t GROUP BY ALL)
+SELECT CASE WHEN b THEN 'l_tax > 0.04' ELSE 'l_tax <= 0.04' END || ' and l_linestatus in ' || a AS segment, score, n FROM c""")
+def segment_means(spark, d):
+    """Segments as filters, all counted in one pass."""
+    rows = _judged(spark, d).withColumn("hit", (F.col("l_returnflag") == F.col("pred")).cast("double"))
+    cuts = [tax.among("l_linestatus", [s]) for tax in (segments.Filter().above("l_tax", 0.04), segments.Filter().upto("l_tax", 0.04)) for s in ("F", "O")]
+    found = rows.agg(*(x for i, f in enumerate(cuts) for x in (F.avg(F.when(f.column(), F.col("hit"))).alias(f"s{i}"), F.count_if(f.column()).alias(f"n{i}"))))
+    return found.select(F.inline(F.array(*(F.struct(F.lit(f.describe()).alias("segment"), F.col(f"s{i}").alias("score"), F.col(f"n{i}").alias("n")) for i, f in enumerate(cuts)))))
+
+
+@query()
+def weak_segments_of_categories(spark, d):
+    """All pairs of two numbers and two categories; tests/test_weak.py grows the same trees row by row."""
+    rows = _judged(spark, d).withColumn("hit", (F.col("l_returnflag") == F.col("pred")).cast("double")).withColumn("month", F.date_format("l_shipdate", "MM"))
+    return models.weak_segments(rows, ["l_quantity", "l_tax", "l_linestatus", "month"], "hit", categorical=["l_linestatus", "month"], top=6)

@@ -110,7 +110,7 @@ def test_predictive_power(spark):
 
 def test_models_report_all_rows(spark, monkeypatch):
     rows = spark.range(600).select((F.col("id") / 600).alias("a"), (F.col("id") * 7 % 600 / 600).alias("b"), (F.col("id") >= 180).cast("double").alias("s"))
-    found = models.weak_segments(rows, ["a", "b"], "s", n_samples=200).first()
+    found = models.weak_segments(rows, ["a", "b"], "s").first()
     assert found.average == pytest.approx(0.7) and found.score < 0.1 and found.n > 100  # of the 200 that are fitted, some 50
     seen = []
     metrics, evaluate = evaluation.averaged_metrics, models.BinaryClassificationEvaluator.evaluate
