@@ -240,3 +240,15 @@ def test_neighbours_compare_few_pairs(spark):
     assert neighbours.gower_neighbours(df, None, "id", ["x", "y"], ["c"], 5, compared=counted).count() == 15_000
     assert counted.value < 0.1 * 3000 * 3000
     assert neighbours.gower_neighbours(df.limit(0), None, "id", ["x", "y"], ["c"], 5).count() == 0
+
+
+def test_sample_and_rest_are_the_table(spark):
+    rows = [(i % 40 if i % 7 else None, ["a", None, "b"][i % 3]) for i in range(300)] + [(1, "a")] * 200
+    df = spark.createDataFrame(rows, "x int, y string").repartition(4)
+    for n in (0, 1, 37, 250, 499, 500, 900):
+        sample, rest = models.sample_and_rest(df, n, ["x", "y"])
+        assert sample.count() == min(n, 500)
+        assert sorted(map(tuple, sample.collect() + rest.collect()), key=str) == sorted(rows, key=str)
+        again, _ = models.sample_and_rest(df.repartition(2), n, ["x", "y"])
+        assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, sample.collect()), key=str)
+    assert "Exchange" not in models.sample_and_rest(df.select("x", "y"), 37, ["x", "y"])[1]._jdf.queryExecution().optimizedPlan().toString()
