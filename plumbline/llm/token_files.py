@@ -104,9 +104,11 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int, doc_
 
     Documents go in ascending ``doc_id`` order (null first, then ties by the
     text's hash and text); each gets ``end_id`` after its ids; a null text is
-    empty and has the end id alone. Repeated rows are written repeatedly. An
-    empty table gives an empty manifest. ``folder`` is a path that all
-    executors share. ``start`` counts the ids of all shards before.
+    empty and has the end id alone. Repeated rows are written repeatedly, and
+    many of one id and text are dealt over several shards. Other columns of
+    ``docs`` are neither read nor written. An empty table gives an empty
+    manifest. ``folder`` is a path that all executors share. ``start`` counts
+    the ids of all shards before.
     """
     from tokenizers import Tokenizer
 
@@ -153,7 +155,8 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int, doc_
         yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [len(counts)], "n_tokens": [start]})
 
     manifest = (
-        rows.repartitionByRange(int(shards), F.col("doc_id").asc_nulls_first(), tie)
+        rows.withColumn("row", F.monotonically_increasing_id())  # rows that agree in id and text are alike, so it may part them
+        .repartitionByRange(int(shards), F.col("doc_id").asc_nulls_first(), tie, "row")
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie, "text")
         .mapInArrow(write, "shard long, n_docs long, n_tokens long")
     )
@@ -191,9 +194,11 @@ def sequence(reader, k: int) -> tuple[np.ndarray, np.ndarray]:
 def read_token_files(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
     """One row per document, from the files: doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian uint32).
 
-    Each shard is read by one task, a record batch at a time.
+    Each shard is read by a task of its own, a record batch at a time: what a
+    number of partitions deals out is not joined again by adaptive execution.
     """
     prepare(spark)
+    shards = manifest.agg(F.coalesce(F.max("shard"), F.lit(0))).first()[0] + 1
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = _filesystem(folder)
@@ -218,7 +223,7 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, folder: str) -> D
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    rows = manifest.select("shard", "start").repartition(F.col("shard"))
+    rows = manifest.select("shard", "start").repartitionById(shards, F.col("shard").cast("int"))
     return rows.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

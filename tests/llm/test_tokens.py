@@ -8,6 +8,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from plumbline.llm import bytelevel, sentencepiece_codec, token_counts, token_files, wordhash
@@ -124,3 +125,13 @@ def test_a_worker_holds_one_operators_caches():
     assert wordhash._words and not sentencepiece_codec._encoders
     assert sentencepiece_codec.encoder(PIECES).encode("some words") == want and not wordhash._words
     assert (wordhash.word_hashes([b"some", b"words"]) == hashes).all()
+
+
+def test_shards_are_read_by_as_many_tasks(spark):
+    folder = shared_dir(spark)
+    docs = spark.createDataFrame([(i, f"text {i} of a shard") for i in range(400)] + [(500, "the same row")] * 300, "doc_id long, text string")
+    manifest = token_files.write_token_files(docs, P.path("byte_bpe_50k.json"), folder, 2, shards=20)
+    assert manifest.count() == 20
+    read = token_files.read_token_files(spark, manifest, folder)
+    assert read.select(F.spark_partition_id().alias("p")).distinct().count() == 20 and read.count() == 700
+    assert max(r.n_docs for r in manifest.collect()) < 300  # repeated rows are dealt over shards
