@@ -49,14 +49,15 @@ def remove_stopwords(text: Column, stopwords: list[str] | None = None) -> Column
     return F.array_join(F.filter(F.split(text, " "), lambda w: ~F.lower(w).isin(words)), " ")
 
 
-def normalize_text(text: Column, ignore_case: bool = True, punctuation: bool = True, stopwords: bool = True, whitespace: bool = False, unicode: bool = False) -> Column:
-    """Lower case, then without punctuation, then composed (if asked), then without stopwords, then (if asked) without white space.
+def normalize_text(text: Column, ignore_case: bool = True, punctuation: bool = True, stopwords: bool = True, whitespace: bool = False, unicode: bool = True) -> Column:
+    """Lower case, then without punctuation, then composed, then without stopwords, then (if asked) without white space.
 
-    Composing takes a Python pass over every text, as Spark has no function for it.
+    Composing takes a Python pass, as Spark has no function for it; texts of
+    ASCII only are composed as they are, and go around it.
     """
     out = F.lower(text) if ignore_case else text
     out = remove_punctuation(out) if punctuation else out
-    out = normalize_unicode(out) if unicode else out
+    out = F.coalesce(normalize_unicode(F.when(F.octet_length(out) != F.length(out), out)), out) if unicode else out
     out = remove_stopwords(out) if stopwords else out
     return F.regexp_replace(out, r"\s", "") if whitespace else out
 

@@ -478,7 +478,7 @@ def boosting_overfit(spark, d):
 # --- texts -------------------------------------------------------------------
 
 PUNCT = PUNCTUATION.replace("'", "''")
-NORMAL = f"array_to_string(list_filter(string_split(translate(lower(text), '{PUNCT}', ''), ' '), lambda w: lower(w) NOT IN ({', '.join(repr(w) for w in STOPWORDS)})), ' ')"
+NORMAL = f"array_to_string(list_filter(string_split(nfc_normalize(translate(lower(text), '{PUNCT}', '')), ' '), lambda w: lower(w) NOT IN ({', '.join(repr(w) for w in STOPWORDS)})), ' ')"
 
 
 @query(f"SELECT 1 - count(*) / sum(n) AS percent, sum(n)::BIGINT AS n_rows, count(*) AS n_unique FROM (SELECT {NORMAL} AS t, count(*) AS n FROM documents GROUP BY 1)")

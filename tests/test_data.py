@@ -11,7 +11,7 @@ from plumbline import inference
 from plumbline.core import Category, Dataset
 from plumbline.data import TextData, VisionData, as_dataset
 from plumbline.functions import helpers, strings
-from plumbline.operators import models, scoring, segments
+from plumbline.operators import models, scoring, segments, text
 from plumbline.plans import conditions, suites
 
 
@@ -316,3 +316,9 @@ def test_error_segments_of_many_categories(spark):
     assert segments.error_segments(rows, "k", "e", True) == []  # half of the rows have more categories than a list of 1,000
     worse, better = segments.error_segments(rows, "k", "e", True, most=2000)
     assert worse.apply(rows).count() == better.apply(rows).count() == 3000 and worse.apply(rows).agg(F.min("e")).first()[0] == 1500
+
+
+def test_texts_that_differ_in_composition_are_duplicates(spark):
+    df = spark.createDataFrame([("fine word",), ("\ufb01ne word",), ("\uff46\uff49\uff4e\uff45 word",), ("caf\u00e9",), ("cafe\u0301",), (None,)], "t string")
+    row = text.text_duplicates(df, "t").first()
+    assert (row.n_rows, row.n_unique) == (5, 2) and text.text_duplicates(df, "t", unicode=False).first().n_unique == 5
