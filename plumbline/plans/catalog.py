@@ -441,18 +441,73 @@ def embeddings_drift(spark, d):
     return models.embeddings_drift(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"), "embedding")
 
 
-@query()
+def _folds_sql(rows: str) -> str:
+    """Of (feature, v, y): f, the counts of (feature, bin, y), dealt to four folds."""
+    return f"""WITH r AS ({rows}), c AS (SELECT feature, v, count(*) AS n FROM r WHERE v IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2),
+w AS (SELECT *, sum(n) OVER (PARTITION BY feature ORDER BY v) AS upto, row_number() OVER (PARTITION BY feature ORDER BY v) AS place, sum(n) OVER (PARTITION BY feature) AS t, count(*) OVER (PARTITION BY feature) AS d FROM c),
+b AS (SELECT feature, v, dense_rank() OVER (PARTITION BY feature ORDER BY CASE WHEN d <= 256 THEN place - 1 ELSE ((upto - n) * 256) // t END) - 1 AS bin FROM w),
+cells AS (SELECT feature, bin, y, count(*) AS n FROM r JOIN b USING (feature, v) WHERE y IS NOT NULL GROUP BY ALL),
+drawn AS (SELECT feature, bin, y, ('0x' || substr(md5(feature || '|' || bin || '|' || y || '|' || i), 1, 8))::BIGINT % 4 AS fold FROM (SELECT *, unnest(range(1, least(n, 64) + 1)) AS i FROM cells)),
+k AS (SELECT feature, bin, y, fold, count(*) AS m FROM drawn GROUP BY ALL),
+f AS (SELECT feature, bin, y, n, fold, coalesce(m, 0) + (n - least(n, 64)) // 4 + ((n - least(n, 64)) % 4 > fold)::INT AS m FROM (SELECT *, unnest([0, 1, 2, 3]) AS fold FROM cells) LEFT JOIN k USING (feature, bin, y, fold))"""
+
+
+def _power_sql(rows: str) -> str:
+    """The predictive power of numbers for labels: the weighted F1 of the trees."""
+    return f"""{_folds_sql(rows)},
+top AS (SELECT feature, fold, bin, y AS p FROM f WHERE n > m QUALIFY row_number() OVER (PARTITION BY feature, fold, bin ORDER BY n - m DESC, y) = 1),
+said AS (SELECT f.feature, f.fold, f.bin, arg_min(p, abs(top.bin - f.bin) * 1000 + top.bin) AS p FROM (SELECT DISTINCT feature, fold, bin FROM f) f JOIN top USING (feature, fold) GROUP BY ALL),
+j AS (SELECT feature, y, p, sum(m)::DOUBLE AS m FROM f JOIN said USING (feature, fold, bin) WHERE m > 0 GROUP BY ALL),
+per AS (SELECT feature, c, sum(own) AS own, sum(hit) AS hit, sum(guess) AS guess FROM (SELECT feature, y AS c, m AS own, CASE WHEN y = p THEN m ELSE 0 END AS hit, 0 AS guess FROM j UNION ALL SELECT feature, p, 0, 0, m FROM j) GROUP BY ALL),
+whole AS (SELECT feature, sum(own * 2 * hit / (own + guess)) / sum(own) AS f1, greatest(2 * pow(max(own) / sum(own), 2) / (1 + max(own) / sum(own)), sum(own * own) / pow(sum(own), 2)) AS base FROM per GROUP BY 1)
+SELECT feature, CASE WHEN base < 1 THEN greatest(0, (f1 - base) / (1 - base)) ELSE 0 END::DOUBLE AS score FROM whole"""
+
+
+def _pred_power_sql(where: str) -> str:
+    return _power_sql(f"SELECT 'l_discount' AS feature, l_discount AS v, pred AS y FROM {JUDGED} WHERE {where} UNION ALL SELECT 'l_quantity', l_quantity, pred FROM {JUDGED} WHERE {where}")
+
+
+def _power_of_numbers_sql(rows: str) -> str:
+    """The predictive power of numbers for a number: the mean absolute error of the trees and that of the median."""
+    return f"""{_folds_sql(rows)},
+top AS (SELECT feature, fold, bin, sum((n - m) * y) / sum(n - m) AS p FROM f GROUP BY ALL HAVING sum(n - m) > 0),
+said AS (SELECT f.feature, f.fold, f.bin, arg_min(p, abs(top.bin - f.bin) * 1000 + top.bin) AS p FROM (SELECT DISTINCT feature, fold, bin FROM f) f JOIN top USING (feature, fold) GROUP BY ALL),
+j AS (SELECT feature, sum(m * abs(y - p)) / sum(m) AS mae FROM f JOIN said USING (feature, fold, bin) GROUP BY 1),
+q AS (SELECT feature, avg(abs(y - middle)) AS base FROM (SELECT *, quantile_cont(y, 0.5) OVER (PARTITION BY feature) AS middle FROM r WHERE v IS NOT NULL AND y IS NOT NULL) GROUP BY 1)
+SELECT feature, CASE WHEN base > 0 THEN greatest(0, 1 - mae / base) ELSE 0 END::DOUBLE AS score FROM j JOIN q USING (feature)"""
+
+
+@query(_pred_power_sql("true"))
 def feature_label_correlation(spark, d):
     return models.predictive_power(_judged(spark, d).select("l_discount", "l_quantity", "pred"), ["l_discount", "l_quantity"], "pred")
 
 
-@query()
+@query(_power_of_numbers_sql("""SELECT 'l_quantity' AS feature, l_quantity AS v, l_quantity + 10 * l_linenumber AS y FROM lineitem UNION ALL SELECT 'l_linenumber', l_linenumber::DOUBLE, l_quantity + 10 * l_linenumber FROM lineitem
+UNION ALL SELECT 'l_extendedprice', l_extendedprice, l_quantity + 10 * l_linenumber FROM lineitem"""))
+def number_label_correlation(spark, d):
+    """Numbers that predict a number: two that it is made of, and one that has no part in it."""
+    li = read(spark, d, "lineitem", "l_quantity", "l_linenumber", "l_extendedprice").withColumn("effort", F.col("l_quantity") + 10 * F.col("l_linenumber"))
+    return models.predictive_power(li, ["l_quantity", "l_linenumber", "l_extendedprice"], "effort", regression=True)
+
+
+STATE = "CASE WHEN l_linenumber > 3 THEN l_returnflag WHEN l_extendedprice > 40000 THEN 'dear' WHEN l_shipdate < TIMESTAMP '1996-01-01' THEN 'old' ELSE 'new' END"
+
+
+@query(_power_sql(f"""SELECT 'l_shipdate' AS feature, epoch(l_shipdate)::DOUBLE AS v, {STATE} AS y FROM lineitem UNION ALL SELECT 'l_extendedprice', l_extendedprice, {STATE} FROM lineitem
+UNION ALL SELECT 'l_linenumber', l_linenumber::DOUBLE, {STATE} FROM lineitem"""))
+def time_label_correlation(spark, d):
+    """A time, a price of many values and a number of few that each tell a part of a label."""
+    li = read(spark, d, "lineitem", "l_shipdate", "l_extendedprice", "l_linenumber", "l_returnflag").withColumn("state", F.expr(STATE))
+    return models.predictive_power(li, ["l_shipdate", "l_extendedprice", "l_linenumber"], "state")
+
+
+@query(_power_sql("SELECT 'o_orderkey' AS feature, o_orderkey::DOUBLE AS v, o_orderstatus AS y FROM orders UNION ALL SELECT 'o_orderdate', epoch(o_orderdate)::DOUBLE, o_orderstatus FROM orders"))
 def identifier_label_correlation(spark, d):
-    o = read(spark, d, "orders", "o_orderkey", "o_orderdate", "o_orderstatus").withColumn("o_orderdate", F.unix_timestamp(F.col("o_orderdate").cast("timestamp")))
+    o = read(spark, d, "orders", "o_orderkey", "o_orderdate", "o_orderstatus")
     return models.predictive_power(o, ["o_orderkey", "o_orderdate"], "o_orderstatus")
 
 
-@query()
+@query(f"""SELECT feature, a.score AS train, b.score AS test, a.score - b.score AS difference FROM ({_pred_power_sql(TRAIN)}) a JOIN ({_pred_power_sql(TEST)}) b USING (feature)""")
 def feature_label_correlation_change(spark, d):
     train, test = _split(_judged(spark, d), "l_shipdate")
     return models.predictive_power_change(train, test, ["l_discount", "l_quantity"], "pred")
