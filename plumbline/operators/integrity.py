@@ -93,18 +93,6 @@ def duplicate_groups(df: DataFrame, columns: list[str] | None = None, top: int =
     return df.groupBy(*names).agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), *names).limit(top)
 
 
-def feature_correlation(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
-    """(feature_1, feature_2, score) for each pair: Spearman, symmetric Theil's U, or the correlation ratio."""
-    names = [(c, True) for c in numeric] + [(c, False) for c in categorical]
-    out = None
-    for i, (x, x_number) in enumerate(names):
-        for y, y_number in names[i + 1 :]:
-            score = kernels.spearman(df, x, y) if x_number and y_number else kernels.symmetric_theil_u(df, x, y) if not x_number and not y_number else kernels.correlation_ratio(df, *((y, x) if x_number else (x, y)))
-            row = score.select(F.lit(x).alias("feature_1"), F.lit(y).alias("feature_2"), "score")
-            out = row if out is None else out.unionByName(row)
-    return out
-
-
 def is_single_value(df: DataFrame, columns: list[str] | None = None, ignore_nan: bool = True) -> DataFrame:
     """(column, n_distinct, single): columns with one value only; without ``ignore_nan`` null is a value."""
     null = F.when(F.col("n_null") > 0, 1).otherwise(0)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.strings import PUNCTUATION, STOPWORDS
-from ..operators import evaluation, integrity, kernels, models, text, train_test, vision
+from ..operators import correlations, evaluation, integrity, kernels, models, text, train_test, vision
 from ..sources.tables import read
 from ..streaming import checks as streams
 
@@ -125,7 +125,22 @@ UNION ALL SELECT x, y, sqrt(b / (b + w)) FROM (SELECT 'l_' || q AS x, y, sum(n *
       SELECT 'quantity' AS q, 'l_returnflag' AS y, l_returnflag AS v, l_quantity AS p FROM lineitem UNION ALL SELECT 'quantity', 'l_linestatus', l_linestatus, l_quantity FROM lineitem
       UNION ALL SELECT 'extendedprice', 'l_returnflag', l_returnflag, l_extendedprice FROM lineitem UNION ALL SELECT 'extendedprice', 'l_linestatus', l_linestatus, l_extendedprice FROM lineitem)) GROUP BY q, y, v) GROUP BY q, y)""")
 def feature_correlation(spark, d):
-    return integrity.feature_correlation(read(spark, d, "lineitem", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus"), ["l_quantity", "l_extendedprice"], ["l_returnflag", "l_linestatus"])
+    return correlations.feature_correlation(read(spark, d, "lineitem", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus"), ["l_quantity", "l_extendedprice"], ["l_returnflag", "l_linestatus"])
+
+
+def _spearman_sql(x: str, y: str, rows: str) -> str:
+    return f"SELECT '{x}' AS feature_1, '{y}' AS feature_2, (SELECT corr(a, b) FROM (SELECT {_rank(x)} AS a, {_rank(y)} AS b FROM {rows} WHERE {x} IS NOT NULL AND {y} IS NOT NULL)) AS score"
+
+
+HOLED = "(SELECT *, CASE WHEN l_linenumber <> 3 THEN l_quantity END AS held, CASE WHEN l_discount > 0.02 THEN l_extendedprice + 1000 * l_quantity END AS cost FROM lineitem)"
+
+
+@query(" UNION ALL ".join(_spearman_sql(x, y, HOLED) for x, y in (("held", "cost"), ("held", "l_linenumber"), ("held", "l_extendedprice"), ("cost", "l_linenumber"), ("cost", "l_extendedprice"), ("l_linenumber", "l_extendedprice"))))
+def feature_correlation_missing(spark, d):
+    """Numbers with missing values: each pair is ranked among the rows that have both."""
+    li = read(spark, d, "lineitem", "l_quantity", "l_linenumber", "l_extendedprice", "l_discount")
+    holed = li.withColumn("held", F.expr("CASE WHEN l_linenumber <> 3 THEN l_quantity END")).withColumn("cost", F.expr("CASE WHEN l_discount > 0.02 THEN l_extendedprice + 1000 * l_quantity END"))
+    return correlations.feature_correlation(holed, ["held", "cost", "l_linenumber", "l_extendedprice"], [])
 
 
 @query("""SELECT 'o_orderstatus' AS "column", count(DISTINCT o_orderstatus) AS n_distinct, count(DISTINCT o_orderstatus) = 1 AS single FROM orders

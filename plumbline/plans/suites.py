@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import inference
 from ..core import Check, Dataset, Suite
 from ..data import TextData, VisionData
-from ..operators import evaluation, integrity, models, scoring, text, train_test, vision
+from ..operators import correlations, evaluation, integrity, models, scoring, text, train_test, vision
 from . import conditions as c
 
 
@@ -60,7 +60,7 @@ def data_integrity(label: bool = True, identifiers: bool = False, without: tuple
         Check("string length out of bounds", lambda d: integrity.string_length_out_of_bounds(d.df, _strings(d)), (c.length_outliers_at_most(),)),
         Check("data duplicates", lambda d: integrity.data_duplicates(d.df, _features(d)), (c.duplicates_at_most(),)),
         Check("outlier samples", _outliers, (c.outlier_samples_at_most(),)),
-        Check("feature correlation", lambda d: integrity.feature_correlation(d.df, d.numerical_features, list(d.cat_features)), (c.correlated_pairs(),)),
+        Check("feature correlation", lambda d: correlations.feature_correlation(d.df, d.numerical_features, list(d.cat_features)), (c.correlated_pairs(),)),
         Check("columns info", lambda d: integrity.columns_info(d.df, d.label, d.index, d.datetime)),
     ]
     if label:
