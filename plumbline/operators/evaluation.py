@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.running import exact_quantiles
+from ..functions.running import exact_quantiles, running_sums
 from . import kernels
 
 
@@ -95,6 +95,28 @@ def calibration_score(df: DataFrame, label: str, scores: dict[str, str]) -> Data
     return rows.groupBy("class").agg(F.avg(F.pow(F.col("s") - F.col("y"), 2)).alias("brier"), F.avg(loss).alias("log_loss"))
 
 
+def _class_scores(df: DataFrame, label: str, scores: dict[str, str]) -> DataFrame:
+    """(class, s, y): each row's score of each class and whether that is its label; without rows that lack either, or whose score is NaN."""
+    cells = F.array(*(F.struct(F.lit(c).alias("class"), F.col(f"`{s}`").cast("double").alias("s"), (F.col(f"`{label}`").cast("string") == c).cast("long").alias("y")) for c, s in scores.items()))
+    return df.select(F.inline(cells)).where(F.col("s").isNotNull() & ~F.isnan("s") & F.col("y").isNotNull())
+
+
+def roc_curve(df: DataFrame, label: str, scores: dict[str, str]) -> DataFrame:
+    """(class, threshold, tpr, fpr): a point for each distinct score of a class, where rows at or above it are said to be of the class; a rate of no rows is null.
+
+    The points of all classes come from one rank index over counted scores.
+    """
+    counts = _class_scores(df, label, scores).groupBy("class", (0 - F.col("s")).alias("down")).agg(F.count("*").alias("n"), F.sum("y").alias("p"))
+    ran = running_sums(counts, ["class"], "down", {"seen": "n", "hit": "p"}, totals=True)
+    return ran.select("class", (0 - F.col("down")).alias("threshold"), F.try_divide("hit", "hit_n").alias("tpr"), F.try_divide(F.col("seen") - F.col("hit"), F.col("seen_n") - F.col("hit_n")).alias("fpr"))
+
+
+def calibration_curve(df: DataFrame, label: str, scores: dict[str, str], bins: int = 10) -> DataFrame:
+    """(class, bin, mean_score, positives, n): of equal parts of 0 to 1, each with its upper edge; parts without rows have no row."""
+    part = sum(((F.col("s") > k / bins).cast("int") for k in range(1, bins)), F.lit(0))
+    return _class_scores(df, label, scores).groupBy("class", part.alias("bin")).agg(F.avg("s").alias("mean_score"), F.avg("y").alias("positives"), F.count("*").alias("n"))
+
+
 def gain(base: Column, score: Column, perfect: Column, most: float = 50.0) -> Column:
     """How much of the way from a simple model's score to the perfect one a score goes, between -most and most."""
     return F.when(perfect == base, F.when(score == base, F.lit(0.0)).otherwise(F.lit(-most))).otherwise(F.greatest(F.lit(-most), F.least(F.lit(most), (score - base) / (perfect - base))))

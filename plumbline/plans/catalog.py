@@ -88,7 +88,11 @@ def class_imbalance_labels(spark, d):
     return integrity.class_imbalance(read(spark, d, "labels", "quality"), "quality")
 
 
-@query()
+@query("""SELECT "column", CASE WHEN "column" = 'o_orderkey' THEN 'index' WHEN "column" = 'o_orderdate' THEN 'date' WHEN "column" = 'o_orderstatus' THEN 'label'
+WHEN k / greatest(n, 1000) < 0.01 AND k <= most THEN 'categorical feature' WHEN number THEN 'numerical feature' ELSE 'other feature' END AS role FROM (
+SELECT 'o_orderkey' AS "column", 0 AS k, 0 AS n, 0 AS most, true AS number UNION ALL SELECT 'o_orderdate', 0, 0, 0, false UNION ALL SELECT 'o_orderstatus', 0, 0, 0, false
+UNION ALL SELECT 'o_custkey', count(DISTINCT o_custkey), count(o_custkey), 30, true FROM orders UNION ALL SELECT 'o_orderpriority', count(DISTINCT o_orderpriority), count(o_orderpriority), 150, false FROM orders
+UNION ALL SELECT 'o_totalprice', count(DISTINCT o_totalprice), count(o_totalprice), CASE WHEN bool_or(o_totalprice % 1 <> 0) THEN 5 ELSE 30 END, true FROM orders)""")
 def columns_info(spark, d):
     return integrity.columns_info(read(spark, d, "orders"), label="o_orderstatus", index="o_orderkey", datetime="o_orderdate")
 
@@ -403,6 +407,20 @@ def calibration_score(spark, d):
     return evaluation.calibration_score(_judged(spark, d), "l_returnflag", {"A": "p_a", "N": "p_n"})
 
 
+SCORED = f"""(SELECT 'A' AS class, p_a AS s, (l_returnflag = 'A')::INT AS y FROM {JUDGED} UNION ALL SELECT 'N', p_n, (l_returnflag = 'N')::INT FROM {JUDGED})"""
+
+
+@query(f"""SELECT class, s AS threshold, sum(p) OVER o / sum(p) OVER (PARTITION BY class) AS tpr, sum(n - p) OVER o / sum(n - p) OVER (PARTITION BY class) AS fpr
+FROM (SELECT class, s, count(*) AS n, sum(y) AS p FROM {SCORED} GROUP BY 1, 2) WINDOW o AS (PARTITION BY class ORDER BY s DESC)""")
+def roc_curve(spark, d):
+    return evaluation.roc_curve(_judged(spark, d), "l_returnflag", {"A": "p_a", "N": "p_n"})
+
+
+@query(f"""SELECT class, greatest(0, ceil(round(s * 10, 9)) - 1)::INT AS bin, avg(s) AS mean_score, avg(y) AS positives, count(*) AS n FROM {SCORED} GROUP BY 1, 2""")
+def calibration_curve(spark, d):
+    return evaluation.calibration_curve(_judged(spark, d), "l_returnflag", {"A": "p_a", "N": "p_n"})
+
+
 @query(f"""SELECT sum(p * hit / seen) / sum(p) AS average_precision FROM (SELECT s, p, sum(p) OVER o AS hit, sum(n) OVER o AS seen FROM (
 SELECT p_a AS s, count(*) AS n, sum((l_returnflag = 'A')::INT) AS p FROM {JUDGED} GROUP BY 1) WINDOW o AS (ORDER BY s DESC))""")
 def average_precision(spark, d):
@@ -492,6 +510,20 @@ q AS (SELECT feature, avg(abs(y - middle)) AS base FROM (SELECT *, quantile_cont
 SELECT feature, CASE WHEN base > 0 THEN greatest(0, 1 - mae / base) ELSE 0 END::DOUBLE AS score FROM j JOIN q USING (feature)"""
 
 
+class _Rule:
+    """A model that reads two columns, one of them only where the other is low."""
+
+    def transform(self, df):
+        low = F.when(F.col("l_quantity") > 10, "low").otherwise("least")
+        return df.withColumn("prediction", F.when(F.col("l_linenumber") > 3, "high").otherwise(low))
+
+
+@query()
+def permutation_importance(spark, d):
+    li = read(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_tax")
+    return models.permutation_importance(_Rule().transform(li).withColumnRenamed("prediction", "y"), _Rule(), ["l_linenumber", "l_quantity", "l_tax"], "y")
+
+
 @query(_pred_power_sql("true"))
 def feature_label_correlation(spark, d):
     return models.predictive_power(_judged(spark, d).select("l_discount", "l_quantity", "pred"), ["l_discount", "l_quantity"], "pred")
