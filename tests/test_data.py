@@ -13,6 +13,7 @@ from plumbline.data import TextData, VisionData, as_dataset
 from plumbline.functions import helpers, strings
 from plumbline.operators import models, scoring, segments, text
 from plumbline.plans import conditions, suites
+from test_power import brute_power
 
 
 @pytest.fixture(scope="module")
@@ -233,7 +234,9 @@ def test_simple_models_trust_and_power(spark):
     got = {r.id: r for r in models.trust_scores(df.withColumn("p", F.col("y")), df.withColumn("p", F.lit("a")), "id", ["x"], "y", "p").collect()}
     assert got[5].trust == pytest.approx(25.0) and got[5].nearest == "b" and got[35].trust < 1
     power = {(r.x, r.y): r.score for r in models.power_matrix(df, ["x", "y"]).collect()}
-    assert power["x", "x"] == 1.0 and power["x", "y"] > 0.8
+    # Of 40 rows the score depends on how they are dealt to folds, so it is held against the definition.
+    step = brute_power([(r.x, r.y) for r in df.collect()], "x", True, False, 4, 256)
+    assert power["x", "x"] == 1.0 and power["x", "y"] == pytest.approx(step) and step > 0.7
     pairs = models.column_pairs(df.select("id", "x"), df.select("id", "z", (2 * F.col("x")).alias("w")), F.corr, ["id"]).collect()
     assert {(r.x, r.y): round(r.value, 6) for r in pairs}["x", "w"] == 1.0
 
