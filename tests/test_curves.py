@@ -1,4 +1,4 @@
-"""Curves of scores and importance by permutation."""
+"""Curves of scores, importance by permutation, and checks that train models."""
 
 import random
 
@@ -66,3 +66,25 @@ def test_permutations_keep_values(spark):
     df = spark.range(300).selectExpr("CAST(id AS DOUBLE) AS `a.b`", "CAST(id > 5 AS INT) AS y")
     models.permutation_importance(df, Spy(), ["a.b"], "y", rounds=2).collect()
     assert seen == [[float(i) for i in range(300)]]
+
+
+def test_unused_features_share_the_variance(spark):
+    """One feature varies alone, two are one: shares add up to 1, kinds follow importance and variance."""
+    df = spark.range(300).selectExpr("CAST(id % 17 AS DOUBLE) AS a", "CAST(id % 13 AS DOUBLE) AS b", "CAST(2 * (id % 13) AS DOUBLE) AS c", "IF(id % 50 = 0, 9.0, 1.0) AS d")
+    got = {r.feature: r for r in models.unused_features(df, ["a", "b", "c", "d"], {"a": 0.9}).collect()}
+    assert sum(r.variance for r in got.values()) == pytest.approx(1.0) and got["b"].variance == pytest.approx(got["c"].variance)
+    assert got["a"].kind == "used" and got["b"].kind == "unused high variance" and {got[k].importance for k in "bcd"} == {0.0}
+
+
+def test_boosting_errors_fall_on_train(spark):
+    df = spark.range(400).selectExpr("CAST(id % 20 AS DOUBLE) AS x", "CAST(id % 7 AS DOUBLE) AS z", "CAST(id % 20 > 9 AS DOUBLE) AS y")
+    rows = models.boosting_overfit(df.where("z < 5"), df.where("z >= 5"), ["x", "z"], "y", steps=4).orderBy("trees").collect()
+    assert [r.trees for r in rows] == [1, 2, 3, 4]
+    assert all(a.train_error > b.train_error for a, b in zip(rows, rows[1:])) and rows[-1].test_error < rows[0].test_error
+
+
+def test_embeddings_drift_of_moved_and_equal_vectors(spark):
+    vectors = spark.range(800).selectExpr("id", "transform(sequence(0, 5), k -> pmod(xxhash64(id, k), 1000) / 1000D) AS v")
+    moved = vectors.selectExpr("id", "transform(v, x -> x + 1) AS v")
+    assert models.embeddings_drift(vectors, moved, "v", components=3).first().drift > 0.9
+    assert models.embeddings_drift(vectors.where("id % 2 = 0"), vectors.where("id % 2 = 1"), "v", components=3).first().drift < 0.3
