@@ -114,6 +114,7 @@ def test_models_report_all_rows(spark, monkeypatch):
     assert found.average == pytest.approx(0.7) and found.score < 0.1 and found.n > 100  # of the 200 that are fitted, some 50
     cells = power.power_cells(rows.withColumn("s", F.col("s").cast("string")), ["a", "b"], "s")
     assert {r.feature: r.n for r in cells.groupBy("feature").agg(F.sum("n").alias("n")).collect()} == {"a": 600, "b": 600}
+    assert models.predictive_power(rows.withColumn("s", F.col("s").cast("string")), ["a"], "s").first().score > 0.9
     seen, evaluate = [], models.BinaryClassificationEvaluator.evaluate
     monkeypatch.setattr(models.BinaryClassificationEvaluator, "evaluate", lambda self, df: seen.append(df.count()) or evaluate(self, df))
     far = models.domain_classifier(rows.where("s = 0"), rows.where("s = 1"), ["a", "b"], [], n_samples=100).first()
