@@ -1,7 +1,10 @@
 """Roles, types, filters, scorers, conditions and suites."""
 
 import math
+import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor
@@ -241,6 +244,25 @@ def test_simple_models_trust_and_power(spark):
     assert {(r.x, r.y): round(r.value, 6) for r in pairs}["x", "w"] == 1.0
 
 
+def test_trust_scores_look_at_few_pairs(spark, monkeypatch):
+    """40,000 training rows, in chunks, against 2,000 questions: all pairs took minutes; and the results are those of all pairs."""
+    rng = random.Random(3)
+    rows = [(i, round(rng.uniform(0, 1000), 1), float(rng.randrange(25)), "abcde"[rng.randrange(5)]) for i in range(40_000)]
+    rows += [(40_000, 5.0, 3.0, "once"), (40_001, None, 3.0, "a")]
+    df = spark.createDataFrame(rows, "id long, x double, z double, y string")
+    asked = df.where("id % 20 = 0").withColumn("p", F.when(F.col("id") == 40_000, "once").otherwise("b"))
+    monkeypatch.setattr(models, "LOOKED_THROUGH", 3_000)
+    began = time.perf_counter()
+    got = {r.id: r.trust for r in models.trust_scores(df, asked, "id", ["x", "z"], "y", "p").collect()}
+    assert time.perf_counter() - began < 25 and len(got) == 2_001
+    x, z, y = np.array([r[1] for r in rows[:-1]]), np.array([r[2] for r in rows[:-1]]), np.array([r[3] for r in rows[:-1]])
+    for i in [*range(0, 40_000, 400), 40_000]:
+        gap = np.sqrt((x - x[i]) ** 2 + (z - z[i]) ** 2)
+        gap[i] = np.inf
+        mine = y == ("once" if i == 40_000 else "b")
+        assert got[i] == gap[~mine].min() / (gap[mine].min() + 1e-12)
+
+
 def test_partial_boosting(spark):
     from pyspark.ml.classification import GBTClassifier
 
