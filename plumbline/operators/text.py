@@ -86,13 +86,56 @@ def unknown_tokens(df: DataFrame, text: str, vocabulary: DataFrame, word: str =
 
 #: Lengths of word runs that are counted in one round.
 LENGTHS = 16
+#: Counters that runs share in a first count: 1.3 MB a task. They tell frequent runs while a text has far fewer runs than counters times the least ratio.
+COUNTERS = 1 << 17
+
+
+def _frequent_runs(rows: DataFrame, n: int, last: int, least: float) -> dict[str, int]:
+    """The runs of ``n`` to ``last`` words that at least ``least`` rows have in their parts, with the number of rows.
+
+    A first count adds up runs by counters, so that only runs of full counters are shuffled, whatever the number of runs.
+    """
+    of_part = lambda w: F.flatten(F.transform(F.sequence(F.lit(n), F.least(F.size(w), F.lit(last))), lambda k: F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.array_join(F.slice(w, i + 1, k), " "))))
+    grams = rows.select(F.explode(F.array_distinct(F.flatten(F.transform(F.filter("parts", lambda w: F.size(w) >= n), of_part)))).alias("g"))
+    grams = grams.withColumn("at", F.pmod(F.xxhash64("g"), F.lit(COUNTERS)).cast("int"))
+    full = grams.groupBy("at").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("at")
+    often = grams.join(F.broadcast(full), "at", "left_semi").groupBy("g").agg(F.count("*").alias("k")).where(F.col("k") >= least)
+    return {r.g: r.k for r in often.collect()}
+
+
+def _stretches(frequent: set[str], length: int):
+    """For ``mapInArrow`` over parts of texts: the stretches of words in which every run of ``length`` is frequent."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for parts in batch.column(0).to_pylist():
+                cut = []
+                for w in parts:
+                    start = None  # where the stretch at hand begins
+                    for i in range(len(w) - length + 1):
+                        if " ".join(w[i : i + length]) in frequent:
+                            start = i if start is None else start
+                        elif start is not None:
+                            cut.append(w[start : i - 1 + length])
+                            start = None
+                    if start is not None:
+                        cut.append(w[start:])
+                out.append(cut)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.list_(pa.string())))], names=["parts"])
+
+    return run
 
 
 def frequent_substrings(df: DataFrame, text: str, min_words: int = 4, min_ratio: float = 0.05, n_sentences: int = 5, significant_ratio: float = 0.3, margin: float = 0.02, min_change: float = 0.05) -> DataFrame:
     """(substring, n_texts, ratio): the longest word runs in the first and last sentences that many texts share.
 
-    Runs of ``min_words`` and more in at least ``min_ratio`` of the texts, ``LENGTHS``
-    lengths a round, over the texts that still hold a run of the longest. Of runs inside
+    Runs of ``min_words`` and more in at least ``min_ratio`` of the texts. The
+    shortest are counted first; a text is then cut to the stretches in which
+    all of them are frequent, as longer frequent runs lie inside these. So it
+    goes on with ``LENGTHS`` lengths a round. Of runs inside
     one another the longest stays, unless a shorter one is more frequent by
     more than ``margin``. By frequency, those before the steepest drop of over
     ``min_change`` stay, and those of ``significant_ratio``. What is frequent
@@ -103,24 +146,20 @@ def frequent_substrings(df: DataFrame, text: str, min_words: int = 4, min_ratio:
     ends = F.when(F.size(s) <= 2 * n_sentences, s).otherwise(F.concat(F.slice(s, 1, n_sentences), F.slice(s, -n_sentences, n_sentences)))
     given = df.where(F.col(text).isNotNull())
     total = given.count()
-    rows = given.select(F.filter(F.split(F.array_join(ends, " "), r"\s+"), lambda w: w != "").alias("w")).withColumn("id", F.monotonically_increasing_id())
-    rows, place = kept_at(rows.where(F.size("w") >= min_words))
+    rows = given.select(F.array(F.filter(F.split(F.array_join(ends, " "), r"\s+"), lambda w: w != "")).alias("parts"))
+    rows, place = kept_at(rows.where(F.size(F.col("parts")[0]) >= min_words))
     found: dict[str, int] = {}
-    n = min_words
+    n = last = min_words
     while True:
         # Several lengths in one pass, as many texts share long passages; shorter runs of one frequent run are all frequent.
-        last = n + LENGTHS - 1
-        runs = F.flatten(F.transform(F.sequence(F.lit(n), F.least(F.size("w"), F.lit(last))), lambda k: F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.array_join(F.slice("w", i + 1, k), " "))))
-        grams = rows.where(F.size("w") >= n).select("id", F.explode(F.array_distinct(runs)).alias("g"))
-        often = grams.groupBy("g").agg(F.count("*").alias("k")).where(F.col("k") >= min_ratio * total).collect()
-        found.update((r.g, r.k) for r in often)
-        longest = [(r.g,) for r in often if r.g.count(" ") == last - 1]
+        often = _frequent_runs(rows, n, last, min_ratio * total)
+        found.update(often)
+        longest = {g for g in often if g.count(" ") == last - 1}
         if not longest:
             break
-        some = rows.where(F.size("w") >= last).select("id", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - last), lambda i: F.array_join(F.slice("w", i + 1, last), " "))).alias("g"))
-        held = some.join(F.broadcast(df.sparkSession.createDataFrame(longest, "g string")), "g").select("id").distinct()
         before = place
-        (rows, place), n = kept_at(rows.join(held, "id", "left_semi")), last + 1
+        rows, place = kept_at(rows.mapInArrow(_stretches(longest, last), "parts array<array<string>>").where(F.size("parts") > 0))
+        n, last = last + 1, last + LENGTHS
         remove(df.sparkSession, before)
     remove(df.sparkSession, place)
     kept = _frequency_cut(_longest_runs({g: k / total for g, k in found.items()}, margin), significant_ratio, min_change)

@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,6 +133,28 @@ def test_frequent_substrings_grow_to_the_shared_sentence(spark):
     assert [g for g, _ in text._frequency_cut({"a": 0.9, "b": 0.31, "c": 0.3}, 0.3, 0.05)] == ["a", "b", "c"]
 
 
+def test_frequent_substrings_keep_only_what_may_be_frequent(spark, monkeypatch):
+    """Texts are cut to their frequent stretches before longer runs are counted, and all counts are those of brute force."""
+    rng = random.Random(8)
+    phrases = [" ".join(f"p{k}w{i}" for i in range(6 + 9 * k)) for k in range(4)]
+    texts = []
+    for i in range(60):
+        parts = [" ".join(f"u{i}x{j}x{k}" for k in range(12)) if rng.random() < 0.7 else rng.choice(phrases) for j in range(5)]
+        texts.append(" ".join(parts) + ("" if i % 9 else " " + " ".join(parts[:1])))
+    kept, ratios, kept_at, cut = [], [], text.kept_at, text._longest_runs
+    monkeypatch.setattr(text, "kept_at", lambda df: kept.append(kept_at(df)) or kept[-1])
+    sizes = []
+    monkeypatch.setattr(text, "remove", lambda spark, place: sizes.append(sum(len(str(r[-1]).split()) for r in spark.read.parquet(place).collect())))
+    monkeypatch.setattr(text, "_longest_runs", lambda ratio, margin: ratios.append(ratio) or cut(ratio, margin))
+    text.frequent_substrings(spark.createDataFrame([(t,) for t in texts], "t string"), "t", min_ratio=0.05).collect()
+    want = Counter()
+    for t in texts:
+        w = t.split()
+        want.update({" ".join(w[i : i + n]) for n in range(4, len(w) + 1) for i in range(len(w) - n + 1)})
+    assert ratios == [{g: n / 60 for g, n in want.items() if n >= 3}] and max(g.count(" ") for g in ratios[0]) > 20
+    assert sizes[1] < sizes[0] / 2  # the words of no frequent run are gone after the first round
+
+
 def test_conditions_and_writers(spark):
     df = spark.createDataFrame([(None, "a"), (1, "b")], "x int, y string")
     nulls = Check("nulls", lambda d: integrity.percent_of_nulls(d.df), (at_most("percent", 0.05),))
