@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import kept
+
 PROPERTIES = "aspect_ratio double, area long, brightness double, rms_contrast double, mean_red double, mean_green double, mean_blue double, texture_level double"
 
 
@@ -66,6 +68,14 @@ def match_boxes(df: DataFrame, image: str, labels: str, predictions: str, ious:
     label's, or the box's own. An image is one row, so the matching needs no
     shuffle; its overlaps are computed once for all thresholds.
     """
+    return _matched(df, image, labels, predictions, ious, most).drop("place")
+
+
+def _matched(df: DataFrame, image: str, labels: str, predictions: str, ious: float | tuple[float, ...], most: int | None = None) -> DataFrame:
+    """What :func:`match_boxes` gives, and the place of each predicted box among its image's, from 1 on, null of labels.
+
+    A box's match depends on those before it only: the first boxes of an image match as they would alone.
+    """
     limits = (ious,) if isinstance(ious, float) else tuple(ious)
     g, p = F.coalesce(F.col(labels), F.array().cast(df.schema[labels].dataType)), F.coalesce(F.col(predictions), F.array().cast(df.schema[predictions].dataType))
     at = F.sequence(F.lit(1), F.size(p))
@@ -85,14 +95,14 @@ def match_boxes(df: DataFrame, image: str, labels: str, predictions: str, ious:
     area = lambda b: (b["w"] * b["h"]).cast("double")
     said = F.transform(
         F.arrays_zip("r", "t"),
-        lambda z: F.struct(
+        lambda z, i: F.struct(
             F.element_at(F.col("p"), z["r"]["k"])["cls"].cast("long").alias("cls"), (-z["r"]["down"]).alias("conf"),
-            F.when(z["t"] > 0, area(F.try_element_at(F.col("g"), z["t"]))).otherwise(area(F.element_at(F.col("p"), z["r"]["k"]))).alias("area"), (z["t"] > 0).cast("int").alias("tp"),
+            F.when(z["t"] > 0, area(F.try_element_at(F.col("g"), z["t"]))).otherwise(area(F.element_at(F.col("p"), z["r"]["k"]))).alias("area"), (z["t"] > 0).cast("int").alias("tp"), (i + 1).alias("place"),
         ),
     )
     missed = F.transform(
         F.filter(F.transform("g", lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda c: ~F.array_contains(F.col("t"), c["i"] + 1)),
-        lambda c: F.struct(c["t"]["cls"].cast("long").alias("cls"), F.lit(None).cast("double").alias("conf"), area(c["t"]).alias("area"), F.lit(0).alias("tp")),
+        lambda c: F.struct(c["t"]["cls"].cast("long").alias("cls"), F.lit(None).cast("double").alias("conf"), area(c["t"]).alias("area"), F.lit(0).alias("tp"), F.lit(None).cast("int").alias("place")),
     )
     return rows.select("image", "iou", F.inline(F.concat(said, missed)))
 
@@ -120,20 +130,25 @@ def detection_averages(per_class: DataFrame) -> DataFrame:
     return one.select(F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.lit(a).alias("average"), F.col(f"`{m}|{a}`").cast("double").alias("value")) for m, a, _ in cells))))
 
 
-def _precision_points(boxes: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(by, positives) and (by, precision, recall) at each distinct confidence."""
+def _precision_points(counts: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(by, positives) and (by, precision, recall) at each distinct confidence, of counts (by, conf, n, tp) of boxes that are written once: both read them."""
     from ..functions.running import running_sums
 
-    positives = boxes.groupBy(*by).agg(F.sum(F.when(F.col("conf").isNull(), 1).otherwise(F.col("tp"))).alias("positives"))
-    at = boxes.where("conf is not null").groupBy(*by, (-F.col("conf")).alias("down")).agg(F.count("*").alias("n"), F.sum("tp").alias("p"))
+    positives = counts.groupBy(*by).agg(F.sum(F.when(F.col("conf").isNull(), F.col("n")).otherwise(F.col("tp"))).alias("positives"))
+    at = counts.where("conf is not null").select(*by, (-F.col("conf")).alias("down"), "n", F.col("tp").alias("p"))
     ran = running_sums(at, by, "down", {"seen": "n", "hit": "p"}).join(positives, by)
     return positives, ran.select(*by, (F.col("hit") / F.col("seen")).alias("precision"), F.try_divide(F.col("hit"), F.col("positives")).alias("recall"))
 
 
+def _counted(boxes: DataFrame, *by: str | Column) -> DataFrame:
+    """(by, conf, n, tp) of boxes."""
+    return boxes.groupBy(*by, "conf").agg(F.count("*").alias("n"), F.sum("tp").alias("tp"))
+
+
 def mean_average_precision(df: DataFrame, image: str, labels: str, predictions: str, ious: tuple[float, ...] = IOUS) -> DataFrame:
     """(cls, iou, ap): precision over recall at 101 points, all thresholds from one matching."""
-    boxes = match_boxes(df, image, labels, predictions, ious)
-    positives, points = _precision_points(boxes, ["cls", "iou"])
+    counts = kept(_counted(match_boxes(df, image, labels, predictions, ious), "cls", "iou"))
+    positives, points = _precision_points(counts, ["cls", "iou"])
     best = points.select("cls", "iou", "precision", F.explode(F.when(F.col("recall").isNotNull(), F.sequence(F.lit(0), F.floor(F.col("recall") * 100 + 1e-9).cast("int")))).alias("k")).groupBy("cls", "iou", "k").agg(F.max("precision").alias("best"))
     ap = best.groupBy("cls", "iou").agg((F.sum("best") / 101).alias("ap"))
     return positives.join(ap, ["cls", "iou"], "left").select("cls", "iou", F.coalesce("ap", F.lit(0.0)).alias("ap"))
@@ -145,10 +160,10 @@ def box_size(area: Column, areas: tuple[float, float] = AREAS) -> Column:
 
 def average_precision_report(df: DataFrame, image: str, labels: str, predictions: str, areas: tuple[float, float] = AREAS, ious: tuple[float, ...] = IOUS) -> DataFrame:
     """(size, map, ap_50, ap_75): means over the classes, for all boxes and those of each size."""
-    boxes = match_boxes(df, image, labels, predictions, ious)
-    sized = boxes.withColumn("size", F.explode(F.array(F.lit("all"), box_size(F.col("area"), areas))))
     by = ["size", "cls", "iou"]
-    positives, points = _precision_points(sized, by)
+    sized = kept(_counted(match_boxes(df, image, labels, predictions, ious), box_size(F.col("area"), areas).alias("size"), "cls", "iou"))
+    whole = sized.groupBy("cls", "iou", "conf").agg(F.sum("n").alias("n"), F.sum("tp").alias("tp")).withColumn("size", F.lit("all"))
+    positives, points = _precision_points(kept(sized.unionByName(whole)), by)
     best = points.select(*by, "precision", F.explode(F.when(F.col("recall").isNotNull(), F.sequence(F.lit(0), F.floor(F.col("recall") * 100 + 1e-9).cast("int")))).alias("k")).groupBy(*by, "k").agg(F.max("precision").alias("best"))
     ap = positives.where("positives > 0").join(best.groupBy(*by).agg((F.sum("best") / 101).alias("ap")), by, "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
     at = lambda x: F.avg(F.when(F.abs(F.col("iou") - x) < 1e-9, F.col("ap")))
@@ -157,14 +172,15 @@ def average_precision_report(df: DataFrame, image: str, labels: str, predictions
 
 def average_recall_report(df: DataFrame, image: str, labels: str, predictions: str, most: tuple[int, ...] = (1, 10, 100), areas: tuple[float, float] = AREAS, ious: tuple[float, ...] = IOUS) -> DataFrame:
     """(size, most, recall): the mean over classes and thresholds of the share of labels that an image's first ``most`` boxes find."""
-    out = None
-    for k in most:
-        boxes = match_boxes(df, image, labels, predictions, ious, k)
-        sized = boxes.withColumn("size", F.explode(F.array(F.lit("all"), box_size(F.col("area"), areas))))
-        per = sized.groupBy("size", "cls", "iou").agg(F.sum("tp").alias("tp"), F.sum(F.when(F.col("conf").isNull(), 1).otherwise(F.col("tp"))).alias("real")).where("real > 0")
-        row = per.groupBy("size").agg(F.avg(F.col("tp") / F.col("real")).alias("recall")).select("size", F.lit(k).alias("most"), "recall")
-        out = row if out is None else out.unionByName(row)
-    return out
+    if not most:
+        raise ValueError("most must name at least one number of boxes")
+    # Boxes that match nothing count for neither sum, so the labels of a size are the same for all numbers.
+    boxes = _matched(df, image, labels, predictions, ious, max(most))
+    found = [F.sum(F.when(F.col("place") <= k, F.col("tp")).otherwise(0)).alias(f"tp{k}") for k in most]
+    per = boxes.groupBy(box_size(F.col("area"), areas).alias("size"), "cls", "iou").agg(F.sum(F.when(F.col("conf").isNull(), 1).otherwise(F.col("tp"))).alias("real"), *found)
+    both = per.select(F.explode(F.array(F.lit("all"), F.col("size"))).alias("size"), "cls", "iou", "real", *(f"tp{k}" for k in most)).groupBy("size", "cls", "iou").agg(F.sum("real").alias("real"), *(F.sum(f"tp{k}").alias(f"tp{k}") for k in most))
+    means = both.where("real > 0").groupBy("size").agg(*(F.avg(F.col(f"tp{k}") / F.col("real")).alias(f"r{k}") for k in most))
+    return means.select("size", F.inline(F.array(*(F.struct(F.lit(k).alias("most"), F.col(f"r{k}").alias("recall")) for k in most))))
 
 
 def per_image_iou(df: DataFrame, image: str, labels: str, predictions: str) -> DataFrame:

@@ -90,6 +90,20 @@ def test_average_precision_of_perfect_and_missing_boxes(spark):
     assert means["recall", "micro"] == means["recall", "macro"] == means["recall", "weighted"] == pytest.approx(2 / 3)
 
 
+@pytest.mark.parametrize("report", [lambda df: vision.average_precision_report(df, "i", "g", "p"), lambda df: vision.mean_average_precision(df, "i", "g", "p"), lambda df: vision.average_recall_report(df, "i", "g", "p")])
+def test_boxes_are_matched_once(spark, boxes, report):
+    """Each report read and matched its images three times."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def through(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    assert len(report(boxes.mapInArrow(through, boxes.schema)).collect()) > 2
+    assert seen.value == boxes.count()
+
+
 def test_mean_overlap_per_image(boxes, images):
     got = {r.image: r.mean_iou for r in vision.per_image_iou(boxes, "i", "g", "p").collect()}
     for i, g, p in images:
