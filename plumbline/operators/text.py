@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.strings import TEXT_PROPERTIES, at_hand, normalize_text, split_sentences, split_words
@@ -193,21 +193,34 @@ def _frequency_cut(ratio: dict[str, float], significant: float, min_change: floa
     return ranked[: max(sum(r >= significant for _, r in ranked), peak)]
 
 
+def _spans(tags: str):
+    """For ``transform`` over a column of IOB tags: an array of (entity, first, last), one for each span; ``tags`` is evaluated at each reference, so it is a column that is at hand."""
+    t = F.col(tags)
+    kind = lambda x: F.when((x != "O") & x.isNotNull(), F.when(x.substr(1, 2).isin("B-", "I-", "O-"), x.substr(F.lit(3), F.length(x))).otherwise(x))
+    marked = F.filter(F.transform(t, lambda x, i: F.struct(kind(x).alias("entity"), i.alias("at"))), lambda x: x["entity"].isNotNull())
+    new = lambda x, i: (i == 0) | x.startswith("B-") | ~kind(x).eqNullSafe(kind(F.get(t, i - 1)))
+    first = F.filter(marked, lambda m: new(F.get(t, m["at"]), m["at"]))
+    last = F.filter(marked, lambda m: (m["at"] == F.size(t) - 1) | F.coalesce(kind(F.get(t, m["at"] + 1)).isNull() | new(F.get(t, m["at"] + 1), m["at"] + 1), F.lit(True)))
+    return F.transform(F.arrays_zip(first.alias("f"), last.alias("l")), lambda z: F.struct(z["f"]["entity"].alias("entity"), z["f"]["at"].alias("first"), z["l"]["at"].alias("last")))
+
+
 def entity_spans(df: DataFrame, tokens_id: str, tags: str) -> DataFrame:
-    """(id, entity, first, last): spans of IOB tags, for token metrics."""
-    rows = df.select(F.col(tokens_id).alias("id"), F.posexplode(tags).alias("at", "tag"))
-    order = Window.partitionBy("id").orderBy("at")
-    kind = F.regexp_replace("tag", "^[BIO]-", "")
-    rows = rows.withColumn("entity", F.when(F.col("tag") == "O", F.lit(None)).otherwise(kind))
-    begins = F.col("entity").isNotNull() & (F.col("tag").startswith("B-") | ~F.col("entity").eqNullSafe(F.lag("entity").over(order)))
-    rows = rows.withColumn("span", F.sum(begins.cast("int")).over(order)).where("entity is not null")
-    return rows.groupBy("id", "span", "entity").agg(F.min("at").alias("first"), F.max("at").alias("last")).drop("span")
+    """(id, entity, first, last): spans of IOB tags, for token metrics; found inside a row, so tokens are not shuffled."""
+    held = df.select(F.col(tokens_id).alias("id"), F.explode(F.array(F.col(tags))).alias("t"))
+    return held.select("id", F.inline(_spans("t")))
 
 
 def token_metrics(df: DataFrame, tokens_id: str, label: str, prediction: str) -> DataFrame:
-    """(class, precision, recall, f1, support) over whole entity spans."""
-    real, said = entity_spans(df, tokens_id, label), entity_spans(df, tokens_id, prediction)
-    both = real.withColumn("real", F.lit(1)).join(said.withColumn("said", F.lit(1)), ["id", "entity", "first", "last"], "full_outer")
-    per = both.groupBy(F.col("entity").alias("class")).agg(F.count("real").alias("support"), F.count("said").alias("n_said"), F.sum((F.col("real").isNotNull() & F.col("said").isNotNull()).cast("long")).alias("tp"))
+    """(class, precision, recall, f1, support) over whole entity spans; a row is a text, its spans are compared inside it."""
+    # A generator holds the tags, so that they are made once.
+    held = df.select(F.inline(F.array(F.struct(F.col(label).alias("real"), F.col(prediction).alias("said")))))
+    # Keys are strings, which Spark intersects by hash, structs pair by pair: places of eight digits each, then the entity.
+    place = lambda c: F.lpad(F.hex(c), 8, "0")
+    keys = lambda tags: F.transform(_spans(tags), lambda s: F.concat(place(s["first"]), place(s["last"]), s["entity"]))
+    none = F.array().cast("array<string>")
+    spans = held.select(F.inline(F.array(F.struct(F.coalesce(keys("real"), none).alias("real"), F.coalesce(keys("said"), none).alias("said")))))
+    one = lambda of, name: F.transform(of, lambda k: F.struct(k.substr(F.lit(17), F.length(k)).alias("class"), F.lit(name).alias("of")))
+    counts = spans.select(F.inline(F.concat(one(F.col("real"), "real"), one(F.col("said"), "said"), one(F.array_intersect("real", "said"), "both"))))
+    per = counts.groupBy("class").agg(*(F.count(F.when(F.col("of") == c, 1)).alias(n) for c, n in (("real", "support"), ("said", "n_said"), ("both", "tp"))))
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     return per.select("class", ratio(F.col("tp"), F.col("n_said")).alias("precision"), ratio(F.col("tp"), F.col("support")).alias("recall"), ratio(2 * F.col("tp"), F.col("n_said") + F.col("support")).alias("f1"), "support")

@@ -76,6 +76,39 @@ def test_token_metrics(spark):
     assert per["P"].f1 == 1 and per["Q"].recall == 0
 
 
+def test_token_spans_equal_brute_force_and_shuffle_classes_only(spark):
+    """Spans of odd tags against plain Python, also where ids are missing or occur twice, which the SQL counts too."""
+    rng = random.Random(5)
+    tags = ["O", "B-P", "I-P", "B-Q", "I-Q", "P", "O-P", None, "B-"]
+    rows = [(None if i % 7 == 0 else i // 2, *([rng.choice(tags) for _ in range(n)] for _ in range(2))) for i, n in enumerate([*range(12), *[9] * 40])] + [(99, None, ["B-P"])]
+
+    def spans(x):
+        out, before = set(), None
+        for i, t in enumerate(x or []):
+            kind = None if t is None or t == "O" else t[2:] if t[:2] in ("B-", "I-", "O-") else t
+            if kind is not None and (t.startswith("B-") or kind != before or not i):
+                out.add((kind, i, i))
+                begun = (kind, i, i)
+            elif kind is not None:
+                out.discard(begun)
+                begun = (kind, begun[1], i)
+                out.add(begun)
+            before = kind
+        return out
+
+    df = spark.createDataFrame(rows, "i int, y array<string>, p array<string>")
+    plan = text.token_metrics(df, "i", "y", "p")
+    assert "Window" not in plan._jdf.queryExecution().toString() and "Join" not in plan._jdf.queryExecution().toString()
+    want = {}
+    for _, y, p in rows:
+        for k, found in enumerate((spans(y), spans(p), spans(y) & spans(p))):
+            for c, _, _ in found:
+                want.setdefault(c, [0, 0, 0])[k] += 1
+    got = {r["class"]: (r.support, r.precision, r.recall) for r in plan.collect()}
+    assert got == {c: (n, both / said if said else 0.0, both / n if n else 0.0) for c, (n, said, both) in want.items()}
+    assert sorted(tuple(r)[1:] for r in text.entity_spans(df, "i", "p").collect()) == sorted(s for _, _, p in rows for s in spans(p))
+
+
 def test_detection_and_segmentation(spark):
     box = "array<struct<cls:long,x:double,y:double,w:double,h:double>>"
     said = "array<struct<cls:long,x:double,y:double,w:double,h:double,conf:double>>"
