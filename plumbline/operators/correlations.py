@@ -19,6 +19,9 @@ from ..sources.scratch import kept
 
 Pair = tuple[int, int]
 
+#: Values that more than this part of all distinct rows' values are of are heavy; there are at most so many.
+MOST_HEAVY = 10_000
+
 
 def _terms(pairs: list[Pair], x, y) -> Column:
     """A row's (pair, x, y) for each pair, nulls included."""
@@ -35,18 +38,24 @@ def rank_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """
     pairs = list(combinations(range(len(columns)), 2))
     values = [F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(f"v{k}") for k, c in enumerate(columns)]
-    rows = kept(df.select(*values).groupBy(*(f"v{k}" for k in range(len(columns)))).agg(F.count("*").alias("k")))
+    rows = kept(df.select(*values).groupBy(*(f"v{k}" for k in range(len(columns)))).agg(F.count("*").alias("k")).withColumn("id", F.monotonically_increasing_id()))
     missing = rows.agg(*(F.max(F.col(f"v{k}").isNull()).alias(f"v{k}") for k in range(len(columns)))).first()
     holed = [k for k in range(len(columns)) if missing[f"v{k}"]]
     present = F.array(F.lit(True), *(F.col(f"v{k}").isNotNull() for k in holed))
     cells = F.array(*(F.struct(F.lit(k).alias("at"), F.col(f"v{k}").alias("v")) for k in range(len(columns))))
-    long = rows.withColumn("id", F.monotonically_increasing_id()).select("id", "k", present.alias("present"), F.inline(cells)).where(F.col("v").isNotNull())
+    long = rows.select("id", "k", present.alias("present"), F.inline(cells)).where(F.col("v").isNotNull())
     slots = range(len(holed) + 1)
-    counts = long.groupBy("at", "v").agg(*(F.sum(F.when(F.col("present")[s], F.col("k")).otherwise(0)).alias(f"n{s}") for s in slots))
+    counts = long.groupBy("at", "v").agg(F.count("*").alias("d"), *(F.sum(F.when(F.col("present")[s], F.col("k")).otherwise(0)).alias(f"n{s}") for s in slots))
     ran = running_sums(counts, ["at"], "v", {f"u{s}": f"n{s}" for s in slots})
-    ranks = ran.select("at", "v", F.array(*(F.col(f"u{s}") - (F.col(f"n{s}") - 1) / 2 for s in slots)).alias("ranks"))
-    ranked = long.join(ranks, ["at", "v"]).groupBy("id").agg(F.max("k").alias("k"), *(F.max(F.when(F.col("at") == k, F.col("ranks"))).alias(f"r{k}") for k in range(len(columns))))
-    rank = lambda own, other: F.col(f"r{own}")[holed.index(other) + 1 if other in holed else 0]
+    ranks = ran.select("at", "v", "d", F.array(*(F.col(f"u{s}") - (F.col(f"n{s}") - 1) / 2 for s in slots)).alias("ranks"))
+    # Values of many rows would bring all of these to one task: their ranks, few as they are, go to the rows.
+    share = counts.agg(F.sum("d") / MOST_HEAVY).first()[0] or 0.0
+    ranks = kept(ranks)
+    heavy, light = F.broadcast(ranks.where(F.col("d") > share).drop("d")), ranks.where(F.col("d") <= share).drop("d")
+    known = long.join(heavy, ["at", "v"], "left")
+    met = known.where("ranks IS NOT NULL").unionByName(known.where("ranks IS NULL").drop("ranks").join(light, ["at", "v"]), allowMissingColumns=True)
+    ranked = met.groupBy("id").agg(F.max("k").alias("k"), *(F.max(F.when(F.col("at") == k, F.col("ranks")[s])).alias(f"r{k}_{s}") for k in range(len(columns)) for s in slots))  # numbers, as arrays would be sorted
+    rank = lambda own, other: F.col(f"r{own}_{holed.index(other) + 1 if other in holed else 0}")
     terms = ranked.select("k", _terms(pairs, rank, lambda a, b: rank(b, a))).where("x IS NOT NULL AND y IS NOT NULL")
     k, x, y = F.col("k"), F.col("x"), F.col("y")
     sums = terms.groupBy("pair").agg(*(F.sum(e).alias(n) for n, e in {"n": k, "a": k * x, "b": k * y, "aa": k * x * x, "bb": k * y * y, "ab": k * x * y}.items()))

@@ -85,3 +85,16 @@ def test_empty_table_and_one_column(spark):
     empty = spark.createDataFrame([], "a double, b double, p string, q string")
     assert {tuple(r) for r in correlations.feature_correlation(empty, ["a", "b"], ["p", "q"]).collect()} == {("a", "b", None), ("a", "p", 0.0), ("a", "q", 0.0), ("b", "p", 0.0), ("b", "q", 0.0), ("p", "q", None)}
     assert correlations.feature_correlation(empty, ["a"], []).count() == 0
+
+
+def test_ranks_meet_heavy_values_without_a_shuffle(spark, monkeypatch):
+    """A value of most rows brought them all to one task; scores are the same whichever values are heavy."""
+    rows = [(float(i % 7), None if i % 5 == 0 else float(i * 37 % 101), 1.0 if i % 9 else float(i)) for i in range(600)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    found = []
+    for most in (1, 20, 10**6):
+        monkeypatch.setattr(correlations, "MOST_HEAVY", most)
+        found.append({r.pair: r.score for r in correlations.rank_correlations(df, ["a", "b", "c"]).collect()})
+    assert found[0].keys() == {0, 1, 2}
+    for other in found[1:]:
+        assert other == pytest.approx(found[0], rel=1e-12)
