@@ -10,6 +10,7 @@ from ..functions import running
 from ..functions.strings import NULL_FORMS, base_form, base_form_or_text, is_number, is_only_special
 from ..sources.scratch import kept
 from . import kernels
+from .lines import line_density
 from .neighbours import BLOCK, gower_neighbours
 
 
@@ -185,14 +186,19 @@ def outlier_samples(df: DataFrame, queries: DataFrame, id_column: str, numeric:
     rows of ``df``, times ``extent``; the score compares it with its
     neighbours' density, and with what is usual for all rows. Without ``k`` it
     is a hundredth of the rows, 5 at least. Every row's neighbours are needed
-    for that, so the work is the same for few queries as for all.
+    for that, so the work is the same for few queries as for all. Rows on few
+    lines (see :mod:`.lines`) need no row per pair; others are quadratic if k
+    grows with the rows.
     """
     if k is None:
         k = max(df.where(F.col(id_column).isNotNull()).count() // 100, 5)
-    near = kept(all_neighbours(df, id_column, numeric, categorical, k))  # read three times below
-    spread = near.groupBy("id").agg((extent * F.sqrt(F.avg(F.col("distance") * F.col("distance")))).alias("pd"), F.avg("distance").alias("mean_distance"))
-    around = near.join(spread.select(F.col("id").alias("neighbour"), F.col("pd").alias("npd")), "neighbour").groupBy("id").agg(F.avg("npd").alias("epd"))
-    plof = spread.join(around, "id").withColumn("plof", F.when(F.col("epd") > 0, F.col("pd") / F.col("epd") - 1).when(F.col("pd") == 0, F.lit(0.0)))
+    dense = line_density(df, id_column, numeric, categorical, k, extent)
+    if dense is None:
+        near = kept(all_neighbours(df, id_column, numeric, categorical, k))  # read three times below
+        spread = near.groupBy("id").agg((extent * F.sqrt(F.avg(F.col("distance") * F.col("distance")))).alias("pd"), F.avg("distance").alias("mean_distance"))
+        around = near.join(spread.select(F.col("id").alias("neighbour"), F.col("pd").alias("npd")), "neighbour").groupBy("id").agg(F.avg("npd").alias("epd"))
+        dense = spread.join(around, "id")
+    plof = kept(dense).withColumn("plof", F.when(F.col("epd") > 0, F.col("pd") / F.col("epd") - 1).when(F.col("pd") == 0, F.lit(0.0)))  # read twice below
     scale = plof.agg((extent * F.sqrt(F.avg(F.col("plof") * F.col("plof")))).alias("nplof"))
     x = F.col("plof") / (F.col("nplof") * F.sqrt(F.lit(2.0)))
     # Abramowitz and Stegun's approximation 7.1.26 of the error function, good to 1.5e-7.
