@@ -67,14 +67,14 @@ def is_number(text: Column) -> Column:
     return F.coalesce(text.rlike(r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"), F.lit(False))
 
 
-#: The columns that hold a text's words and sentences already, while properties of one text are put together.
-_at_hand: ContextVar[tuple[Column, Column] | None] = ContextVar("at_hand", default=None)
+#: The columns that hold a text's words, sentences and number of syllables already, while properties of one text are put together.
+_at_hand: ContextVar[tuple[Column, Column, Column] | None] = ContextVar("at_hand", default=None)
 
 
 @contextmanager
-def at_hand(own_words: Column, own_sentences: Column) -> Iterator[None]:
-    """Properties made inside take a text's words and sentences from columns instead of splitting it each for itself."""
-    token = _at_hand.set((own_words, own_sentences))
+def at_hand(own_words: Column, own_sentences: Column, own_syllables: Column) -> Iterator[None]:
+    """Properties made inside take a text's words, sentences and syllables from columns instead of finding them each for itself."""
+    token = _at_hand.set((own_words, own_sentences, own_syllables))
     try:
         yield
     finally:
@@ -83,7 +83,7 @@ def at_hand(own_words: Column, own_sentences: Column) -> Iterator[None]:
 
 def split_words(text: Column) -> Column:
     """Non-empty parts of the text between other characters than letters, digits and underscore."""
-    return F.filter(F.split(text, r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    return F.array_remove(F.split(text, r"[^\p{L}\p{N}_]+"), "")
 
 
 def words(text: Column) -> Column:
@@ -162,15 +162,19 @@ def reading_time(text: Column) -> Column:
 # --- syllables, by rule ------------------------------------------------------
 
 
-def _syllables(word: Column) -> Column:
-    """Groups of vowels, less a silent e at the end, at least one: an approximation without a lexicon, for English."""
-    groups = F.regexp_count(F.lower(word), F.lit("[aeiouy]+"))
-    silent = F.lower(word).rlike("[^aeiouyl]e$").cast("int")
-    return F.greatest(groups - silent, F.lit(1))
+# Fixed value: a match for each syllable of words with a space before and after each. Either a word without vowels but for a
+# silent e at its end, or a group of vowels that is no silent e; an e is silent at a word's end after another letter than a vowel or l.
+_VOWEL = "aeiouyAEIOUY\u0130"
+SYLLABLE = rf" [^{_VOWEL} ]++(?:(?<![lL])[eE])?(?= )|[{_VOWEL}]++(?:(?=[^ ])|(?<![^{_VOWEL}lL ][eE]))"
+
+
+def count_syllables(own_words: Column) -> Column:
+    """Of words, groups of vowels, less a silent e at the end, at least one a word: an approximation without a lexicon, for English."""
+    return F.regexp_count(F.concat(F.lit(" "), F.array_join(own_words, " "), F.lit(" ")), F.lit(SYLLABLE))
 
 
 def syllables_count(text: Column) -> Column:
-    return F.aggregate(words(text), F.lit(0), lambda a, w: a + _syllables(w))
+    return found[2] if (found := _at_hand.get()) else count_syllables(words(text))
 
 
 def _round_even(value: Column, digits: int) -> Column:
@@ -188,7 +192,7 @@ def readability_score(text: Column) -> Column:
 
 def unique_syllables_count(text: Column) -> Column:
     """How many distinct words the syllables are counted over."""
-    return F.size(F.array_distinct(split_words(F.lower(text))))
+    return F.size(F.array_distinct(F.transform(words(text), F.lower)))
 
 
 def average_syllable_length(text: Column) -> Column:
@@ -296,3 +300,5 @@ TEXT_PROPERTIES = {
     "unique_syllables_count": unique_syllables_count,
     "average_syllable_length": average_syllable_length,
 }
+#: Those that count syllables.
+SYLLABIC = ("readability_score", "average_syllable_length")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.strings import TEXT_PROPERTIES, at_hand, normalize_text, split_sentences, split_words
+from ..functions.strings import SYLLABIC, TEXT_PROPERTIES, at_hand, count_syllables, normalize_text, split_sentences, split_words
 from ..sources.scratch import kept_at, remove
 from . import kernels
 
@@ -50,10 +50,11 @@ def text_properties(df: DataFrame, text: str, properties: list[str] | None = Non
     """``df`` with one column per property; null texts have null properties. Model-backed ones come in through ``extra``."""
     chosen: dict[str, Callable[[Column], Column]] = {p: TEXT_PROPERTIES[p] for p in properties or TEXT_PROPERTIES}
     given = df.columns
-    # Split once per row: a generator stands between, so the split is not copied into every property.
-    split = F.explode_outer(F.array(F.struct(split_words(F.col(text)).alias("w"), split_sentences(F.col(text)).alias("s"))))
+    # Split and counted once per row: a generator stands between, so this is not copied into every property.
+    syllables = count_syllables if any(p in SYLLABIC for p in chosen) else lambda w: F.lit(None).cast("int")
+    split = F.explode_outer(F.transform(F.array(split_words(F.col(text))), lambda w: F.struct(w.alias("w"), split_sentences(F.col(text)).alias("s"), syllables(w).alias("y"))))
     rows = df.select("*", split.alias("__split"))
-    with at_hand(F.col("__split.w"), F.col("__split.s")):
+    with at_hand(F.col("__split.w"), F.col("__split.s"), F.col("__split.y")):
         made = {n: f(F.col(text)) for n, f in chosen.items()}
     new = {n: F.when(F.col(text).isNotNull(), c).alias(n) for n, c in {**made, **(extra or {})}.items()}
     return rows.select(*(F.col(f"`{c}`") for c in given if c not in new), *new.values())
