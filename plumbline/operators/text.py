@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.strings import SYLLABIC, TEXT_PROPERTIES, at_hand, count_syllables, normalize_text, split_sentences, split_words
+from ..functions.strings import SYLLABIC, TEXT_PROPERTIES, UNSPECIAL, at_hand, count_syllables, normalize_text, split_sentences, split_words
 from ..sources.scratch import kept_at, remove
 from . import kernels
 
@@ -38,7 +38,7 @@ def text_samples_mix(train: DataFrame, test: DataFrame, text: str, **options) ->
     return samples_mix(*(_normal(df.where(F.col(text).isNotNull()).select(text), text, **options).select("norm") for df in (train, test)), ["norm"])
 
 
-def text_special_characters(df: DataFrame, text: str, allowed: str = r"\p{L}\p{N}\s.,;:!?'\"()-") -> DataFrame:
+def text_special_characters(df: DataFrame, text: str, allowed: str = UNSPECIAL) -> DataFrame:
     """(char, n_texts, ratio): texts that have each character outside the allowed class."""
     rows = df.where(F.col(text).isNotNull()).select(F.array_distinct(F.split(F.regexp_replace(text, f"[{allowed}]", ""), "")).alias("c"))
     n = df.where(F.col(text).isNotNull()).agg(F.count("*").alias("t"))
