@@ -141,7 +141,8 @@ def sentences(text: Column) -> Column:
 
 
 def split_sentences(text: Column) -> Column:
-    return F.filter(F.split(text, r"[.!?]+(?:\s+|$)"), lambda s: F.trim(s) != "")
+    """Parts of the text between stops that white space or the text's end follows, but for those of spaces (of any script) only."""
+    return F.filter(F.split(text, rf"[.!?]+(?:[{SPACE}]+|\z)"), lambda s: s.rlike(r"[^\p{Zs}]"))
 
 
 def sentences_count(text: Column) -> Column:
